@@ -132,6 +132,20 @@ def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", hashes: bool
     return h, start + base, stop + base, np.searchsorted(start, offs, "left")
 
 
+def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]):
+    """For each length k in bytes, in increasing order: (words longer than k, hash of their first k bytes)."""
+    vals, pw = _values(), _powers()
+    some = np.flatnonzero(end - start > lengths[0])
+    acc, done = np.zeros(len(some), np.uint64), 0
+    for k in lengths:
+        longer = end[some] - start[some] > k
+        some, acc = some[longer], acc[longer]
+        for i in range(done, k):
+            acc += vals[data[start[some] + i]] * pw[i]
+        done = k
+        yield some, mix(acc ^ np.uint64(k << 56))
+
+
 def _long_hash(piece: np.ndarray, vals: np.ndarray) -> int:
     """The hash of one word of any length, as the running sums give it."""
     pw, total, scale = _powers(), np.uint64(0), np.uint64(1)

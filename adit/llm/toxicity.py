@@ -1,8 +1,13 @@
 r"""Toxicity by maximum-scoring segments.
 
-Fit: token counts of toxic and other labelled documents give each token a
-log-odds with an informative Dirichlet prior (the pooled counts scaled to
-``prior`` pseudo-tokens) and its z-score. Tokens that stand out keep their
+Features of a token are the word and its beginnings of ``PREFIXES`` bytes (where
+it is longer), so that forms of a word that the sample lacks are known by what
+they start with; a token's weight is that of its most specific feature that
+stands out.
+
+Fit: counts of toxic and other labelled documents with a feature give it a
+log-odds with an informative Dirichlet prior (``prior`` times the
+pooled counts) and its z-score. Those that stand out keep their
 log-odds as weight, every other token has weight 0, and a constant ``drift`` is
 subtracted per token, so that scores of ordinary text go down.
 
@@ -37,6 +42,10 @@ from adit.llm.sampling import sample
 from adit.llm.store import written
 
 
+#: Bytes of the beginnings of words that count as features.
+PREFIXES = (6, 7, 8, 9)
+
+
 @dataclass
 class Model:
     """Token hashes (sorted) with weights, and the calibration."""
@@ -77,15 +86,19 @@ def segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[tuple[int
     return [(a, b, r - l) for a, b, l, r in found]
 
 
-def _weighted(h: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _weighted(data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the tokens that have one."""
     if not len(model.tokens):
         return np.zeros(0, np.int64), np.zeros(0)
-    h = h.view(np.int64)
-    k = np.searchsorted(model.tokens, h)
-    k[k == len(model.tokens)] = 0
-    at = np.flatnonzero(model.tokens[k] == h)
-    return at, model.weights[k[at]]
+    w = np.zeros(len(h))
+    for some, f in (*kernels.prefixes(data, start, end, PREFIXES), (np.arange(len(h)), h)):  # the more specific ones overwrite
+        f = f.view(np.int64)
+        k = np.searchsorted(model.tokens, f)
+        k[k == len(model.tokens)] = 0
+        hit = np.flatnonzero(model.tokens[k] == f)
+        w[some[hit]] = model.weights[k[hit]]
+    at = np.flatnonzero(w)
+    return at, w[at]
 
 
 def surprise(score: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
@@ -99,7 +112,7 @@ def scan(text: pa.Array, model: Model):
     data, offs = kernels.text_buffers(text)
     for i, j in kernels.groups(offs):
         h, start, end, first = kernels.words(data, offs[i : j + 1], "alnum")
-        at, w = _weighted(h, model)
+        at, w = _weighted(data, h, start, end, model)
         cut = np.searchsorted(at, first)
         features, spans = np.zeros((j - i, 2)), [[] for _ in range(j - i)]
         for d in np.flatnonzero(np.diff(cut)):
@@ -136,22 +149,29 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, toxic, other): counts of each token by label, in the rows (label, text)."""
+    """(token, toxic, other): documents with each feature by label, in the rows (label, text)."""
 
     def count(batches):
         for batch in batches:
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(bool)
             data, offs = kernels.text_buffers(batch.column("text"))
             for i, j in kernels.groups(offs):
-                h, _, _, first = kernels.words(data, offs[i : j + 1], "alnum")
-                token, inverse = np.unique(h.view(np.int64), return_inverse=True)
-                toxic = np.bincount(inverse, np.repeat(label[i:j], np.diff(first)), len(token)).astype(np.int64)
+                h, start, end, first = kernels.words(data, offs[i : j + 1], "alnum")
+                doc = np.repeat(np.arange(i, j), np.diff(first))
+                parts = [(h, doc), *((f, doc[some]) for some, f in kernels.prefixes(data, start, end, PREFIXES))]
+                feature, home = np.concatenate([f for f, _ in parts]).view(np.int64), np.concatenate([d for _, d in parts])
+                order = np.lexsort((feature, home))
+                feature, home = feature[order], home[order]
+                once = np.ones(len(feature), bool)  # a document counts once for a feature
+                once[1:] = (feature[1:] != feature[:-1]) | (home[1:] != home[:-1])
+                token, inverse = np.unique(feature[once], return_inverse=True)
+                toxic = np.bincount(inverse, label[home[once]], len(token)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(token)) - toxic)], ["token", "toxic", "other"])
 
     return texts.mapInArrow(count, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 2_000.0, min_z: float = 4.0, min_count: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.1, min_z: float = 3.2, min_odds: float = 1.0, min_count: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled documents; ``labels`` holds the rows that may be seen."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     known = sample(known, "__id", most)  # a row of 12 bytes each: at most ``most`` rows are broadcast
@@ -162,13 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 2
     model = Model()
     if not total.t or not total.o:
         return model
-    scale = prior / (total.t + total.o)
-    a = (F.col("toxic") + F.col("other")) * scale
+    a = (F.col("toxic") + F.col("other")) * prior
     yt, yo = F.col("toxic") + a, F.col("other") + a
-    nt, no = total.t + prior, total.o + prior
+    nt, no = total.t + prior * (total.t + total.o), total.o + prior * (total.t + total.o)
     odds = F.log(yt / (nt - yt)) - F.log(yo / (no - yo))
     scored = counts.where(F.col("toxic") + F.col("other") >= min_count).withColumn("w", odds).withColumn("z", F.col("w") / F.sqrt(1 / yt + 1 / yo))
-    kept = scored.where(F.abs("z") >= min_z).select("token", "w", "other").toPandas().sort_values("token")
+    kept = scored.where((F.abs("z") >= min_z) & (F.abs("w") >= min_odds)).select("token", "w", "other").toPandas().sort_values("token")
     model.tokens, model.weights = kept["token"].to_numpy(np.int64), kept["w"].to_numpy(float)
     # ordinary text: chances of the token scores, and lambda as the root of their moment
     p = np.append(kept["other"].to_numpy(float), max(total.o - kept["other"].sum(), 1)) / total.o
