@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, decontaminate, langid, line_dedup, near_dedup, quality, sampling, toxicity
-from adit.llm.store import written
+from adit.llm import bpe, decontaminate, langid, line_dedup, near_dedup, quality, sampling, secrets, topk, toxicity, warc
+from adit.llm.store import new_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,24 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each candidate: doc_id, word_index, secret, score and predicted (score of 0.5 or more)."""
+    featured = written(secrets.with_features(secrets.candidates(table(spark, sf_dir, "documents"))), "findings")
+    found = secrets.scored(featured, secrets.train(secrets.rule_labels(featured)))
+    return found.select(F.col("id").alias("doc_id"), F.col("at").alias("word_index"), F.col("candidate").alias("secret"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.with_revisits(table(spark, sf_dir, "pages"), min_bytes=0)
+    files = written(warc.write_archives(rows, new_path(spark, "warc")), "files")
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = sampling.held_out("doc_id", 3, 1)
@@ -94,6 +112,21 @@ ORACLES: dict[str, str] = {
         m AS (SELECT v, min(r) AS component_id FROM r GROUP BY v)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d JOIN m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY h, n),
+        d AS (SELECT h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS b FROM (SELECT DISTINCT h FROM p))
+        SELECT page_id, n AS payload_bytes, b AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p JOIN f USING (h, n) JOIN d USING (h)""",
     "op8_decontaminate": f"""
         WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
