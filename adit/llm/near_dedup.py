@@ -34,6 +34,7 @@ BASE, LEVELS = 1.001, 65534
 RATE = 20.0
 #: Counters that order shingles by frequency, sent to every task (8 bytes each).
 SLOTS = 1 << 20
+LONGS = 8
 
 
 def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -239,6 +240,8 @@ def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     share a shingle among the first (1 - percent / 100) of each, and the first one they share
     stands so early that what follows can still make up the overlap that a link
     needs. A passage that many documents share is common, so it stands last.
+    Besides, every row carries the parity of its set's shingles in 64 * LONGS
+    bins: the overlap is at most half of what the sizes exceed the bins that differ.
     """
     spark = full.sparkSession
     rarity = spark.sparkContext.broadcast(_rarity(full))
@@ -246,25 +249,30 @@ def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     def prefixes(batches):
         order = rarity.value
         for batch in batches:
-            sid, key, place, size = [], [], [], []
+            sid, key, place, size, bits = [], [], [], [], []
             for name, members in zip(batch.column("sid").to_pylist(), batch.column("members").to_pylist()):
                 h = np.frombuffer(members, np.uint64)
                 n = len(h)
                 first = n - -(-percent * n // 100) + 1
+                odd = np.packbits((np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
                 h = h[np.lexsort((h, order[(h % np.uint64(SLOTS)).astype(np.int64)]))[:first]]
                 sid += [name] * len(h)
                 key.append(h.view(np.int64))
                 place.append(np.arange(len(h)))
                 size.append(np.full(len(h), n))
+                bits.append(np.tile(odd, (len(h), 1)))
             if sid:
-                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (key, place, size))], ["sid", "key", "place", "n"])
+                flat = np.concatenate(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (key, place, size)), *(pa.array(flat[:, k].copy()) for k in range(LONGS))], ["sid", "key", "place", "n", *odd_bins])
 
-    rows = full.mapInArrow(prefixes, "sid binary, key long, place long, n long").join(roots, "sid")
+    odd_bins = [f"odd{k}" for k in range(LONGS)]
+    rows = full.mapInArrow(prefixes, f"sid binary, key long, place long, n long, {', '.join(f'{c} long' for c in odd_bins)}").join(roots, "sid")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rows = written(rows.join(shared, "key"), "prefixes")
-    x, y = (rows.select("key", F.col("sid").alias(c), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    x, y = (rows.select("key", F.col("sid").alias(c), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}"), *(F.col(k).alias(k + c) for k in odd_bins)) for c in "ab")
+    differ = sum((F.bit_count(F.col(k + "a").bitwiseXOR(F.col(k + "b"))) for k in odd_bins), F.lit(0))
     most = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)  # overlap, if this shingle is the first in common
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least(most, (F.col("na") + F.col("nb") - differ) / 2) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
 
 
