@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.llm.store import written
+from adit.llm.store import unused, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -66,15 +66,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, tex
     lines = hashes.dropDuplicates(["tk"]).select("tk", F.posexplode("keys").alias("pos", "k")).where("k is not null")
     lines = lines.select("tk", "pos", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
     gone = lines.join(often, ["h", "g"], "left_semi").groupBy("tk").agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
-    gone = written(gone, "gone").withColumnRenamed("tk", "__tk")
+    tk, dropped, lines = (unused(docs, c) for c in ("text_digest", "gone", "lines"))
+    gone = written(gone, "gone").select(F.col("tk").alias(tk), F.col("__gone").alias(dropped))
 
-    out = docs.withColumn("__tk", _digest(text_col)).join(gone, "__tk", "left").drop("__tk")
-    out = out.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    out = docs.withColumn(tk, _digest(text_col)).join(gone, tk, "left").drop(tk)
+    out = out.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     # The kept lines are the runs between positions to drop: one slice a run, so that the work is linear.
-    n = F.size("__lines")
-    from_, to = F.concat(F.array(F.lit(-1)), F.col("__gone")), F.concat(F.col("__gone"), F.array(n))
-    runs = F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda r: F.slice(F.col("__lines"), r["a"] + 2, r["b"] - r["a"] - 1))
-    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
-    new = {text_col: kept, "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
-    names = [c for c in docs.columns if c not in new or c == text_col]
-    return out.select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in names], *[new[c].alias(c) for c in ("n_lines", "n_dropped")])
+    n = F.size(lines)
+    from_, to = F.concat(F.array(F.lit(-1)), F.col(dropped)), F.concat(F.col(dropped), F.array(n))
+    runs = F.transform(F.arrays_zip(from_.alias("a"), to.alias("b")), lambda r: F.slice(F.col(lines), r["a"] + 2, r["b"] - r["a"] - 1))
+    kept = F.when(F.col(dropped).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
+    new = {text_col: kept, "n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long")}
+    names = [c for c in docs.columns if c == text_col or c.lower() not in ("n_lines", "n_dropped")]
+    return out.select(*[(new[c].alias(c) if c == text_col else F.col(f"`{c}`")) for c in names], *[new[c].alias(c) for c in ("n_lines", "n_dropped")])

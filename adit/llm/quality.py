@@ -233,7 +233,7 @@ def fit(featured: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str
     """Learn from the featured rows whose ids ``labels`` has; at most ``most`` rows, of features only, reach the driver."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     known = sample(known, id_col, most)
-    rows = featured.join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), "quality_features", "__label").dropDuplicates(["id"]).toPandas().sort_values("id")
+    rows = featured.select(id_col, "quality_features").join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), "quality_features", "__label").dropDuplicates(["id"]).toPandas().sort_values("id")
     x = np.array(rows["quality_features"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
     return fit_tables(x, rows["__label"].to_numpy(float))
 
