@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit.llm import bpe, decontaminate, line_dedup, near_dedup, sampling, toxicity
-from adit.llm.store import written
+from adit.llm.store import unused, written
 
 #: A stage that is fitted or compared with another table reads it from sf_dir.
 TOXIC_AT = 0.7
@@ -40,17 +40,19 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once."""
     kept = near_dedup.near_duplicates(docs, SHINGLE, PERCENT).where("kept")
-    kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")).distinct(), "kept")
-    named = docs.withColumn("__tk", _digest())
-    out = named.join(kept, (named["__tk"] == kept["__tk"]) & named["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return out.dropDuplicates(["__tk", "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
+    kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("tk").alias("kept_tk")).distinct(), "kept")
+    tk = unused(docs, "text_digest")
+    named = docs.withColumn(tk, _digest())
+    out = named.join(kept, (named[tk] == kept["kept_tk"]) & named["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return out.dropDuplicates([tk, "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold WINDOW consecutive words of a benchmark item (all, if it has fewer) go."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
-    bad = written(found.where(F.size("items") > 0).select(F.col("tk").alias("__tk")).distinct(), "contaminated")
-    return docs.withColumn("__tk", _digest()).join(bad, "__tk", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    tk = unused(docs, "text_digest")
+    bad = written(found.where(F.size("items") > 0).select(F.col("tk").alias(tk)).distinct(), "contaminated")
+    return docs.withColumn(tk, _digest()).join(bad, tk, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
