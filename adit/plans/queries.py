@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.operators import compare, stats, sweep, targets, trajectory, volume
+from adit.operators import cavity, compare, denoise, stats, sweep, targets, trajectory, volume
 from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_grid, median_grid
 from adit.sources.views import view
 
@@ -366,3 +366,21 @@ def uniform_scale_fit(s, d):
 def decomposition(s, d):
     mean = volume.trapezoid_volume(areas(s, d), G).select("cloud_id", "mean_area")
     return rounded(targets.decomposition(view(s, d, "targets"), mean))
+
+
+@query
+def largest_cavity(s, d):
+    walls = volume.dilated(_voxels(s, d))
+    return rounded(cavity.largest_cavity(walls, 0.5))
+
+
+@query
+def surface_volume(s, d):
+    return rounded(cavity.surface_volume(_voxels(s, d), 0.5))
+
+
+@query
+def outlier_removal(s, d):
+    """Points of the first ten metres that the statistical filter keeps, counted by cloud."""
+    points = volume.cartesian(view(s, d, "cloud").where("s < 10")).withColumn("pid", F.xxhash64("x", "y", "z", "pid"))
+    return denoise.without_outliers(points.dropDuplicates(["cloud_id", "pid"]), 8, 2.0, 0.5).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
