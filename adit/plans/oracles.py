@@ -130,7 +130,7 @@ ORACLES = {
     "radius_hist": f"WITH {duckdb_with('cloud')} SELECT cloud_id, CAST(floor((r - 1.5e0)/0.0025e0) AS BIGINT) AS bin, count(*) AS n FROM cloud GROUP BY ALL",
     "theta_bins": f"WITH {duckdb_with('cloud')} SELECT cloud_id, CAST(floor((theta+180.0e0)/{DT}) AS BIGINT) AS j, round(avg(r*cos(radians(theta))), 6) AS dz, round(avg(r), 6) AS r, count(*) AS n FROM cloud GROUP BY ALL",
     "profile_cloud": f"WITH {_filled()} SELECT cloud_id, i, j, round(r*cos(radians((j+0.5e0)*{DT}-180.0e0)), 6) AS x, round(r*sin(radians((j+0.5e0)*{DT}-180.0e0)), 6) AS y, (i+0.5e0)*{DS} AS z, interpolated FROM c2 WHERE r IS NOT NULL",
-    "alignment_guard": f"WITH {duckdb_with('cloud')} SELECT cloud_id, round(median(r), 6) AS median_r, median(r) <= 15 AS aligned FROM cloud WHERE pid % 3 = 0 GROUP BY cloud_id",
+    "alignment_guard": f"WITH {duckdb_with('cloud')} SELECT cloud_id, round(median(r), 6) AS median_r, median(r) <= 15 AS aligned FROM cloud GROUP BY cloud_id",
     "wedge_filter": f"WITH {duckdb_with('cloud')} SELECT cloud_id, count(*) AS n FROM cloud WHERE NOT (theta BETWEEN 80.0e0 AND 130.0e0) GROUP BY cloud_id",
     "mesh_volume": f"""WITH {_filled()}, k AS (SELECT cloud_id, i, row_number() OVER (PARTITION BY cloud_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY cloud_id) AS m FROM (SELECT cloud_id, i FROM c2 GROUP BY cloud_id, i HAVING count(r) = {N_T})),
         v AS MATERIALIZED (SELECT c2.cloud_id, k, m, j, r*cos(radians((j+0.5e0)*{DT}-180.0e0)) AS x, r*sin(radians((j+0.5e0)*{DT}-180.0e0)) AS y, (i+0.5e0)*{DS} AS z FROM c2 JOIN k USING (cloud_id, i)),

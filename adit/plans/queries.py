@@ -161,7 +161,7 @@ def profile_cloud(s, d):
 
 @query
 def alignment_guard(s, d):
-    m = view(s, d, "cloud").where(F.col("pid") % 3 == 0).groupBy("cloud_id").agg(F.median("r").alias("median_r"))
+    m = view(s, d, "cloud").groupBy("cloud_id").agg(F.median("r").alias("median_r"))
     return rounded(m.withColumn("aligned", F.col("median_r") <= 15))
 
 
@@ -381,6 +381,6 @@ def surface_volume(s, d):
 
 @query
 def outlier_removal(s, d):
-    """Points of the first ten metres that the statistical filter keeps, counted by cloud."""
-    points = volume.cartesian(view(s, d, "cloud").where("s < 10")).withColumn("pid", F.xxhash64("x", "y", "z", "pid"))
-    return denoise.without_outliers(points.dropDuplicates(["cloud_id", "pid"]), 8, 2.0, 0.5).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    """Points that the statistical filter keeps, counted by cloud."""
+    points = volume.cartesian(view(s, d, "cloud")).withColumn("pid", F.xxhash64("x", "y", "z", "pid"))
+    return denoise.without_outliers(points.dropDuplicates(["cloud_id", "pid"]), 8, 2.0, 1.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
