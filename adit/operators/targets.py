@@ -41,7 +41,7 @@ def consistency(targets: DataFrame, ref: str = "ref", other: str = "mobile", fac
     residual against unflagged partners under their own scale."""
     p = pair_distances(targets, ref, other)
     base = scale(p).select(F.col("resid_rms").alias("base_rms"))
-    loo = leave_one_out(targets, ref, other).crossJoin(base).select(F.col("dropped").alias("idx"), F.col("resid_rms").alias("loo_rms"), (F.col("base_rms") / F.col("resid_rms")).alias("improve"))
+    loo = leave_one_out(targets, ref, other).crossJoin(base).select(F.col("dropped").alias("idx"), F.col("resid_rms").alias("loo_rms"), F.when(F.col("resid_rms") > 0, F.col("base_rms") / F.col("resid_rms")).when(F.col("base_rms") > 0, float("inf")).otherwise(1.0).alias("improve"))
     flags = loo.withColumn("flagged", F.col("improve") > factor)
     every = F.every("flagged").over(Window.partitionBy(F.lit(1)))  # with all flagged, all count as clean
     flags = flags.withColumn("clean", ~F.col("flagged") | every)
