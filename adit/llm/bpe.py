@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 
 from adit.llm import kernels
 
-#: Words that a worker remembers before it starts afresh.
-MEMORY = 200_000
+#: Words that a worker remembers before it forgets all but those of the texts at hand.
+MEMORY = 400_000
 NEVER = np.int64(1) << 40
-#: Marks special tokens among words; no byte sign is this character.
-SPECIAL = "\0"
+#: Marks special tokens among words; no text of UTF-8 holds this character.
+SPECIAL = "\ud800"
 
 
 def _byte_signs() -> list[str]:
@@ -107,17 +107,26 @@ class Tokenizer:
         self.special_cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.blank = regex.compile(r"\p{White_Space}+")
+        # white space need only become blanks where a word may hold some
+        self.blank = regex.compile(r"\p{White_Space}+") if " " in pattern or r"\s" in pattern.replace(r"[^\s", "") else None
         self.sign = _byte_signs()
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.longest = max(len(t) - (len(self.suffix) if t.endswith(self.suffix) else 0) for t in self.vocab)
+        # tokens that may end a word, by their text without the mark, and those that may stand before; the latter's greatest length by their first three signs
+        ending = {t: i for t, i in self.vocab.items() if t.endswith(self.suffix)}
+        self.ends = {t.removesuffix(self.suffix): i for t, i in ending.items() if t != self.suffix}
+        self.inner = {t: i for t, i in self.vocab.items() if not self.suffix or t not in ending}
+        self.reach: dict[str, int] = {}
+        for t in self.inner:
+            self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 2))
         # spines: the symbols at a token's edge, from the whole token down, and the rank at which each is taken up
         self.right_spine, self.right_end = self._spine(right, made)
         self.left_spine, self.left_end = self._spine(left, made)
         alone = self._exact([[self.vocab[s] for s in self._symbols(t)] if t in self.vocab else [] for t in self.tokens])
         self.own = np.array([ids == [i] for i, ids in enumerate(alone)])
-        self.fixed = {SPECIAL + t: (str(i), t, 1) for t, i in self.special.items()}
-        self.known = dict(self.fixed)
+        # what is known of a word, or of a marked special token: its ids and its tokens, each joined by blanks
+        self.ids = {SPECIAL + t: str(i) for t, i in self.special.items()}
+        self.shown = {SPECIAL + t: t for t in self.special}
+        self.fixed = set(self.ids)
 
     def _symbols(self, token: str) -> list[str]:
         """The symbols that a token's text starts as."""
@@ -191,13 +200,13 @@ class Tokenizer:
 
     def _greedy(self, word: str) -> list[int]:
         """Longest matches from the left; the last one carries the end-of-word mark."""
-        vocab, out, i, n = self.vocab, [], 0, len(word)
+        ends, inner, reach, out, i, n = self.ends, self.inner, self.reach, [], 0, len(word)
         while i < n:
-            if n - i <= self.longest and (t := vocab.get(word[i:] + self.suffix)) is not None:
+            if (t := ends.get(word[i:])) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                if (t := vocab.get(word[i:j])) is not None:
+            for j in range(min(n - 1, i + reach.get(word[i : i + 3], 2)), i, -1):
+                if (t := inner.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
                     break
@@ -206,8 +215,10 @@ class Tokenizer:
         return out
 
     def learn(self, words: list[str]) -> None:
-        """Encode words (strings of byte signs) that are not yet known."""
-        proposed = [self._greedy(w) for w in words]
+        """Encode words that are not yet known."""
+        sign = self.sign
+        signed = [w if w.isascii() and w.isprintable() else "".join([sign[b] for b in w.encode()]) for w in words]
+        proposed = [self._greedy(w) for w in signed]
         counts = np.array([len(p) for p in proposed])
         flat = np.array([t for p in proposed for t in p], np.int64)
         home = np.repeat(np.arange(len(words)), counts)
@@ -219,19 +230,18 @@ class Tokenizer:
             ok = self._compatible(pairs >> 32, pairs & 0xFFFFFFFF)
             bad[home[border[~ok[back]]]] = True
         failing = np.flatnonzero(bad)
-        for k, ids in zip(failing, self._exact([[self.vocab[s] for s in [*words[k][:-1], words[k][-1] + self.suffix]] for k in failing])):
+        for k, ids in zip(failing, self._exact([[self.vocab[s] for s in [*signed[k][:-1], signed[k][-1] + self.suffix]] for k in failing])):
             proposed[k] = ids
         names, tokens = self.names, self.tokens
         for w, ids in zip(words, proposed):
-            self.known[w] = (" ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids]), len(ids))
+            self.ids[w], self.shown[w] = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
 
     def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens, as strings of byte signs."""
+        """The words of a text without special tokens."""
         plain = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        plain = self.blank.sub(" ", plain)
+        plain = self.blank.sub(" ", plain) if self.blank else plain
         plain = plain.lower() if "Σ" not in plain else plain.replace("Σ", "σ").lower()  # by character, not by context
-        sign = self.sign
-        return [w if w.isascii() and w.isprintable() else "".join([sign[b] for b in w.encode()]) for w in self.split.findall(plain)]
+        return self.split.findall(plain)
 
     def parts(self, text: str) -> list[str]:
         """Words and marked special tokens, in order."""
@@ -245,15 +255,17 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of tokens, ids joined by blanks, and the decoded text."""
         split = [self.parts(t) for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = dict(self.fixed)
-        new = set().union(*split) - self.known.keys()
+        words = set().union(*split)
+        new = words - self.ids.keys()
+        if len(self.ids) + len(new) > MEMORY:
+            keep = (words - new) | self.fixed
+            self.ids, self.shown = ({w: old[w] for w in keep} for old in (self.ids, self.shown))
         if new:
             self.learn(list(new))
-        known, out = self.known, []
+        out = []
         for p in split:
-            got = [known[w] for w in p]
-            out.append((sum([g[2] for g in got]), " ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            ids = " ".join(map(self.ids.__getitem__, p))
+            out.append((ids.count(" ") + 1 if p else 0, ids, " ".join(map(self.shown.__getitem__, p))))
         return out
 
     def decode(self, ids: list[int]) -> str:
