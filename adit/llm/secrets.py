@@ -10,11 +10,12 @@ positives. It is trained from labelled findings; where none are given,
 and by placeholders, as a start.
 
 All steps are DataFrame functions on the JVM: candidates are found in place,
-without a shuffle; the forest sees at most ``most`` findings, by a hash of each.
+without a shuffle; the forest sees at most ``most`` distinct findings, by a hash of
+each and of both labels, so its scores are not shares of the whole table.
 
 Defined cases: null or empty texts have no candidates; every occurrence is a
 finding, so repeated rows repeat theirs; without findings of both labels all
-scores are the label's share (0 without any); a null path is an empty one.
+scores are the only label (0 without any); a null path is an empty one.
 """
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -23,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adit.llm.store import written
+
 SIGNS = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private)"
 #: Words whose letters speak against a secret.
@@ -71,12 +74,18 @@ def rule_labels(featured: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, most: int = 5_000, trees: int = 20, depth: int = 5) -> RandomForestClassificationModel | float:
-    """A forest from findings with ``label``; a constant if they don't have both labels."""
-    rows = labelled.where("label is not null").orderBy(F.xxhash64("candidate", "word", "before", "after"), "candidate", "id", "at").limit(most)
-    share = rows.agg(F.avg("label").alias("p")).first().p
-    if share is None or share in (0.0, 1.0):
-        return float(share or 0.0)
-    vectors = VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features").transform(rows)
+    """A forest from findings with ``label``; a constant if the whole table doesn't have both labels.
+
+    Copies of a finding count once. Of each label come half of ``most`` at least, or all there are.
+    """
+    key, names = ["candidate", "word", "before", "after"], [f"f_{k}" for k in FEATURES]
+    known = labelled.where("label is not null").groupBy(*key, "label").agg(F.min(F.struct(*names)).alias("f"))
+    known = written(known.select(*key, "label", "f.*"), "labelled")
+    n = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
+        return float(next(iter(n), 0.0))
+    part = lambda a, b: known.where(F.col("label") == a).orderBy(F.xxhash64(*key), *key).limit(max(most // 2, most - n[b]))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(part(0.0, 1.0).unionByName(part(1.0, 0.0)))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11).fit(vectors.select("features", "label"))
 
 
