@@ -1,8 +1,11 @@
 r"""Secret scans with DataFrame functions and a random forest.
 
 Candidates are runs of 16 or more key signs (letters, digits, ``+/_-``, up to two
-``=`` at the end) with at least one digit, within the words of a text. A random
-forest on what a candidate looks like (its length, how often neighbouring
+``=`` at the end) with at least one digit, within the words of a text, and every
+value that is assigned to a name like token or password, or quoted after one,
+whatever its length and signs. A quoted value ends at its quote, in its line; a
+bare one at white space, a quote or the next assignment, without closing
+punctuation. A random forest on what a candidate looks like (its length, how often neighbouring
 characters change kind, what share of it dictionary words cover) and on where it
 stands (the path, the words before and after it, an assignment, quotes) removes false
 positives. It is trained from labelled findings; where none are given,
@@ -26,25 +29,58 @@ from pyspark.sql import functions as F
 
 from adit.llm.store import written
 
+SPACES = r"[ \t\r\n\x0b\f]+"
 SIGNS = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private)"
+#: A telling name with the rest of its word and perhaps one word more
+_NAME = NAMES + r"[\w.\-]*+(?:[ \t]++[\w.\-]++)??[\"'`\])]*+"
+#: An assignment, perhaps after a type, and the scheme of a credential
+_SET = r"\s*+(?::[ \t]*+[\w.\[\]]++[ \t]++(?==))?[!:=]{1,3}>?"
+_SCHEME = r"[ \t]*+(?:(?:bearer|basic|token)[ \t]++)?"
+#: Inside quotes; the quote is group {0}. Bare: not another name with its colon, to the next assignment.
+_QUOTED = r"([\"'`])((?:\\.|(?!\{0})[^\\\r\n])++)(?=\{0})"
+_BARE = r"([\"'`]?)((?![\w.\-]++:(?:\s|$))(?:(?![,;&][\w.\-]++[ \t]*+[:=])[^\s\"'`\x{{FDD1}}])++)"
+#: Before a value: groups 1, 3, 4, 6, 7, 9, 11; values assigned in quotes, assigned bare, and quoted after a name: 5, 8, 12
+_VALUES = "(?i)(" + _NAME + _SET + r")(?:(\s*+)" + _QUOTED.format(4) + "|(" + _SCHEME + ")" + _BARE.format() + ")|(" + _NAME + r"[\s(]++)" + _QUOTED.format(11)
+#: Signs that no text should hold mark the start and the end of a value.
+_START, _END = "\ufdd0", "\ufdd1"
 #: Words whose letters speak against a secret.
 DICTIONARY = ("example", "sample", "test", "dummy", "your", "changeme", "placeholder", "secret", "password", "token", "user", "admin", "page", "image", "version", "http", "www", "html", "index", "content", "the", "and", "for", "with", "this", "that")
 FEATURES = ("length", "digits", "uppers", "letter_digit", "digit_letter", "case_changes", "repeats", "hex", "covered", "test_path", "path_hash", "named", "assigned", "quoted", "before_hash", "after_hash", "vowels")
 
 
+def _values(text: Column) -> tuple[Column, Column]:
+    """The words of ``text`` with values marked, and the values in order, each with the part of its word before it."""
+    marked = F.regexp_replace(F.translate(text, _START + _END, "\ufffd\ufffd"), F.lit(_VALUES), F.lit(f"$1$3$4$6$7$9$11{_START}$5$8$12{_END}"))
+    marked = F.when(text.rlike(NAMES), marked)
+    parts = F.split(marked, _START)
+    before = F.transform(parts, lambda p: F.substring_index(F.translate(F.replace(p, F.lit(_END), F.lit("")), "\t\r\n\x0b\f", "     "), " ", -1))
+    value = F.transform(parts, lambda p: F.substring_index(p, _END, 1))
+    bare = lambda lead, v: F.when(lead.rlike("[\"'`]$"), v).otherwise(F.rtrim(v, F.lit(",;.)}]>")))
+    # the first part has no value before it, the last none after
+    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.get(before, k - 1).alias("lead"), bare(F.get(before, k - 1), F.get(value, k)).alias("value")))
+    return F.split(marked, SPACES), F.when(F.size(parts) > 1, found)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(id, path, at, candidate, word, before, before2, after): a row for each candidate; ``at`` counts words from 0."""
-    words = F.split(F.col("text"), r"[ \t\r\n\x0b\f]+")
+    """(id, path, at, candidate, word, before, before2, after, lead): a row for each candidate; ``at`` counts words from 0, ``lead`` is its word up to it."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]"))
-    rows = rows.select("id", "path", words.alias("w"))
+    rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9]") | F.col("text").rlike(NAMES))
+    marked, values = _values(F.col("text"))
+    rows = rows.select("id", "path", F.split("text", SPACES).alias("w"), marked.alias("m"), values.alias("v"))
     hits = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= 16) & F.get("w", i).rlike(SIGNS) & F.get("w", i).rlike("[0-9]"))
-    rows = rows.withColumn("at", F.explode(hits))
-    near = lambda k: F.coalesce(F.get("w", F.col("at") + k), F.lit(""))
-    rows = rows.select("id", "path", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
-    found = F.filter(F.regexp_extract_all("word", F.lit(f"({SIGNS})"), 1), lambda c: c.rlike("[0-9]"))
-    return rows.withColumn("candidate", F.explode(found))
+    hits = F.transform(hits, lambda i: F.struct(i.alias("at"), F.lit(None).cast("string").alias("lead"), F.lit(None).cast("string").alias("value")))
+    # a word has as many values as marks
+    ats = F.flatten(F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.array_repeat(i, F.regexp_count(F.get("m", i), F.lit(_START)))))
+    named = F.zip_with(ats, "v", lambda i, x: F.struct(i.alias("at"), x["lead"].alias("lead"), x["value"].alias("value")))
+    rows = rows.withColumn("x", F.explode(F.concat(hits, F.when(F.col("v").isNotNull(), named).otherwise(F.filter(hits, lambda _: F.lit(False))))))
+    near = lambda k: F.coalesce(F.get("w", F.col("x.at") + k), F.lit(""))
+    rows = rows.select("id", "path", "x.at", "x.lead", "x.value", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
+    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({SIGNS})"), 1), lambda c: c.rlike("[0-9]"))
+    # a value that is a run is a candidate as such already
+    found = F.when(F.col("value").isNull(), runs).when((F.length("value") > 0) & ~F.array_contains(runs, F.col("value")), F.array("value"))
+    rows = rows.withColumn("candidate", F.explode(found))
+    return rows.select("id", "path", "at", "candidate", "word", "before", "before2", "after", F.coalesce("lead", F.split_part("word", F.col("candidate"), F.lit(1))).alias("lead"))
 
 
 def _rate(pattern: str) -> Column:
@@ -54,7 +90,7 @@ def _rate(pattern: str) -> Column:
 def with_features(found: DataFrame) -> DataFrame:
     """The candidates with FEATURES as double columns f_<name>."""
     low = F.lower("candidate")
-    context = F.concat_ws(" ", "before2", "before", F.split_part("word", F.col("candidate"), F.lit(1)))
+    context = F.concat_ws(" ", "before2", "before", "lead")
     covered = F.aggregate(F.regexp_extract_all(low, F.lit("(" + "|".join(DICTIONARY) + ")"), 1), F.lit(0), lambda n, w: n + F.length(w))
     values = {
         "length": F.length("candidate"), "digits": _rate("[0-9]"), "uppers": _rate("[A-Z]"),
@@ -68,8 +104,13 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def rule_labels(featured: DataFrame) -> DataFrame:
-    """Findings with ``label``: 1 for a value assigned to a telling name, without repeated signs or dictionary words."""
-    good = (F.col("f_named") == 1) & (F.col("f_assigned") == 1) & (F.col("f_covered") < 0.2) & (F.col("f_repeats") < 0.3)
+    """Findings with ``label``: 1 for a value assigned to a telling name, without repeated signs or dictionary words.
+
+    One that is no run of key signs must not be a plain word or number either.
+    """
+    plain = F.col("candidate").rlike(r"^[^\p{L}\p{N}]*(\p{Lu}?\p{Ll}*|\p{Lu}*|[\p{N}.:,/\-]*)[^\p{L}\p{N}]*$")
+    run = F.col("candidate").rlike(f"^{SIGNS}$") & F.col("candidate").rlike("[0-9]")
+    good = (F.col("f_named") == 1) & (F.col("f_assigned") == 1) & (F.col("f_covered") < 0.2) & (F.col("f_repeats") < 0.3) & (run | ~plain)
     return featured.withColumn("label", good.cast("double"))
 
 
