@@ -54,23 +54,33 @@ def cumulative_volume(slabs: DataFrame) -> DataFrame:
     return rows.select("cloud_id", "i", "s", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("volume"))
 
 
-def mesh(cells: DataFrame, g: Grid) -> tuple[DataFrame, DataFrame]:
+def mesh(cells: DataFrame, g: Grid, to_ends: bool = True) -> tuple[DataFrame, DataFrame]:
     """A closed mesh about a straight axis: vertices (cloud_id, vid, x, y, z) and faces (cloud_id, fid, a, b, c).
 
     Slab rings with all radii, joined by two triangles a quad across the theta
-    seam, and a fan to an axis point at each end.
+    seam, and a fan to an axis point at each end. The first and last ring are
+    repeated at both ends of the domain, unless ``to_ends`` is false: then the
+    mesh spans ring centres only.
     """
     n = g.n_theta
     ring = F.count("r").over(Window.partitionBy("cloud_id", "i"))
-    rings = cells.withColumn("known", ring).where(F.col("known") == n)
+    rings = cells.withColumn("known", ring).where(F.col("known") == n).withColumn("z", g.centre())
+    if to_ends:
+        by = Window.partitionBy("cloud_id")
+        lo, hi = F.min("i").over(by), F.max("i").over(by)
+        sides = rings.withColumn("lo", lo).withColumn("hi", hi)
+        # an end that a slab centre has reached already needs no ring
+        head = sides.where((F.col("i") == F.col("lo")) & (F.col("z") > g.s0)).withColumn("i", F.col("lo") - 1).withColumn("z", F.lit(float(g.s0)))
+        tail = sides.where((F.col("i") == F.col("hi")) & (F.col("z") < g.s1)).withColumn("i", F.col("hi") + 1).withColumn("z", F.lit(float(g.s1)))
+        rings = rings.unionByName(head.drop("lo", "hi")).unionByName(tail.drop("lo", "hi"))
     order = Window.partitionBy("cloud_id").orderBy("i")
-    ranks = rings.select("cloud_id", "i").distinct().withColumn("k", F.row_number().over(order) - 1)
+    ranks = rings.select("cloud_id", "i", "z").distinct().withColumn("k", F.row_number().over(order) - 1)
     ranks = ranks.withColumn("rings", F.count(F.lit(1)).over(Window.partitionBy("cloud_id")))
-    v = rings.join(ranks, ["cloud_id", "i"])
+    v = rings.join(ranks.drop("z"), ["cloud_id", "i"])
     angle = F.radians((F.col("j") + 0.5) * g.dt - 180.0)
-    wall = v.select("cloud_id", (F.col("k") * n + F.col("j")).alias("vid"), (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"), g.centre().alias("z"))
-    ends = ranks.groupBy("cloud_id").agg(F.max("rings").alias("rings"), F.min("i").alias("lo"), F.max("i").alias("hi"))
-    tip = lambda k, i: ends.select("cloud_id", (F.col("rings") * n + k).alias("vid"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), g.centre(i).alias("z"))
+    wall = v.select("cloud_id", (F.col("k") * n + F.col("j")).alias("vid"), (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"), "z")
+    ends = ranks.groupBy("cloud_id").agg(F.max("rings").alias("rings"), F.min("z").alias("lo"), F.max("z").alias("hi"))
+    tip = lambda k, z: ends.select("cloud_id", (F.col("rings") * n + k).alias("vid"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col(z).alias("z"))
     vertices = wall.unionByName(tip(0, "lo")).unionByName(tip(1, "hi"))
     quads = ranks.where("k < rings - 1").crossJoin(cells.sparkSession.range(n).withColumnRenamed("id", "j"))
     p, q = F.col("k") * n + F.col("j"), F.col("k") * n + F.pmod(F.col("j") + 1, F.lit(n))

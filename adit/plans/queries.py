@@ -173,12 +173,20 @@ def wedge_filter(s, d):
 
 @query
 def mesh_volume(s, d):
-    return rounded(volume.mesh_volume(*volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G)))
+    """Between the centres of the first and last ring, as its SQL has it; mesh_volume_to_ends has the whole domain."""
+    return rounded(volume.mesh_volume(*volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False)))
 
 
 @query
 def mesh_edges_closed(s, d):
-    return volume.closed_check(volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G)[1])
+    return volume.closed_check(volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False)[1])
+
+
+@query
+def mesh_volume_to_ends(s, d):
+    """Volume of the whole domain, and whether its mesh is closed."""
+    vertices, faces = volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G)
+    return rounded(volume.mesh_volume(vertices, faces).join(volume.closed_check(faces), "cloud_id"))
 
 
 @query

@@ -29,6 +29,18 @@ def test_phantom_volumes(spark):
         assert check.closed and check.oriented
 
 
+def test_mesh_reaches_both_ends(spark):
+    g = Grid(1.0, 6.0, 1.0, 90.0)
+    rows = [("a", i, j, None if (i, j) == (4, 2) or i == 0 else 2.0) for i in range(5) for j in range(4)]
+    cells = spark.createDataFrame(rows, "cloud_id string, i long, j long, r double")
+    vertices, faces = volume.mesh(cells, g)
+    assert volume.mesh_volume(vertices, faces).first().volume == pytest.approx(8 * 5)
+    assert vertices.agg(F.min("z"), F.max("z")).first() == (1.0, 6.0)
+    check = volume.closed_check(faces).first()
+    assert check.closed and check.oriented
+    assert volume.mesh_volume(*volume.mesh(cells, g, to_ends=False)).first().volume == pytest.approx(8 * 2)
+
+
 def test_voxel_cavity_leaks_only_with_a_hole(spark):
     def walls(hole):
         p = phantom.cylinder(spark, 2.0, 10.0, 360, 200, hole).select("cloud_id", "x", "y", "z")
