@@ -2,7 +2,8 @@
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _beta_cdf(x: float, a: float, b: float) -> float:
@@ -61,3 +62,16 @@ def quantile_rows(most: int = 60, alpha: float = 0.05) -> list[tuple]:
 
 def quantiles(spark: SparkSession, most: int = 60, alpha: float = 0.05) -> DataFrame:
     return spark.createDataFrame(quantile_rows(most, alpha), "n long, t double, chi_lo double, chi_hi double, g_crit double")
+
+
+def grubbs_limit(n: Column, alpha: float = 0.05) -> Column:
+    """Grubbs' critical value of samples of more than 60: Wichura's normal quantile (AS 241) in Hill's expansion of t, to about 1e-7."""
+    poly = lambda x, c: F.lit(c[0]) if len(c) == 1 else F.lit(c[0]) + x * poly(x, c[1:])
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  # keeps the expression small
+    up = lambda r: poly(r, [1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4])
+    down = lambda r: poly(r, [1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9])
+    df = n - 2
+    z2 = once(F.sqrt(-F.ln(F.lit(alpha / 2) / n)) - 1.6, lambda r: F.pow(up(r) / down(r), F.lit(2.0)))
+    hill = lambda s: F.sqrt(s) * (1 + poly(s, [1.0, 1.0]) / (4 * df) + poly(s, [3.0, 16.0, 5.0]) / (96 * df**2) + poly(s, [-15.0, 17.0, 19.0, 3.0]) / (384 * df**3) + poly(s, [-945.0, -1920.0, 1482.0, 776.0, 79.0]) / (92160 * df**4))
+    t2 = once(z2, lambda s: F.pow(hill(s), F.lit(2.0)))
+    return once(t2, lambda q: (n - 1) / F.sqrt(n) * F.sqrt(q / (df + q)))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.quantiles import quantiles
+from adit.functions.quantiles import grubbs_limit, quantiles
 
 
 def newest(runs: DataFrame, keys: tuple[str, ...] = ("dataset", "rep", "cloud_id")) -> DataFrame:
@@ -49,23 +49,25 @@ def describe(rows: DataFrame, keys: list[str], value: str, most: int = 60) -> Da
     wilson = lambda z: df * F.pow(1 - 2 / (9 * df) + F.lit(z) * F.sqrt(2 / (9 * df)), F.lit(3))
     t = F.coalesce("t", F.when(F.col("n") > most, F.lit(1.959963984540054)))
     lo, hi = F.coalesce("chi_lo", F.when(F.col("n") > most, wilson(1.959963984540054))), F.coalesce("chi_hi", F.when(F.col("n") > most, wilson(-1.959963984540054)))
+    crit = F.coalesce("g_crit", F.when(F.col("n") > most, grubbs_limit(F.col("n").cast("double"))))
     sem = F.col("sd") / F.sqrt("n")
     return s.select(
         *keys, "n", "mean", "min", "max", "sd", (F.col("sd") / F.nullif("mean", F.lit(0.0)) * 100).alias("cv_pct"), sem.alias("sem"),
         (F.col("mean") - t * sem).alias("ci95_lo"), (F.col("mean") + t * sem).alias("ci95_hi"), F.when(F.col("n") > 1, F.col("max") - F.col("min")).alias("range"),
-        (F.col("sd") * F.sqrt(df / lo)).alias("sd_ci95_lo"), (F.col("sd") * F.sqrt(df / hi)).alias("sd_ci95_hi"), "g_crit",
+        (F.col("sd") * F.sqrt(df / lo)).alias("sd_ci95_lo"), (F.col("sd") * F.sqrt(df / hi)).alias("sd_ci95_hi"), crit.alias("g_crit"),
     )
 
 
 def grubbs(rows: DataFrame, keys: list[str], value: str, label: str, most: int = 60) -> DataFrame:
-    """Largest deviation in units of sd, its critical value (to ``most`` values), the label of the outlier (first among equals) and the flag."""
+    """Largest deviation in units of sd, its critical value (exact to ``most`` values, then an expansion), the label of the outlier (first among equals) and the flag."""
     by = Window.partitionBy(*keys)
     v = rows.where(F.col(value).isNotNull()).withColumn("dev", F.abs(F.col(value) - F.avg(value).over(by)))
     s = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"), F.max("dev").alias("dev"), F.min_by(label, F.struct(-F.col("dev"), F.col(label))).alias("outlier"))
     s = s.where("n >= 3").join(F.broadcast(quantiles(rows.sparkSession, most).select("n", "g_crit")), "n", "left")
     g = F.when(F.col("sd") > 0, F.col("dev") / F.col("sd")).otherwise(0.0)
     spread = F.col("sd") > 0
-    return s.select(*keys, "n", g.alias("g"), F.when(spread, F.col("g_crit")).alias("g_crit"), F.when(spread, F.col("outlier")).alias("outlier"), F.coalesce(spread & (g > F.col("g_crit")), F.lit(False)).alias("flagged"))
+    crit = F.coalesce("g_crit", F.when(F.col("n") > most, grubbs_limit(F.col("n").cast("double"))))
+    return s.select(*keys, "n", g.alias("g"), F.when(spread, crit).alias("g_crit"), F.when(spread, F.col("outlier")).alias("outlier"), F.coalesce(spread & (g > crit), F.lit(False)).alias("flagged"))
 
 
 def bias(runs: DataFrame, keys: list[str], ref: str = "ref", other: str = "mobile") -> DataFrame:

@@ -110,6 +110,18 @@ def test_describe_and_grubbs(spark):
     assert g["c"].g == 0 and not g["c"].flagged and g["c"].outlier is None
 
 
+def test_grubbs_of_large_groups(spark):
+    groups = spark.createDataFrame([(61,), (1000,), (20_000,)], "k long")
+    rows = groups.select("k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("rep")).withColumn("v", F.when(F.col("rep") == 7, 50.0).otherwise(F.col("rep") % 2))
+    got = {r.k: r for r in stats.grubbs(rows, ["k"], "v", "rep", most=3).collect()}
+    assert all(r.flagged and r.outlier == 7 for r in got.values())
+    for n in (61, 1000):
+        t = t_quantile(1 - 0.025 / n, n - 2)
+        assert got[n].g_crit == pytest.approx((n - 1) / math.sqrt(n) * math.sqrt(t * t / (n - 2 + t * t)), abs=1e-6)
+    assert not any(r.flagged for r in stats.grubbs(rows.where("rep <> 7"), ["k"], "v", "rep", most=3).collect())
+    assert {r.k: r.g_crit for r in stats.describe(rows, ["k"], "v", most=3).collect()} == {k: r.g_crit for k, r in got.items()}
+
+
 def test_penalised_objective(spark):
     reps = spark.createDataFrame([(1, 1, 0.5, False, "")] + [(1, k, None, True, "timeout" if k < 4 else "") for k in range(2, 6)] + [(2, k, 5.0, False, "") for k in range(5)], "trial_id long, rep int, error_m double, failed boolean, failure_reason string")
     m = {r.trial_id: r for r in sweep.trial_metrics(reps).collect()}
