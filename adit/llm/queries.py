@@ -35,9 +35,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each candidate: doc_id, word_index, secret, score and predicted (score of 0.5 or more)."""
-    featured = written(secrets.with_features(secrets.candidates(table(spark, sf_dir, "documents"))), "findings")
-    found = secrets.scored(featured, secrets.train(secrets.rule_labels(featured)))
+    """A row for each candidate: doc_id, word_index, secret, score and predicted (score of 0.5 or more). The source stands for the path."""
+    docs = table(spark, sf_dir, "documents")
+    spoken = secrets.language(docs)
+    forest = secrets.train(secrets.with_features(secrets.labelled_candidates(secrets.labelled_findings(spark)), *spoken))
+    found = secrets.scored(secrets.with_features(secrets.candidates(docs, path_col="source"), *spoken), forest)
     return found.select(F.col("id").alias("doc_id"), F.col("at").alias("word_index"), F.col("candidate").alias("secret"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

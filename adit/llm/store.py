@@ -1,9 +1,11 @@
-"""Shared-folder tables that cut lineage between the steps of a job."""
+"""Shared-folder tables that cut lineage between the steps of a job, and joins that stand hot keys."""
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +49,60 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a key filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+#: Rows of one key that may meet in a task, and the least number of such keys that may be told apart.
+HOT_ROWS, HOT_KEYS = 1024, 20_000
+
+
+class KeyFilter:
+    """A bitmap of hashed keys: rows that surely have none of them need no join.
+
+    The table of bits has a fixed size, so it is broadcast at every size of the
+    input. With very many keys all bits are set and every row goes on to the join.
+    """
+
+    def __init__(self, keys: DataFrame, *names: str):
+        h = self._slot([F.col(c) for c in names])
+        rows = keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+        self.bits = written(rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")), "filter")
+
+    @staticmethod
+    def _slot(key: list[Column]) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+
+    def marked(self, rows: DataFrame, name: str, *key: Column) -> DataFrame:
+        """The rows with a boolean column: false where the key is surely not among the keys."""
+        bucket, bits = unused(rows, "kf_bucket"), unused(rows, "kf_bits")
+        slot = self._slot(list(key))
+        place = F.bitmap_bit_position(slot)
+        at = rows.join(F.broadcast(self.bits.toDF(bucket, bits)), F.bitmap_bucket_number(slot) == F.col(bucket), "left")
+        byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return at.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, bits)
+
+
+def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """The join of ``many`` with ``one`` (of few rows a key), where a key of ``many`` may be hot.
+
+    ``counts``: rows of ``many``, or more, as keys, if not ``many`` itself is to be counted.
+    A key of more than HOT_ROWS rows is dealt to several tasks, to each of which
+    the rows of ``one`` are sent. Keys are told apart from so many rows on that
+    at most HOT_KEYS of them can exist, so that their table can be broadcast.
+    """
+    n, parts, salt = (unused(many, unused(one, c)) for c in ("hot_rows", "hot_parts", "hot_salt"))
+    sized = (many if counts is None else counts).groupBy(*on).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > HOT_ROWS)
+    total = sized.agg(F.sum(n)).first()[0]
+    if not total:
+        return many.join(one, on, how)
+    sized = written(sized, "hot")
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(sized.where(F.col(n) > least).select(*on, F.ceil(F.col(n) / least).cast("int").alias(parts)))
+    # dealt by what a row holds and by its task: the same when a task is repeated, and equal rows of several tasks part
+    plain = [F.col(f"`{f.name}`") for f in many.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType)]
+    deal = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.col(parts)).cast("int")
+    dealt = many.join(hot, on, "left").withColumn(salt, F.when(F.col(parts).isNotNull(), deal).otherwise(0)).drop(parts)
+    sent = one.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return dealt.join(sent, [*on, salt], how).drop(salt)
