@@ -1,21 +1,48 @@
-"""Student-t and chi-squared quantiles from incomplete beta and gamma functions, as a small table for joins."""
+"""Student-t and chi-squared quantiles for samples of any size, as columns.
+
+The quantiles have no closed form, so they come from a Pandas UDF over the rows
+of a grouped table, one small computation for each distinct sample size.
+"""
 
 import math
+from functools import lru_cache
+from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Above so many degrees of freedom the expansions about the normal quantile are exact to double precision.
+NORMAL_FROM = 1_000_000
+_KIND = "t double, chi_lo double, chi_hi double, g_crit double"
+
+
+def _fraction(terms, least: float = 1e-300) -> float:
+    """The continued fraction 1 + a1 / (1 + a2 / (1 + ...)), by Lentz's forward evaluation."""
+    value, c, d = 1.0, 1.0, 0.0
+    for a in terms:
+        d = 1.0 / (1.0 + a * d or least)
+        c = 1.0 + a / c or least
+        value *= c * d
+        if abs(c * d - 1.0) < 1e-16:
+            break
+    return value
+
 
 def _beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function, by Simpson's rule on a smooth substitution."""
+    """Regularised incomplete beta function."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
-    # with u = sin^2(v) the integrand is smooth for a, b >= 1/2
-    top, n = math.asin(math.sqrt(x)), 2000
-    f = lambda v: 2 * math.sin(v) ** (2 * a - 1) * math.cos(v) ** (2 * b - 1) if 0 < v < math.pi / 2 else (2.0 if v == 0 and a == 0.5 else 0.0)
-    h = top / n
-    area = h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(k * h) for k in range(n + 1))
-    return area * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_cdf(1 - x, b, a)
+
+    def terms():
+        for m in range(100_000):
+            yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            yield (m + 1) * (b - m - 1) * x / ((a + 2 * m + 1) * (a + 2 * m + 2))
+
+    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return math.exp(front) / a / _fraction(terms())
 
 
 def _gamma_cdf(x: float, a: float) -> float:
@@ -24,7 +51,7 @@ def _gamma_cdf(x: float, a: float) -> float:
         return 0.0
     term = total = 1.0 / a
     k = a
-    while term > total * 1e-16:
+    while term > total * 1e-17:
         k += 1
         term *= x / k
         total += term
@@ -32,46 +59,51 @@ def _gamma_cdf(x: float, a: float) -> float:
 
 
 def _solve(f, p: float, low: float, high: float) -> float:
-    for _ in range(200):
+    """The root of the increasing f(x) = p, by bisection to the last digit."""
+    while True:
         mid = (low + high) / 2
+        if mid in (low, high):
+            return mid
         low, high = (mid, high) if f(mid) < p else (low, mid)
-    return (low + high) / 2
 
 
+@lru_cache(maxsize=10_000)
 def t_quantile(p: float, df: int) -> float:
-    """Quantile of Student's t for p >= 1/2: P(T <= t) = 1 - I(df / (df + t^2); df/2, 1/2) / 2."""
-    upper = lambda t: 0.5 + 0.5 * _beta_cdf(t * t / (df + t * t), 0.5, df / 2)
-    return _solve(upper, p, 0.0, 1e4)
+    """Quantile of Student's t for p >= 1/2: P(T > t) = I(df / (df + t^2); df/2, 1/2) / 2."""
+    if df > NORMAL_FROM:  # Hill's expansion
+        z = NormalDist().inv_cdf(p)
+        return z * (1 + (z**2 + 1) / (4 * df) + (5 * z**4 + 16 * z**2 + 3) / (96 * df**2))
+    return _solve(lambda t: -0.5 * _beta_cdf(df / (df + t * t), df / 2, 0.5), p - 1, 0.0, 1e6)
 
 
+@lru_cache(maxsize=10_000)
 def chi2_quantile(p: float, df: int) -> float:
+    if df > NORMAL_FROM:  # Cornish and Fisher
+        z = NormalDist().inv_cdf(p)
+        return df + z * math.sqrt(2 * df) + 2 / 3 * (z**2 - 1) + (z**3 - 7 * z) / (9 * math.sqrt(2 * df))
     return _solve(lambda x: _gamma_cdf(x / 2, df / 2), p, 0.0, 20.0 * df + 100)
 
 
-def quantile_rows(most: int = 60, alpha: float = 0.05) -> list[tuple]:
-    """(n, t, chi_lo, chi_hi, g_crit) for samples of n = 2 .. most; g_crit is Grubbs' critical value, from n = 3."""
-    rows = []
-    for n in range(2, most + 1):
-        crit = None
-        if n >= 3:
-            t = t_quantile(1 - alpha / (2 * n), n - 2)
-            crit = (n - 1) / math.sqrt(n) * math.sqrt(t * t / (n - 2 + t * t))
-        rows.append((n, t_quantile(1 - alpha / 2, n - 1), chi2_quantile(1 - alpha / 2, n - 1), chi2_quantile(alpha / 2, n - 1), crit))
-    return rows
-
-
-def quantiles(spark: SparkSession, most: int = 60, alpha: float = 0.05) -> DataFrame:
-    return spark.createDataFrame(quantile_rows(most, alpha), "n long, t double, chi_lo double, chi_hi double, g_crit double")
-
-
-def grubbs_limit(n: Column, alpha: float = 0.05) -> Column:
-    """Grubbs' critical value of samples of more than 60: Wichura's normal quantile (AS 241) in Hill's expansion of t, to about 1e-7."""
-    poly = lambda x, c: F.lit(c[0]) if len(c) == 1 else F.lit(c[0]) + x * poly(x, c[1:])
-    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  # keeps the expression small
-    up = lambda r: poly(r, [1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4])
-    down = lambda r: poly(r, [1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9])
-    df = n - 2
-    z2 = once(F.sqrt(-F.ln(F.lit(alpha / 2) / n)) - 1.6, lambda r: F.pow(up(r) / down(r), F.lit(2.0)))
-    hill = lambda s: F.sqrt(s) * (1 + poly(s, [1.0, 1.0]) / (4 * df) + poly(s, [3.0, 16.0, 5.0]) / (96 * df**2) + poly(s, [-15.0, 17.0, 19.0, 3.0]) / (384 * df**3) + poly(s, [-945.0, -1920.0, 1482.0, 776.0, 79.0]) / (92160 * df**4))
-    t2 = once(z2, lambda s: F.pow(hill(s), F.lit(2.0)))
-    return once(t2, lambda q: (n - 1) / F.sqrt(n) * F.sqrt(q / (df + q)))
+@lru_cache(maxsize=10_000)
+def quantile_row(n: int, alpha: float = 0.05) -> tuple[float | None, ...]:
+    """(t, chi_lo, chi_hi, g_crit) of a sample of n: two-sided quantiles of n - 1 degrees of freedom, from two values on, and
+    Grubbs' critical value, from three."""
+    if n < 2:
+        return (None,) * 4
+    crit = None
+    if n >= 3:
+        t = t_quantile(1 - alpha / (2 * n), n - 2)
+        crit = (n - 1) / math.sqrt(n) * math.sqrt(t * t / (n - 2 + t * t))
+    return t_quantile(1 - alpha / 2, n - 1), chi2_quantile(1 - alpha / 2, n - 1), chi2_quantile(alpha / 2, n - 1), crit
+
+
+def with_quantiles(rows: DataFrame, n: str = "n", alpha: float = 0.05) -> DataFrame:
+    """The rows with t, chi_lo, chi_hi and g_crit for their sample sizes."""
+
+    @F.pandas_udf(_KIND)
+    def of(size: pd.Series) -> pd.DataFrame:
+        known = {int(k): quantile_row(int(k), alpha) for k in size.dropna().unique()}
+        return pd.DataFrame([known.get(k, (None,) * 4) for k in size], columns=["t", "chi_lo", "chi_hi", "g_crit"], dtype=float)
+
+    q: Column = of(F.col(n).cast("long"))
+    return rows.withColumn("quantiles", q).select(*rows.columns, "quantiles.*")

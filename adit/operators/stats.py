@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.quantiles import grubbs_limit, quantiles
+from adit.functions.quantiles import with_quantiles
 
 
 def newest(runs: DataFrame, keys: tuple[str, ...] = ("dataset", "rep", "cloud_id")) -> DataFrame:
@@ -36,38 +36,37 @@ def require_comparable(problems: DataFrame, strict: bool) -> list[str]:
     return said
 
 
-def describe(rows: DataFrame, keys: list[str], value: str, most: int = 60) -> DataFrame:
-    """n, mean, range, spread, 95 % intervals of mean and deviation, and Grubbs' test, for each key.
+def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, range, spread, 95 % intervals of mean and deviation, and Grubbs' critical value, for each key.
 
-    Intervals need two values, Grubbs' test three; samples beyond ``most`` use
-    the normal limits of the quantiles, so that no group is left out.
+    Intervals need two values, Grubbs' test three; the quantiles are exact for every n.
     """
     v = F.col(value)
     s = rows.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_samp(v).alias("sd"))
-    s = s.join(F.broadcast(quantiles(rows.sparkSession, most)), "n", "left")  # at most ``most`` rows
-    df = F.col("n") - 1
-    wilson = lambda z: df * F.pow(1 - 2 / (9 * df) + F.lit(z) * F.sqrt(2 / (9 * df)), F.lit(3))
-    t = F.coalesce("t", F.when(F.col("n") > most, F.lit(1.959963984540054)))
-    lo, hi = F.coalesce("chi_lo", F.when(F.col("n") > most, wilson(1.959963984540054))), F.coalesce("chi_hi", F.when(F.col("n") > most, wilson(-1.959963984540054)))
-    crit = F.coalesce("g_crit", F.when(F.col("n") > most, grubbs_limit(F.col("n").cast("double"))))
-    sem = F.col("sd") / F.sqrt("n")
+    s = with_quantiles(s)
+    df, sem = F.col("n") - 1, F.col("sd") / F.sqrt("n")
     return s.select(
         *keys, "n", "mean", "min", "max", "sd", (F.col("sd") / F.nullif("mean", F.lit(0.0)) * 100).alias("cv_pct"), sem.alias("sem"),
-        (F.col("mean") - t * sem).alias("ci95_lo"), (F.col("mean") + t * sem).alias("ci95_hi"), F.when(F.col("n") > 1, F.col("max") - F.col("min")).alias("range"),
-        (F.col("sd") * F.sqrt(df / lo)).alias("sd_ci95_lo"), (F.col("sd") * F.sqrt(df / hi)).alias("sd_ci95_hi"), crit.alias("g_crit"),
+        (F.col("mean") - F.col("t") * sem).alias("ci95_lo"), (F.col("mean") + F.col("t") * sem).alias("ci95_hi"), F.when(F.col("n") > 1, F.col("max") - F.col("min")).alias("range"),
+        (F.col("sd") * F.sqrt(df / F.col("chi_lo"))).alias("sd_ci95_lo"), (F.col("sd") * F.sqrt(df / F.col("chi_hi"))).alias("sd_ci95_hi"), "g_crit",
     )
 
 
-def grubbs(rows: DataFrame, keys: list[str], value: str, label: str, most: int = 60) -> DataFrame:
-    """Largest deviation in units of sd, its critical value (exact to ``most`` values, then an expansion), the label of the outlier (first among equals) and the flag."""
-    by = Window.partitionBy(*keys)
-    v = rows.where(F.col(value).isNotNull()).withColumn("dev", F.abs(F.col(value) - F.avg(value).over(by)))
-    s = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"), F.max("dev").alias("dev"), F.min_by(label, F.struct(-F.col("dev"), F.col(label))).alias("outlier"))
-    s = s.where("n >= 3").join(F.broadcast(quantiles(rows.sparkSession, most).select("n", "g_crit")), "n", "left")
-    g = F.when(F.col("sd") > 0, F.col("dev") / F.col("sd")).otherwise(0.0)
+def grubbs(rows: DataFrame, keys: list[str], value: str, label: str) -> DataFrame:
+    """Largest deviation in units of sd, its critical value, the label of the outlier (first among equals) and the flag.
+
+    The mean of each key is joined back, so that a key of any size stays in several tasks.
+    """
+    v = rows.where(F.col(value).isNotNull())
+    s = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi")).where("n >= 3")
+    # the farthest values are the ends of the range: the smaller label of those at either end that is as far
+    ends = v.groupBy(*keys).agg(F.min(F.struct(F.col(value), F.col(label).alias("label"))).alias("low"), F.min(F.struct((-F.col(value)).alias("v"), F.col(label).alias("label"))).alias("high"))
+    s = with_quantiles(s).join(ends, keys)
+    down, up = F.col("mean") - F.col("lo"), F.col("hi") - F.col("mean")
+    outlier = F.when(down > up, F.col("low.label")).when(up > down, F.col("high.label")).otherwise(F.least("low.label", "high.label"))
     spread = F.col("sd") > 0
-    crit = F.coalesce("g_crit", F.when(F.col("n") > most, grubbs_limit(F.col("n").cast("double"))))
-    return s.select(*keys, "n", g.alias("g"), F.when(spread, crit).alias("g_crit"), F.when(spread, F.col("outlier")).alias("outlier"), F.coalesce(spread & (g > crit), F.lit(False)).alias("flagged"))
+    g = F.when(spread, F.greatest(down, up) / F.col("sd")).otherwise(0.0)
+    return s.select(*keys, "n", g.alias("g"), F.when(spread, F.col("g_crit")).alias("g_crit"), F.when(spread, outlier).alias("outlier"), F.coalesce(spread & (g > F.col("g_crit")), F.lit(False)).alias("flagged"))
 
 
 def bias(runs: DataFrame, keys: list[str], ref: str = "ref", other: str = "mobile") -> DataFrame:

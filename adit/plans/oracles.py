@@ -62,17 +62,24 @@ _ENDS = "min_by(area, s) * greatest(0, min(s)) + max_by(area, s) * greatest(0, 1
 _RUNS = "first_runs AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY dataset, rep, cloud_id, method ORDER BY stamp DESC, run_no DESC, volume DESC) = 1)"
 _STEP = "sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2))"
 _TW = "WINDOW w AS (PARTITION BY run_id ORDER BY seq)"
-_PD = """pd AS (SELECT a.idx AS i, b.idx AS j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d_ref, sqrt(pow(c.x-d.x,2)+pow(c.y-d.y,2)+pow(c.z-d.z,2)) AS d_oth
-      FROM targets a JOIN targets b ON a.idx < b.idx AND a.cloud_id='ref' AND b.cloud_id='ref' JOIN targets c ON c.idx=a.idx AND c.cloud_id='mobile' JOIN targets d ON d.idx=b.idx AND d.cloud_id='mobile')"""
-_K = "sum(d_ref*d_oth)/sum(d_ref*d_ref)"
-_RMS = f"sqrt(greatest(sum(d_oth*d_oth) - {_K}*sum(d_ref*d_oth), 0)/count(*))"
-_LOO = f"{duckdb_with('targets')}, {_PD}, lo AS (SELECT t.idx AS dropped, count(*) AS n, {_K} AS k, sqrt(greatest(sum(d_oth*d_oth) - {_K}*sum(d_ref*d_oth), 0)/greatest(count(*)-1,1)/sum(d_ref*d_ref)) AS sigma_k, {_RMS} AS resid_rms FROM (SELECT DISTINCT idx FROM targets) t JOIN pd ON t.idx<>i AND t.idx<>j GROUP BY t.idx)"
-_CONS = f"""{_LOO}, ba AS (SELECT {_RMS} AS base FROM pd), fl0 AS (SELECT dropped AS idx, resid_rms AS loo_rms, base/resid_rms AS improve, base/resid_rms > 2 AS flagged FROM lo CROSS JOIN ba),
-      fl AS (SELECT *, NOT flagged OR bool_and(flagged) OVER () AS clean FROM fl0), kk AS (SELECT {_K} AS k FROM pd JOIN fl x ON x.idx=i AND x.clean JOIN fl y ON y.idx=j AND y.clean),
-      sd AS (SELECT i AS idx, j AS p, d_ref, d_oth FROM pd UNION ALL SELECT j, i, d_ref, d_oth FROM pd),
-      rs AS (SELECT sd.idx, avg(d_oth - k*d_ref) AS mean_resid FROM sd JOIN fl ON fl.idx=sd.p AND fl.clean CROSS JOIN kk GROUP BY sd.idx),
-      co AS (SELECT fl.idx, loo_rms, improve, flagged, coalesce(mean_resid, 0) AS mean_resid FROM fl LEFT JOIN rs USING (idx))"""
-_CHAIN = "ch AS (SELECT cloud_id, idx, sqrt(pow(x-first_value(x) OVER w,2)+pow(y-first_value(y) OVER w,2)+pow(z-first_value(z) OVER w,2)) AS from_first, sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)+pow(z-lag(z) OVER w,2)) AS segment FROM targets WINDOW w AS (PARTITION BY cloud_id ORDER BY idx))"
+_PD = """pd AS MATERIALIZED (SELECT a.net, a.idx AS i, b.idx AS j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS d_ref, sqrt(pow(c.x-d.x,2)+pow(c.y-d.y,2)+pow(c.z-d.z,2)) AS d_oth
+      FROM targets a JOIN targets b ON a.net=b.net AND a.idx < b.idx AND a.cloud_id='ref' AND b.cloud_id='ref' JOIN targets c ON c.net=a.net AND c.idx=a.idx AND c.cloud_id='mobile' JOIN targets d ON d.net=b.net AND d.idx=b.idx AND d.cloud_id='mobile')"""
+
+
+def _scale(keys: str, src: str) -> str:
+    """The through-origin fit of src's pairs by keys, its residuals in a second pass."""
+    k = f"SELECT *, sum(d_ref*d_oth) OVER (PARTITION BY {keys})/sum(d_ref*d_ref) OVER (PARTITION BY {keys}) AS kk FROM ({src})"
+    return f"SELECT {keys}, count(*) AS n, any_value(kk) AS k, sqrt(sum(pow(d_oth-kk*d_ref,2))/greatest(count(*)-1,1)/sum(d_ref*d_ref)) AS sigma_k, sqrt(sum(pow(d_oth-kk*d_ref,2))/count(*)) AS resid_rms, avg(d_ref) AS len_ref, avg(d_oth) AS len_oth FROM ({k}) GROUP BY {keys}"
+
+
+_LOO = f"{duckdb_with('targets')}, {_PD}, lo AS MATERIALIZED ({_scale('net, dropped', 'SELECT t.net, t.idx AS dropped, d_ref, d_oth FROM (SELECT DISTINCT net, idx FROM targets) t JOIN pd ON pd.net=t.net AND t.idx<>i AND t.idx<>j')})"
+_CONS = f"""{_LOO}, ba AS ({_scale('net', 'SELECT * FROM pd')}), fl0 AS (SELECT lo.net, dropped AS idx, lo.resid_rms AS loo_rms, ba.resid_rms/lo.resid_rms AS improve, ba.resid_rms/lo.resid_rms > 2 AS flagged FROM lo JOIN ba ON ba.net=lo.net),
+      fl AS MATERIALIZED (SELECT *, NOT flagged OR bool_and(flagged) OVER (PARTITION BY net) AS clean FROM fl0),
+      kk AS ({_scale('net', 'SELECT pd.* FROM pd JOIN fl x ON x.net=pd.net AND x.idx=i AND x.clean JOIN fl y ON y.net=pd.net AND y.idx=j AND y.clean')}),
+      sd AS (SELECT net, i AS idx, j AS p, d_ref, d_oth FROM pd UNION ALL SELECT net, j, i, d_ref, d_oth FROM pd),
+      rs AS (SELECT sd.net, sd.idx, avg(d_oth - k*d_ref) AS mean_resid FROM sd JOIN fl ON fl.net=sd.net AND fl.idx=sd.p AND fl.clean JOIN kk ON kk.net=sd.net GROUP BY ALL),
+      co AS (SELECT fl.net, fl.idx, loo_rms, improve, flagged, coalesce(mean_resid, 0) AS mean_resid FROM fl LEFT JOIN rs ON rs.net=fl.net AND rs.idx=fl.idx)"""
+_CHAIN = "ch AS (SELECT net, cloud_id, idx, sqrt(pow(x-first_value(x) OVER w,2)+pow(y-first_value(y) OVER w,2)+pow(z-first_value(z) OVER w,2)) AS from_first, sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)+pow(z-lag(z) OVER w,2)) AS segment FROM targets WINDOW w AS (PARTITION BY net, cloud_id ORDER BY idx))"
 _XYZ = "xyz AS MATERIALIZED (SELECT cloud_id, pid, r*cos(radians(theta)) AS x, r*sin(radians(theta)) AS y, s AS z FROM cloud)"
 _VOX = "v AS MATERIALIZED (SELECT DISTINCT cloud_id, CAST(floor(x/0.5e0) AS BIGINT) AS ix, CAST(floor(y/0.5e0) AS BIGINT) AS iy, CAST(floor(z/0.5e0) AS BIGINT) AS iz FROM xyz)"
 
@@ -81,8 +88,19 @@ def _r(*columns: str, nd: int = 6) -> str:
     return ", ".join(f"round({c}, {nd}) AS {c}" for c in columns)
 
 
-def _desc(keys: str, src: str) -> str:
-    return f"SELECT {keys}, count(*) AS n, round(avg(volume), 6) AS mean, round(min(volume), 6) AS min, round(max(volume), 6) AS max, round(stddev_samp(volume), 6) AS sd, round(stddev_samp(volume)/avg(volume)*100, 6) AS cv_pct, round(stddev_samp(volume)/sqrt(count(*)), 6) AS sem, CASE WHEN count(*) > 1 THEN round(max(volume)-min(volume), 6) END AS range FROM {src} GROUP BY {keys}"
+#: Student t (0.975) and chi-squared (0.975, 0.025) quantiles of n - 1 degrees of freedom, and Grubbs' critical values (0.05, two-sided).
+_QUANTILES = """q(n, t, chi_lo, chi_hi, g_crit) AS (VALUES
+    (2, 12.706204736175e0, 5.023886187315e0, 0.000982069117e0, NULL),
+    (3, 4.302652729749e0, 7.377758908228e0, 0.050635615969e0, 1.154304851344e0),
+    (4, 3.182446305284e0, 9.348403604496e0, 0.215795282624e0, 1.481250000000e0),
+    (5, 2.776445105198e0, 11.143286781878e0, 0.484418557088e0, 1.715037312343e0),
+    (6, 2.570581835636e0, 12.832501994030e0, 0.831211613487e0, 1.887145117784e0),
+    (7, 2.446911851145e0, 14.449375335448e0, 1.237344245791e0, 2.019968507680e0),
+    (8, 2.364624251593e0, 16.012764274629e0, 1.689869180677e0, 2.126645087195e0),
+    (9, 2.306004135204e0, 17.534546139485e0, 2.179730747253e0, 2.215004223326e0),
+    (10, 2.262157162798e0, 19.022767798642e0, 2.700389499980e0, 2.289954084480e0),
+    (11, 2.228138851986e0, 20.483177350807e0, 3.246972780237e0, 2.354730051566e0),
+    (12, 2.200985160092e0, 21.920049261021e0, 3.815748252236e0, 2.411559518432e0))"""
 
 
 ORACLES = {
@@ -178,9 +196,12 @@ ORACLES = {
         SELECT trial_id, name, parent IS NULL OR parent_value = t AS active, CASE WHEN parent IS NULL THEN t WHEN parent_value = t THEN CASE name WHEN 'size' THEN z ELSE pr END END AS value FROM p CROSS JOIN s""",
     "newest_runs": f"WITH {duckdb_with('runs')} SELECT dataset, rep, cloud_id, stamp, run_no, round(volume,6) AS volume FROM runs QUALIFY row_number() OVER (PARTITION BY dataset, rep, cloud_id ORDER BY stamp DESC, run_no DESC, volume DESC) = 1",
     "comparability_guard": f"WITH {duckdb_with('runs')}, l AS (SELECT dataset, 'method' AS key, method AS v FROM runs UNION ALL SELECT dataset, 'cloud_id', cloud_id FROM runs UNION ALL SELECT dataset, 'dataset', dataset FROM runs) SELECT dataset, key, count(DISTINCT v) AS n_values FROM l GROUP BY ALL HAVING count(DISTINCT v) > 1",
-    "repeatability": f"WITH {duckdb_with('runs')}, {_RUNS} {_desc('dataset, cloud_id, method', 'first_runs')}",
-    "grubbs": f"""WITH {duckdb_with('runs')}, {_RUNS}, d AS (SELECT *, abs(volume - avg(volume) OVER w) AS dev FROM first_runs WINDOW w AS (PARTITION BY dataset, cloud_id, method))
-        SELECT dataset, cloud_id, method, count(*) AS n, round(CASE WHEN stddev_samp(volume) > 0 THEN max(dev)/stddev_samp(volume) ELSE 0 END, 6) AS g, arg_max(rep, dev) AS outlier FROM d GROUP BY ALL HAVING count(*) >= 3""",
+    "repeatability": f"""WITH {duckdb_with('runs')}, {_RUNS}, {_QUANTILES}, d AS (SELECT dataset, cloud_id, method, count(*) AS n, avg(volume) AS mean, min(volume) AS min, max(volume) AS max, stddev_samp(volume) AS sd FROM first_runs GROUP BY ALL)
+        SELECT dataset, cloud_id, method, d.n, {_r('mean', 'min', 'max', 'sd')}, round(sd/mean*100, 6) AS cv_pct, round(sd/sqrt(d.n), 6) AS sem, round(mean-t*sd/sqrt(d.n), 6) AS ci95_lo, round(mean+t*sd/sqrt(d.n), 6) AS ci95_hi,
+               CASE WHEN d.n > 1 THEN round(max-min, 6) END AS range, round(sd*sqrt((d.n-1)/chi_lo), 6) AS sd_ci95_lo, round(sd*sqrt((d.n-1)/chi_hi), 6) AS sd_ci95_hi, round(g_crit, 6) AS g_crit FROM d LEFT JOIN q ON q.n = d.n""",
+    "grubbs": f"""WITH {duckdb_with('runs')}, {_RUNS}, {_QUANTILES}, d AS (SELECT *, abs(volume - avg(volume) OVER w) AS dev FROM first_runs WINDOW w AS (PARTITION BY dataset, cloud_id, method)),
+        g AS (SELECT dataset, cloud_id, method, count(*) AS n, CASE WHEN stddev_samp(volume) > 0 THEN max(dev)/stddev_samp(volume) ELSE 0 END AS g, arg_max(rep, dev) AS outlier FROM d GROUP BY ALL HAVING count(*) >= 3)
+        SELECT dataset, cloud_id, method, g.n, round(g, 6) AS g, round(g_crit, 6) AS g_crit, outlier, g > g_crit AS flagged FROM g JOIN q ON q.n = g.n""",
     "bias": f"""WITH {duckdb_with('runs')}, {_RUNS}, b AS (SELECT dataset, method, avg(volume) FILTER (cloud_id='ref') AS reference, count(*) FILTER (cloud_id='ref') AS n_ref, count(*) FILTER (cloud_id='mobile') AS n, avg(volume) FILTER (cloud_id='mobile') AS m, stddev_samp(volume) FILTER (cloud_id='mobile') AS sd_delta FROM first_runs GROUP BY ALL)
         SELECT dataset, method, round(reference,6) AS reference, n_ref, n, round(m-reference,6) AS mean_delta, round((m-reference)/reference*100,6) AS mean_delta_pct, round(sd_delta,6) AS sd_delta FROM b""",
     "paired_bias": f"""WITH {duckdb_with('runs')}, {_RUNS}, p AS (SELECT dataset, rep, method, max(volume) FILTER (cloud_id='ref') AS a, max(volume) FILTER (cloud_id='mobile') AS b FROM first_runs GROUP BY ALL)
@@ -189,17 +210,18 @@ ORACLES = {
     "aux_stability": "SELECT l_returnflag AS dataset, metric, count(*) AS n, round(avg(value),6) AS mean, round(min(value),6) AS min, round(max(value),6) AS max, round(stddev_samp(value),6) AS sd FROM (UNPIVOT (SELECT l_returnflag, l_discount, l_tax, l_quantity FROM lineitem) ON l_discount, l_tax, l_quantity INTO NAME metric VALUE value) GROUP BY ALL",
     "has_reference": f"WITH {duckdb_with('runs')} SELECT dataset, rep, bool_or(cloud_id='ref') AS has_reference FROM runs GROUP BY ALL",
     "run_index": f"WITH {duckdb_with('runs')}, {_RUNS} SELECT dataset, rep, cloud_id, coalesce(printf('%.5f', max(volume) FILTER (method='profiles')),'') AS profiles, coalesce(printf('%.5f', max(volume) FILTER (method='surface_mesh')),'') AS surface_mesh, coalesce(printf('%.5f', max(volume) FILTER (method='hull_bound')),'') AS hull_bound FROM first_runs GROUP BY ALL",
-    "pair_distances": f"WITH {duckdb_with('targets')}, {_PD} SELECT i, j, {_r('d_ref', 'd_oth')} FROM pd",
-    "scale_k": f"WITH {duckdb_with('targets')}, {_PD} SELECT count(*) AS n, round({_K},6) AS k, round(sqrt(greatest(sum(d_oth*d_oth)-{_K}*sum(d_ref*d_oth),0)/greatest(count(*)-1,1)/sum(d_ref*d_ref)),6) AS sigma_k, round({_RMS},6) AS resid_rms FROM pd",
-    "leave_one_out": f"WITH {_LOO} SELECT dropped, n, {_r('k', 'sigma_k', 'resid_rms')} FROM lo",
-    "target_consistency": f"WITH {_CONS} SELECT idx, {_r('loo_rms', 'improve', 'mean_resid')}, flagged FROM co",
-    "segment_lengths": f"WITH {duckdb_with('targets')}, {_CHAIN} SELECT cloud_id, idx, {_r('from_first', 'segment')} FROM ch",
-    "uniform_scale_fit": f"""WITH {_CONS}, {_CHAIN}, w AS (SELECT a.idx, a.from_first AS r, b.from_first AS m, (b.from_first-a.from_first)*1000 AS d, flagged FROM ch a JOIN ch b ON a.idx=b.idx AND a.cloud_id='ref' AND b.cloud_id='mobile' JOIN co ON co.idx=a.idx),
-        f AS (SELECT CASE WHEN count(*) FILTER (NOT flagged) < 2 THEN regr_slope(d,r) ELSE regr_slope(d,r) FILTER (NOT flagged) END AS sl, CASE WHEN count(*) FILTER (NOT flagged) < 2 THEN regr_intercept(d,r) ELSE regr_intercept(d,r) FILTER (NOT flagged) END AS ic, arg_max(m,idx)/arg_max(r,idx) AS ke, arg_max(flagged,idx) OR arg_min(flagged,idx) AS ef FROM w)
-        SELECT round(1+sl/1000,6) AS k_fit, round(ic,4) AS intercept_mm, round(ke,6) AS k_end, CASE WHEN abs(sl/1000-(ke-1)) < 5e-4 THEN 'uniform' WHEN ef THEN 'end target flagged' ELSE 'not uniform' END AS verdict FROM f""",
+    "pair_distances": f"WITH {duckdb_with('targets')}, {_PD} SELECT net, i, j, {_r('d_ref', 'd_oth')} FROM pd",
+    "scale_k": f"WITH {duckdb_with('targets')}, {_PD} SELECT net, n, {_r('k', 'sigma_k', 'resid_rms', 'len_ref', 'len_oth')} FROM ({_scale('net', 'SELECT * FROM pd')})",
+    "leave_one_out": f"WITH {_LOO} SELECT net, dropped, n, {_r('k', 'sigma_k', 'resid_rms', 'len_ref', 'len_oth')} FROM lo",
+    "target_consistency": f"WITH {_CONS} SELECT net, idx, {_r('loo_rms', 'improve', 'mean_resid')}, flagged FROM co",
+    "segment_lengths": f"WITH {duckdb_with('targets')}, {_CHAIN} SELECT net, cloud_id, idx, {_r('from_first', 'segment')} FROM ch",
+    "uniform_scale_fit": f"""WITH {_CONS}, {_CHAIN}, w AS (SELECT a.net, a.idx, a.from_first AS r, b.from_first AS m, (b.from_first-a.from_first)*1000 AS d, flagged FROM ch a JOIN ch b ON a.net=b.net AND a.idx=b.idx AND a.cloud_id='ref' AND b.cloud_id='mobile' JOIN co ON co.net=a.net AND co.idx=a.idx),
+        f AS (SELECT net, CASE WHEN count(*) FILTER (NOT flagged) < 2 THEN regr_slope(d,r) ELSE regr_slope(d,r) FILTER (NOT flagged) END AS sl, CASE WHEN count(*) FILTER (NOT flagged) < 2 THEN regr_intercept(d,r) ELSE regr_intercept(d,r) FILTER (NOT flagged) END AS ic, arg_max(m,idx)/arg_max(r,idx) AS ke, arg_max(flagged,idx) OR arg_min(flagged,idx) AS ef FROM w GROUP BY net)
+        SELECT net, round(1+sl/1000,6) AS k_fit, round(ic,4) AS intercept_mm, round(ke,6) AS k_end, CASE WHEN abs(sl/1000-(ke-1)) < 5e-4 THEN 'uniform' WHEN ef THEN 'end target flagged' ELSE 'not uniform' END AS verdict FROM f""",
     "decomposition": f"""WITH {_areas()}, {duckdb_with('targets')}, n AS (SELECT *, lead(s) OVER w AS s2, lead(area) OVER w AS a2 FROM a WHERE area IS NOT NULL WINDOW w AS (PARTITION BY cloud_id ORDER BY s)),
-        v AS (SELECT cloud_id, (coalesce(sum(0.5e0*(area+a2)*(s2-s)),0) + {_ENDS})/100.0e0 AS ma FROM n GROUP BY cloud_id),
-        l AS (SELECT p.cloud_id, sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) AS len FROM targets p JOIN targets q ON p.cloud_id=q.cloud_id AND p.idx=0 AND q.idx=7),
-        x AS (SELECT max(len) FILTER (l.cloud_id='mobile')/max(len) FILTER (l.cloud_id='ref') AS lr, max(ma) FILTER (l.cloud_id='mobile')/max(ma) FILTER (l.cloud_id='ref') AS ar FROM l JOIN v ON v.cloud_id=l.cloud_id)
-        SELECT round(lr,6) AS length_ratio, round(ar,6) AS area_ratio, round(lr*ar,6) AS volume_ratio, false AS same_targets FROM x""",
+        v AS (SELECT cloud_id, (coalesce(sum(0.5e0*(area+a2)*(s2-s)),0) + {_ENDS})/100.0e0 AS ma FROM n GROUP BY cloud_id), ar AS (SELECT max(ma) FILTER (cloud_id='mobile')/max(ma) FILTER (cloud_id='ref') AS ar FROM v),
+        l AS (SELECT p.net, p.cloud_id, sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) AS len FROM targets p JOIN targets q ON p.net=q.net AND p.cloud_id=q.cloud_id AND p.idx=0 AND q.idx=7),
+        sm AS (SELECT a.net, bool_and(abs(a.x-b.x) <= 1e-8+1e-5*abs(b.x) AND abs(a.y-b.y) <= 1e-8+1e-5*abs(b.y) AND abs(a.z-b.z) <= 1e-8+1e-5*abs(b.z)) AS same_targets FROM targets a JOIN targets b ON a.net=b.net AND a.idx=b.idx AND a.cloud_id='ref' AND b.cloud_id='mobile' GROUP BY a.net),
+        x AS (SELECT net, max(len) FILTER (cloud_id='mobile')/max(len) FILTER (cloud_id='ref') AS lr FROM l GROUP BY net)
+        SELECT x.net, round(lr,6) AS length_ratio, round(ar,6) AS area_ratio, round(lr*ar,6) AS volume_ratio, same_targets FROM x CROSS JOIN ar JOIN sm ON sm.net=x.net""",
 }

@@ -318,17 +318,11 @@ def comparability_guard(s, d):
 
 @query
 def repeatability(s, d):
-    return rounded(stats.describe(_newest(s, d), ["dataset", "cloud_id", "method"], "volume").select("dataset", "cloud_id", "method", "n", "mean", "min", "max", "sd", "cv_pct", "sem", "range"))
+    return rounded(stats.describe(_newest(s, d), ["dataset", "cloud_id", "method"], "volume"))
 
 
 @query
 def grubbs(s, d):
-    return rounded(stats.grubbs(_newest(s, d), ["dataset", "cloud_id", "method"], "volume", "rep").select("dataset", "cloud_id", "method", "n", "g", "outlier"))
-
-
-@query
-def grubbs_flags(s, d):
-    """grubbs, whose SQL has no critical values, with these and the flags."""
     return rounded(stats.grubbs(_newest(s, d), ["dataset", "cloud_id", "method"], "volume", "rep"))
 
 
@@ -374,7 +368,7 @@ for _name, _f in {
 @query
 def uniform_scale_fit(s, d):
     out = targets.uniform_scale(view(s, d, "targets"))
-    return out.select(F.round("k_fit", 6).alias("k_fit"), F.round("intercept_mm", 4).alias("intercept_mm"), F.round("k_end", 6).alias("k_end"), "verdict")
+    return out.select("net", F.round("k_fit", 6).alias("k_fit"), F.round("intercept_mm", 4).alias("intercept_mm"), F.round("k_end", 6).alias("k_end"), "verdict")
 
 
 @query

@@ -30,10 +30,9 @@ VIEWS = {
                1000.0e0 + l_extendedprice/1000.0e0 AS volume
         FROM {lineitem}""",
     "targets": """
-        SELECT c.cloud_id, CAST(vec_id AS INT) AS idx, CAST(embedding[{zero}] AS DOUBLE)*100.0e0*c.k AS x,
+        SELECT CAST(floor(vec_id/8.0e0) AS BIGINT) AS net, c.cloud_id, CAST(vec_id % 8 AS INT) AS idx, CAST(embedding[{zero}] AS DOUBLE)*100.0e0*c.k AS x,
                CAST(embedding[{zero}+1] AS DOUBLE)*100.0e0*c.k + c.o*label AS y, CAST(embedding[{zero}+2] AS DOUBLE)*100.0e0*c.k AS z
-        FROM {embeddings} CROSS JOIN (SELECT 'ref' AS cloud_id, 1.0e0 AS k, 0.0e0 AS o UNION ALL SELECT 'mobile', 1.002e0, 0.01e0) c
-        WHERE vec_id < 8""",
+        FROM {embeddings} CROSS JOIN (SELECT 'ref' AS cloud_id, 1.0e0 AS k, 0.0e0 AS o UNION ALL SELECT 'mobile', 1.002e0, 0.01e0) c""",
 }
 _FROM = {"cloud": "lineitem", "cloud_gappy": "cloud", "traj": "events", "reps": "orders", "runs": "lineitem", "targets": "embeddings"}
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adit.functions.quantiles import chi2_quantile, quantile_rows, t_quantile
+from adit.functions.quantiles import chi2_quantile, quantile_row, t_quantile
 from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
 from adit.operators.grid import Grid, bimodal_grid, binned, filled_grid
 from adit.plans import pipeline
@@ -98,7 +98,12 @@ def test_quantiles():
     assert t_quantile(0.975, 4) == pytest.approx(2.776445, abs=1e-5)
     assert chi2_quantile(0.975, 4) == pytest.approx(11.143287, abs=1e-5)
     assert chi2_quantile(0.025, 4) == pytest.approx(0.484419, abs=1e-5)
-    assert {r[0]: r[4] for r in quantile_rows(6)}[5] == pytest.approx(1.7150, abs=1e-3)
+    assert quantile_row(5)[3] == pytest.approx(1.7150, abs=1e-3) and quantile_row(1) == (None,) * 4
+    for n in (61, 1000, 999_999):  # against the expansions for many degrees of freedom
+        z = 1.959963984540054
+        hill = z + (z**3 + z) / (4 * n) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * n**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * n**3)
+        assert t_quantile(0.975, n) == pytest.approx(hill, rel=1e-7)
+    assert chi2_quantile(0.025, 1_000_000) == pytest.approx(chi2_quantile(0.025, 1_000_001) - 1, abs=2e-3)
 
 
 def test_describe_and_grubbs(spark):
@@ -113,13 +118,13 @@ def test_describe_and_grubbs(spark):
 def test_grubbs_of_large_groups(spark):
     groups = spark.createDataFrame([(61,), (1000,), (20_000,)], "k long")
     rows = groups.select("k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("rep")).withColumn("v", F.when(F.col("rep") == 7, 50.0).otherwise(F.col("rep") % 2))
-    got = {r.k: r for r in stats.grubbs(rows, ["k"], "v", "rep", most=3).collect()}
+    got = {r.k: r for r in stats.grubbs(rows, ["k"], "v", "rep").collect()}
     assert all(r.flagged and r.outlier == 7 for r in got.values())
     for n in (61, 1000):
         t = t_quantile(1 - 0.025 / n, n - 2)
         assert got[n].g_crit == pytest.approx((n - 1) / math.sqrt(n) * math.sqrt(t * t / (n - 2 + t * t)), abs=1e-6)
-    assert not any(r.flagged for r in stats.grubbs(rows.where("rep <> 7"), ["k"], "v", "rep", most=3).collect())
-    assert {r.k: r.g_crit for r in stats.describe(rows, ["k"], "v", most=3).collect()} == {k: r.g_crit for k, r in got.items()}
+    assert not any(r.flagged for r in stats.grubbs(rows.where("rep <> 7"), ["k"], "v", "rep").collect())
+    assert {r.k: r.g_crit for r in stats.describe(rows, ["k"], "v").collect()} == {k: r.g_crit for k, r in got.items()}
 
 
 def test_penalised_objective(spark):
@@ -144,13 +149,17 @@ def test_sweep_rules(spark):
 
 def test_exact_scale(spark):
     p = [(0, 0, 0), (1, 2, 3), (4, 0, 1), (2, 5, 2)]
-    rows = [("ref", i, *map(float, q)) for i, q in enumerate(p)] + [("mobile", i, *(1.01 * c for c in q)) for i, q in enumerate(p)]
-    t = spark.createDataFrame(rows, "cloud_id string, idx int, x double, y double, z double")
+    rows = [(n, "ref", i, *map(float, q)) for n in (1, 2) for i, q in enumerate(p)] + [(n, "mobile", i, *(1.01 * c for c in q)) for n in (1, 2) for i, q in enumerate(p)]
+    t = spark.createDataFrame(rows, "net int, cloud_id string, idx int, x double, y double, z double")
     k = targets.scale(targets.pair_distances(t)).first()
     assert k.k == pytest.approx(1.01) and k.resid_rms < 1e-6
-    moved = spark.createDataFrame([(c, i, x + (3.0 if (c, i) == ("mobile", 2) else 0), y, z) for c, i, x, y, z in rows], t.schema)
-    assert [r.idx for r in targets.consistency(moved).where("flagged").collect()] == [2]
-    assert targets.uniform_scale(t).first().verdict == "uniform"
+    assert k.len_oth == pytest.approx(1.01 * k.len_ref)
+    moved = spark.createDataFrame([(n, c, i, x + (3.0 if (n, c, i) == (2, "mobile", 2) else 0), y, z) for n, c, i, x, y, z in rows], t.schema)
+    assert [(r.net, r.idx) for r in targets.consistency(moved).where("flagged and net = 2").collect()] == [(2, 2)]
+    targets.check_indices(t, 0, 3)
+    with pytest.raises(ValueError, match="no target"):
+        targets.check_indices(t, 0, 7)
+    assert {r.verdict for r in targets.uniform_scale(t).collect()} == {"uniform"}
 
 
 def test_harmonic_and_comparison(spark):
