@@ -6,60 +6,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.operators import trajectory
+from adit.operators.graph import kept
 
 XYZ = ["x", "y", "z"]
 
 
-def neighbour_distances(points: DataFrame, k: int, h: float) -> DataFrame:
-    """(cloud_id, pid, d): the mean distance of each point to its k nearest others, exactly.
+def neighbour_distances(points: DataFrame, k: int, h: float, block: int = 2048) -> DataFrame:
+    """(cloud_id, pid, d): the mean distance of each point to its k nearest others, exactly; ``pid`` names a point.
 
-    Points are sent to their cell of edge h and, as neighbours only, to the 26
-    around it; a cell is one group, so h bounds what a group holds. A point whose
-    k-th neighbour lies farther than h goes on with twice the edge; the last round looks at all.
+    Points are asked in the 27 cells of edge h about them. A cell's points are
+    dealt into blocks of about ``block``, each of which returns the k smallest distances for the points asked there, and so
+    are the points that ask, so that no task holds a dense cell whole. A point whose
+    k-th neighbour lies farther than h asks again at twice the edge, alone with the few that are left; the last round looks at all.
     """
-    kind = "cloud_id string, pid long, d double, sure boolean"
+    kind, cell = "cloud_id string, pid long, near array<double>", ["cloud_id", "ix", "iy", "iz"]
 
-    def search(f: pd.DataFrame) -> pd.DataFrame:
-        own, p = f[f["own"] & f["open"]], f[XYZ].to_numpy()
-        out = []
-        for at in range(0, len(own), 512):
-            part = own.iloc[at : at + 512]
+    def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out, p, ids = [], there[XYZ].to_numpy(), there["pid"].to_numpy()
+        for at in range(0, len(asked) if len(p) else 0, 512):
+            part = asked.iloc[at : at + 512]
             d = np.sqrt(((part[XYZ].to_numpy()[:, None, :] - p[None, :, :]) ** 2).sum(2))
-            d[part["pid"].to_numpy()[:, None] == f["pid"].to_numpy()[None, :]] = np.inf
-            m = min(k, d.shape[1] - 1)
-            near = np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1) if m > 0 else np.full((len(part), 1), np.inf)
-            sure = (m == k) & (near[:, -1] <= f["h"].iloc[0])
-            mean = np.where(np.isfinite(near), near, 0).sum(1) / np.maximum(np.isfinite(near).sum(1), 1)
-            out.append(pd.DataFrame({"cloud_id": part["cloud_id"], "pid": part["pid"], "d": mean, "sure": sure}))
-        return pd.concat(out) if out else pd.DataFrame({"cloud_id": pd.Series(dtype=str), "pid": pd.Series(dtype="int64"), "d": pd.Series(dtype=float), "sure": pd.Series(dtype=bool)})
+            d[part["pid"].to_numpy()[:, None] == ids[None, :]] = np.inf
+            if d.shape[1] > k:
+                d = np.partition(d, k - 1, axis=1)[:, :k]
+            out.append(pd.DataFrame({"cloud_id": part["cloud_id"], "pid": part["pid"], "near": [x[np.isfinite(x)] for x in d]}))
+        return pd.concat(out) if out else pd.DataFrame({"cloud_id": pd.Series(dtype=str), "pid": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
 
     def one_round(asked: DataFrame, edge: float) -> DataFrame:
-        cell = [F.floor(F.col(c) / edge).alias(f"i{c}") for c in "xyz"]
-        rows = points.join(asked.select("cloud_id", "pid", F.lit(True).alias("open")), ["cloud_id", "pid"], "left").select("cloud_id", "pid", *XYZ, F.coalesce("open", F.lit(False)).alias("open"), *cell)
-        wanted = rows.where("open").select("cloud_id", "ix", "iy", "iz").distinct()
+        at = [F.floor(F.col(c) / edge).alias(f"i{c}") for c in "xyz"]
         shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        spread = rows.withColumn("s", F.explode(shifts)).select("cloud_id", "pid", *XYZ, "open", (F.col("s") == F.struct(F.lit(0), F.lit(0), F.lit(0))).alias("own"), *[(F.col(f"i{c}") + F.col(f"s.{n}")).alias(f"i{c}") for c, n in zip("xyz", "abc")], F.lit(edge).alias("h"))
-        return spread.join(wanted, ["cloud_id", "ix", "iy", "iz"], "left_semi").groupBy("cloud_id", "ix", "iy", "iz").applyInPandas(search, kind)
+        parts = lambda n: F.ceil(F.col(n) / F.lit(float(block))).cast("int")
+        deal = lambda n: F.pmod(F.xxhash64("pid"), parts(n)).cast("int")
+        there = points.select(*[F.col(c).alias(c) for c in ("cloud_id", "pid", *XYZ)], *at)
+        asks = asked.select("cloud_id", "pid", *XYZ, *at).withColumn("s", F.explode(shifts)).select("cloud_id", "pid", *XYZ, *[(F.col(f"i{c}") + F.col(f"s.{n}")).alias(f"i{c}") for c, n in zip("xyz", "abc")])
+        sizes = there.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).join(asks.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")), cell)
+        sizes = kept(sizes)
+        there = there.join(sizes, cell).select(*cell, "pid", *XYZ, deal("n").alias("block"), F.explode(F.sequence(F.lit(0), parts("m") - 1)).alias("part"))
+        there = there.toDF(*there.columns)  # columns of its own beside those that ask
+        asks = asks.join(sizes, cell).select(*cell, "pid", *XYZ, deal("m").alias("part"), F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("block"))
+        key = [*cell, "block", "part"]
+        met = asks.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(search, kind)
+        near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+        found = asked.select("cloud_id", "pid").join(met.groupBy("cloud_id", "pid").agg(near.alias("near")), ["cloud_id", "pid"], "left")
+        n = F.coalesce(F.size("near"), F.lit(0))
+        mean = F.when(n > 0, F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
+        return found.select("cloud_id", "pid", mean.alias("d"), ((n == k) & (F.element_at("near", -1) <= edge)).alias("sure"))
 
+    points = points.select("cloud_id", "pid", *XYZ)
     spans = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
     widest = max((s for s in spans if s is not None), default=0.0)
-    found, left, edge = None, points.select("cloud_id", "pid"), h
+    found, left, edge = None, points, h
     while True:
-        got = one_round(left, edge).persist()
+        got = kept(one_round(left, edge))
         last = edge > widest
-        done = got if last else got.where("sure")
-        found = done.select("cloud_id", "pid", "d") if found is None else found.unionByName(done.select("cloud_id", "pid", "d"))
-        left = got.where("not sure").select("cloud_id", "pid")
-        if last or left.isEmpty():
+        done = (got if last else got.where("sure")).select("cloud_id", "pid", "d")
+        found = done if found is None else found.unionByName(done)
+        open_ = got.where("not sure").select("cloud_id", "pid")
+        if last or open_.isEmpty():
             return found
-        edge *= 2
+        left, edge = kept(points.join(open_, ["cloud_id", "pid"], "left_semi")), edge * 2
 
 
 def without_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, h: float = 1.0) -> DataFrame:
-    """Points whose mean neighbour distance is at most mean + ratio * deviation over the cloud."""
-    d = neighbour_distances(points, k, h)
+    """Points whose mean neighbour distance is at most mean + ratio * deviation over the cloud; repeated points are points each."""
+    named = kept(points.withColumn("nth", F.monotonically_increasing_id()))
+    d = neighbour_distances(named.select("cloud_id", F.col("nth").alias("pid"), *XYZ), k, h)
     limit = d.groupBy("cloud_id").agg((F.avg("d") + ratio * F.stddev_samp("d")).alias("limit"))
-    return points.join(d.join(limit, "cloud_id").where("limit is null or d <= limit"), ["cloud_id", "pid"], "left_semi")
+    fine = d.join(F.broadcast(limit), "cloud_id").where("limit is null or d <= limit").select("cloud_id", F.col("pid").alias("nth"))  # a row a cloud
+    return named.join(fine, ["cloud_id", "nth"], "left_semi").select(*points.columns)
 
 
 def frame_counts(scans: DataFrame, traj_range: tuple[float, float], slack: float = 0.2) -> DataFrame:
@@ -69,7 +83,7 @@ def frame_counts(scans: DataFrame, traj_range: tuple[float, float], slack: float
 
 
 def dense_map(points: DataFrame, traj: DataFrame, near: float, far: float, h: float, key: str = "run_id") -> DataFrame:
-    """Raw points (key, t, x, y, z) into one thinned map: range filter, pose at each point's time, a mean for each cell of edge h."""
+    """Raw points (key, t, x, y, z, and intensity or not) into one thinned map: range filter, pose at each point's time, a mean for each cell of edge h."""
     world = trajectory.deskewed(trajectory.in_range(points, near, far), traj, key)
-    cell = [F.floor(F.col(c) / h).alias(f"i{c}") for c in "xyz"]
-    return world.select(key, *XYZ, *cell).groupBy(key, "ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in XYZ])
+    cell, values = [F.floor(F.col(c) / h).alias(f"i{c}") for c in "xyz"], [*XYZ, *[c for c in ("intensity",) if c in points.columns]]
+    return world.select(key, *values, *cell).groupBy(key, "ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in values])

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.operators.graph import kept
+
 CELL = ["cloud_id", "i", "j"]
 
 
@@ -108,6 +110,45 @@ def along_filled(cells: DataFrame) -> DataFrame:
     return cells.select(*CELL, new.alias("r"), "dense", (F.col("interpolated") | (F.col("r").isNull() & new.isNotNull())).alias("interpolated"))
 
 
+def filled_2d(cells: DataFrame, g: Grid) -> DataFrame:
+    """All cells; the unknown ones from their neighbours in s and theta at once, so that wide holes get no ridges.
+
+    Each unknown cell is the mean, by inverse distance in cells, of the nearest known cells before and after it
+    along s and around theta (which wraps): exact for radii that are linear in both. Off the end of the domain
+    one side along s is missing and the others decide. Cells whose row and column are both empty are then
+    filled along s. Only cells are moved, of which a grid has a fixed number.
+    """
+    period = float(g.n_theta)
+
+    def side(pos: str, keys: list[str], wrap: bool):
+        by = Window.partitionBy(*keys).orderBy(pos)
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        known = F.when(F.col("r").isNotNull(), F.struct(F.col(pos).cast("double").alias("p"), F.col("r").alias("v")))
+        left, right = F.last(known, True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, True).over(by.rowsBetween(0, Window.unboundedFollowing))
+        if wrap:
+            end, start = F.last(known, True).over(whole), F.first(known, True).over(whole)
+            left = F.coalesce(left, F.struct((end["p"] - period).alias("p"), end["v"].alias("v")))
+            right = F.coalesce(right, F.struct((start["p"] + period).alias("p"), start["v"].alias("v")))
+        return left, right
+
+    cells = scaffold(cells, g) if "dense" not in cells.columns else cells
+    names = {"i": ["cloud_id", "j"], "j": ["cloud_id", "i"]}
+    rows = cells.select(*CELL, "r")
+    for pos, keys in names.items():
+        a, b = side(pos, keys, pos == "j")
+        rows = rows.withColumn(f"{pos}a", a).withColumn(f"{pos}b", b)
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for pos in names:
+        for k in "ab":
+            near = F.col(f"{pos}{k}")
+            w = F.when(near.isNotNull(), 1 / F.abs(near["p"] - F.col(pos)))
+            total, weight = total + F.coalesce(w * near["v"], F.lit(0.0)), weight + F.coalesce(w, F.lit(0.0))
+    new = F.coalesce("r", F.when(weight > 0, total / weight))
+    rows = rows.select(*CELL, new.alias("r"), F.col("r").isNull().alias("interpolated"))
+    last = F.coalesce("r", filled(rows, ["cloud_id", "j"], "i", "r"))
+    return rows.select(*CELL, last.alias("r"), "interpolated")
+
+
 def filled_grid(cloud: DataFrame, g: Grid, gap: float = 0.30, min_coverage: float = 0.10) -> DataFrame:
-    """Points to a filled grid: one shuffle of the points, then work on cells only."""
-    return along_filled(circular_filled(bimodal_grid(binned(cloud, g), gap), g, min_coverage))
+    """Points to a filled grid: the points are read and shuffled once, into a table of cells that all else works on."""
+    return along_filled(circular_filled(kept(bimodal_grid(binned(cloud, g), gap)), g, min_coverage))

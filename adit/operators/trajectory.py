@@ -2,8 +2,11 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 XYZ = ("x", "y", "z")
 
@@ -106,19 +109,45 @@ def interpolated(asked: DataFrame, traj: DataFrame, values: tuple[str, ...] = XY
     return rows.select(key, t, *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share).alias(c) for c in values])
 
 
-def nearest(points: DataFrame, samples: DataFrame, max_samples: int = 100_000) -> DataFrame:
+def nearest(points: DataFrame, samples: DataFrame, max_samples: int = 100_000, block: int = 32) -> DataFrame:
     """For each point the sample (k, px, py, pz) at the smallest distance, the lowest k among equals, and the distance.
 
     Samples of a centreline are few; their number is checked, and they are sent
-    to every task as one array, so that points are read once and never shuffled.
+    to every task, so that points are read once and never shuffled. Neighbouring samples lie close, so each ``block`` of them
+    has a ball about it; a point is compared only with the blocks whose ball may be nearer
+    than the farthest side of its nearest one. Points without coordinates have no sample.
     """
-    n = samples.count()
-    if n > max_samples:
-        raise ValueError(f"{n} samples; thin the centreline to {max_samples} or raise max_samples")
-    one = samples.agg(F.array_sort(F.collect_list(F.struct("k", "px", "py", "pz"))).alias("line"))
-    d2 = lambda q: (F.col("x") - q["px"]) ** 2 + (F.col("y") - q["py"]) ** 2 + (F.col("z") - q["pz"]) ** 2
-    best = F.array_min(F.transform("line", lambda q: F.struct(d2(q).alias("d2"), q["k"].alias("k"))))
-    return points.crossJoin(F.broadcast(one)).withColumn("best", best).drop("line").withColumn("k", F.col("best.k")).withColumn("distance", F.sqrt("best.d2")).drop("best")
+    few = samples.select("k", "px", "py", "pz").orderBy("k").limit(max_samples + 1).toPandas()
+    if len(few) > max_samples:
+        raise ValueError(f"more than {max_samples} samples; thin the centreline or raise max_samples")
+    k, p = few["k"].to_numpy(np.int64), few[["px", "py", "pz"]].to_numpy(float)
+    cuts = np.arange(0, len(p), block)
+    centre = np.array([p[a : a + block].mean(0) for a in cuts]).reshape(-1, 3)
+    ball = np.array([np.sqrt(((p[a : a + block] - c) ** 2).sum(1).max()) for a, c in zip(cuts, centre)]) * (1 + 1e-9) + 1e-9
+    schema = T.StructType([*points.schema.fields, T.StructField("k", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+    def search(batches):
+        for batch in batches:
+            q = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in XYZ])
+            best, at = np.full(len(q), np.inf), np.full(len(q), -1, np.int64)
+            for lo in range(0, len(q) if len(p) else 0, 4096):
+                part = q[lo : lo + 4096]
+                away = np.sqrt(((part[:, None, :] - centre[None, :, :]) ** 2).sum(2))
+                reach = (away + ball).min(1) * (1 + 1e-9)
+                for b, a in enumerate(cuts):  # in order of k, so that an equal distance later changes nothing
+                    rows = np.flatnonzero(away[:, b] - ball[b] <= reach)
+                    if not len(rows):
+                        continue
+                    x = p[None, a : a + block]
+                    d2 = (part[rows, None, 0] - x[..., 0]) ** 2 + (part[rows, None, 1] - x[..., 1]) ** 2 + (part[rows, None, 2] - x[..., 2]) ** 2
+                    j = d2.argmin(1)
+                    d = d2[np.arange(len(rows)), j]
+                    new = d < best[lo + rows]
+                    best[lo + rows[new]], at[lo + rows[new]] = d[new], k[a + j[new]]
+            none = at < 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, mask=none), pa.array(np.sqrt(best), mask=none)], [*batch.schema.names, "k", "distance"])
+
+    return points.mapInArrow(search, schema)
 
 
 def cylindrical(points: DataFrame, frame: DataFrame) -> DataFrame:
@@ -228,15 +257,29 @@ def rotated(v: list[Column], q: list[Column]) -> list[Column]:
     return [v[0] + w * t[0] + (y * t[2] - z * t[1]), v[1] + w * t[1] + (z * t[0] - x * t[2]), v[2] + w * t[2] + (x * t[1] - y * t[0])]
 
 
-def deskewed(points: DataFrame, traj: DataFrame, key: str = "run_id", t: str = "t") -> DataFrame:
-    """Points (key, t, x, y, z in the sensor's frame) into the world at the pose of their own time; times outside the trajectory go."""
+def deskewed(points: DataFrame, traj: DataFrame, key: str = "run_id", t: str = "t", bucket_s: float = 10.0) -> DataFrame:
+    """Points (key, t, x, y, z in the sensor's frame) into the world at the pose of their own time; times outside the trajectory go.
+
+    Points and pieces of the trajectory between two poses are laid on one time axis, in buckets of ``bucket_s``
+    (a piece in each bucket that it reaches into), and the piece is carried to the points after its start by a window: one
+    shuffle by run and bucket, no range join, and a run of any length in many tasks.
+    """
     names = ("x", "y", "z", "qx", "qy", "qz", "qw")
     by = Window.partitionBy(key).orderBy(t)
+    slot = lambda c: F.floor(F.col(c) / F.lit(bucket_s))
     pieces = traj.select(key, F.col(t).alias("t0"), F.lead(t).over(by).alias("t1"), *[F.col(c).alias(c + "0") for c in names], *[F.lead(c).over(by).alias(c + "1") for c in names]).where("t1 > t0")
-    end = F.max("t1").over(Window.partitionBy(key))
-    pieces = pieces.withColumn("last", F.col("t1") == end)
-    both = points.join(pieces, key).where((F.col(t) >= F.col("t0")) & ((F.col(t) < F.col("t1")) | (F.col("last") & (F.col(t) == F.col("t1")))))
-    share = (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    q = slerp([F.col(c + "0") for c in names[3:]], [F.col(c + "1") for c in names[3:]], share)
+    piece = F.struct("t0", "t1", *[c + n for c in names for n in "01"])
+    pieces = pieces.select(key, piece.alias("piece"), F.col("t0"), F.explode(F.sequence(slot("t0"), slot("t1"))).alias("slot"))
+    at = F.greatest(F.col("t0"), F.col("slot") * F.lit(bucket_s))
+    none = F.lit(None).cast(pieces.schema["piece"].dataType)
+    rest = [c for c in points.columns if c not in (key, t, *XYZ)]
+    asked = points.where(F.col(t).isNotNull() & ~F.isnan(t)).select(key, slot(t).alias("slot"), F.col(t).cast("double").alias("at"), none.alias("piece"), *XYZ, *rest)
+    every = pieces.select(key, "slot", at.alias("at"), "piece").unionByName(asked, allowMissingColumns=True)
+    # pieces stand before points of their time; of those that begin together at a bucket's edge the later one counts
+    order = Window.partitionBy(key, "slot").orderBy("at", F.coalesce("piece.t0", F.lit(float("inf"))))
+    carried = F.last("piece", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    both = every.withColumn("p", carried).where(F.col("piece").isNull() & (F.col("at") <= F.col("p.t1")))
+    share = (F.col("at") - F.col("p.t0")) / (F.col("p.t1") - F.col("p.t0"))
+    q = slerp([F.col(f"p.{c}0") for c in names[3:]], [F.col(f"p.{c}1") for c in names[3:]], share)
     world = rotated([F.col(c) for c in XYZ], q)
-    return both.select(key, t, *[(w + F.col(c + "0") + (F.col(c + "1") - F.col(c + "0")) * share).alias(c) for w, c in zip(world, XYZ)])
+    return both.select(key, F.col("at").alias(t), *[(w + F.col(f"p.{c}0") + (F.col(f"p.{c}1") - F.col(f"p.{c}0")) * share).alias(c) for w, c in zip(world, XYZ)], *rest)

@@ -2,12 +2,16 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adit.operators.grid import Grid
 
+#: Extremes that a hull is first thinned by
+_DIRECTIONS = 24
+
 
 def slab_areas(cells: DataFrame, g: Grid) -> DataFrame:
     """Polygon area of each slab from equally spaced radii; NULL if any is missing. With the share of filled cells."""
@@ -54,72 +58,107 @@ def cumulative_volume(slabs: DataFrame) -> DataFrame:
     return rows.select("cloud_id", "i", "s", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("volume"))
 
 
-def mesh(cells: DataFrame, g: Grid, to_ends: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A closed mesh about a straight axis: vertices (cloud_id, vid, x, y, z) and faces (cloud_id, fid, a, b, c).
+def rings(cells: DataFrame, g: Grid, to_ends: bool = True) -> DataFrame:
+    """The slab rings that a mesh joins (cloud_id, k, rings, j, r, theta, s): those with all radii, numbered from 0.
+
+    The first and last ring are repeated at both ends of the domain, unless
+    ``to_ends`` is false: then the mesh spans ring centres only.
+    """
+    n = g.n_theta
+    whole = F.count("r").over(Window.partitionBy("cloud_id", "i")) == n
+    column = Window.partitionBy("cloud_id", "j").orderBy("s")
+    rows = cells.select("cloud_id", "i", "j", "r").withColumn("whole", whole).where("whole").withColumn("s", g.centre())
+    rows = rows.withColumn("first", F.row_number().over(column) == 1).withColumn("last", F.lead("s").over(column).isNull())
+    places = F.array(F.col("s"))
+    if to_ends:  # an end that a slab centre has reached already needs no ring
+        none = F.array().cast("array<double>")
+        head = F.when(F.col("first") & (F.col("s") > g.s0), F.array(F.lit(float(g.s0)))).otherwise(none)
+        tail = F.when(F.col("last") & (F.col("s") < g.s1), F.array(F.lit(float(g.s1)))).otherwise(none)
+        places = F.concat(head, places, tail)
+    rows = rows.select("cloud_id", "j", "r", F.explode(places).alias("s"))
+    rows = rows.select("cloud_id", (F.row_number().over(column) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("cloud_id", "j")).alias("rings"), "j", "r", ((F.col("j") + 0.5) * g.dt - 180.0).alias("theta"), "s")
+    return rows
+
+
+def straight(rows: DataFrame) -> DataFrame:
+    """(s, r, theta) about a straight axis along z, with x, y, z."""
+    t = F.radians("theta")
+    return rows.withColumn("x", F.col("r") * F.cos(t)).withColumn("y", F.col("r") * F.sin(t)).withColumn("z", F.col("s"))
+
+
+def faces(placed: DataFrame, tips: DataFrame, g: Grid) -> DataFrame:
+    """The triangles of a closed mesh (cloud_id, a, b, c) with their corners (ax .. cz), from rings() that have x, y, z.
 
-    Slab rings with all radii, joined by two triangles a quad across the theta
-    seam, and a fan to an axis point at each end. The first and last ring are
-    repeated at both ends of the domain, unless ``to_ends`` is false: then the
-    mesh spans ring centres only.
+    Two triangles a quad between neighbouring rings, across the theta seam, and a fan to a
+    tip at each end. Corners are carried by windows over rings and columns, so
+    that no face is joined with its vertices. ``tips``: (cloud_id, x0, y0, z0, x1, y1, z1), a row a cloud.
     """
     n = g.n_theta
-    ring = F.count("r").over(Window.partitionBy("cloud_id", "i"))
-    rings = cells.withColumn("known", ring).where(F.col("known") == n).withColumn("z", g.centre())
-    if to_ends:
-        by = Window.partitionBy("cloud_id")
-        lo, hi = F.min("i").over(by), F.max("i").over(by)
-        sides = rings.withColumn("lo", lo).withColumn("hi", hi)
-        # an end that a slab centre has reached already needs no ring
-        head = sides.where((F.col("i") == F.col("lo")) & (F.col("z") > g.s0)).withColumn("i", F.col("lo") - 1).withColumn("z", F.lit(float(g.s0)))
-        tail = sides.where((F.col("i") == F.col("hi")) & (F.col("z") < g.s1)).withColumn("i", F.col("hi") + 1).withColumn("z", F.lit(float(g.s1)))
-        rings = rings.unionByName(head.drop("lo", "hi")).unionByName(tail.drop("lo", "hi"))
-    order = Window.partitionBy("cloud_id").orderBy("i")
-    ranks = rings.select("cloud_id", "i", "z").distinct().withColumn("k", F.row_number().over(order) - 1)
-    ranks = ranks.withColumn("rings", F.count(F.lit(1)).over(Window.partitionBy("cloud_id")))
-    v = rings.join(ranks.drop("z"), ["cloud_id", "i"])
-    angle = F.radians((F.col("j") + 0.5) * g.dt - 180.0)
-    wall = v.select("cloud_id", (F.col("k") * n + F.col("j")).alias("vid"), (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"), "z")
-    ends = ranks.groupBy("cloud_id").agg(F.max("rings").alias("rings"), F.min("z").alias("lo"), F.max("z").alias("hi"))
-    tip = lambda k, z: ends.select("cloud_id", (F.col("rings") * n + k).alias("vid"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col(z).alias("z"))
-    vertices = wall.unionByName(tip(0, "lo")).unionByName(tip(1, "hi"))
-    quads = ranks.where("k < rings - 1").crossJoin(cells.sparkSession.range(n).withColumnRenamed("id", "j"))
-    p, q = F.col("k") * n + F.col("j"), F.col("k") * n + F.pmod(F.col("j") + 1, F.lit(n))
-    sides = quads.select("cloud_id", F.explode(F.array(F.struct(p.alias("a"), q.alias("b"), (q + n).alias("c")), F.struct(p.alias("a"), (q + n).alias("b"), (p + n).alias("c")))).alias("f"))
-    fans = ends.crossJoin(cells.sparkSession.range(n).withColumnRenamed("id", "j"))
-    j2, top = F.pmod(F.col("j") + 1, F.lit(n)), (F.col("rings") - 1) * n
-    caps = fans.select("cloud_id", F.explode(F.array(
-        F.struct((F.col("rings") * n).alias("a"), j2.alias("b"), F.col("j").alias("c")),
-        F.struct((F.col("rings") * n + 1).alias("a"), (top + F.col("j")).alias("b"), (top + j2).alias("c")),
-    )).alias("f"))
-    return vertices, sides.unionByName(caps).select("cloud_id", "f.a", "f.b", "f.c")
-
-
-def closed_check(faces: DataFrame) -> DataFrame:
+    vertex = lambda k, j: F.struct((F.col(k) * n + F.col(j)).alias("v"), "x", "y", "z")
+    ring, column = Window.partitionBy("cloud_id", "k").orderBy("j"), Window.partitionBy("cloud_id", "j").orderBy("k")
+    rows = placed.withColumn("p", vertex("k", "j"))
+    start = F.first("p").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("q", F.coalesce(F.lead("p").over(ring), start)).withColumn("up", F.lead("p").over(column)).withColumn("upq", F.lead("q").over(column))
+    rows = rows.join(F.broadcast(tips), "cloud_id")  # a row a cloud
+    tip = lambda end: F.struct((F.col("rings") * n + end).cast("bigint").alias("v"), F.col(f"x{end}").alias("x"), F.col(f"y{end}").alias("y"), F.col(f"z{end}").alias("z"))
+    face = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+    p, q, up, upq = (F.col(c) for c in ("p", "q", "up", "upq"))
+    none = F.array().cast("array<struct<a:struct<v:bigint,x:double,y:double,z:double>,b:struct<v:bigint,x:double,y:double,z:double>,c:struct<v:bigint,x:double,y:double,z:double>>>")
+    made = F.concat(
+        F.when(up.isNotNull(), F.array(face(p, q, upq), face(p, upq, up))).otherwise(none),
+        F.when(F.col("k") == 0, F.array(face(tip(0), q, p))).otherwise(none), F.when(F.col("k") == F.col("rings") - 1, F.array(face(tip(1), p, q))).otherwise(none),
+    )
+    return rows.select("cloud_id", F.explode(made).alias("f")).select("cloud_id", *[F.col(f"f.{c}.v").alias(c) for c in "abc"], *[F.col(f"f.{c}.{d}").alias(c + d) for c in "abc" for d in "xyz"])
+
+
+def mesh(cells: DataFrame, g: Grid, to_ends: bool = True) -> DataFrame:
+    """faces() of a grid about a straight axis."""
+    placed = straight(rings(cells, g, to_ends))
+    ends = placed.groupBy("cloud_id").agg(F.min("s").alias("z0"), F.max("s").alias("z1"))
+    zero = F.lit(0.0)
+    return faces(placed, ends.select("cloud_id", zero.alias("x0"), zero.alias("y0"), "z0", zero.alias("x1"), zero.alias("y1"), "z1"), g)
+
+
+def vertices(meshed: DataFrame) -> DataFrame:
+    """(cloud_id, vid, x, y, z): the corners of the faces, once."""
+    corner = lambda c: F.struct(F.col(c).alias("vid"), *[F.col(c + d).alias(d) for d in "xyz"])
+    return meshed.select("cloud_id", F.explode(F.array(*map(corner, "abc"))).alias("v")).select("cloud_id", "v.*").groupBy("cloud_id", "vid").agg(*[F.first(d).alias(d) for d in "xyz"])
+
+
+def closed_check(meshed: DataFrame) -> DataFrame:
     """Whether each undirected edge has two faces and each directed one a single face."""
-    edges = faces.select("cloud_id", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("c").alias("v")), F.struct(F.col("c").alias("u"), F.col("a").alias("v")))).alias("e")).select("cloud_id", "e.*")
+    edges = meshed.select("cloud_id", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("c").alias("v")), F.struct(F.col("c").alias("u"), F.col("a").alias("v")))).alias("e")).select("cloud_id", "e.*")
     each = edges.groupBy("cloud_id", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("u") < F.col("v")).alias("up"))
     return each.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_edges"), F.every(F.col("n") == 2).alias("closed"), F.every((F.col("n") == 2) & (F.col("up") == 1)).alias("oriented"))
 
 
-def mesh_volume(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+def mesh_volume(meshed: DataFrame) -> DataFrame:
     """|sum of v0 . (v1 x v2)| / 6 over the faces."""
-    f = faces
-    for k in "abc":
-        f = f.join(vertices.select("cloud_id", F.col("vid").alias(k), *[F.col(c).alias(c + k) for c in "xyz"]), ["cloud_id", k])
-    c = {n: F.col(n) for n in ("xa", "ya", "za", "xb", "yb", "zb", "xc", "yc", "zc")}
-    det = c["xa"] * (c["yb"] * c["zc"] - c["zb"] * c["yc"]) + c["ya"] * (c["zb"] * c["xc"] - c["xb"] * c["zc"]) + c["za"] * (c["xb"] * c["yc"] - c["yb"] * c["xc"])
-    return f.groupBy("cloud_id").agg((F.abs(F.sum(det)) / 6).alias("volume"), F.count(F.lit(1)).alias("n_faces"))
+    c = {n: F.col(n) for n in ("ax", "ay", "az", "bx", "by", "bz", "cx", "cy", "cz")}
+    det = c["ax"] * (c["by"] * c["cz"] - c["bz"] * c["cy"]) + c["ay"] * (c["bz"] * c["cx"] - c["bx"] * c["cz"]) + c["az"] * (c["bx"] * c["cy"] - c["by"] * c["cx"])
+    return meshed.groupBy("cloud_id").agg((F.abs(F.sum(det)) / 6).alias("volume"), F.count(F.lit(1)).alias("n_faces"))
 
 
 def hull_areas(points: DataFrame) -> DataFrame:
     """Convex-hull area of the points (cloud_id, i, x, y) of each slab; NULL for fewer than three or all in a line.
 
-    Each slab's points are first thinned to the hulls of the tasks they lie in
-    and only these meet, so a slab of any size passes in pieces.
+    Each slab's points are first thinned, in the tasks they lie in, to those outside the polygon of their
+    extremes in ``_DIRECTIONS`` directions, in one vectorised step, and then to their hull; only hulls meet, so a
+    slab of any size passes in pieces.
     """
 
-    def corners(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        pts = sorted(set(pts))
+    def corners(pts: np.ndarray) -> list[tuple[float, float]]:
+        if len(pts) > 3 * _DIRECTIONS:
+            turn = np.arange(_DIRECTIONS) * (2 * math.pi / _DIRECTIONS)
+            rim = pts[np.unique((pts @ np.array([np.cos(turn), np.sin(turn)])).argmax(0))]
+            mid = rim.mean(0)
+            rim = rim[np.argsort(np.arctan2(*(rim - mid).T[::-1]))]
+            edge = np.roll(rim, -1, 0) - rim
+            inside = np.ones(len(pts), bool)
+            for p, e in zip(rim, edge):  # strictly left of every edge
+                inside &= e[0] * (pts[:, 1] - p[1]) - e[1] * (pts[:, 0] - p[0]) > 1e-12
+            pts = pts[~inside]
+        pts = sorted(set(map(tuple, pts.tolist())))
         if len(pts) < 3:
             return pts
 
@@ -135,12 +174,15 @@ def hull_areas(points: DataFrame) -> DataFrame:
 
     def thin(frames):
         for f in frames:
+            made = []
             for (cloud, i), part in f.groupby(["cloud_id", "i"]):
-                hull = corners(list(zip(part["x"], part["y"])))
-                yield pd.DataFrame({"cloud_id": cloud, "i": i, "x": [p[0] for p in hull], "y": [p[1] for p in hull]})
+                hull = corners(part[["x", "y"]].to_numpy())
+                made.append(pd.DataFrame({"cloud_id": cloud, "i": i, "x": [p[0] for p in hull], "y": [p[1] for p in hull]}))
+            if made:
+                yield pd.concat(made)
 
     def area(f: pd.DataFrame) -> pd.DataFrame:
-        hull = corners(list(zip(f["x"], f["y"])))
+        hull = corners(f[["x", "y"]].to_numpy())
         twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1]))
         return pd.DataFrame({"cloud_id": [f["cloud_id"].iloc[0]], "i": [f["i"].iloc[0]], "area": [abs(twice) / 2 if len(hull) > 2 else None]})
 

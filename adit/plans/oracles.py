@@ -45,6 +45,26 @@ def _areas(view: str = "cloud_gappy") -> str:
                  CASE WHEN count(r) = {N_T} THEN avg(CASE WHEN interpolated THEN 1.0e0 ELSE 0.0e0 END) ELSE 1.0e0 END AS frac_interp FROM nx GROUP BY cloud_id, i)"""
 
 
+def _filled_2d() -> str:
+    """CTE f2: unknown cells by inverse distance from the nearest known ones along s and around theta, then along s."""
+    near = lambda f, frame: f"{f}(CASE WHEN r IS NOT NULL THEN {{p}} END IGNORE NULLS) OVER {frame} AS p{frame}, {f}(r IGNORE NULLS) OVER {frame} AS v{frame}"
+    back, on = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    term = lambda v, p, x: f"coalesce({v}/abs({p}-{x}), 0)"
+    one = lambda v, p, x: f"coalesce(CASE WHEN {v} IS NOT NULL THEN 1/abs({p}-{x}) END, 0)"
+    sides = [("va", "pa", "j3"), ("vb", "pb", "j3"), ("vc", "pc", "i"), ("vd", "pd", "i")]
+    top, low = (" + ".join(f(*x) for x in sides) for f in (term, one))
+    return f"""{_grid()},
+        x3 AS (SELECT cloud_id, i, CAST(j + o * {N_T} AS DOUBLE) AS j3, j, o, r FROM sc CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o)),
+        y3 AS (SELECT *, {near('last_value', 'a').format(p='j3')}, {near('first_value', 'b').format(p='j3')} FROM x3
+               WINDOW a AS (PARTITION BY cloud_id, i ORDER BY j3 {back}), b AS (PARTITION BY cloud_id, i ORDER BY j3 {on})),
+        z3 AS (SELECT *, {near('last_value', 'c').format(p='i')}, {near('first_value', 'd').format(p='i')} FROM y3 WHERE o = 0
+               WINDOW c AS (PARTITION BY cloud_id, j ORDER BY i {back}), d AS (PARTITION BY cloud_id, j ORDER BY i {on})),
+        n3 AS (SELECT cloud_id, i, j, r IS NULL AS interpolated, CASE WHEN r IS NOT NULL THEN r WHEN {low} > 0 THEN ({top})/({low}) END AS r FROM z3),
+        l3 AS (SELECT *, {near('last_value', 'c').format(p='i')}, {near('first_value', 'd').format(p='i')} FROM n3
+               WINDOW c AS (PARTITION BY cloud_id, j ORDER BY i {back}), d AS (PARTITION BY cloud_id, j ORDER BY i {on})),
+        f2 AS MATERIALIZED (SELECT cloud_id, i, j, interpolated, CASE WHEN r IS NOT NULL THEN r WHEN pc IS NULL THEN vd WHEN pd IS NULL THEN vc ELSE vc + (vd-vc)*(i-pc)/(pd-pc) END AS r FROM l3)"""
+
+
 _CUM = """, cu AS (SELECT cloud_id, i, s, sum(st) OVER (PARTITION BY cloud_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS volume FROM
         (SELECT cloud_id, i, s, coalesce(0.5e0 * (area + lag(area) OVER w) * (s - lag(s) OVER w), 0.0e0) AS st FROM a WHERE area IS NOT NULL WINDOW w AS (PARTITION BY cloud_id ORDER BY s)))"""
 _SEG = (
@@ -103,7 +123,18 @@ _QUANTILES = """q(n, t, chi_lo, chi_hi, g_crit) AS (VALUES
     (12, 2.200985160092e0, 21.920049261021e0, 3.815748252236e0, 2.411559518432e0))"""
 
 
+#: Poses that turn 7 degrees about z a second, points a quarter second after each, and their places in the world
+_SKEW = f"""{duckdb_with('traj')}, ps AS (SELECT run_id, seq, x, y, z, radians((seq*7 % 360)/2.0e0) AS h, lead(x) OVER w x2, lead(y) OVER w y2, lead(z) OVER w z2, radians(((seq+1)*7 % 360)/2.0e0) AS h2 FROM traj WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+      sh AS (SELECT run_id, seq, y/2+0.5e0 AS px, z/2 AS py, x/2 AS pz, CAST(seq % 10 AS DOUBLE) AS intensity FROM traj),
+      sl AS (SELECT *, cos(h)*cos(h2)+sin(h)*sin(h2) AS dt FROM ps WHERE x2 IS NOT NULL),
+      an AS (SELECT *, acos(least(abs(dt), 1.0e0)) AS ang, CASE WHEN dt < 0 THEN -1.0e0 ELSE 1.0e0 END AS sg FROM sl),
+      qu AS (SELECT *, (sin(0.75e0*ang)*sin(h) + sg*sin(0.25e0*ang)*sin(h2))/sin(ang) AS qz, (sin(0.75e0*ang)*cos(h) + sg*sin(0.25e0*ang)*cos(h2))/sin(ang) AS qw FROM an),
+      wo AS (SELECT qu.run_id, qu.seq, px, py, pz, intensity, px + qw*(-2*qz*py) - qz*(2*qz*px) + qu.x + (x2-qu.x)*0.25e0 AS wx, py + qw*(2*qz*px) + qz*(-2*qz*py) + qu.y + (y2-qu.y)*0.25e0 AS wy, pz + qu.z + (z2-qu.z)*0.25e0 AS wz FROM qu JOIN sh ON sh.run_id=qu.run_id AND sh.seq=qu.seq)"""
+
 ORACLES = {
+    "deskew": f"WITH {_SKEW} SELECT run_id, seq + 0.25e0 AS t, round(wx, 6) AS x, round(wy, 6) AS y, round(wz, 6) AS z, intensity FROM wo",
+    "dense_map": f"""WITH {_SKEW} SELECT run_id, CAST(floor(wx/2.0e0) AS BIGINT) AS ix, CAST(floor(wy/2.0e0) AS BIGINT) AS iy, CAST(floor(wz/2.0e0) AS BIGINT) AS iz, count(*) AS n, round(avg(wx),6) AS x, round(avg(wy),6) AS y, round(avg(wz),6) AS z, round(avg(intensity),6) AS intensity
+        FROM wo WHERE px*px+py*py+pz*pz > 1.0e0 AND px*px+py*py+pz*pz < 36.0e0 GROUP BY ALL""",
     "grid_median": f"WITH {_grid('cloud')} SELECT cloud_id, i, j, round(median(r), 8) AS r, count(*) AS n FROM b GROUP BY ALL",
     "grid_bimodal": f"WITH {_grid('cloud')} SELECT cloud_id, i, j, round(r, 8) AS r, bimodal, n FROM g",
     "bimodal_slabs": f"WITH {_grid('cloud')} SELECT cloud_id, i, count(*) FILTER (bimodal) AS n_bimodal, count(*) FILTER (bimodal) / {N_T}.0e0 > 0.2e0 AS warned FROM g GROUP BY cloud_id, i HAVING count(*) FILTER (bimodal) > 0",
@@ -158,6 +189,16 @@ ORACLES = {
         d AS (SELECT cloud_id, x0*(y1*z2-z1*y2)+y0*(z1*x2-x1*z2)+z0*(x1*y2-y1*x2) + x0*(y2*z3-z2*y3)+y0*(z2*x3-x2*z3)+z0*(x2*y3-y2*x3) AS t, 2 AS f FROM q
               UNION ALL SELECT cloud_id, CASE WHEN k = 0 THEN -z*cr ELSE z*cr END, 1 FROM e WHERE k = 0 OR k = m - 1)
         SELECT cloud_id, round(abs(sum(t))/6, 6) AS volume, CAST(sum(f) AS BIGINT) AS n_faces FROM d GROUP BY cloud_id""",
+    "fill_2d": f"WITH {_filled_2d()} SELECT cloud_id, i, j, round(r, 10) AS r, interpolated FROM f2",
+    "mesh_volume_to_ends": f"""WITH {_filled_2d()},
+        p AS (SELECT cloud_id, i, j, r*cos(radians((j+0.5e0)*{DT}-180.0e0)) AS x, r*sin(radians((j+0.5e0)*{DT}-180.0e0)) AS y FROM f2),
+        v AS MATERIALIZED (SELECT cloud_id, i + 1 AS k, j, x, y, i + 0.5e0 AS z FROM p UNION ALL SELECT cloud_id, 0, j, x, y, 0.0e0 FROM p WHERE i = 0 UNION ALL SELECT cloud_id, {N_S} + 1, j, x, y, 100.0e0 FROM p WHERE i = {N_S} - 1),
+        q AS (SELECT p.cloud_id, p.x x0,p.y y0,p.z z0, a.x x1,a.y y1,a.z z1, b.x x2,b.y y2,b.z z2, c.x x3,c.y y3,c.z z3 FROM v p JOIN v a ON a.cloud_id=p.cloud_id AND a.k=p.k AND a.j=(p.j+1)%{N_T}
+              JOIN v b ON b.cloud_id=p.cloud_id AND b.k=p.k+1 AND b.j=a.j JOIN v c ON c.cloud_id=p.cloud_id AND c.k=p.k+1 AND c.j=p.j),
+        e AS (SELECT p.cloud_id, p.k, p.z, p.x*a.y - p.y*a.x AS cr FROM v p JOIN v a ON a.cloud_id=p.cloud_id AND a.k=p.k AND a.j=(p.j+1)%{N_T}),
+        d AS (SELECT cloud_id, x0*(y1*z2-z1*y2)+y0*(z1*x2-x1*z2)+z0*(x1*y2-y1*x2) + x0*(y2*z3-z2*y3)+y0*(z2*x3-x2*z3)+z0*(x2*y3-y2*x3) AS t, 2 AS f FROM q
+              UNION ALL SELECT cloud_id, CASE WHEN k = 0 THEN -z*cr ELSE z*cr END, 1 FROM e WHERE k = 0 OR k = {N_S} + 1)
+        SELECT cloud_id, round(abs(sum(t))/6, 6) AS volume, CAST(sum(f) AS BIGINT) AS n_faces, CAST(3*sum(f)//2 AS BIGINT) AS n_edges, true AS closed, true AS oriented FROM d GROUP BY cloud_id""",
     "mesh_edges_closed": f"""WITH {_filled()}, k AS (SELECT cloud_id, count(*) AS m FROM (SELECT cloud_id, i FROM c2 GROUP BY cloud_id, i HAVING count(r) = {N_T}) GROUP BY cloud_id)
         SELECT cloud_id, 3*((m-1)*{N_T}*2 + 2*{N_T})//2 AS n_edges, true AS closed, true AS oriented FROM k""",
     "voxel_count": f"WITH {duckdb_with('cloud')}, {_XYZ}, {_VOX} SELECT cloud_id, count(*) AS n, round(count(*)*0.125e0, 6) AS volume FROM v GROUP BY cloud_id",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.operators import compare, stats, volume
-from adit.operators.grid import Grid, bimodal_grid, binned, coverage_total, filled_grid
+from adit.operators.graph import kept
+from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_total, filled_2d
 
 
 @dataclass(frozen=True)
@@ -46,16 +47,16 @@ def check_caps(caps: DataFrame, max_r: float = 5.0) -> None:
 def measure(cloud: DataFrame, cfg: Config = Config(), hull: bool = False) -> dict[str, DataFrame]:
     """All results of clouds (cloud_id, pid, s, r, theta), as DataFrames.
 
-    The points are shuffled once, into the grid of cell radii; everything else
-    works on at most n_slabs x n_theta rows a cloud.
+    The points are shuffled once, into a table of cell radii; everything else
+    works on at most n_slabs x n_theta rows a cloud. The mesh is made of the grid filled in both directions at once.
     """
     check_aligned(cloud, cfg.max_median_r_m)
     g = cfg.grid
-    cells = filled_grid(cloud, g, cfg.gap, cfg.min_coverage).persist()
-    raw = bimodal_grid(binned(cloud, g), cfg.gap).persist()
-    slabs = volume.slab_areas(cells, g).persist()
+    raw = kept(bimodal_grid(binned(cloud, g), cfg.gap))
+    cells = kept(along_filled(circular_filled(raw, g, cfg.min_coverage)))
+    slabs = kept(volume.slab_areas(cells, g))
     profiles = volume.trapezoid_volume(slabs, g)
-    meshes = volume.mesh_volume(*volume.mesh(cells, g))
+    meshes = volume.mesh_volume(volume.mesh(filled_2d(raw, g), g))
     volumes = profiles.select("cloud_id", F.lit("profiles").alias("method"), "volume").unionByName(meshes.select("cloud_id", F.lit("surface_mesh").alias("method"), "volume"))
     volumes = volumes.unionByName(volume.simpson_volume(slabs, g).select("cloud_id", F.lit("profiles_simpson").alias("method"), "volume"))
     if hull:

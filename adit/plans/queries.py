@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit.operators import cavity, compare, denoise, stats, sweep, targets, trajectory, volume
-from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_grid, median_grid
+from adit.operators.graph import kept
+from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_2d, filled_grid, median_grid
 from adit.sources.views import view
 
 QUERIES: dict = {}
@@ -173,20 +174,25 @@ def wedge_filter(s, d):
 
 @query
 def mesh_volume(s, d):
-    """Between the centres of the first and last ring, as its SQL has it; mesh_volume_to_ends has the whole domain."""
-    return rounded(volume.mesh_volume(*volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False)))
+    """Between the centres of the first and last ring; mesh_volume_to_ends has the whole domain."""
+    return rounded(volume.mesh_volume(volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False)))
 
 
 @query
 def mesh_edges_closed(s, d):
-    return volume.closed_check(volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False)[1])
+    return volume.closed_check(volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G, to_ends=False))
 
 
 @query
 def mesh_volume_to_ends(s, d):
-    """Volume of the whole domain, and whether its mesh is closed."""
-    vertices, faces = volume.mesh(filled_grid(view(s, d, "cloud_gappy"), G), G)
-    return rounded(volume.mesh_volume(vertices, faces).join(volume.closed_check(faces), "cloud_id"))
+    """Volume of the whole domain, of the grid filled in both directions at once, and whether its mesh is closed."""
+    meshed = kept(volume.mesh(filled_2d(kept(cells(s, d)), G), G))
+    return rounded(volume.mesh_volume(meshed).join(volume.closed_check(meshed), "cloud_id"))
+
+
+@query
+def fill_2d(s, d):
+    return rounded(filled_2d(kept(cells(s, d)), G), 10)
 
 
 @query
@@ -391,5 +397,26 @@ def surface_volume(s, d):
 @query
 def outlier_removal(s, d):
     """Points that the statistical filter keeps, counted by cloud."""
-    points = volume.cartesian(view(s, d, "cloud")).withColumn("pid", F.xxhash64("x", "y", "z", "pid"))
-    return denoise.without_outliers(points.dropDuplicates(["cloud_id", "pid"]), 8, 2.0, 1.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    points = volume.cartesian(view(s, d, "cloud"))
+    return denoise.without_outliers(points, 8, 2.0, 1.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _poses(s, d):
+    """Trajectories with unit quaternions that turn about z, a second apart."""
+    half = F.radians((F.col("seq") * 7 % 360) / 2.0)
+    return view(s, d, "traj").select("run_id", F.col("seq").cast("double").alias("t"), "x", "y", "z", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
+
+
+def _shots(s, d):
+    """Points in the sensor's frame, a quarter second after each pose; the last one of a run lies outside."""
+    return view(s, d, "traj").select("run_id", (F.col("seq") + 0.25).alias("t"), (F.col("y") / 2 + 0.5).alias("x"), (F.col("z") / 2).alias("y"), (F.col("x") / 2).alias("z"), (F.col("seq") % 10).cast("double").alias("intensity"))
+
+
+@query
+def deskew(s, d):
+    return rounded(trajectory.deskewed(_shots(s, d), _poses(s, d)))
+
+
+@query
+def dense_map(s, d):
+    return rounded(denoise.dense_map(_shots(s, d), _poses(s, d), 1.0, 6.0, 2.0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adit.functions.quantiles import chi2_quantile, quantile_row, t_quantile
 from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
-from adit.operators.grid import Grid, bimodal_grid, binned, filled_grid
+from adit.operators.grid import Grid, bimodal_grid, binned, filled_2d, filled_grid
 from adit.plans import pipeline
 from adit.sources import phantom, readers, sinks
 
@@ -22,10 +22,9 @@ def test_phantom_volumes(spark):
         slabs = volume.slab_areas(cells, g)
         assert abs(volume.trapezoid_volume(slabs, g).first().volume / truth - 1) < 0.005
         assert abs(volume.simpson_volume(slabs, g).first().volume / truth - 1) < 0.005
-        vertices, faces = volume.mesh(cells, g)
-        # the mesh spans slab centres, half a slab less at each end
-        assert abs(volume.mesh_volume(vertices, faces).first().volume / (truth * 99.5 / 100) - 1) < 0.005
-        check = volume.closed_check(faces).first()
+        meshed = volume.mesh(filled_2d(bimodal_grid(binned(cloud, g)), g), g).persist()
+        assert abs(volume.mesh_volume(meshed).first().volume / truth - 1) < 0.005
+        check = volume.closed_check(meshed).first()
         assert check.closed and check.oriented
 
 
@@ -33,12 +32,25 @@ def test_mesh_reaches_both_ends(spark):
     g = Grid(1.0, 6.0, 1.0, 90.0)
     rows = [("a", i, j, None if (i, j) == (4, 2) or i == 0 else 2.0) for i in range(5) for j in range(4)]
     cells = spark.createDataFrame(rows, "cloud_id string, i long, j long, r double")
-    vertices, faces = volume.mesh(cells, g)
-    assert volume.mesh_volume(vertices, faces).first().volume == pytest.approx(8 * 5)
-    assert vertices.agg(F.min("z"), F.max("z")).first() == (1.0, 6.0)
-    check = volume.closed_check(faces).first()
+    meshed = volume.mesh(cells, g)
+    assert volume.mesh_volume(meshed).first().volume == pytest.approx(8 * 5)
+    corners = volume.vertices(meshed)
+    assert corners.agg(F.min("z"), F.max("z")).first() == (1.0, 6.0) and corners.count() == 5 * 4 + 2
+    check = volume.closed_check(meshed).first()
     assert check.closed and check.oriented
-    assert volume.mesh_volume(*volume.mesh(cells, g, to_ends=False)).first().volume == pytest.approx(8 * 2)
+    assert volume.mesh_volume(volume.mesh(cells, g, to_ends=False)).first().volume == pytest.approx(8 * 2)
+
+
+def test_fill_in_both_directions(spark):
+    g = Grid(0.0, 12.0, 1.0, 30.0)
+    hole = {(i, j) for i in range(4, 8) for j in (0, 1, 11)} | {(0, 5), (11, 6)}
+    rows = [("a", i, j, 2.0 + 0.1 * i) for i in range(12) for j in range(12) if (i, j) not in hole]
+    got = {(r.i, r.j): r for r in filled_2d(spark.createDataFrame(rows, "cloud_id string, i long, j long, r double"), g).collect()}
+    assert len(got) == 144 and {k for k, r in got.items() if r.interpolated} == hole
+    assert all(got[k].r == pytest.approx(2.0 + 0.1 * k[0]) for k in hole if 0 < k[0] < 11)
+    assert got[(0, 5)].r == pytest.approx((2.0 + 2.0 + 2.1) / 3)
+    lone = filled_2d(spark.createDataFrame([("a", 3, 4, 1.5)], "cloud_id string, i long, j long, r double"), g)
+    assert lone.count() == 144 and lone.where("abs(r - 1.5) > 1e-12 or r is null").count() == 0
 
 
 def test_voxel_cavity_leaks_only_with_a_hole(spark):
