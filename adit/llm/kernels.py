@@ -2,9 +2,9 @@
 
 Texts stay UTF-8 bytes. A word is a maximal run of bytes of a class; as every
 byte of a non-ASCII character is 0x80 or more, a class that holds all of these
-splits bytes exactly as it splits characters. Word hashes are 64-bit
-polynomials over random byte values (A-Z valued as a-z), taken from running
-sums, so that no step loops over words in Python.
+splits bytes exactly as it splits characters. A word's 64-bit hash mixes it
+eight bytes at a time (A-Z as a-z), each piece with its place, so that no step
+loops over words in Python.
 """
 
 from functools import lru_cache
@@ -14,8 +14,10 @@ import pyarrow as pa
 
 #: Bytes that one vectorised step handles; longer texts are cut between words.
 STEP = 1 << 19
-#: Bytes of text that one group of documents holds, unless one document is longer.
-GROUP = 1 << 21
+#: Bytes of text, and documents, that one group holds, unless one document is longer.
+GROUP, GROUP_DOCS = 1 << 21, 8192
+#: Words of more pieces are hashed one by one.
+PIECES = 32
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -32,17 +34,43 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _powers() -> np.ndarray:
-    p = np.full(2 * STEP + 1, _MULT | np.uint64(1), np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+def _lower() -> np.ndarray:
+    v = np.arange(256, dtype=np.uint8)
+    v[ord("A") : ord("Z") + 1] = v[ord("a") : ord("z") + 1]
+    return v
 
 
 @lru_cache(maxsize=1)
-def _values() -> np.ndarray:
-    v = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-    v[ord("A") : ord("Z") + 1] = v[ord("a") : ord("z") + 1]
-    return v
+def _places() -> np.ndarray:
+    return mix(np.arange(1, PIECES + 1, dtype=np.uint64) * _MULT)
+
+
+#: Masks that keep the first 0 .. 8 bytes of a piece.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _pieces(data: np.ndarray) -> np.ndarray:
+    """At each place of ``data`` the next eight bytes, lower-cased, as one number."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    np.take(_lower(), data, out=padded[: len(data)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def hashes(lanes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, from _pieces(); equal lower-cased bytes, equal hashes."""
+    acc = np.zeros(len(start), np.uint64)
+    some, places = np.arange(len(start)), _places()
+    for k in range(PIECES):
+        left = length[some] - 8 * k
+        if k:
+            some, left = some[left > 0], left[left > 0]
+        if not len(some):
+            break
+        acc[some] += mix((lanes[start[some] + 8 * k] & _KEEP[np.minimum(left, 8)]) ^ places[k])
+    for i in np.flatnonzero(length > 8 * PIECES):
+        at = np.arange(8 * PIECES, length[i], 8)
+        acc[i : i + 1] += mix((lanes[start[i] + at] & _KEEP[np.minimum(length[i] - at, 8)]) ^ mix((at // 8 + 1).astype(np.uint64) * _MULT)).sum(dtype=np.uint64, keepdims=True)
+    return mix(acc ^ length.astype(np.uint64))
 
 
 @lru_cache(maxsize=4)
@@ -67,22 +95,22 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups(offs: np.ndarray, size: int = GROUP):
-    """Runs (first, last) of documents with about ``size`` bytes each."""
+    """Runs (first, last) of documents with about ``size`` bytes, and at most GROUP_DOCS documents, each."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + size, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + GROUP_DOCS)
         yield i, j
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", hashes: bool = True):
+def words(data: np.ndarray, offs: np.ndarray, kind: str = "space"):
     """Words of the documents ``data[offs[i]:offs[i+1]]``.
 
     Returns (hash, start, end, first): per word its hash and byte range, and
     per document the index of its first word (with one entry more at the end).
     """
-    cls, vals, pw = _class(kind), _values(), _powers()
+    cls = _class(kind)
     total, base = len(data), int(offs[0])
     data = data[base : int(offs[-1])] if base or int(offs[-1]) != total else data
     offs = offs - base
@@ -99,9 +127,14 @@ def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", hashes: bool
                 sep = np.flatnonzero(~cls[data[max(at, end - 4096) : end]])
                 if len(sep) and max(at, end - 4096) + int(sep[-1]) > at:
                     end = max(at, end - 4096) + int(sep[-1])
-                else:
-                    while end < n and cls[data[end]] and end < int(offs[k + 1]):
-                        end += 1
+                else:  # one long word: to its end
+                    stop = int(offs[k + 1])
+                    while end < stop:
+                        sep = np.flatnonzero(~cls[data[end : min(end + STEP, stop)]])
+                        if len(sep):
+                            end += int(sep[0])
+                            break
+                        end = min(end + STEP, stop)
         piece = data[at:end]
         on = cls[piece]
         edge = np.empty(len(piece) + 1, bool)
@@ -115,14 +148,7 @@ def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", hashes: bool
         if len(joined):
             where = np.sort(np.concatenate([where, joined, joined]))
         s, e = where[::2], where[1::2]
-        if hashes and len(s):
-            if len(piece) > 2 * STEP:  # one word of over STEP bytes
-                h = np.array([_long_hash(piece[a:b], vals) for a, b in zip(s, e)], np.uint64)
-            else:
-                run = np.zeros(len(piece) + 1, np.uint64)
-                np.cumsum(vals[piece] * pw[: len(piece)], out=run[1:])
-                h = (run[e] - run[s]) * pw[2 * STEP - s]
-            out_h.append(mix(h ^ (e - s).astype(np.uint64)))
+        out_h.append(hashes(_pieces(piece), s, e - s))
         out_s.append(s + at)
         out_e.append(e + at)
         at = end
@@ -134,27 +160,12 @@ def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", hashes: bool
 
 def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]):
     """For each length k in bytes, in increasing order: (words longer than k, hash of their first k bytes)."""
-    vals, pw = _values(), _powers()
-    some = np.flatnonzero(end - start > lengths[0])
-    acc, done = np.zeros(len(some), np.uint64), 0
+    some = np.arange(len(start))
+    base = int(start[0]) if len(start) else 0
+    lanes = _pieces(data[base : int(end[-1])] if len(start) else data[:0])
     for k in lengths:
-        longer = end[some] - start[some] > k
-        some, acc = some[longer], acc[longer]
-        for i in range(done, k):
-            acc += vals[data[start[some] + i]] * pw[i]
-        done = k
-        yield some, mix(acc ^ np.uint64(k << 56))
-
-
-def _long_hash(piece: np.ndarray, vals: np.ndarray) -> int:
-    """The hash of one word of any length, as the running sums give it."""
-    pw, total, scale = _powers(), np.uint64(0), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(piece), 2 * STEP):
-            part = piece[i : i + 2 * STEP]
-            total += (vals[part] * pw[: len(part)]).sum(dtype=np.uint64) * scale
-            scale *= pw[2 * STEP]
-        return total * pw[2 * STEP]
+        some = some[end[some] - start[some] > k]
+        yield some, mix(hashes(lanes, start[some] - base, np.full(len(some), k)) ^ np.uint64(k << 56))
 
 
 def shingles(h: np.ndarray, first: np.ndarray, width: int):
@@ -183,7 +194,23 @@ def shingles(h: np.ndarray, first: np.ndarray, width: int):
     return mix(out), out_first
 
 
+def row_sums(x: np.ndarray, first: np.ndarray, op: np.ufunc = np.add) -> np.ndarray:
+    """Sums (or another reduction) of the runs of x that begin at ``first``; 0 for an empty run."""
+    out = np.zeros((len(first) - 1, *x.shape[1:]), x.dtype)
+    some = np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        out[some] = op.reduceat(x, first[:-1][some], axis=0)
+    return out
+
+
+def others(names: list[str], new) -> list[str]:
+    """The names that none of ``new`` equals, whatever the case: Spark resolves columns so."""
+    taken = {n.lower() for n in new}
+    return [n for n in names if n.lower() not in taken]
+
+
 def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with columns added; an input column of the same name is replaced."""
-    keep = [i for i, n in enumerate(batch.schema.names) if n not in columns]
+    """The batch with columns added; input columns of the same names, in any case, are replaced."""
+    taken = {n.lower() for n in columns}
+    keep = [i for i, n in enumerate(batch.schema.names) if n.lower() not in taken]
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(columns.values()), [batch.schema.names[i] for i in keep] + list(columns))

@@ -9,7 +9,8 @@ The counts are summed on the map side, so that a line of a third of all
 documents is one row a task; the key hashes are kept as a small table, so that
 the texts are normalised once. Positions to drop are looked up by the digest of
 a text, not by id: equal texts are decided once, and null or repeated ids do no
-harm.
+harm. Only texts that may lose a line are shuffled, and those of which there are
+many copies are dealt to several tasks.
 
 Defined cases: a null or empty text is one empty line; keys shorter than
 ``min_key_chars`` are never dropped; every row is a document of its own, also
@@ -22,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.llm.store import unused, written
+from adit.llm.store import KeyFilter, split_join, unused, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -63,13 +64,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, tex
     """
     hashes = written(line_hashes(docs, min_key_chars, text_col), "lines")
     often = written(frequent_keys(hashes, min_docs), "frequent")
-    lines = hashes.dropDuplicates(["tk"]).select("tk", F.posexplode("keys").alias("pos", "k")).where("k is not null")
+    lines = hashes.select("tk", F.posexplode("keys").alias("pos", "k")).where("k is not null")
     lines = lines.select("tk", "pos", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
-    gone = lines.join(often, ["h", "g"], "left_semi").groupBy("tk").agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
-    tk, dropped, lines = (unused(docs, c) for c in ("text_digest", "gone", "lines"))
-    gone = written(gone, "gone").select(F.col("tk").alias(tk), F.col("__gone").alias(dropped))
-
-    out = docs.withColumn(tk, _digest(text_col)).join(gone, tk, "left").drop(tk)
+    maybe = KeyFilter(often, "h", "g").marked(lines, "maybe", F.col("h"), F.col("g")).where("maybe").drop("maybe")
+    tk, dropped, lines, flag = (unused(docs, c) for c in ("text_digest", "gone", "lines", "may_lose"))
+    # copies of a text have the same positions: a set on the map side
+    gone = split_join(maybe, often, ["h", "g"]).groupBy("tk").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+    gone = written(gone.select(F.col("tk").alias(tk), F.col("pos").alias(dropped)), "gone")
+
+    # a digest and a flag are all that texts without such lines need
+    named = KeyFilter(gone, tk).marked(docs.withColumn(tk, _digest(text_col)), flag, F.col(tk))
+    out = split_join(named.where(flag).drop(flag), gone, [tk], hashes.select(F.col("tk").alias(tk)), "left").drop(tk)
+    out = out.unionByName(named.where(f"not {flag}").drop(flag, tk).withColumn(dropped, F.lit(None).cast("array<int>")))
     out = out.withColumn(lines, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
     # The kept lines are the runs between positions to drop: one slice a run, so that the work is linear.
     n = F.size(lines)

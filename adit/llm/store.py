@@ -51,8 +51,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of a key filter: 8 MB, whatever the number of keys.
-FILTER_BITS = 1 << 26
+#: Bits of a key filter: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
 #: Rows of one key that may meet in a task, and the least number of such keys that may be told apart.
 HOT_ROWS, HOT_KEYS = 1024, 20_000
 
@@ -84,20 +84,25 @@ class KeyFilter:
         return at.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, bits)
 
 
-def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """The join of ``many`` with ``one`` (of few rows a key), where a key of ``many`` may be hot.
 
-    ``counts``: rows of ``many``, or more, as keys, if not ``many`` itself is to be counted.
+    ``counts``: rows of ``many``, or more, as keys, if not ``many`` itself is to be counted; ``heavy``: keys
+    with their number of rows (the last column), if that is known already.
     A key of more than HOT_ROWS rows is dealt to several tasks, to each of which
     the rows of ``one`` are sent. Keys are told apart from so many rows on that
     at most HOT_KEYS of them can exist, so that their table can be broadcast.
     """
     n, parts, salt = (unused(many, unused(one, c)) for c in ("hot_rows", "hot_parts", "hot_salt"))
-    sized = (many if counts is None else counts).groupBy(*on).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > HOT_ROWS)
+    if heavy is None:
+        sized = (many if counts is None else counts).groupBy(*on).agg(F.count(F.lit(1)).alias(n))
+    else:
+        sized = heavy.toDF(*on, n)
+    sized = sized.where(F.col(n) > HOT_ROWS)
     total = sized.agg(F.sum(n)).first()[0]
     if not total:
         return many.join(one, on, how)
-    sized = written(sized, "hot")
+    sized = written(sized, "hot") if heavy is None else sized
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(sized.where(F.col(n) > least).select(*on, F.ceil(F.col(n) / least).cast("int").alias(parts)))
     # dealt by what a row holds and by its task: the same when a task is repeated, and equal rows of several tasks part
