@@ -1,47 +1,81 @@
 """The centreline of a tunnel from one trajectory: a few hundred ordered points, fitted on the driver, used as a small table.
 
 Every trajectory is thinned to even arclength steps by Spark before it comes
-here, and ``most`` checks its length.
+here, and ``most`` checks its length. What is not sequential (frames, curvature, residuals) is
+columns of trajectory.py.
 """
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from adit.operators import trajectory
 
 
+def _banded(bands: list[np.ndarray], b: np.ndarray) -> np.ndarray:
+    """The solution of a symmetric positive definite system: ``bands[k]`` is its k-th diagonal, of n - k entries."""
+    width, n = len(bands) - 1, len(b)
+    factor = [[0.0] * n for _ in range(width + 1)]  # factor[k][i]: the entry of row i, k left of the diagonal
+    x = b.tolist()
+    diagonal = factor[0]
+    given = [d.tolist() for d in bands]
+    for i in range(n):
+        for k in range(min(width, i), 0, -1):
+            j = i - k
+            v = given[k][j]
+            for m in range(k + 1, min(width, i) + 1):
+                if m - k <= width and j - (m - k) >= 0:
+                    v -= factor[m][i] * factor[m - k][j] * diagonal[i - m]
+            factor[k][i] = v / diagonal[j]
+        diagonal[i] = given[0][i] - sum(factor[k][i] ** 2 * diagonal[i - k] for k in range(1, min(width, i) + 1))
+        for k in range(1, min(width, i) + 1):
+            f = factor[k][i]
+            x[i] = [u - f * w for u, w in zip(x[i], x[i - k])]
+    for i in range(n - 1, -1, -1):
+        x[i] = [u / diagonal[i] for u in x[i]]
+        for k in range(1, min(width, n - 1 - i) + 1):
+            f = factor[k][i + k]
+            x[i] = [u - f * w for u, w in zip(x[i], x[i + k])]
+    return np.array(x)
+
+
 def smoothed(p: np.ndarray, factor: float) -> np.ndarray:
-    """Points with penalised second differences, the penalty such that the squared residuals sum to factor * n."""
+    """Points with penalised second differences, the penalty such that the squared residuals sum to factor * n.
+
+    A budget that even the straight line of best fit does not use up gives nearly that line.
+    """
     n = len(p)
     if n < 4 or factor <= 0:
         return p
-    d2 = np.diff(np.eye(n), 2, axis=0)
-    penalty, best = d2.T @ d2, p
-    low, high = 1e-6, 1e9
-    for _ in range(60):
+    ones = np.ones(n - 2)
+    place = lambda v, at, size: np.pad(v, (at, size - len(v) - at))
+    # the bands of D'D, D the second differences
+    bands = [place(ones, 0, n) + 4 * place(ones, 1, n) + place(ones, 2, n), -2 * (place(ones, 0, n - 1) + place(ones, 1, n - 1)), ones]
+    best, low, high = p, 1e-6, 1e9
+    for _ in range(40):
         lam = np.sqrt(low * high)
-        best = np.linalg.solve(np.eye(n) + lam * penalty, p)
+        best = _banded([1 + lam * bands[0], lam * bands[1], lam * bands[2]], p)
         low, high = (lam, high) if ((best - p) ** 2).sum() < factor * n else (low, lam)
     return best
 
 
-def _natural(s: np.ndarray, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values and first two derivatives of the natural cubic spline through (s, p)."""
+def _natural(s: np.ndarray, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and first derivatives of the natural cubic spline through (s, p)."""
     n, h = len(s), np.diff(s)
-    a, b = np.eye(n), np.zeros((n, p.shape[1]))
-    for k in range(1, n - 1):
-        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
-        b[k] = 6 * ((p[k + 1] - p[k]) / h[k] - (p[k] - p[k - 1]) / h[k - 1])
-    m = np.linalg.solve(a, b)
+    m = np.zeros_like(p)
+    if n > 2:
+        slope = np.diff(p, axis=0) / h[:, None]
+        m[1:-1] = _banded([2 * (h[:-1] + h[1:]), h[1:-1]], 6 * np.diff(slope, axis=0))
     k = np.clip(np.searchsorted(s, at, "right") - 1, 0, n - 2)
     u, v, w = (at - s[k])[:, None], (s[k + 1] - at)[:, None], h[k][:, None]
     value = (m[k] * v**3 + m[k + 1] * u**3) / (6 * w) + (p[k] / w - m[k] * w / 6) * v + (p[k + 1] / w - m[k + 1] * w / 6) * u
     first = (-m[k] * v**2 + m[k + 1] * u**2) / (2 * w) - (p[k] / w - m[k] * w / 6) + (p[k + 1] / w - m[k + 1] * w / 6)
-    return value, first, (m[k] * v + m[k + 1] * u) / w
+    return value, first
 
 
 def moving_frame(p: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
-    """Rotation-minimising reference vectors along a line, by double reflection, from ``up`` at its start."""
+    """Rotation-minimising reference vectors along a line, by double reflection, from ``up`` at its start, made square to the tangent at each step."""
     r = np.empty_like(p)
     r[0] = up - (up @ t[0]) * t[0]
     r[0] /= np.linalg.norm(r[0])
@@ -51,45 +85,95 @@ def moving_frame(p: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
         ref, tan = (r[k] - 2 / c * (v @ r[k]) * v, t[k] - 2 / c * (v @ t[k]) * v) if c > 0 else (r[k], t[k])
         w = t[k + 1] - tan
         c = w @ w
-        r[k + 1] = ref - 2 / c * (w @ ref) * w if c > 0 else ref
+        turned = ref - 2 / c * (w @ ref) * w if c > 0 else ref
+        turned = turned - (turned @ t[k + 1]) * t[k + 1]
+        r[k + 1] = turned / np.linalg.norm(turned)
     return r
 
 
-def fit(points: np.ndarray, factor: float = 0.05, ds: float = 0.10, gravity: bool = True) -> tuple[list[tuple], dict]:
-    """Rows (k, s, p*, t*, a*, b*) at even arclengths, and length, fit RMS and largest curvature."""
-    p = smoothed(np.asarray(points, float), factor**2)
+def fit(points: np.ndarray, factor: float = 0.05, ds: float = 0.10) -> list[tuple]:
+    """Rows (k, s, p*, t*): places and unit tangents of the smoothed line at even arclengths."""
+    p = smoothed(np.asarray(points, float), factor)
     s = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
     fine = np.linspace(0, s[-1], max(10 * len(p), 100))
-    line, _, _ = _natural(s, p, fine)
+    line, _ = _natural(s, p, fine)
     arc = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(line, axis=0), axis=1))])
-    n = max(int(arc[-1] // ds) + 1, 2)
-    even = np.linspace(0, arc[-1], n)
-    at, d1, d2 = _natural(s, p, np.interp(even, arc, fine))
-    size = np.linalg.norm(d1, axis=1, keepdims=True)
-    t = d1 / size
-    kappa = np.linalg.norm(np.cross(d1, d2), axis=1) / np.maximum(size[:, 0] ** 3, 1e-12)
+    even = np.linspace(0, arc[-1], max(int(arc[-1] // ds) + 1, 2))
+    at, slope = _natural(s, p, np.interp(even, arc, fine))
+    t = slope / np.linalg.norm(slope, axis=1, keepdims=True)
+    return [(k, float(even[k]), *map(float, (*at[k], *t[k]))) for k in range(len(even))]
+
+
+_PLACES = ", ".join(f"{v}{c} double" for v in "pt" for c in "xyz")
+
+
+def framed(spark: SparkSession, rows: list[tuple], gravity: bool = True) -> DataFrame:
+    """The frame table (k, s, p*, t*, a*, b*) of fit()'s rows: up and side from gravity, or without twist from the start."""
+    line = spark.createDataFrame(rows, f"k long, s double, {_PLACES}")
     if gravity:
-        a = np.array([0.0, 0, 1]) - t[:, 2:3] * t
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
-    else:
-        a = moving_frame(at, t, np.array([0.0, 0, 1]) if abs(t[0, 2]) < 0.9 else np.array([1.0, 0, 0]))
-    b = np.cross(t, a)
-    b /= np.linalg.norm(b, axis=1, keepdims=True)
-    off = np.sqrt(((np.asarray(points)[:, None, :] - at[None, :, :]) ** 2).sum(2).min(1))
-    rows = [(k, float(even[k]), *map(float, (*at[k], *t[k], *a[k], *b[k]))) for k in range(n)]
-    return rows, {"length_m": float(arc[-1]), "fit_rms_m": float(np.sqrt((off**2).mean())), "kappa_max_1pm": float(kappa.max())}
-
-
-def centreline(spark: SparkSession, traj: DataFrame, step: float = 0.5, factor: float = 0.05, ds: float = 0.10, gravity: bool = True, most: int = 20_000) -> tuple[DataFrame, dict]:
-    """The frame table of one run's outbound leg, for trajectory.cylindrical()."""
-    leg = trajectory.resampled(trajectory.without_repeats(trajectory.outbound_leg(traj)), step).orderBy("k").limit(most + 1).toPandas()
-    if not 4 <= len(leg) <= most:
-        raise ValueError(f"{len(leg)} points after thinning; between 4 and {most} are needed")
-    rows, info = fit(leg[["x", "y", "z"]].to_numpy(), factor, ds, gravity)
-    names = ", ".join(f"{v}{c} double" for v in "ptab" for c in "xyz")
-    return spark.createDataFrame(rows, f"k long, s double, {names}"), info
-
-
-def sweep(points: np.ndarray, factors: tuple[float, ...] = (0.02, 0.05, 0.1), steps: tuple[float, ...] = (0.05, 0.1, 0.25)) -> list[dict]:
-    """Length, RMS and curvature for a grid of smoothing settings."""
-    return [{"factor": f, "ds": d} | fit(points, f, d)[1] for f in factors for d in steps]
+        return trajectory.gravity_frame(line)
+    x = np.array(rows)
+    t = x[:, 5:8]
+    a = moving_frame(x[:, 2:5], t, np.array([0.0, 0, 1]) if abs(t[0, 2]) < 0.9 else np.array([1.0, 0, 0]))
+    up = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(a)], "k long, ax double, ay double, az double")
+    return trajectory.with_side(line.join(up, "k"))
+
+
+def measured(frame: DataFrame, leg: DataFrame) -> dict[str, float]:
+    """Length, RMS distance of the leg from the line, largest curvature and largest tilt of the tangent from level, in degrees."""
+    near = trajectory.nearest(leg.select(*trajectory.XYZ), frame)
+    line = frame.select(F.lit(0).alias("run_id"), "k", *[F.col("p" + c).alias(c) for c in trajectory.XYZ])
+    ends = frame.agg(F.max("s").alias("length_m"), F.max(F.degrees(F.asin(F.least(F.abs("tz"), F.lit(1.0))))).alias("tilt_max_deg")).first()
+    kappa = trajectory.curvature(line).agg(F.max("kappa")).first()[0]
+    return {"length_m": ends.length_m, "fit_rms_m": near.agg(F.sqrt(F.avg(F.col("distance") ** 2))).first()[0], "kappa_max_1pm": kappa, "tilt_max_deg": ends.tilt_max_deg}
+
+
+def thinned(traj: DataFrame, step: float = 0.5, most: int = 20_000) -> DataFrame:
+    """The outbound leg of one run at even arclengths, with its number of points checked."""
+    leg = trajectory.resampled(trajectory.without_repeats(trajectory.outbound_leg(traj)), step)
+    n = leg.count()
+    if not 4 <= n <= most:
+        raise ValueError(f"{n} points after thinning; between 4 and {most} are needed")
+    return leg
+
+
+def centreline(spark: SparkSession, traj: DataFrame, step: float = 0.5, factor: float = 0.05, ds: float = 0.10, gravity: bool = True, most: int = 20_000, toward: tuple[float, float, float] | None = None) -> tuple[DataFrame, dict]:
+    """The frame table of one run's outbound leg, for trajectory.cylindrical(), and what measured() says of it.
+
+    ``toward``: a point that is to lie in the farther half; else the line is turned round.
+    """
+    leg = thinned(traj, step, most)
+    points = leg.orderBy("k").select("x", "y", "z").toPandas().to_numpy()
+    frame = framed(spark, fit(points, factor, ds), gravity)
+    info = measured(frame, leg)
+    if toward is not None:
+        there = spark.createDataFrame([tuple(map(float, toward))], "x double, y double, z double")
+        if trajectory.cylindrical(there, frame).first().s < info["length_m"] / 2:
+            frame = trajectory.turned_round(frame)
+    return frame, info
+
+
+def sweep(spark: SparkSession, points: np.ndarray, factors: tuple[float, ...] = (0.01, 0.05, 0.2), steps: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
+    """(factor, ds, n, length_m, kappa_max_1pm) for a grid of smoothing settings, each fitted in a task of its own."""
+    grid = spark.createDataFrame([(f, d) for f in factors for d in steps], "factor double, ds double")
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        rows = np.array(fit(points, f["factor"].iloc[0], f["ds"].iloc[0]))
+        turn = np.linalg.norm(np.diff(rows[:, 5:8], axis=0), axis=1) / np.maximum(np.diff(rows[:, 1]), 1e-12)
+        return f.assign(n=len(rows), length_m=rows[-1, 1], kappa_max_1pm=turn.max())
+
+    return grid.groupBy("factor", "ds").applyInPandas(one, "factor double, ds double, n long, length_m double, kappa_max_1pm double")
+
+
+def curvature_peaks(kappas: DataFrame, key: str = "run_id", share: float = 0.9) -> DataFrame:
+    """Local maxima of curvature (key, k, kappa) that reach the ``share`` percentile of their run.
+
+    A flat top counts once, at its middle (the lower one of two); tops at either end of a run are none.
+    """
+    by = Window.partitionBy(key).orderBy("k")
+    new = F.coalesce(F.col("kappa") != F.lag("kappa").over(by), F.lit(True)).cast("int")
+    flat = kappas.withColumn("top", F.sum(new).over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "top").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.first("kappa").alias("kappa"))
+    order = Window.partitionBy(key).orderBy("top")
+    peaks = flat.withColumn("before", F.lag("kappa").over(order)).withColumn("after", F.lead("kappa").over(order)).where("kappa > before and kappa > after")
+    limit = kappas.groupBy(key).agg(F.percentile("kappa", F.lit(float(share))).alias("limit"))
+    return peaks.join(limit, key).where("kappa >= limit").select(key, F.expr("(lo + hi) div 2").alias("k"), "kappa")

@@ -224,9 +224,15 @@ def gravity_frame(line: DataFrame) -> DataFrame:
     up = {"x": -F.col("tz") * F.col("tx"), "y": -F.col("tz") * F.col("ty"), "z": 1 - F.col("tz") ** 2}
     size = F.sqrt(sum((up[c] ** 2 for c in XYZ), F.lit(0.0)))
     rows = line.select("*", *[(up[c] / size).alias(f"a{c}") for c in XYZ])
+    return with_side(rows)
+
+
+def with_side(line: DataFrame) -> DataFrame:
+    """The samples with side vectors b* = t x a, of unit length."""
     t, a = (lambda c: F.col(f"t{c}")), (lambda c: F.col(f"a{c}"))
     side = {"x": t("y") * a("z") - t("z") * a("y"), "y": t("z") * a("x") - t("x") * a("z"), "z": t("x") * a("y") - t("y") * a("x")}
-    return rows.select("*", *[side[c].alias(f"b{c}") for c in XYZ])
+    size = F.sqrt(sum((v**2 for v in side.values()), F.lit(0.0)))
+    return line.select("*", *[(side[c] / size).alias(f"b{c}") for c in XYZ])
 
 
 def curvature(line: DataFrame, key: str = "run_id") -> DataFrame:

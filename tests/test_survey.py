@@ -77,27 +77,44 @@ def test_pattern_volumes():
 
 def test_ground_truth_axis(spark):
     frame, info = centreline.centreline(spark, phantom.out_and_back(spark), factor=0.05, ds=0.5)
-    assert abs(info["length_m"] - 100) < 1.5 and info["fit_rms_m"] < 0.15
+    assert abs(info["length_m"] - 100) < 1.5 and info["fit_rms_m"] < 0.15 and info["tilt_max_deg"] > 85
     ends = frame.orderBy("k").toPandas()
     axis = ends[["px", "py", "pz"]].to_numpy()[[0, -1]]
     angle = math.degrees(math.acos(abs((axis[1] - axis[0])[2]) / np.linalg.norm(axis[1] - axis[0])))
     assert angle < 1
 
 
-def test_frames_are_orthonormal():
+def test_smoothing_budget():
+    r = np.random.default_rng(4)
+    t = np.linspace(0, 40, 300)
+    p = np.column_stack([t, np.sin(t / 3), 0 * t]) + r.normal(0, 0.05, (300, 3))
+    q = centreline.smoothed(p, 0.005)
+    assert ((p - q) ** 2).sum() == pytest.approx(0.005 * 300, rel=1e-3)
+    bands = [np.full(50, 7.0), np.full(49, -2.0), np.full(48, 1.0)]
+    full = sum(np.diag(b, k) + (np.diag(b, -k) if k else 0) for k, b in enumerate(bands))
+    b = r.normal(size=(50, 2))
+    assert np.allclose(full @ centreline._banded(bands, b), b)
+
+
+def test_frames_are_orthonormal(spark):
     t = np.linspace(0, 3, 60)
+    line = np.column_stack([10 * np.sin(t / 2), 10 * np.cos(t / 2), t])
     for gravity in (True, False):
-        rows, _ = centreline.fit(np.column_stack([10 * np.sin(t / 2), 10 * np.cos(t / 2), t]), 0.01, 0.2, gravity)
-        f = np.array(rows)[:, 2:].reshape(-1, 4, 3)
-        for u, v in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3)):
-            assert np.allclose((f[:, u] * f[:, v]).sum(1), u == v, atol=2e-2 if u != v else 1e-6)
-    assert len(centreline.sweep(np.column_stack([t, t * 0, t * 0]))) == 9
+        f = centreline.framed(spark, centreline.fit(line, 0.01, 0.2), gravity).orderBy("k").select(*[f"{v}{c}" for v in "tab" for c in "xyz"]).toPandas().to_numpy().reshape(-1, 3, 3)
+        for u, v in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)):
+            assert np.allclose((f[:, u] * f[:, v]).sum(1), u == v, atol=1e-9)
+    swept = centreline.sweep(spark, line).collect()
+    assert len(swept) == 9 and all(abs(r.kappa_max_1pm - 0.1) < 0.15 for r in swept)
+
+
+def test_curvature_peaks(spark):
+    kappa = [0, 1, 0, 2, 2, 2, 1, 3, 3, 1, 5, 5]
+    got = centreline.curvature_peaks(spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(kappa)], "run_id int, k long, kappa double"), share=0.5)
+    assert sorted((r.k, r.kappa) for r in got.collect()) == [(4, 2.0), (7, 3.0)]
 
 
 def test_cylindrical_round_trip(spark):
-    rows, _ = centreline.fit(np.column_stack([np.linspace(0, 20, 41), np.zeros(41), np.zeros(41)]), 0, 0.5)
-    names = ", ".join(f"{v}{c} double" for v in "ptab" for c in "xyz")
-    frame = spark.createDataFrame(rows, f"k long, s double, {names}")
+    frame = centreline.framed(spark, centreline.fit(np.column_stack([np.linspace(0, 20, 41), np.zeros(41), np.zeros(41)]), 0, 0.5))
     points = spark.createDataFrame([(k, float(k), 1.0 + k / 10, -170.0 + 30 * k) for k in range(12)], "pid long, s double, r double, theta double")
     back = trajectory.cylindrical(trajectory.from_cylindrical(points, frame).select("pid", "x", "y", "z"), frame)
     for a, b in zip(points.orderBy("pid").collect(), back.orderBy("pid").collect()):
