@@ -58,10 +58,40 @@ def test_warc_faults():
     assert [h["warc-type"] for h, *_ in warc.records(io.BytesIO(one + two))] == ["response", "revisit"]
     bad = gzip.compress(gzip.decompress(one).replace(b"abc", b"abd"))
     assert [good for *_, good in warc.records(io.BytesIO(bad + two))] == [False, True]
+    assert [(n, d) for _, n, d, *_ in warc.records(io.BytesIO(bad))] == [(3, warc._sha1(b"abd"))]
     with pytest.raises(ValueError, match="ends within"):
         list(warc.records(io.BytesIO(one + two[:-20])))
 
 
+def test_warc_reads_only_files_that_counted(spark, tmp_path):
+    """A second attempt and a damaged left-over change nothing; a damaged file that counts is an error."""
+    frame = spark.createDataFrame([(k, "u", f"page {k % 5}") for k in range(40)], "page_id long, url string, html string")
+    rows = warc.with_revisits(frame)
+    path = f"file://{tmp_path}/w"
+    files = written(warc.write_archives(rows, path, max_bytes=500))
+    warc.write_archives(rows, path, max_bytes=500).count()
+    (tmp_path / "w" / "part-00000-00000-x.warc.gz").write_bytes(b"junk")
+    got = warc.read_archives(files).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and sum(r.record_type == "response" for r in got) == 5
+    hurt = tmp_path / "w" / "hurt.warc.gz"
+    hurt.write_bytes(gzip.compress(gzip.decompress(warc.record(1, "u", b"abc", None)).replace(b"abc", b"abd")))
+    bad = spark.createDataFrame([(f"file://{hurt}",)], "path string")
+    assert not warc.read_archives(bad, strict=False).first().verified
+    with pytest.raises(Exception, match="don't hold"):
+        warc.read_archives(bad).collect()
+
+
+def test_warc_hot_payload(spark):
+    n = 3000
+    frame = spark.range(n).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, 'same', concat('own ', id div 2)) as html")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(written(warc.write_archives(warc.with_revisits(frame), new_path(spark, "warc")))).collect()}
+    first = {}
+    for k in range(n):
+        first.setdefault("same" if k % 3 == 0 else k // 2, k)
+    want = {k: ("response", None) if (f := first["same" if k % 3 == 0 else k // 2]) == k else ("revisit", f) for k in range(n)}
+    assert got == want
+
+
 def test_warc_empty(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     files = written(warc.write_archives(warc.with_revisits(frame), new_path(spark, "warc")))
