@@ -5,14 +5,16 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.operators.graph import components
+from adit.operators import volume
+from adit.operators.graph import components, kept
 
 
-def free_runs(cells: DataFrame, pad: int = 1) -> DataFrame:
+def free_runs(cells: DataFrame, pad: int = 1, planes: list[tuple[tuple[float, ...], tuple[float, ...]]] | None = None, h: float = 1.0) -> DataFrame:
     """Runs (cloud_id, ix, iy, lo, hi, outside) of free cells along z in the cells' box, widened by ``pad``.
 
     Only runs between walls are made, not the free cells, so the size follows
-    the walls. A run that touches the box is marked.
+    the walls. A run that touches the box is marked. ``planes``: (point, normal) of end caps; cells of edge h whose
+    centres lie behind one count as wall, by cutting the runs there.
     """
     box = cells.groupBy("cloud_id").agg(*[f(f"i{c}").alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     box = box.select("cloud_id", *[(F.col(f"lo{c}") - pad).alias(f"lo{c}") for c in "xyz"], *[(F.col(f"hi{c}") + pad).alias(f"hi{c}") for c in "xyz"])
@@ -22,19 +24,91 @@ def free_runs(cells: DataFrame, pad: int = 1) -> DataFrame:
     by = Window.partitionBy("cloud_id", "ix", "iy").orderBy("iz")
     gaps = ends.unionByName(walls).withColumn("next", F.lead("iz").over(by)).where("next > iz + 1")
     rim = (F.col("ix") == F.col("lox")) | (F.col("ix") == F.col("hix")) | (F.col("iy") == F.col("loy")) | (F.col("iy") == F.col("hiy"))
-    lo, hi = F.col("iz") + 1, F.col("next") - 1
-    return gaps.select("cloud_id", "ix", "iy", lo.alias("lo"), hi.alias("hi"), (rim | (lo == F.col("loz")) | (hi == F.col("hiz"))).alias("outside"))
+    gaps = gaps.withColumn("lo", F.col("iz") + 1).withColumn("hi", F.col("next") - 1)
+    for p, n in planes or []:
+        # (centre - p) . n >= 0, with the centre's z as the only unknown of a run
+        side = (F.col("ix") + 0.5) * (h * n[0]) + (F.col("iy") + 0.5) * (h * n[1]) - sum(a * b for a, b in zip(p, n))
+        if abs(n[2]) < 1e-12:
+            gaps = gaps.where(side >= 0)
+        else:
+            edge = -side / (h * n[2]) - 0.5
+            gaps = gaps.withColumn("lo", F.greatest("lo", F.ceil(edge))) if n[2] > 0 else gaps.withColumn("hi", F.least("hi", F.floor(edge)))
+    gaps = gaps.where("lo <= hi")
+    return gaps.select("cloud_id", "ix", "iy", "lo", "hi", (rim | (F.col("lo") == F.col("loz")) | (F.col("hi") == F.col("hiz"))).alias("outside"))
+
+
+def labelled(runs: DataFrame) -> DataFrame:
+    """The runs with ``root``, which names the 6-connected space that they belong to."""
+    runs = kept(runs.withColumn("v", F.struct("cloud_id", "ix", "iy", "lo")))
+    near = runs.select("cloud_id", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("v").alias("a"), F.explode(F.array(F.struct((F.col("ix") + 1).alias("ix"), F.col("iy").alias("iy")), F.struct(F.col("ix").alias("ix"), (F.col("iy") + 1).alias("iy")))).alias("n"))
+    near = near.select("cloud_id", "n.ix", "n.iy", "lo2", "hi2", "a")
+    edges = runs.join(near, ["cloud_id", "ix", "iy"]).where("lo <= hi2 and lo2 <= hi").select("a", F.col("v").alias("b"))
+    return runs.join(components(runs.select("v"), edges), "v").drop("v")
+
+
+def spaces(runs: DataFrame) -> DataFrame:
+    """(cloud_id, root, n, outside): the spaces of labelled runs with their cells; those that reach the box are outside."""
+    return runs.groupBy("cloud_id", "root").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"), F.bool_or("outside").alias("outside"))
 
 
 def cavities(cells: DataFrame, pad: int = 1) -> DataFrame:
-    """(cloud_id, root, n, outside): 6-connected components of free space with their cells; those that reach the box are outside."""
-    name = F.struct("cloud_id", "ix", "iy", "lo")
-    runs = free_runs(cells, pad).withColumn("v", name)
-    near = runs.select("cloud_id", "lo", "hi", F.col("v").alias("a"), F.explode(F.array(F.struct((F.col("ix") + 1).alias("ix"), F.col("iy").alias("iy")), F.struct(F.col("ix").alias("ix"), (F.col("iy") + 1).alias("iy")))).alias("n"))
-    near = near.select("cloud_id", "n.ix", "n.iy", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "a")
-    edges = runs.join(near, ["cloud_id", "ix", "iy"]).where("lo <= hi2 and lo2 <= hi").select("a", F.col("v").alias("b"))
-    labels = components(runs.select("v"), edges)
-    return runs.join(labels, "v").groupBy("cloud_id", "root").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"), F.bool_or("outside").alias("outside"))
+    """spaces() of the free cells between walls."""
+    return spaces(labelled(free_runs(cells, pad)))
+
+
+def largest_air(runs: DataFrame) -> DataFrame:
+    """The cells (cloud_id, ix, iy, iz) of each cloud's largest enclosed space, from labelled runs."""
+    best = spaces(runs).where("not outside").groupBy("cloud_id").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
+    return runs.join(best, ["cloud_id", "root"], "left_semi").select("cloud_id", "ix", "iy", F.explode(F.sequence("lo", "hi")).alias("iz"))
+
+
+def box_cells(points: DataFrame, h: float, pad: int = 3) -> int:
+    """Cells of the largest cloud's box, widened by ``pad`` cells."""
+    span = points.groupBy("cloud_id").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"])
+    n = F.lit(1.0)
+    for c in "xyz":
+        n = n * (F.ceil(F.col(c) / h + 2 * pad) + 1)
+    return int(span.agg(F.max(n)).first()[0] or 0)
+
+
+def voxel_volumes(points: DataFrame, sizes: list[float], seal: int = 1, planes: list | None = None, budget: int = 200_000_000, floor_m3: float = 1.0) -> DataFrame:
+    """(cloud_id, h, seal, n_air, v_voxel, v_surface, leaked) of the largest enclosed space for each edge, from coarse to fine.
+
+    Walls are thickened by ``seal`` cells before spaces are told apart and the space is widened by as many after.
+    An edge whose box has more cells than ``budget`` is left out; a space below ``floor_m3`` says that the shell leaks, and has no volume.
+    """
+    found = None
+    for h in sorted(sizes, reverse=True):
+        if box_cells(points, h) > budget:
+            continue
+        walls = kept(volume.dilated(volume.voxels(points, h), seal))
+        runs = kept(labelled(free_runs(walls, 1 + seal, planes, h)))
+        inner = spaces(runs).groupBy("cloud_id").agg(F.coalesce(F.max(F.when(~F.col("outside"), F.col("n"))), F.lit(0)).alias("n_air"))
+        air = kept(volume.dilated(largest_air(runs), seal))
+        counts = air.groupBy("cloud_id").agg((F.count(F.lit(1)) * F.lit(h**3)).alias("v_voxel"))
+        clouds = walls.select("cloud_id").distinct()
+        rows = clouds.join(inner, "cloud_id", "left").join(counts, "cloud_id", "left").join(surface_volume(air, h).withColumnRenamed("volume", "v_surface"), "cloud_id", "left")
+        leaked = F.coalesce("n_air", F.lit(0)) * F.lit(h**3) < floor_m3
+        rows = rows.select("cloud_id", F.lit(float(h)).alias("h"), F.lit(seal).alias("seal"), F.coalesce("n_air", F.lit(0)).alias("n_air"), F.when(~leaked, F.col("v_voxel")).alias("v_voxel"), F.when(~leaked, F.col("v_surface")).alias("v_surface"), leaked.alias("leaked"))
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise ValueError("every voxel size exceeds the budget")
+    return kept(found)
+
+
+def best_volume(volumes: DataFrame) -> DataFrame:
+    """For each cloud the surface volume at the finest edge that does not leak, the voxel volume extended to h = 0 (of two edges or more) and whether any leaked."""
+    fine = F.when(~F.col("leaked"), F.col("h"))
+    line = F.when(F.count(fine) >= 2, F.regr_intercept(F.when(~F.col("leaked"), F.col("v_voxel")), fine))
+    return volumes.groupBy("cloud_id").agg(F.min_by("v_surface", fine).alias("volume"), F.min(fine).alias("h"), line.alias("v_extrapolated"), F.bool_or("leaked").alias("leaked"))
+
+
+def seal_table(points: DataFrame, sizes: list[float], seals: list[int], **settings) -> DataFrame:
+    """voxel_volumes() for each number of sealing steps."""
+    parts = [voxel_volumes(points, sizes, seal, **settings) for seal in seals]
+    for p in parts[1:]:
+        parts[0] = parts[0].unionByName(p)
+    return parts[0]
 
 
 def largest_cavity(cells: DataFrame, h: float, floor_m3: float = 0.0) -> DataFrame:
@@ -71,10 +145,6 @@ def surface_volume(cells: DataFrame, h: float) -> DataFrame:
 
 def solid(cells: DataFrame) -> DataFrame:
     """The cells of all enclosed free space (cloud_id, ix, iy, iz)."""
-    name = F.struct("cloud_id", "ix", "iy", "lo")
-    runs = free_runs(cells).withColumn("v", name)
-    inner = cavities(cells).where("not outside").select("cloud_id", "root")
-    near = runs.select("cloud_id", "lo", "hi", F.col("v").alias("a"), F.explode(F.array(F.struct((F.col("ix") + 1).alias("ix"), F.col("iy").alias("iy")), F.struct(F.col("ix").alias("ix"), (F.col("iy") + 1).alias("iy")))).alias("n"))
-    near = near.select("cloud_id", "n.ix", "n.iy", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "a")
-    labels = components(runs.select("v"), runs.join(near, ["cloud_id", "ix", "iy"]).where("lo <= hi2 and lo2 <= hi").select("a", F.col("v").alias("b")))
-    return runs.join(labels, "v").join(inner, ["cloud_id", "root"], "left_semi").select("cloud_id", "ix", "iy", F.explode(F.sequence("lo", "hi")).alias("iz"))
+    runs = kept(labelled(free_runs(cells)))
+    inner = spaces(runs).where("not outside").select("cloud_id", "root")
+    return runs.join(inner, ["cloud_id", "root"], "left_semi").select("cloud_id", "ix", "iy", F.explode(F.sequence("lo", "hi")).alias("iz"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.operators import trajectory
 from adit.operators.grid import Grid
 
 #: Extremes that a hull is first thinned by
@@ -111,12 +112,24 @@ def faces(placed: DataFrame, tips: DataFrame, g: Grid) -> DataFrame:
     return rows.select("cloud_id", F.explode(made).alias("f")).select("cloud_id", *[F.col(f"f.{c}.v").alias(c) for c in "abc"], *[F.col(f"f.{c}.{d}").alias(c + d) for c in "abc" for d in "xyz"])
 
 
-def mesh(cells: DataFrame, g: Grid, to_ends: bool = True) -> DataFrame:
-    """faces() of a grid about a straight axis."""
-    placed = straight(rings(cells, g, to_ends))
-    ends = placed.groupBy("cloud_id").agg(F.min("s").alias("z0"), F.max("s").alias("z1"))
-    zero = F.lit(0.0)
-    return faces(placed, ends.select("cloud_id", zero.alias("x0"), zero.alias("y0"), "z0", zero.alias("x1"), zero.alias("y1"), "z1"), g)
+def placed_on(rows: DataFrame, frame: DataFrame | None) -> DataFrame:
+    """(s, r, theta) with x, y, z: about a centreline, or about a straight axis along z without one."""
+    return straight(rows) if frame is None else trajectory.from_cylindrical(rows, frame)
+
+
+def mesh(cells: DataFrame, g: Grid, to_ends: bool = True, frame: DataFrame | None = None) -> DataFrame:
+    """faces() of a grid about a centreline, or a straight axis; the tips lie on it at both ends of the rings."""
+    rows = rings(cells, g, to_ends)
+    ends = rows.groupBy("cloud_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    tips = ends.select("cloud_id", F.posexplode(F.array("lo", "hi")).alias("end", "s")).withColumn("r", F.lit(0.0)).withColumn("theta", F.lit(0.0))
+    at = lambda c, k: F.max(F.when(F.col("end") == k, F.col(c))).alias(f"{c}{k}")
+    return faces(placed_on(rows, frame), placed_on(tips, frame).groupBy("cloud_id").agg(*[at(c, k) for k in (0, 1) for c in "xyz"]), g)
+
+
+def profile_cloud(cells: DataFrame, g: Grid, frame: DataFrame | None = None) -> DataFrame:
+    """(cloud_id, i, j, s, r, theta, x, y, z, interpolated): the known cells of a filled grid as points."""
+    rows = cells.where("r is not null").select("cloud_id", "i", "j", g.centre().alias("s"), "r", ((F.col("j") + 0.5) * g.dt - 180.0).alias("theta"), "interpolated")
+    return placed_on(rows, frame).select("cloud_id", "i", "j", "s", "r", "theta", "x", "y", "z", "interpolated")
 
 
 def vertices(meshed: DataFrame) -> DataFrame:

@@ -44,9 +44,11 @@ def check_caps(caps: DataFrame, max_r: float = 5.0) -> None:
         raise ValueError(f"{n} caps, up to {r} m off the centreline; two within {max_r} m are needed")
 
 
-def measure(cloud: DataFrame, cfg: Config = Config(), hull: bool = False) -> dict[str, DataFrame]:
+def measure(cloud: DataFrame, cfg: Config = Config(), hull: bool = False, frame: DataFrame | None = None, mesh: bool = True) -> dict[str, DataFrame]:
     """All results of clouds (cloud_id, pid, s, r, theta), as DataFrames.
 
+    ``frame``: the centreline that s follows; without one the axis is straight.
+
     The points are shuffled once, into a table of cell radii; everything else
     works on at most n_slabs x n_theta rows a cloud. The mesh is made of the grid filled in both directions at once.
     """
@@ -56,16 +58,21 @@ def measure(cloud: DataFrame, cfg: Config = Config(), hull: bool = False) -> dic
     cells = kept(along_filled(circular_filled(raw, g, cfg.min_coverage)))
     slabs = kept(volume.slab_areas(cells, g))
     profiles = volume.trapezoid_volume(slabs, g)
-    meshes = volume.mesh_volume(volume.mesh(filled_2d(raw, g), g))
-    volumes = profiles.select("cloud_id", F.lit("profiles").alias("method"), "volume").unionByName(meshes.select("cloud_id", F.lit("surface_mesh").alias("method"), "volume"))
+    volumes = profiles.select("cloud_id", F.lit("profiles").alias("method"), "volume")
+    out = {}
+    if mesh:
+        out["mesh"] = kept(volume.mesh(filled_2d(raw, g), g, frame=frame))
+        out["mesh_closed"] = volume.closed_check(out["mesh"])
+        volumes = volumes.unionByName(volume.mesh_volume(out["mesh"]).select("cloud_id", F.lit("surface_mesh").alias("method"), "volume"))
     volumes = volumes.unionByName(volume.simpson_volume(slabs, g).select("cloud_id", F.lit("profiles_simpson").alias("method"), "volume"))
     if hull:
-        ring = volume.hull_areas(volume.cartesian(cloud).withColumn("i", F.floor((F.col("z") - g.s0) / g.ds))).withColumn("s", g.centre()).withColumn("frac_interp", F.lit(0.0))
+        inside = cloud.where((F.col("s") >= g.s0) & (F.col("s") < g.s0 + g.n_slabs * g.ds))
+        ring = volume.hull_areas(volume.cartesian(inside).withColumn("i", F.floor((F.col("z") - g.s0) / g.ds))).withColumn("s", g.centre()).withColumn("frac_interp", F.lit(0.0))
         volumes = volumes.unionByName(volume.trapezoid_volume(ring, g).select("cloud_id", F.lit("hull_bound").alias("method"), "volume"))
-    return {
-        "volumes": volumes, "profiles": profiles, "slabs": slabs, "cells": cells, "coverage": coverage_total(raw, g),
+    return out | {
+        "volumes": volumes, "profiles": profiles, "profile_cloud": volume.profile_cloud(cells, g, frame), "slabs": slabs, "cells": cells, "coverage": coverage_total(raw, g),
         "golden": compare.golden_segment(raw, g, cfg.golden_length_m, cfg.golden_coverage), "segments": compare.segment_volumes(volume.cumulative_volume(slabs), cfg.segment_m),
-        "lateral": compare.delta_by_theta(raw, g), "lateral_summary": compare.delta_summary(raw, g),
+        "lateral": compare.delta_by_theta(raw, g), "lateral_summary": compare.delta_summary(raw, g), "bimodal": raw.groupBy("cloud_id", "i").agg(F.count_if("bimodal").alias("n_bimodal")).where("n_bimodal > 0"),
     }
 
 

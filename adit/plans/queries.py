@@ -156,9 +156,7 @@ def radius_hist(s, d):
 
 @query
 def profile_cloud(s, d):
-    c = filled_grid(view(s, d, "cloud_gappy"), G).where("r is not null")
-    t = F.radians((F.col("j") + 0.5) * G.dt - 180.0)
-    return rounded(c.select("cloud_id", "i", "j", (F.col("r") * F.cos(t)).alias("x"), (F.col("r") * F.sin(t)).alias("y"), G.centre().alias("z"), "interpolated"))
+    return rounded(volume.profile_cloud(filled_grid(view(s, d, "cloud_gappy"), G), G).select("cloud_id", "i", "j", "x", "y", "z", "interpolated"))
 
 
 @query

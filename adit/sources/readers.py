@@ -9,18 +9,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Fixed names of a dataset's files; of several the first that is there counts.
+SURVEY_FILES = {
+    "ref_ply": ("rtc_clean_1cm.ply",), "targets_ref": ("targets_leica.txt",), "caps": ("caps.txt",), "targets_mobile": ("targets_livox.txt",),
+    "trajectory": ("trajectory.txt", "trajectory_transformed.txt"), "registration": ("transformation_matrix.txt", "tranformation_matrix.txt", "registration_livox_to_leica.txt"),
+}
 TUM = ("t", "x", "y", "z", "qx", "qy", "qz", "qw")
 _PLY_TYPES = {"float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8", "uchar": "<u1", "uint8": "<u1", "char": "<i1", "int8": "<i1", "short": "<i2", "ushort": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4"}
 
 
 def trajectory(spark: SparkSession, path: str, run_id: str = "run") -> DataFrame:
-    """Lines ``t x y z qx qy qz qw`` without comments; ``seq`` is the order in the file. Four numbers are enough."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    rows = text.where(~F.col("value").rlike(r"^\s*(#|$)")).select("line", F.split(F.trim("value"), r"[\s,]+").alias("v"))
+    """Lines ``t x y z qx qy qz qw`` without comments; ``seq`` is the order in the file. Four numbers are enough.
+
+    Lines are read in splits of the file: their order is that of the splits and of the lines within each.
+    With several files each is a run of its own, named ``run_id`` and its file name.
+    """
+    if path.lower().endswith(".ply"):
+        raise ValueError("a point cloud is no trajectory: it has no times")
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"))
+    rows = text.where(~F.col("value").rlike(r"^\s*(#|$)")).select("file", "line", F.split(F.trim("value"), r"[\s,]+").alias("v"))
     number = [F.try_element_at("v", F.lit(k + 1)).try_cast("double").alias(c) for k, c in enumerate(TUM)]
-    rows = rows.select(F.lit(run_id).alias("run_id"), "line", F.size("v").alias("n"), *number)
-    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("line"))
-    return rows.where("n >= 4").select("run_id", seq.alias("seq"), *TUM)
+    rows = rows.select("file", "line", F.size("v").alias("n"), *number).where("n >= 4")
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("line")))
+    many = F.count_distinct("file")
+    several = rows.agg(many.alias("files")).first().files > 1
+    name = F.concat(F.lit(run_id + "/"), F.element_at(F.split("file", "/"), -1)) if several else F.lit(run_id)
+    return rows.select(name.alias("run_id"), "seq", *TUM)
+
+
+def registered_trajectory(spark: SparkSession, path: str, matrix: list[list[float]], run_id: str = "run") -> DataFrame:
+    """A trajectory in the reference frame: its places under the 4x4 matrix; every line must have all eight numbers."""
+    from adit.operators.trajectory import transformed
+
+    traj = trajectory(spark, path, run_id)
+    if bad := traj.where(" or ".join(f"{c} is null" for c in TUM)).limit(1).collect():
+        raise ValueError(f"{path}: line {bad[0].seq} of the poses lacks some of {' '.join(TUM)}")
+    return transformed(traj, matrix)
 
 
 def targets(spark: SparkSession, path: str, cloud_id: str) -> DataFrame:
@@ -32,6 +56,13 @@ def targets(spark: SparkSession, path: str, cloud_id: str) -> DataFrame:
     return rows.select(F.lit(cloud_id).alias("cloud_id"), (F.row_number().over(Window.orderBy("line")) - 1).alias("idx"), "x", "y", "z")
 
 
+def rims(spark: SparkSession, path: str) -> DataFrame:
+    """(mouth, x, y, z): the last three numbers of each line of CSV files, a mouth a file."""
+    v = F.split(F.trim("value"), r"\s*,\s*")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("mouth"), F.slice(v, F.size(v) - 2, 3).alias("v"))
+    return rows.select("mouth", *[F.col("v")[k].try_cast("double").alias(c) for k, c in enumerate("xyz")]).where("x is not null and y is not null and z is not null")
+
+
 def registration(spark: SparkSession, path: str) -> list[list[float]]:
     """A 4x4 matrix of numbers; anything else is an error."""
     rows = [list(map(float, r.value.replace(",", " ").split())) for r in spark.read.text(path).where("trim(value) <> ''").limit(17).collect()]
@@ -90,11 +121,41 @@ def config_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["file", "name"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def sweep_space(spark: SparkSession, path: str) -> DataFrame:
+    """(name, dist, lo, hi, values) of the parameters of a sweep file: ``name:`` lines below ``parameters:`` with ``key: value`` lines below each."""
+    text = spark.read.text(path, wholetext=True).first().value  # a file of settings
+    rows, name, own, inside, depth = [], None, {}, False, None
+    for line in (x.split(" #")[0].rstrip() for x in text.splitlines()):
+        at, said = len(line) - len(line.lstrip()), line.strip()
+        if not said or said.startswith("#"):
+            continue
+        if at == 0:
+            inside = said == "parameters:"
+        elif inside and said.startswith("- "):
+            own.setdefault("values", []).append(said[2:].strip().strip("'\""))
+        elif inside and (depth is None or at <= depth) and said.endswith(":"):
+            depth, name, own = at, said[:-1], {}
+            rows.append((name, own))
+        elif inside and name:
+            key, _, value = said.partition(":")
+            value = value.strip()
+            if key == "value":
+                own["values"] = [value.strip("'\"")]
+            elif value.startswith("["):
+                own[key] = [x.strip().strip("'\"") for x in value.strip("[]").split(",")]
+            elif value:
+                own[key] = value
+    number = lambda v: None if v is None else float(v)
+    made = [(n, o.get("distribution"), number(o.get("min")), number(o.get("max")), o.get("values") or None) for n, o in rows]
+    return spark.createDataFrame(made, "name string, dist string, lo double, hi double, values array<string>")
+
+
 def scan_points(messages: DataFrame) -> DataFrame:
     """Points of raw scan messages (scan_id, header_t, point_step, fields array<struct<name, offset, datatype>>, data).
 
     Fields are found by name (reflectivity for intensity; time, offset_time or t
-    for timestamp); a message without x gives no rows. ``t`` is the raw time.
+    for timestamp); a message without x gives no rows. ``t`` is the raw time, or that of the header where a message
+    has none (``timed`` is false); no intensity is 0, an unknown datatype is read as float32.
     """
     kinds = {1: "<i1", 2: "<u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 7: "<f4", 8: "<f8"}
     alias = {"reflectivity": "intensity", "time": "timestamp", "offset_time": "timestamp", "t": "timestamp"}
@@ -105,12 +166,12 @@ def scan_points(messages: DataFrame) -> DataFrame:
                 by = {alias.get(x["name"], x["name"]): x for x in fields}
                 if "x" not in by:
                     continue
-                kind = np.dtype({"names": list(by), "formats": [kinds[x["datatype"]] for x in by.values()], "offsets": [x["offset"] for x in by.values()], "itemsize": step})
+                kind = np.dtype({"names": list(by), "formats": [kinds.get(x["datatype"], "<f4") for x in by.values()], "offsets": [x["offset"] for x in by.values()], "itemsize": step})
                 p = np.frombuffer(data, kind, len(data) // step)
-                get = lambda c: p[c].astype(float) if c in by else np.full(len(p), np.nan)  # noqa: B023, E731
-                yield pd.DataFrame({"scan_id": scan, "header_t": header, "pid": np.arange(len(p)), "x": get("x"), "y": get("y"), "z": get("z"), "intensity": get("intensity"), "t": get("timestamp")})
+                get = lambda c, other=np.nan: p[c].astype(float) if c in by else np.full(len(p), other)  # noqa: B023, E731
+                yield pd.DataFrame({"scan_id": scan, "header_t": header, "pid": np.arange(len(p)), "x": get("x"), "y": get("y"), "z": get("z"), "intensity": get("intensity", 0.0), "t": get("timestamp", header), "timed": "timestamp" in by})
 
-    return messages.mapInPandas(decode, "scan_id long, header_t double, pid long, x double, y double, z double, intensity double, t double")
+    return messages.mapInPandas(decode, "scan_id long, header_t double, pid long, x double, y double, z double, intensity double, t double, timed boolean")
 
 
 def point_times(points: DataFrame) -> DataFrame:
@@ -118,7 +179,8 @@ def point_times(points: DataFrame) -> DataFrame:
     readings = [F.col("t"), F.col("t") * 1e-9, F.col("header_t") + F.col("t"), F.col("header_t") + F.col("t") * 1e-9]
     best = points.groupBy("scan_id").agg(F.array_min(F.array(*[F.struct(F.abs(F.median(r) - F.first("header_t")).alias("off"), F.lit(k).alias("k")) for k, r in enumerate(readings)])).alias("best"))
     rows = points.join(best.select("scan_id", F.col("best.k").alias("reading")), "scan_id")
-    return rows.withColumn("t", F.element_at(F.array(*readings), F.col("reading") + 1)).drop("reading")
+    told = F.element_at(F.array(*readings), F.col("reading") + 1)
+    return rows.withColumn("t", F.when(F.col("timed"), told).otherwise(F.col("header_t")) if "timed" in points.columns else told).drop("reading", "timed")
 
 
 def custom_times(points: DataFrame) -> DataFrame:
@@ -126,21 +188,33 @@ def custom_times(points: DataFrame) -> DataFrame:
     return points.withColumn("t", (F.col("timebase") + F.col("offset_time")) * 1e-9)
 
 
-def ply_header(raw: bytes) -> tuple[int, int, str, list[tuple[str, str]]]:
-    """(length of the header, vertices, format, [(name, numpy type)]) of a PLY file's first bytes."""
+def ply_header(raw: bytes) -> tuple[int, int, str, list[tuple[str, str]], bool]:
+    """(where the points begin, points, format, [(name, numpy type)], does more follow) of a PLY file's first bytes.
+
+    Elements of plain numbers may stand before the points; one with lists there is an error.
+    """
     end = raw.index(b"end_header")
     size = raw.index(b"\n", end) + 1
-    n, kind, props, inside = 0, "", [], False
+    kind, elements = "", []
     for line in raw[:end].decode("ascii", "replace").splitlines():
         w = line.split()
         if w[:1] == ["format"]:
             kind = w[1]
         elif w[:1] == ["element"]:
-            inside = w[1] == "vertex"
-            n = int(w[2]) if inside else n
-        elif w[:1] == ["property"] and inside:
-            props.append((w[2], _PLY_TYPES[w[1]]))
-    return size, n, kind, props
+            elements.append((w[1], int(w[2]), []))
+        elif w[:1] == ["property"] and elements:
+            elements[-1][2].append((w[-1], None if w[1] == "list" else _PLY_TYPES[w[1]]))
+    at = next((k for k, e in enumerate(elements) if e[0] == "vertex"), len(elements))
+    if any(t is None for _, _, props in elements[: at + 1] for _, t in props):
+        raise ValueError("lists before the end of the points")
+    before = elements[:at]
+    skip = sum(n for _, n, _ in before) if kind == "ascii" else sum(n * np.dtype(props).itemsize for _, n, props in before)
+    _, n, props = elements[at] if at < len(elements) else ("", 0, [])
+    if kind == "ascii":  # so many lines
+        for _ in range(skip):
+            size = raw.index(b"\n", size) + 1
+        skip = 0
+    return size + skip, n, kind, props, at + 1 < len(elements)
 
 
 class _Range(InputPartition):
@@ -149,6 +223,8 @@ class _Range(InputPartition):
 
 
 class _PlyReader(DataSourceReader):
+    """Reads ranges of points (binary) or of bytes (ASCII), as Arrow batches."""
+
     def __init__(self, path: str, rows: int):
         self.path, self.rows = path, rows
 
@@ -158,35 +234,63 @@ class _PlyReader(DataSourceReader):
         store, name = fs.FileSystem.from_uri(self.path)
         return store.open_input_file(name)
 
+    def _header(self, f):
+        return ply_header(f.read(1 << 16))
+
     def partitions(self):
         with self._open() as f:
-            _, n, kind, _ = ply_header(f.read(1 << 16))
+            size, n, kind, _, more = self._header(f)
+            whole = f.size()
         if not n:
             raise ValueError(f"{self.path} has no points")
-        step = self.rows if kind != "ascii" else n
-        return [_Range(k, min(k + step, n)) for k in range(0, n, step)]
+        first, last, step = (size, whole, self.rows * 32) if kind == "ascii" else (0, n, self.rows)
+        if kind == "ascii" and more:  # where the points end is known by counting lines only
+            step = whole
+        return [_Range(k, min(k + step, last)) for k in range(first, last, step)]
 
     def read(self, partition: _Range):
+        import pyarrow as pa
+
+        def batch(pid: np.ndarray, p) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pid), *(pa.array(np.asarray(p[c], float)) for c in "xyz")], ["pid", "x", "y", "z"])
+
         with self._open() as f:
-            size, _, kind, props = ply_header(f.read(1 << 16))
-            names = [c for c, _ in props]
+            size, n, kind, props, _ = self._header(f)
             if kind == "ascii":
-                f.seek(size)
-                for k, line in zip(range(partition.start, partition.stop), f.read().split(b"\n")):
-                    v = dict(zip(names, line.split()))
-                    yield k, float(v["x"]), float(v["y"]), float(v["z"])
+                names = [c for c, _ in props]
+                at, text = _lines(f, partition.start, partition.stop, size)
+                lines = [x for x in text.split(b"\n") if x.strip()][:n]
+                if lines:
+                    v = np.array([x.split()[: len(names)] for x in lines], float)
+                    ends = np.cumsum([len(x) + 1 for x in lines])  # ids rise with the place in the file
+                    yield batch(at + np.concatenate([[0], ends[:-1]]).astype(np.int64), {c: v[:, names.index(c)] for c in "xyz"})
                 return
             order = ">" if "big" in kind else "<"
             record = np.dtype([(c, t.replace("<", order)) for c, t in props])
             for k in range(partition.start, partition.stop, 100_000):
                 m = min(100_000, partition.stop - k)
                 f.seek(size + k * record.itemsize)
-                p = np.frombuffer(f.read(m * record.itemsize), record)
-                yield from zip(range(k, k + m), p["x"].astype(float).tolist(), p["y"].astype(float).tolist(), p["z"].astype(float).tolist())
+                yield batch(np.arange(k, k + m, dtype=np.int64), np.frombuffer(f.read(m * record.itemsize), record))
+
+
+def _lines(f, start: int, stop: int, first: int) -> tuple[int, bytes]:
+    """(place, text) of the whole lines that begin in [start, stop); ``first``: where the first line of all begins."""
+    f.seek(start - (start > first))
+    text = f.read(stop - start + (start > first))
+    if start > first:  # the line before belongs to the range before
+        cut = text.find(b"\n") + 1
+        start, text = start - 1 + cut, text[cut:] if cut else b""
+    while text and not text.endswith(b"\n") and (more := f.read(4096)):
+        cut = more.find(b"\n")
+        text += more if cut < 0 else more[: cut + 1]
+    return start, text
 
 
 class PlySource(DataSource):
-    """``spark.read.format("ply").load(path)``: (pid, x, y, z); a binary file is read in ranges of ``rowsPerPartition``."""
+    """``spark.read.format("ply").load(path)``: (pid, x, y, z); a file is read in ranges of about ``rowsPerPartition`` points.
+
+    pid numbers the points in their order: by their place among the points, or in an ASCII file by that of their line in bytes.
+    """
 
     @classmethod
     def name(cls) -> str:

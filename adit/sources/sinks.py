@@ -3,7 +3,8 @@
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit.sources.readers import commented_json, ply_bytes
@@ -16,6 +17,89 @@ def run_folder(df: DataFrame, path: str, dataset: str, rep: str, stamp: str) ->
     return out
 
 
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def run_record(spark: SparkSession, folder: str, summary: dict, log: list[str]) -> None:
+    """summary.json and run.log beside the results of a run."""
+    _put(spark, f"{folder}/_summary.json", json.dumps(summary, indent=2, default=str).encode())
+    _put(spark, f"{folder}/_run.log", ("\n".join(log) + "\n").encode())
+
+
+def trial_summaries(metrics: DataFrame, path: str) -> None:
+    """A JSON line a trial, in a folder a trial."""
+    metrics.write.mode("overwrite").partitionBy("trial_id").json(path)
+
+
+def mesh_tables(meshed: DataFrame, path: str) -> None:
+    """The vertices and faces of a mesh (see volume.faces()) as two Parquet tables, of any size."""
+    from adit.operators.volume import vertices
+
+    vertices(meshed).write.mode("overwrite").parquet(f"{path.rstrip('/')}/vertices")
+    meshed.select("cloud_id", "a", "b", "c").write.mode("overwrite").parquet(f"{path.rstrip('/')}/faces")
+
+
+def mesh_ply(meshed: DataFrame, path: str, most: int = 2_000_000) -> tuple[int, int]:
+    """One cloud's mesh as one PLY file on the driver, up to ``most`` faces; larger ones belong in mesh_tables(). Returns (vertices, faces)."""
+    from adit.operators.volume import vertices
+
+    f = meshed.select("a", "b", "c").limit(most + 1).toPandas().to_numpy(np.int64)
+    if len(f) > most:
+        raise ValueError(f"more than {most} faces")
+    v = vertices(meshed).orderBy("vid").select("vid", "x", "y", "z").toPandas()
+    place = np.searchsorted(v["vid"].to_numpy(), f)
+    rows = np.zeros(len(f), [("n", "u1"), ("v", "<i4", 3)])
+    rows["n"], rows["v"] = 3, place
+    head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(v)}", *(f"property double {c}" for c in "xyz"), f"element face {len(f)}", "property list uchar int vertex_indices", "end_header"]
+    Path(path).write_bytes(("\n".join(head) + "\n").encode() + v[["x", "y", "z"]].to_numpy("<f8").tobytes() + rows.tobytes())
+    return len(v), len(f)
+
+
+def pcd(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y", "z", "intensity"), most: int = 20_000_000) -> int:
+    """A thinned map as one binary PCD file on the driver, up to ``most`` points; larger ones go to Parquet."""
+    rows = points.select(*[F.col(c).cast("float") for c in columns]).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} points")
+    n = len(columns)
+    head = ["# .PCD v0.7 - Point Cloud Data file format", "VERSION 0.7", "FIELDS " + " ".join(columns), "SIZE" + " 4" * n, "TYPE" + " F" * n, "COUNT" + " 1" * n, f"WIDTH {len(rows)}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {len(rows)}", "DATA binary"]
+    Path(path).write_bytes(("\n".join(head) + "\n").encode() + rows.to_numpy("<f4").tobytes())
+    return len(rows)
+
+
+def materialize_config(spark: SparkSession, default_dir: str, target_dir: str, params: dict, mapping: dict[str, tuple[str, str]], strict: bool = False) -> list[str]:
+    """A config tree with the values of ``params`` (nested or dotted) set, each file written once; returns the names that ``mapping`` lacks.
+
+    ``mapping``: name to (file, dotted path). Unknown names are an error if ``strict``, else they are told. A file that the
+    default tree lacks is an error. The target is made anew. A config tree is a dozen small files.
+    """
+    from adit.operators.sweep import flat
+
+    given = flat(params)
+    unknown = sorted(set(given) - set(mapping))
+    if unknown and strict:
+        raise KeyError(f"no such parameters: {', '.join(unknown)}")
+    files = {r.path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in spark.read.format("binaryFile").load(default_dir).select("path", "content").collect()}
+    patches: dict[str, dict[str, object]] = {}
+    for name, value in given.items():
+        if name in mapping:
+            file, path = mapping[name]
+            patches.setdefault(file, {})[path] = value
+    if lost := sorted(set(patches) - set(files)):
+        raise FileNotFoundError(f"{default_dir} lacks {', '.join(lost)}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(target_dir)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for file, text in files.items():
+        _put(spark, f"{target_dir.rstrip('/')}/{file}", (patched_config(text, patches[file]) if file in patches else text).encode())
+    return unknown
+
+
 def append_index(runs: DataFrame, path: str, methods: list[str], digits: int = 3) -> None:
     """Append one CSV row a run (dataset, rep, stamp, cloud_id) with a column a method, blank where missing."""
     wide = runs.groupBy("dataset", "rep", "stamp", "cloud_id").pivot("method", methods).agg(F.max("volume"))

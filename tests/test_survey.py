@@ -2,16 +2,17 @@
 
 import json
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adit.functions.quantiles import chi2_quantile, quantile_row, t_quantile
-from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
+from adit.operators import caps, cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
 from adit.operators.grid import Grid, bimodal_grid, binned, filled_2d, filled_grid
-from adit.plans import pipeline
-from adit.sources import phantom, readers, sinks
+from adit.plans import pipeline, tunnel
+from adit.sources import cache, datasets, phantom, readers, sinks
 
 
 def test_phantom_volumes(spark):
@@ -307,3 +308,135 @@ def test_streams(spark, tmp_path):
     q.stop()
     want = trajectory.moving(frame, 0.5)
     assert sorted(r.t for r in spark.table("moved").collect()) == sorted(r.t for r in want.collect())
+
+
+def test_voxel_driver(spark):
+    p = phantom.cylinder(spark, 2.0, 10.0, 360, 400).select("cloud_id", "x", "y", "z")
+    planes = [((0.0, 0.0, 1.0), (0.0, 0.0, 1.0)), ((0.0, 0.0, 9.0), (0.0, 0.0, -1.0))]
+    got = {r.h: r for r in cavity.voxel_volumes(p, [0.25, 0.5, 0.01], 1, planes, budget=1_000_000).collect()}
+    assert set(got) == {0.25, 0.5} and not any(r.leaked for r in got.values())
+    truth = math.pi * 4 * 8
+    assert abs(got[0.25].v_voxel / truth - 1) < 0.15 and abs(got[0.25].v_surface / truth - 1) < 0.15
+    best = cavity.best_volume(spark.createDataFrame(list(got.values()))).first()
+    assert best.h == 0.25 and abs(best.v_extrapolated / truth - 1) < 0.15
+    table = cavity.seal_table(phantom.cylinder(spark, 2.0, 10.0, 360, 400, (80.0, 130.0)).select("cloud_id", "x", "y", "z"), [0.5], [0, 1], planes=planes)
+    assert {(r.seal, r.leaked) for r in table.collect()} >= {(0, True)}
+    with pytest.raises(ValueError, match="budget"):
+        cavity.voxel_volumes(p, [0.01], budget=10)
+
+
+def test_caps_and_domain(spark):
+    frame = centreline.framed(spark, centreline.fit(np.column_stack([np.linspace(0, 20, 41), np.zeros(41), np.zeros(41)]), 0, 0.5))
+    t = spark.createDataFrame([(0, 1.0, 1.0, 0.0), (3, 9.0, 0.0, 0.0), (7, 18.0, 0.0, 1.0)], "idx int, x double, y double, z double")
+    c = spark.createDataFrame([(0, 17.0, 2.0, 0.0), (1, 2.0, 0.0, 2.0)], t.schema)
+    s, info = caps.domain(t, None, frame)
+    assert s == pytest.approx((1, 18)) and info["cap_mode"] == "target_planes"
+    s, info = caps.domain(t, c, frame)
+    assert s == pytest.approx((2, 17)) and info["shift_vs_targets_m"]["end"] == pytest.approx(-1) and caps.domain(t, c, frame, "target_planes")[0] == pytest.approx((1, 18))
+    with pytest.raises(ValueError, match="off the centreline"):
+        caps.domain(t, c, frame, max_r=1.0)
+    with pytest.raises(ValueError, match="two ends"):
+        caps.domain(t, t, frame)
+    with pytest.raises(ValueError, match="bound the domain"):
+        caps.domain(t, c, frame, end=6)
+    cloud = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("a", 1.0, 0.5, -1.0)], "cloud_id string, x double, y double, z double")
+    assert caps.floor_grid(cloud, -2.0, 0.25).count() == 5 * 3 and caps.above(cloud, 1.0).count() == 1
+    rim = spark.createDataFrame([("m", 1 + math.cos(a), 2 + math.sin(a) / math.sqrt(2), 3 + math.sin(a) / math.sqrt(2)) for a in np.arange(0, 6.28, 0.1)], "mouth string, x double, y double, z double")
+    cap = caps.mouth_cap(rim, 0.05).toPandas()
+    assert abs(len(cap) * 0.05**2 / math.pi - 1) < 0.05 and np.allclose(cap.y - 2, cap.z - 3)
+
+
+def test_datasets_and_plans(spark, tmp_path):
+    for p in ("a/rtc_clean_1cm.ply", "a/targets_leica.txt", "a/rep00/x.ply", "a/rep00/trajectory_transformed.txt", "a/rep00/transformation_matrix.txt", "a/rep01/x.ply", "a/rep01/y.ply", "a/rep01/trajectory.txt", "b/rep00/x.ply", "a/.hidden/z.ply"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    files = datasets.placed(readers.files(spark, str(tmp_path)), str(tmp_path)).persist()
+    assert [r.dataset for r in datasets.datasets(files).collect()] == ["a"]
+    assert [tuple(r) for r in datasets.reps(files).collect()] == [("a", "rep00"), ("a", "rep01"), ("b", "rep00")]
+    got = {(r.dataset, r.rep): r for r in datasets.runs(files).collect()}
+    assert got["a", "rep00"].problem is None and got["a", "rep00"].trajectory.endswith("trajectory_transformed.txt")
+    assert "2 PLY files: x.ply, y.ply" in got["a", "rep01"].problem and "no reference cloud" in got["b", "rep00"].problem
+    told = datasets.provenance(datasets.runs(files), files)
+    assert told.count() == 21 and told.where("bytes = 1").count() > 5
+    none = spark.createDataFrame([], "dataset string, rep string, cloud_id string")
+    plan = {(r.dataset, r.rep): r.clouds for r in datasets.planned(datasets.runs(files), none).collect()}
+    assert plan == {("a", "rep00"): ["ref", "mobile"], ("a", "rep01"): ["mobile"], ("b", "rep00"): ["ref", "mobile"]}
+    done = spark.createDataFrame([("a", "rep00", "ref")], none.schema)
+    assert {r.rep: r.clouds for r in datasets.planned(datasets.runs(files), done).where("dataset = 'a'").collect()} == {"rep00": ["mobile"], "rep01": ["mobile"]}
+    runs = spark.createDataFrame([("a", "p1", "feature_planes", ["ref"]), ("a", "p2", "target_planes", ["ref"]), ("a", "p0", "feature_planes", ["ref"]), ("b", "p9", "feature_planes", ["mobile"])], "dataset string, path string, cap_mode string, clouds array<string>")
+    assert [(r.dataset, r.path) for r in datasets.feature_capped(runs).collect()] == [("a", "p1")]
+
+
+def test_cache(spark, tmp_path):
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for sign in ("one", "one", "two"):
+        assert cache.kept_or_made(spark, str(tmp_path), "cells", sign, make).count() == 3
+    assert len(made) == 2 and cache.load(spark, str(tmp_path), "cells", "one") is None and cache.load(spark, str(tmp_path), "none", "one") is None
+    spark.range(2).write.parquet(str(tmp_path / "old"))
+    assert cache.load(spark, str(tmp_path), "old", "one") is None
+
+
+def test_curved_tunnel_from_files(spark, tmp_path):
+    """A bend of radius 30 m and 40 m length, 2 m wide: both volumes within 1 % of pi r^2 L, from files to a summary."""
+    n, radius, length = 400, 30.0, 40.0
+    a, t = np.meshgrid(np.linspace(-0.05, (length + 1.5) / radius, 700), np.radians(np.arange(0.5, 360, 1.0)))
+    out, up = radius + 2 * np.cos(t), 2 * np.sin(t)
+    cloud = np.column_stack([(out * np.cos(a)).ravel(), (out * np.sin(a)).ravel(), up.ravel()])
+    home = tmp_path / "data" / "d1"
+    (home / "rep00").mkdir(parents=True)
+    (home / "rep01").mkdir()
+    (home / "rtc_clean_1cm.ply").write_bytes(readers.ply_bytes(cloud, ["x", "y", "z"]))
+    (home / "rep00" / "m.ply").write_bytes(readers.ply_bytes(cloud, ["x", "y", "z"]))
+    s = np.concatenate([np.linspace(-1, length + 1, n), np.linspace(length + 1, -1, n)]) / radius
+    poses = "\n".join(f"{k} {radius * math.cos(v) - 5} {radius * math.sin(v)} 0 0 0 0 1" for k, v in enumerate(s))
+    (home / "rep00" / "trajectory.txt").write_text("# t x y z qx qy qz qw\n" + poses)
+    (home / "rep00" / "transformation_matrix.txt").write_text("1 0 0 5\n0 1 0 0\n0 0 1 0\n0 0 0 1\n")
+    ends = [(k, radius * math.cos(v / radius), radius * math.sin(v / radius), 0.0) for k, v in enumerate(np.linspace(0, length, 8))]
+    (home / "targets_leica.txt").write_text("\n".join(",".join(map(str, e)) for e in ends))
+    files = datasets.placed(readers.files(spark, str(tmp_path / "data")), str(tmp_path / "data"))
+    found = datasets.runs(files)
+    run = tunnel.Run(measure=pipeline.Config(grid=Grid(ds=0.5, dt=5.0)), smoothing=1e-6, cache_root=str(tmp_path / "cache"))
+    done = spark.createDataFrame([], "dataset string, rep string, cloud_id string")
+    report = tunnel.all_runs(spark, found.unionByName(found.limit(1).select("dataset", F.lit("rep09").alias("rep"), *found.columns[2:-1], F.lit("no mobile cloud").alias("problem"))), datasets.planned(found, done, "both").unionByName(spark.createDataFrame([("d1", "rep09", ["ref"])], "dataset string, rep string, clouds array<string>")), str(tmp_path / "results"), "s1", run)
+    got = {r.rep: r for r in report.collect()}
+    assert got["rep09"].error == "no mobile cloud" and got["rep00"].error is None, got["rep00"].error
+    told = json.loads((Path(got["rep00"].folder) / "_summary.json").read_text())
+    assert told["domain"]["L_m"] == pytest.approx(length, abs=0.05) and told["domain"]["cap_mode"] == "target_planes"
+    for c in ("ref", "mobile"):
+        v = told["results"][c]["volumes"]
+        assert v["profiles"] == pytest.approx(math.pi * 4 * length, rel=0.01) and v["surface_mesh"] == pytest.approx(math.pi * 4 * length, rel=0.01) and v["hull_bound"] >= v["profiles"] * 0.99
+    assert (tmp_path / "cache" / "d1" / "rep00").is_dir()
+
+
+def test_exports_and_settings(spark, tmp_path):
+    g = Grid(0.0, 3.0, 1.0, 90.0)
+    cells = spark.createDataFrame([("a", i, j, 2.0) for i in range(3) for j in range(4)], "cloud_id string, i long, j long, r double")
+    meshed = volume.mesh(cells, g)
+    assert sinks.mesh_ply(meshed, str(tmp_path / "m.ply")) == (22, 40)
+    assert readers.ply(spark, str(tmp_path / "m.ply")).agg(F.max("z")).first()[0] == 3
+    sinks.mesh_tables(meshed, str(tmp_path / "mesh"))
+    assert spark.read.parquet(str(tmp_path / "mesh" / "vertices")).count() == 22 and spark.read.parquet(str(tmp_path / "mesh" / "faces")).count() == 40
+    points = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "x double, y double, z double, intensity double")
+    assert sinks.pcd(points, str(tmp_path / "m.pcd")) == 1 and (tmp_path / "m.pcd").read_bytes().endswith(np.array([1, 2, 3, 4], "<f4").tobytes())
+    sinks.trial_summaries(spark.createDataFrame([(1, 0.5), (2, 0.7)], "trial_id int, objective double"), str(tmp_path / "trials"))
+    assert {p.name for p in (tmp_path / "trials").iterdir() if p.is_dir()} == {"trial_id=1", "trial_id=2"}
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "o.json").write_text('{"m": {"v": 1 /* one */}}')
+    (tmp_path / "conf" / "p.json").write_text('{"q": 2} // two')
+    mapping = {"front.v": ("o.json", "m.v"), "lost": ("x.json", "y")}
+    assert sinks.materialize_config(spark, str(tmp_path / "conf"), str(tmp_path / "new"), {"front": {"v": 9}, "_w": 1, "odd": 3}, mapping) == ["odd"]
+    assert json.loads((tmp_path / "new" / "o.json").read_text()) == {"m": {"v": 9}} and "two" in (tmp_path / "new" / "p.json").read_text()
+    with pytest.raises(KeyError):
+        sinks.materialize_config(spark, str(tmp_path / "conf"), str(tmp_path / "new"), {"odd": 3}, mapping, strict=True)
+    with pytest.raises(FileNotFoundError):
+        sinks.materialize_config(spark, str(tmp_path / "conf"), str(tmp_path / "new"), {"lost": 3}, mapping)
+    (tmp_path / "s.yaml").write_text("method: bayes\nparameters:\n  # one\n  a.b:\n    distribution: uniform  # even\n    min: 0.5\n    max: 2\n  kind:\n    values: [A, B]\n  n:\n    values:\n      - 1\n      - 2\nmetric: x\n")
+    got = {r.name: r for r in readers.sweep_space(spark, str(tmp_path / "s.yaml")).collect()}
+    assert (got["a.b"].dist, got["a.b"].lo, got["a.b"].hi) == ("uniform", 0.5, 2) and got["kind"]["values"] == ["A", "B"] and got["n"]["values"] == ["1", "2"]
+    (tmp_path / "mouth1.txt").write_text("p1,x,1,2,3\np2,y,4,5,6\n")
+    assert {(r.mouth, r.x, r.z) for r in readers.rims(spark, str(tmp_path / "mouth1.txt")).collect()} == {("mouth1", 1, 3), ("mouth1", 4, 6)}
+    run = tunnel.Run.from_environment({"ADIT_SMOOTHING": "0.1", "ADIT_HULL": "no", "ADIT_CLOUDS": "ref", "HOME": "x"})
+    assert (run.smoothing, run.hull, run.clouds) == (0.1, False, ("ref",))
+    with pytest.raises(ValueError, match="speed"):
+        tunnel.Run.from_environment({"ADIT_SPEED": "1"})
