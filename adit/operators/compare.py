@@ -110,6 +110,36 @@ def change_split(tunnel_ref_a: float, tunnel_ref_b: float, total_a: float, total
     return {"total": total, "tunnel": tunnel, "sensor": total - tunnel, "tunnel_share_pct": tunnel / total * 100 if total else float("nan")}
 
 
+def campaign_segments(shifted: DataFrame, length: float = 10.0, limit_pct: float = 5.0) -> DataFrame:
+    """(k, v_a, v_b, dv, dv_pct, flagged) of two campaigns by segments of s', from shifted_difference(): trapezoids within a segment,
+    which needs two slabs; flagged where they differ by more than ``limit_pct``."""
+    rows = shifted.withColumn("k", F.floor(F.col("p") / length))
+    by = Window.partitionBy("k").orderBy("p")
+    piece = lambda c: 0.5 * (F.col(c) + F.lead(c).over(by)) * (F.lead("p").over(by) - F.col("p"))
+    rows = rows.select("k", piece("area_a").alias("a"), piece("area_b").alias("b"))
+    seg = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("v_a"), F.sum("b").alias("v_b")).where("n >= 2")
+    seg = seg.withColumn("dv", F.col("v_b") - F.col("v_a")).withColumn("dv_pct", F.when(F.col("v_a") > 0, F.col("dv") / F.col("v_a") * 100))
+    return seg.select("k", "v_a", "v_b", "dv", "dv_pct", F.coalesce(F.abs("dv_pct") > limit_pct, F.lit(False)).alias("flagged"))
+
+
+def campaign_change(volumes: DataFrame, a: str, b: str, ref: str = "ref", other: str = "mobile") -> DataFrame:
+    """For each method how the other cloud's volume changed from campaign a to b, and how much of it is the tunnel (the
+    reference's change) and how much the sensor (that of their offset), with the sensor's share of both magnitudes.
+
+    ``volumes``: (dataset, cloud_id, method, volume), a row each.
+    """
+    v = lambda d, c: F.max(F.when((F.col("dataset") == d) & (F.col("cloud_id") == c), F.col("volume")))
+    rows = volumes.groupBy("method").agg(v(a, ref).alias("ra"), v(b, ref).alias("rb"), v(a, other).alias("oa"), v(b, other).alias("ob")).dropna()
+    tunnel, total = F.col("rb") - F.col("ra"), F.col("ob") - F.col("oa")
+    sensor = (F.col("ob") - F.col("rb")) - (F.col("oa") - F.col("ra"))
+    return rows.select("method", total.alias("total"), tunnel.alias("tunnel"), sensor.alias("sensor"), (F.abs(sensor) / F.nullif(F.abs(tunnel) + F.abs(sensor), F.lit(0.0)) * 100).alias("sensor_share_pct"))
+
+
+def band_mean(bins: DataFrame, theta_deg: str, value: str, lo: float, hi: float) -> DataFrame:
+    """Mean of the bins whose middle lies within [lo, hi] degrees."""
+    return bins.where(F.col(theta_deg).between(lo, hi)).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
 def harmonic_fit(bins: DataFrame, theta_deg: str, value: str, weight: str) -> DataFrame:
     """Weighted first-harmonic fit value = A cos + B sin + C: phase (degrees), amplitude, offset, R2; NULL below four bins.
 

@@ -28,6 +28,18 @@ def comparability(settings: DataFrame, keys: list[str], run: str = "run_id", gro
     return found.where("n_values > 1")
 
 
+def fingerprint(caps: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, caps): the cap points of each run as text, to a tenth of a millimetre, for comparability()."""
+    point = F.concat_ws(" ", *[F.format_string("%.4f", c) for c in ("x", "y", "z")])
+    return caps.groupBy(run).agg(F.concat_ws("; ", F.array_sort(F.collect_list(point))).alias("caps"))
+
+
+def input_marks(provenance: DataFrame, inputs: tuple[str, ...] = ("ref_ply", "targets_ref"), run: str = "run_id") -> DataFrame:
+    """(run, <input> ...): path and size of the inputs that all runs must share, for comparability(); from (run, input, path, bytes)."""
+    mark = F.concat_ws(" ", "path", "bytes")
+    return provenance.groupBy(run).agg(*[F.max(F.when(F.col("input") == i, mark)).alias(i) for i in inputs])
+
+
 def require_comparable(problems: DataFrame, strict: bool) -> list[str]:
     """The problems as text; with ``strict`` an error if there is one. There are at most as many as settings."""
     said = [f"{r[0]}: {r.key} has {r.n_values} values" for r in problems.orderBy(*problems.columns[:2]).collect()]

@@ -39,6 +39,11 @@ def good_trials(trials: DataFrame, limit: float = 99.0) -> DataFrame:
     return trials.where((F.col("state") == "COMPLETE") & (F.col("value") < limit))
 
 
+def pooled(trials: DataFrame) -> DataFrame:
+    """The complete trials that have a value, of all studies."""
+    return trials.where((F.col("state") == "COMPLETE") & F.col("value").isNotNull())
+
+
 def unknown_parameters(params: DataFrame, known: DataFrame) -> DataFrame:
     """Parameters without an entry in the map."""
     return params.join(known, "name", "left_anti")

@@ -151,7 +151,10 @@ def nearest(points: DataFrame, samples: DataFrame, max_samples: int = 100_000, b
 
 
 def cylindrical(points: DataFrame, frame: DataFrame) -> DataFrame:
-    """(s, r, theta) of points by their nearest sample of a frame (k, s, p*, t*, a*, b*: position, tangent, up, side)."""
+    """(s, r, theta) of points by their nearest sample of a frame (k, s, p*, t*, a*, b*: position, tangent, up, side).
+
+    ``off``: how far along the tangent the point lies from its sample; ``dz``: how high above the line, square to it.
+    """
     near = nearest(points, frame.select("k", "px", "py", "pz")).drop("distance")
     line = frame.select("k", F.col("s").alias("s0"), *[f"{v}{c}" for v in "ptab" for c in XYZ])
     rows = near.join(F.broadcast(line), "k")  # as few as nearest() has checked
@@ -161,7 +164,7 @@ def cylindrical(points: DataFrame, frame: DataFrame) -> DataFrame:
     across = {c: v[c] - along * F.col(f"t{c}") for c in XYZ}
     r = F.sqrt(sum((across[c] ** 2 for c in XYZ), F.lit(0.0)))
     keep = [c for c in points.columns if c not in XYZ]
-    return rows.select(*keep, (F.col("s0") + along).alias("s"), r.alias("r"), F.degrees(F.atan2(dot("b"), dot("a"))).alias("theta"), F.sqrt(dot("t") ** 2).alias("off"))
+    return rows.select(*keep, (F.col("s0") + along).alias("s"), r.alias("r"), F.degrees(F.atan2(dot("b"), dot("a"))).alias("theta"), F.abs(along).alias("off"), across["z"].alias("dz"))
 
 
 def from_cylindrical(points: DataFrame, frame: DataFrame) -> DataFrame:

@@ -131,6 +131,18 @@ _SKEW = f"""{duckdb_with('traj')}, ps AS (SELECT run_id, seq, x, y, z, radians((
       qu AS (SELECT *, (sin(0.75e0*ang)*sin(h) + sg*sin(0.25e0*ang)*sin(h2))/sin(ang) AS qz, (sin(0.75e0*ang)*cos(h) + sg*sin(0.25e0*ang)*cos(h2))/sin(ang) AS qw FROM an),
       wo AS (SELECT qu.run_id, qu.seq, px, py, pz, intensity, px + qw*(-2*qz*py) - qz*(2*qz*px) + qu.x + (x2-qu.x)*0.25e0 AS wx, py + qw*(2*qz*px) + qz*(-2*qz*py) + qu.y + (y2-qu.y)*0.25e0 AS wy, pz + qu.z + (z2-qu.z)*0.25e0 AS wz FROM qu JOIN sh ON sh.run_id=qu.run_id AND sh.seq=qu.seq)"""
 
+_KAPPA = f"""{duckdb_with('traj')}, s0 AS (SELECT run_id, seq, x, y, z, coalesce({_STEP},0) AS st FROM traj {_TW}), c0 AS (SELECT *, sum(st) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM s0),
+      t0 AS (SELECT run_id, max(s) AS total, greatest(floor(max(s)/5.0e0)+1, 4) AS n FROM c0 GROUP BY run_id HAVING max(s) > 0),
+      a0 AS (SELECT run_id, k, least(k*(total/(n-1)), total) AS t FROM (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM t0)),
+      p0 AS (SELECT run_id, x, y, z, s, lead(x) OVER w x2, lead(y) OVER w y2, lead(z) OVER w z2, lead(s) OVER w s2, max(s) OVER (PARTITION BY run_id) AS total FROM c0 WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+      rs AS (SELECT a0.run_id, a0.k, x+(x2-x)*(t-s)/(s2-s) AS x, y+(y2-y)*(t-s)/(s2-s) AS y, z+(z2-z)*(t-s)/(s2-s) AS z FROM a0 JOIN p0 ON p0.run_id=a0.run_id AND s2 > s AND t >= s AND (t < s2 OR (s2 >= total AND t >= s2))),
+      df AS (SELECT run_id, k, (lead(x) OVER w-lag(x) OVER w)/2 ux, (lead(y) OVER w-lag(y) OVER w)/2 uy, (lead(z) OVER w-lag(z) OVER w)/2 uz, lead(x) OVER w-2*x+lag(x) OVER w wx, lead(y) OVER w-2*y+lag(y) OVER w wy, lead(z) OVER w-2*z+lag(z) OVER w wz FROM rs WINDOW w AS (PARTITION BY run_id ORDER BY k)),
+      kp AS (SELECT run_id, k, sqrt(pow(uy*wz-uz*wy,2)+pow(uz*wx-ux*wz,2)+pow(ux*wy-uy*wx,2))/greatest(pow(ux*ux+uy*uy+uz*uz, 1.5e0), 1e-12) AS kappa FROM df WHERE ux IS NOT NULL)"""
+#: Areas of both clouds on s' = s - start, those of the mobile one interpolated at the reference's
+_SHIFT = """, ar AS (SELECT s - min(s) OVER () AS p, area AS area_a FROM a WHERE area IS NOT NULL AND cloud_id='ref' AND s >= 3.0e0),
+      br AS (SELECT s - min(s) OVER () AS q, area FROM a WHERE area IS NOT NULL AND cloud_id='mobile' AND s >= 1.25e0), b2 AS (SELECT q, area, lead(q) OVER (ORDER BY q) AS q2, lead(area) OVER (ORDER BY q) AS area2 FROM br),
+      sh AS (SELECT p, area_a, CASE WHEN q2 IS NULL THEN area ELSE area+(area2-area)*(p-q)/(q2-q) END AS area_b FROM ar JOIN b2 ON p >= q AND (p < q2 OR (q2 IS NULL AND p = q)))"""
+
 ORACLES = {
     "deskew": f"WITH {_SKEW} SELECT run_id, seq + 0.25e0 AS t, round(wx, 6) AS x, round(wy, 6) AS y, round(wz, 6) AS z, intensity FROM wo",
     "dense_map": f"""WITH {_SKEW} SELECT run_id, CAST(floor(wx/2.0e0) AS BIGINT) AS ix, CAST(floor(wy/2.0e0) AS BIGINT) AS iy, CAST(floor(wz/2.0e0) AS BIGINT) AS iz, count(*) AS n, round(avg(wx),6) AS x, round(avg(wy),6) AS y, round(avg(wz),6) AS z, round(avg(intensity),6) AS intensity
@@ -162,7 +174,7 @@ ORACLES = {
         SELECT round(count(b-a)/{N_S * N_T}.0e0, 6) AS overlap, round(median(b-a), 6) AS median_dr, round(median(abs(b-a)), 6) AS median_abs_dr,
                (SELECT j FROM t ORDER BY c, j LIMIT 1) AS worst_j, round((SELECT min(c) FROM t), 6) AS worst_cov FROM pr""",
     "threshold_sweep": f"""WITH {_grid()}, lo AS (SELECT i, min(c) AS c FROM (SELECT cloud_id, i, count(r)/{N_T}.0e0 AS c FROM sc GROUP BY cloud_id, i) GROUP BY i),
-        th AS (SELECT unnest([0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0, 0.95e0]) AS threshold), e AS (SELECT threshold, i, i - row_number() OVER (PARTITION BY threshold ORDER BY i) AS isl FROM lo JOIN th ON c >= threshold),
+        th AS (SELECT unnest([0.98e0, 0.95e0, 0.92e0, 0.9e0, 0.85e0, 0.8e0, 0.75e0, 0.7e0, 0.65e0, 0.6e0, 0.5e0]) AS threshold), e AS (SELECT threshold, i, i - row_number() OVER (PARTITION BY threshold ORDER BY i) AS isl FROM lo JOIN th ON c >= threshold),
         r AS (SELECT threshold, min(i) AS start, count(*) AS n FROM e GROUP BY threshold, isl), x AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY threshold ORDER BY n DESC, start) = 1)
         SELECT threshold, coalesce(start, 0) AS start, coalesce(n, 0) AS n FROM th LEFT JOIN x USING (threshold)""",
     "golden_segment": f"""WITH {_grid()}, lo AS (SELECT i, min(c) AS c FROM (SELECT cloud_id, i, count(r)/{N_T}.0e0 AS c FROM sc GROUP BY cloud_id, i) GROUP BY i),
@@ -265,4 +277,65 @@ ORACLES = {
         sm AS (SELECT a.net, bool_and(abs(a.x-b.x) <= 1e-8+1e-5*abs(b.x) AND abs(a.y-b.y) <= 1e-8+1e-5*abs(b.y) AND abs(a.z-b.z) <= 1e-8+1e-5*abs(b.z)) AS same_targets FROM targets a JOIN targets b ON a.net=b.net AND a.idx=b.idx AND a.cloud_id='ref' AND b.cloud_id='mobile' GROUP BY a.net),
         x AS (SELECT net, max(len) FILTER (cloud_id='mobile')/max(len) FILTER (cloud_id='ref') AS lr FROM l GROUP BY net)
         SELECT x.net, round(lr,6) AS length_ratio, round(ar,6) AS area_ratio, round(lr*ar,6) AS volume_ratio, same_targets FROM x CROSS JOIN ar JOIN sm ON sm.net=x.net""",
+    "from_cylindrical": f"WITH {duckdb_with('cloud')} SELECT cloud_id, count(*) AS n, round(sum(round(s,6)),3) AS x, round(sum(round(r*sin(radians(theta)),6)),3) AS y, round(sum(round(r*cos(radians(theta)),6)),3) AS z FROM cloud GROUP BY cloud_id",
+    "reversed_axis": f"""WITH {duckdb_with('traj')}, d AS (SELECT run_id, seq, x, y, z FROM traj)
+        SELECT run_id, seq, round(10.0e0 - x, 6) AS s, round(sqrt(y*y+z*z), 6) AS r, round(degrees(atan2(-y, z)), 6) AS theta, round(z, 6) AS dz FROM d""",
+    "gravity_frame": f"""WITH {duckdb_with('traj')}, l AS (SELECT run_id, seq, lead(x) OVER w - x AS x, lead(y) OVER w - y AS y, lead(z) OVER w - z AS z FROM traj {_TW}), n AS (SELECT *, sqrt(x*x+y*y+z*z) AS q FROM l),
+        t AS (SELECT run_id, seq, x/q AS tx, y/q AS ty, z/q AS tz FROM n WHERE q > 1e-6 AND abs(z) < 0.999e0*q), a AS (SELECT *, sqrt(pow(tz*tx,2)+pow(tz*ty,2)+pow(1-tz*tz,2)) AS m FROM t), u AS (SELECT *, -tz*tx/m AS ax, -tz*ty/m AS ay, (1-tz*tz)/m AS az FROM a)
+        SELECT run_id, seq, {_r('ax', 'ay', 'az')}, round(ty*az-tz*ay,6) AS bx, round(tz*ax-tx*az,6) AS by, round(tx*ay-ty*ax,6) AS bz FROM u""",
+    "curvature": f"WITH {_KAPPA} SELECT run_id, k, round(kappa, 6) AS kappa FROM kp",
+    "curvature_peaks": f"""WITH {_KAPPA}, r AS (SELECT run_id, k, round(kappa, 6) AS kappa FROM kp), c AS (SELECT *, CASE WHEN kappa IS DISTINCT FROM lag(kappa) OVER w THEN 1 ELSE 0 END AS new FROM r WINDOW w AS (PARTITION BY run_id ORDER BY k)),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY run_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS top FROM c), f AS (SELECT run_id, top, min(k) AS lo, max(k) AS hi, any_value(kappa) AS kappa FROM g GROUP BY run_id, top),
+        p AS (SELECT *, lag(kappa) OVER w AS b, lead(kappa) OVER w AS a FROM f WINDOW w AS (PARTITION BY run_id ORDER BY top)), l AS (SELECT run_id, quantile_cont(kappa, 0.9) AS lim FROM r GROUP BY run_id)
+        SELECT p.run_id, (lo + hi)//2 AS k, kappa FROM p JOIN l ON l.run_id = p.run_id WHERE kappa > b AND kappa > a AND kappa >= lim""",
+    "area_bridge": f"""WITH {_areas()}, w AS (SELECT *, last_value(CASE WHEN area IS NOT NULL THEN s END IGNORE NULLS) OVER p AS sa, last_value(area IGNORE NULLS) OVER p AS va, first_value(CASE WHEN area IS NOT NULL THEN s END IGNORE NULLS) OVER q AS sb, first_value(area IGNORE NULLS) OVER q AS vb FROM a
+        WINDOW p AS (PARTITION BY cloud_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY cloud_id ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT cloud_id, i, round(s,6) AS s, round(CASE WHEN area IS NOT NULL THEN area WHEN sa IS NULL THEN vb WHEN sb IS NULL THEN va ELSE va+(vb-va)*(s-sa)/(sb-sa) END, 6) AS area FROM w""",
+    "shifted_difference": f"WITH {_areas()}{_SHIFT} SELECT {_r('p', 'area_a', 'area_b')}, round(area_b-area_a, 6) AS d_area FROM sh",
+    "campaign_segments": f"""WITH {_areas()}{_SHIFT}, cg AS (SELECT *, CAST(floor(p/10.0e0) AS BIGINT) AS k FROM sh), ct AS (SELECT k, 0.5e0*(area_a+lead(area_a) OVER w)*(lead(p) OVER w-p) AS a, 0.5e0*(area_b+lead(area_b) OVER w)*(lead(p) OVER w-p) AS b FROM cg WINDOW w AS (PARTITION BY k ORDER BY p)),
+        v AS (SELECT k, sum(a) AS v_a, sum(b) AS v_b FROM ct GROUP BY k HAVING count(*) >= 2)
+        SELECT k, {_r('v_a', 'v_b')}, round(v_b-v_a, 6) AS dv, round((v_b-v_a)/v_a*100, 6) AS dv_pct, abs((v_b-v_a)/v_a*100) > 5 AS flagged FROM v""",
+    "campaign_change": f"""WITH {duckdb_with('runs')}, {_RUNS}, m AS (SELECT dataset, cloud_id, method, avg(volume) AS v FROM first_runs GROUP BY ALL),
+        c AS (SELECT method, max(v) FILTER (dataset='ds0' AND cloud_id='ref') AS ra, max(v) FILTER (dataset='ds1' AND cloud_id='ref') AS rb, max(v) FILTER (dataset='ds0' AND cloud_id='mobile') AS oa, max(v) FILTER (dataset='ds1' AND cloud_id='mobile') AS ob FROM m GROUP BY method),
+        x AS (SELECT method, ob-oa AS total, rb-ra AS tunnel, (ob-rb)-(oa-ra) AS sensor FROM c WHERE ra IS NOT NULL AND rb IS NOT NULL AND oa IS NOT NULL AND ob IS NOT NULL)
+        SELECT method, {_r('total', 'tunnel', 'sensor')}, round(abs(sensor)/nullif(abs(tunnel)+abs(sensor), 0)*100, 6) AS sensor_share_pct FROM x""",
+    "band_mean": f"""WITH {duckdb_with('cloud')}, b AS (SELECT cloud_id, floor((theta+180.0e0)/{DT}) AS j, avg(r*cos(radians(theta))) AS dz FROM cloud GROUP BY ALL), c AS (SELECT *, (j+0.5e0)*{DT}-180.0e0 AS angle FROM b)
+        SELECT 'dip' AS band, round(avg(dz), 6) AS mean, count(dz) AS n FROM c WHERE angle BETWEEN -130 AND -110 UNION ALL SELECT 'opposite', round(avg(dz), 6), count(dz) FROM c WHERE angle BETWEEN 50 AND 70""",
+    "last_by_path": f"""WITH {duckdb_with('runs')}, p AS (SELECT *, concat_ws('/', dataset, rep, strftime(stamp, '%Y%m%d'), lpad(CAST(run_no AS VARCHAR), 9, '0'), cloud_id, method, printf('%.5f', volume)) AS path FROM runs)
+        SELECT dataset, rep, run_no, cloud_id, method, round(volume, 6) AS volume FROM p QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY path DESC) = 1""",
+    "pooled_trials": "SELECT o_orderkey AS trial_id, round(o_totalprice/5000.0e0, 6) AS value, 'COMPLETE' AS state, o_orderpriority AS category FROM orders WHERE o_orderstatus <> 'F'",
+    "best_and_bounds": """WITH b AS (SELECT * FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_totalprice/5000.0e0, o_orderkey LIMIT 1),
+        p AS (SELECT o_orderkey AS trial_id, 'cust' AS name, CAST(o_custkey AS DOUBLE) AS value, CAST(o_custkey AS DOUBLE)/150.0e0 AS place FROM b UNION ALL SELECT o_orderkey, 'total', o_totalprice, (ln(o_totalprice)-ln(1.0e0))/(ln(1e6)-ln(1.0e0)) FROM b UNION ALL SELECT o_orderkey, 'key', o_orderkey+1.0e0, (o_orderkey+1.0e0)/1e6 FROM b)
+        SELECT trial_id, name, round(value, 6) AS value, round(place, 6) AS place, CASE WHEN place <= 0.15e0 THEN 'near low' WHEN place >= 0.85e0 THEN 'near high' ELSE 'inside' END AS verdict FROM p""",
+    "outcomes": """WITH r AS (SELECT CASE WHEN o_custkey % 11 = 0 THEN 124 WHEN o_custkey % 7 = 0 THEN o_custkey % 5 ELSE 0 END AS c, o_custkey % 13 <> 0 AS h, o_totalprice/100 AS l FROM orders),
+        f AS (SELECT CASE WHEN c = 124 THEN 'timeout' WHEN c <> 0 THEN 'exit_' || CAST(c AS VARCHAR) WHEN NOT h THEN 'no_trajectory' WHEN l > 1500 THEN 'runaway' ELSE '' END AS failure_reason FROM r)
+        SELECT failure_reason, failure_reason <> '' AS failed, count(*) AS n FROM f GROUP BY ALL""",
+    "config_patches": "SELECT p_partkey AS trial_id, 'a.json' AS file, 'm.brand=' || p_brand || ';m.size=' || CAST(p_size AS VARCHAR) AS patch FROM part",
+    "frame_counts": f"""WITH {duckdb_with('traj')}, t AS (SELECT seq, seq % 5 AS n, seq % 3 <> 0 AS m, seq BETWEEN 1.8e0 AND 40.2e0 AS i FROM traj)
+        SELECT count(*) AS read, count(*) FILTER (n > 0) AS parsed, count(*) FILTER (NOT i) AS out_of_range, count(*) FILTER (i AND NOT m) AS stationary, count(*) FILTER (i AND m) AS kept FROM t""",
+    "point_times": """WITH p AS (SELECT user_id AS scan_id, CASE user_id % 4 WHEN 0 THEN (1e5+value/1000)*1.0e0 WHEN 1 THEN (1e5+value/1000)*1e9 WHEN 2 THEN value*1e-3 ELSE value*1e6 END AS t FROM events),
+        m AS (SELECT scan_id, [abs(median(t)-1e5), abs(median(t*1e-9)-1e5), abs(median(1e5+t)-1e5), abs(median(1e5+t*1e-9)-1e5)] AS o FROM p GROUP BY scan_id), k AS (SELECT scan_id, list_position(o, list_min(o)) AS k FROM m),
+        r AS (SELECT p.scan_id, CASE k WHEN 1 THEN t WHEN 2 THEN t*1e-9 WHEN 3 THEN 1e5+t ELSE 1e5+t*1e-9 END AS t FROM p JOIN k ON k.scan_id = p.scan_id)
+        SELECT scan_id, count(*) AS n, round(min(t), 4) AS t_min, round(max(t), 4) AS t_max FROM r GROUP BY scan_id""",
+    "cap_fingerprint": f"""WITH {duckdb_with('targets')} SELECT concat_ws('/', CAST(net AS VARCHAR), cloud_id) AS run_id, string_agg(printf('%.4f %.4f %.4f', x, y, z), '; ' ORDER BY printf('%.4f %.4f %.4f', x, y, z)) AS caps FROM targets WHERE idx IN (0, 7) GROUP BY ALL""",
+    "surface_volume": f"""WITH {duckdb_with('cloud')}, {_XYZ}, {_VOX}, b AS (SELECT cloud_id, ix - (k & 1) AS x, iy - ((k >> 1) & 1) AS y, iz - (k >> 2) AS z, 1 << k AS bit FROM v CROSS JOIN (SELECT unnest(range(8)) AS k)),
+        c AS (SELECT cloud_id, CAST(sum(bit) AS BIGINT) AS pattern FROM b GROUP BY cloud_id, x, y, z),
+        t AS (SELECT unnest([1 + 2 + 8 + 128, 1 + 2 + 32 + 128, 1 + 4 + 8 + 128, 1 + 4 + 64 + 128, 1 + 16 + 32 + 128, 1 + 16 + 64 + 128]) AS mask)
+        SELECT cloud_id, round(sum([0.0e0, 0.125e0, 0.5e0, 0.875e0, 1.0e0][bit_count(pattern & mask) + 1])/6*0.125e0, 6) AS volume FROM c CROSS JOIN t GROUP BY cloud_id""",
+    "outbound_leg": f"""WITH RECURSIVE {duckdb_with('traj')}, c AS MATERIALIZED (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy, z - avg(z) OVER w AS cz, count(*) OVER w AS n FROM traj WINDOW w AS (PARTITION BY run_id)),
+        m AS MATERIALIZED (SELECT run_id, avg(cx*cx) xx, avg(cx*cy) xy, avg(cx*cz) xz, avg(cy*cy) yy, avg(cy*cz) yz, avg(cz*cz) zz FROM c GROUP BY run_id),
+        pw AS (SELECT run_id, 0 AS k, 0.5773e0 AS a, 0.5771e0 AS b, 0.5777e0 AS d FROM m UNION ALL
+               SELECT run_id, k + 1, CASE WHEN q > 0 THEN u/q ELSE a END, CASE WHEN q > 0 THEN v/q ELSE b END, CASE WHEN q > 0 THEN w/q ELSE d END FROM
+                 (SELECT *, sqrt(u*u+v*v+w*w) AS q FROM (SELECT pw.*, xx*a+xy*b+xz*d AS u, xy*a+yy*b+yz*d AS v, xz*a+yz*b+zz*d AS w FROM pw JOIN m ON m.run_id = pw.run_id WHERE k < 300))),
+        p AS (SELECT c.run_id, seq, x, y, z, n, cx*a+cy*b+cz*d AS pj FROM c JOIN pw ON pw.run_id = c.run_id AND pw.k = 300),
+        f AS (SELECT *, abs(pj - first_value(pj) OVER w) AS away, row_number() OVER w - 1 AS pos FROM p WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+        t AS (SELECT run_id, greatest(arg_max(pos, away), least(any_value(n) - 1, 10)) AS turn FROM (SELECT * FROM f ORDER BY run_id, pos) GROUP BY run_id)
+        SELECT f.run_id, seq, {_r('x', 'y', 'z')} FROM f JOIN t ON t.run_id = f.run_id WHERE pos <= turn""",
+    "outlier_removal": f"""WITH {duckdb_with('cloud')}, x AS MATERIALIZED (SELECT cloud_id, row_number() OVER () AS id, r*cos(radians(theta)) AS x, r*sin(radians(theta)) AS y, s AS z FROM cloud), g AS MATERIALIZED (SELECT *, CAST(floor(x) AS BIGINT) AS i, CAST(floor(y) AS BIGINT) AS j, CAST(floor(z) AS BIGINT) AS k FROM x),
+        o AS (SELECT a, b, c FROM (SELECT unnest([-1,0,1]) AS a) CROSS JOIN (SELECT unnest([-1,0,1]) AS b) CROSS JOIN (SELECT unnest([-1,0,1]) AS c)), q AS (SELECT cloud_id, id, x, y, z, i+a AS i, j+b AS j, k+c AS k FROM g CROSS JOIN o),
+        n AS (SELECT q.cloud_id, q.id, list_sort(list(sqrt(pow(q.x-g.x,2)+pow(q.y-g.y,2)+pow(q.z-g.z,2))))[1:8] AS d FROM q JOIN g ON g.cloud_id=q.cloud_id AND g.i=q.i AND g.j=q.j AND g.k=q.k AND g.id<>q.id GROUP BY ALL),
+        sure AS MATERIALIZED (SELECT cloud_id, id, d FROM n WHERE len(d) = 8 AND d[8] <= 1), l AS MATERIALIZED (SELECT * FROM x WHERE id NOT IN (SELECT id FROM sure)),
+        far AS (SELECT l.cloud_id, l.id, list_sort(list(sqrt(pow(l.x-x.x,2)+pow(l.y-x.y,2)+pow(l.z-x.z,2))))[1:8] AS d FROM l JOIN x ON x.cloud_id=l.cloud_id AND x.id<>l.id GROUP BY ALL),
+        e AS (SELECT cloud_id, list_avg(d) AS d FROM (SELECT * FROM sure UNION ALL SELECT * FROM far)), m AS (SELECT cloud_id, avg(d) + 2*stddev_samp(d) AS lim FROM e GROUP BY cloud_id)
+        SELECT e.cloud_id, count(*) AS n FROM e JOIN m ON m.cloud_id=e.cloud_id WHERE d <= lim GROUP BY e.cloud_id""",
 }

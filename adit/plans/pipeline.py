@@ -83,11 +83,19 @@ def cross_check(volumes: DataFrame, a: str = "profiles", b: str = "surface_mesh"
     return both.withColumn("pct", F.abs(F.col("b") - F.col("a")) / F.col("a") * 100).where(F.col("pct") > limit_pct)
 
 
-def statistics(runs: DataFrame, use_all: bool = False) -> dict[str, DataFrame]:
-    """Repeatability, outliers and bias over runs (dataset, rep, stamp, run_no, cloud_id, method, volume): the newest of each, or all."""
+def statistics(runs: DataFrame, use_all: bool = False, datasets: list[str] | None = None, must_match: list[str] | None = None, strict: bool = True) -> dict[str, DataFrame]:
+    """Repeatability, outliers and bias over runs (dataset, rep, stamp, run_no, cloud_id, method, volume): the newest of each, or all.
+
+    ``datasets``: those to look at; ``must_match``: columns of the runs that must agree within a dataset, or else it is an error (only told, if not ``strict``).
+    """
+    if datasets:
+        runs = runs.where(F.col("dataset").isin(*datasets))
     chosen = runs if use_all else stats.newest(runs, ("dataset", "rep", "cloud_id", "method"))
-    chosen = chosen.persist()
-    return {
+    chosen = kept(chosen)
+    problems = stats.comparability(chosen.withColumn("run_id", F.concat_ws("/", "rep", "stamp")), must_match) if must_match else None
+    if problems is not None:
+        stats.require_comparable(problems, strict)
+    return ({"problems": problems} if problems is not None else {}) | {
         "describe": stats.describe(chosen, ["dataset", "cloud_id", "method"], "volume"), "grubbs": stats.grubbs(chosen, ["dataset", "cloud_id", "method"], "volume", "rep"),
         "bias": stats.bias(chosen, ["dataset", "method"]), "paired": stats.paired_bias(chosen, ["dataset", "rep", "method"], ["dataset", "method"]),
         "methods": stats.method_spread(chosen, ["dataset", "rep", "cloud_id"]),

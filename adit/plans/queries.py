@@ -1,15 +1,18 @@
 """The survey queries: each takes (spark, sf_dir) and returns a DataFrame over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adit.operators import cavity, compare, denoise, stats, sweep, targets, trajectory, volume
+from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
 from adit.operators.graph import kept
 from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_2d, filled_grid, median_grid
+from adit.sources import readers
 from adit.sources.views import view
 
 QUERIES: dict = {}
 G = Grid()
+#: The coverages that windows are looked for at
+THRESHOLDS = [0.98, 0.95, 0.92, 0.90, 0.85, 0.80, 0.75, 0.70, 0.65, 0.60, 0.50]
 ROTATION = [[0.6, -0.8, 0.0, 1.0], [0.8, 0.6, 0.0, 2.0], [0.0, 0.0, 1.0, 3.0], [0.0, 0.0, 0.0, 1.0]]
 
 
@@ -117,7 +120,7 @@ def delta_r_summary(s, d):
 
 @query
 def threshold_sweep(s, d):
-    return compare.longest_run(coverage_by_slab(cells(s, d), G), [0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
+    return compare.longest_run(coverage_by_slab(cells(s, d), G), THRESHOLDS)
 
 
 @query
@@ -418,3 +421,139 @@ def deskew(s, d):
 @query
 def dense_map(s, d):
     return rounded(denoise.dense_map(_shots(s, d), _poses(s, d), 1.0, 6.0, 2.0))
+
+
+def _axis(s, step=1.0, n=101):
+    """A straight frame along x with z up."""
+    at = lambda p, **v: [F.lit(float(v.get(c, 0))).alias(p + c) for c in "xyz"]
+    return s.range(n).select(F.col("id").alias("k"), (F.col("id") * step).alias("s"), (F.col("id") * step).alias("px"), F.lit(0.0).alias("py"), F.lit(0.0).alias("pz"), *at("t", x=1), *at("a", z=1), *at("b", y=1))
+
+
+@query
+def from_cylindrical(s, d):
+    points = view(s, d, "cloud").select("cloud_id", "s", "r", "theta")
+    return rounded(trajectory.from_cylindrical(points, _axis(s)).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(c, 6)).alias(c) for c in "xyz"]), 3)
+
+
+@query
+def reversed_axis(s, d):
+    """Points about the axis turned round: s becomes 10 - s, and the side changes hands."""
+    return rounded(trajectory.cylindrical(view(s, d, "traj"), trajectory.turned_round(_axis(s, 0.1))).select("run_id", "seq", "s", "r", "theta", "dz"))
+
+
+@query
+def gravity_frame(s, d):
+    by = Window.partitionBy("run_id").orderBy("seq")
+    step = view(s, d, "traj").select("run_id", "seq", *[(F.lead(c).over(by) - F.col(c)).alias(c) for c in "xyz"])
+    size = F.sqrt(sum((F.col(c) ** 2 for c in "xyz"), F.lit(0.0)))
+    lines = step.withColumn("size", size).where("size > 1e-6 and abs(z) < 0.999 * size").select("run_id", "seq", *[(F.col(c) / F.col("size")).alias("t" + c) for c in "xyz"])
+    return rounded(trajectory.gravity_frame(lines).select("run_id", "seq", *[v + c for v in "ab" for c in "xyz"]))
+
+
+def _kappa(s, d):
+    return trajectory.curvature(trajectory.resampled(view(s, d, "traj"), 5.0))
+
+
+@query
+def curvature(s, d):
+    return rounded(_kappa(s, d))
+
+
+@query
+def curvature_peaks(s, d):
+    return rounded(centreline.curvature_peaks(_kappa(s, d).withColumn("kappa", F.round("kappa", 6))))
+
+
+@query
+def area_bridge(s, d):
+    return rounded(compare.clean_areas(areas(s, d)))
+
+
+def _shifted(s, d):
+    a = kept(areas(s, d))
+    side = lambda c: a.where((F.col("cloud_id") == c) & (F.col("s") >= (3.0 if c == "ref" else 1.25))).select("s", "area")
+    return compare.shifted_difference(side("ref"), side("mobile"))
+
+
+@query
+def shifted_difference(s, d):
+    return rounded(_shifted(s, d).select("p", "area_a", "area_b", "d_area"))
+
+
+@query
+def campaign_segments(s, d):
+    return rounded(compare.campaign_segments(_shifted(s, d)))
+
+
+@query
+def campaign_change(s, d):
+    mean = _newest(s, d).groupBy("dataset", "cloud_id", "method").agg(F.avg("volume").alias("volume"))
+    return rounded(compare.campaign_change(mean, "ds0", "ds1"))
+
+
+@query
+def band_mean(s, d):
+    bins = _theta(s, d).withColumn("angle", (F.col("j") + 0.5) * G.dt - 180.0)
+    low, high = (compare.band_mean(bins, "angle", "dz", *b).withColumn("band", F.lit(n)) for b, n in (((-130.0, -110.0), "dip"), ((50.0, 70.0), "opposite")))
+    return rounded(low.unionByName(high))
+
+
+@query
+def last_by_path(s, d):
+    runs = view(s, d, "runs").withColumn("path", F.concat_ws("/", "dataset", "rep", F.date_format("stamp", "yyyyMMdd"), F.lpad(F.col("run_no").cast("string"), 9, "0"), "cloud_id", "method", F.format_string("%.5f", "volume")))
+    return rounded(stats.last_by_path(runs, "path").select("dataset", "rep", "run_no", "cloud_id", "method", "volume"))
+
+
+@query
+def pooled_trials(s, d):
+    return rounded(sweep.pooled(_trials(s, d)))
+
+
+@query
+def best_and_bounds(s, d):
+    trials = _trials(s, d).where("state = 'COMPLETE'")
+    o = view(s, d, "orders")
+    params = o.select(F.col("o_orderkey").alias("trial_id"), F.explode(F.create_map(F.lit("cust"), F.col("o_custkey").cast("double"), F.lit("total"), F.col("o_totalprice"), F.lit("key"), F.col("o_orderkey") + 1.0)).alias("name", "value"))
+    space = s.createDataFrame([("cust", 0.0, 150.0, "lin"), ("total", 1.0, 1e6, "log"), ("key", 0.0, 1e6, "lin")], "name string, lo double, hi double, scale string")
+    return rounded(sweep.best_and_bounds(trials, params, space))
+
+
+@query
+def outcomes(s, d):
+    o = view(s, d, "orders")
+    code = F.when(F.col("o_custkey") % 11 == 0, 124).when(F.col("o_custkey") % 7 == 0, F.col("o_custkey") % 5).otherwise(0).cast("int")
+    runs = o.select(code.alias("exit_code"), (F.col("o_custkey") % 13 != 0).alias("has_trajectory"), (F.col("o_totalprice") / 100).alias("path_length_m"))
+    return sweep.classified(runs, 1500.0).groupBy("failure_reason", "failed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def config_patches(s, d):
+    """Values by file and path; the maps as sorted text."""
+    p = view(s, d, "part")
+    params = p.select(F.col("p_partkey").alias("trial_id"), F.explode(F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"), F.lit("none"), F.lit("x"))).alias("name", "value"))
+    mapping = s.createDataFrame([("size", "a.json", "m.size"), ("brand", "a.json", "m.brand")], "name string, file string, path string")
+    text = F.concat_ws(";", F.transform(F.array_sort(F.map_entries("patch")), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return sweep.config_patches(params, mapping).select("trial_id", "file", text.alias("patch"))
+
+
+@query
+def frame_counts(s, d):
+    t = view(s, d, "traj").withColumn("t", F.col("seq").cast("double"))
+    flagged = t.select("run_id", "t", (F.col("seq") % 5).alias("n_points"), (F.col("seq") % 3 != 0).alias("moving"))
+    return denoise.frame_counts(flagged, (2.0, 40.0))
+
+
+@query
+def point_times(s, d):
+    """Which reading of a scan's raw times lies closest to its header."""
+    e = view(s, d, "events")
+    scale = F.when(F.col("user_id") % 4 == 0, F.lit(1.0)).when(F.col("user_id") % 4 == 1, F.lit(1e9)).when(F.col("user_id") % 4 == 2, F.lit(1e-3)).otherwise(F.lit(1e6))
+    raw = F.when(F.col("user_id") % 4 < 2, (F.lit(1e5) + F.col("value") / 1000) * scale).otherwise(F.col("value") * scale)
+    points = e.select(F.col("user_id").alias("scan_id"), F.lit(1e5).alias("header_t"), F.col("event_id").alias("pid"), raw.alias("t"))
+    return rounded(readers.point_times(points).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max")), 4)
+
+
+@query
+def cap_fingerprint(s, d):
+    t = view(s, d, "targets").where("idx in (0, 7)").withColumn("run_id", F.concat_ws("/", "net", "cloud_id"))
+    return stats.fingerprint(t)
