@@ -5,7 +5,8 @@ it is longer), so that forms of a word that the sample lacks are known by what
 they start with; a token's weight is that of its most specific feature that
 stands out.
 
-Fit: counts of toxic and other labelled documents with a feature give it a
+Fit: one labelled document in ``aside``, by a hash of its id, is set aside for the
+calibration. Counts of toxic and other documents with a feature among the rest give it a
 log-odds with an informative Dirichlet prior (``prior`` times the
 pooled counts) and its z-score. Those that stand out keep their
 log-odds as weight, every other token has weight 0, and a constant ``drift`` is
@@ -16,17 +17,20 @@ As all tokens without weight cost the same, the scan visits weighted tokens
 only and takes the gaps from their positions. The chance that ordinary text of n tokens holds a
 segment of score S is 1 - exp(-K n exp(-lambda S)) (Karlin and Altschul); lambda
 solves sum p exp(lambda s) = 1 over the ordinary token scores, K is its
-maximum-likelihood value on ordinary documents. The most surprising segment and
+maximum-likelihood value on ordinary documents set aside. The most surprising segment and
 the sum over segments that are significant alone, in such units, are calibrated
-by logistic regression on the sample.
+by logistic regression on the documents set aside.
 
 Tokens are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing A-Z.
 The fit sees at most ``most`` labelled documents, chosen by a hash of the id;
-scoring covers whole texts of all documents, with the input's own columns kept.
+scoring covers whole texts of all documents, with the input's own columns kept, but for those
+named as a result in any case, which are replaced.
 
 Defined cases: a null or empty text has no segment and the score of one; labels that
-are null, or repeat with different values for an id, count as null and as the largest; without
-any labelled row of both classes every score is 0.
+are null, or repeat with different values for an id, count as null and as the largest; repeated
+rows are scored, and learned from, as often as they come; of segments with equal scores each is one of its own; without
+any labelled row of both classes, so in an empty table, every score is 0; without both classes among the
+documents set aside all labelled ones calibrate; the time grows with a text in proportion.
 """
 
 from dataclasses import dataclass, field
@@ -64,26 +68,30 @@ def segments(at: np.ndarray, weight: np.ndarray, drift: float) -> list[tuple[int
     """All maximal-scoring segments (first, last, score) of weighted tokens at increasing positions.
 
     Every token costs ``drift``, those without weight, which lie between the
-    given ones, too. One pass; each candidate is merged at most once.
+    given ones, too. One pass: each candidate keeps a link to the nearest one
+    before it whose sum up to its start is smaller, so that a look back skips what an
+    earlier one has passed, and each candidate is merged at most once.
     """
-    found: list[list] = []  # first, last, sum before it, sum up to its end
+    first, last, left, right, link = [], [], [], [], []  # places, sums before and up to the end, and the link of each candidate
     total, before = 0.0, -1
     for p, w in zip(at.tolist(), weight.tolist()):
         total -= drift * (p - before - 1)
-        left, total, before = total, total + w - drift, p
-        if total <= left:
+        start, total, before = total, total + w - drift, p
+        if total <= start:
             continue
-        new = [p, p, left, total]
+        a = p
+        k = len(left) - 1
         while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= new[3]:
-                found.append(new)
+            while k >= 0 and left[k] >= start:
+                k = link[k]
+            if k < 0 or right[k] >= total:
                 break
-            new = [found[k][0], new[1], found[k][2], new[3]]
-            del found[k:]
-    return [(a, b, r - l) for a, b, l, r in found]
+            a, start = first[k], left[k]
+            before_k = link[k]
+            del first[k:], last[k:], left[k:], right[k:], link[k:]
+            k = before_k
+        first.append(a), last.append(p), left.append(start), right.append(total), link.append(k)
+    return [(a, b, r - s) for a, b, s, r in zip(first, last, left, right)]
 
 
 def _weighted(data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +179,16 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.1, min_z: float = 3.2, min_odds: float = 1.0, min_count: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.1, min_z: float = 3.2, min_odds: float = 1.0, min_count: int = 5, aside: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled documents; ``labels`` holds the rows that may be seen."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     known = sample(known, "__id", most)  # a row of 12 bytes each: at most ``most`` rows are broadcast
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id").select("label", "text")
-    texts = written(texts, "labelled")
-    counts = written(token_counts(texts), "counts")
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")
+    texts = written(texts.select("label", "text", (F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(aside)) == 0).alias("aside")), "labelled")
+    counts = written(token_counts(texts.where("not aside").select("label", "text")), "counts")
+    held = texts.where("aside").select("label", "text")
+    if held.agg(F.count_distinct("label")).first()[0] < 2:
+        held = texts.select("label", "text")
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
     model = Model()
     if not total.t or not total.o:
@@ -208,11 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1])], ["label", "n", "f0", "f1"])
 
     # K = documents / sum n exp(-lambda S) over ordinary documents; with K = 1 the surprise gives n exp(-lambda S) back
-    seen = texts.mapInArrow(features, "label int, n long, f0 double, f1 double").toPandas()
+    seen = held.mapInArrow(features, "label int, n long, f0 double, f1 double").toPandas()
     plain = seen[(seen["label"] == 0) & (seen["n"] > 0)]
     e = np.where(plain["f0"] > 0, -np.log1p(-np.minimum(np.exp(-plain["f0"]), 1 - 1e-15)), plain["n"])
     model.size = float(len(plain) / max(e.sum(), 1e-9))
-    seen = texts.mapInArrow(lambda batches, m=model: features(batches, m), "label int, n long, f0 double, f1 double").toPandas()
+    seen = held.mapInArrow(lambda batches, m=model: features(batches, m), "label int, n long, f0 double, f1 double").toPandas()
     b = _logistic(np.log1p(seen[["f0", "f1"]].to_numpy()), seen["label"].to_numpy(float))
     model.intercept, model.slopes = float(b[0]), (float(b[1]), float(b[2]))
     return model
@@ -225,7 +236,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents with ``toxicity`` (0 to 1) and ``toxic_segments`` (ranges of tokens, with their surprise)."""
     model = docs.sparkSession.sparkContext.broadcast(model)
     new = {"toxicity": T.DoubleType(), "toxic_segments": _SPAN}
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in new] + [T.StructField(k, v) for k, v in new.items()])
+    schema = T.StructType([f for f in docs.schema.fields if f.name in kernels.others(docs.columns, new)] + [T.StructField(k, v) for k, v in new.items()])
     span = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("surprise", pa.float64())]))
 
     def run(batches):
