@@ -13,8 +13,11 @@ The fit sees at most ``most`` labelled rows, chosen by a hash of the id, and onl
 their features; whole texts of all documents are scored.
 
 Defined cases: a null or empty text has all features 0 and gets the score of
-these; null labels are left out, of several labels of an id the largest counts; with no
-label, or one class only, every score is the share of 1 (0.5 without any).
+these; null labels are left out, of several labels of an id the largest counts; of several
+rows with one id the one with the smallest features is learned from, and each is scored; with no
+label (so for empty tables) or one class only, every score is the share of 1 (0.5 without any); texts of any
+length are read whole; of equally good cuts the first is taken; input columns named as a result, in any case, are
+replaced, all others but the text are kept.
 """
 
 from dataclasses import dataclass, field
@@ -32,7 +35,7 @@ FEATURES = (
     "words", "bytes", "word_length", "word_length_deviation", "distinct_words", "root_distinct", "same_as_before", "top_word",
     "upper", "digits", "stops", "commas", "pipes", "signs", "exclamations", "short_words", "long_words", "line_ends", "words_a_line", "non_ascii", "repeated_pairs", "sign_words",
 )
-_LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _STOP, _COMMA, _PIPE, _BANG, _HIGH, _SIGN = range(11)
+_CLASS_NAMES = _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _STOP, _COMMA, _PIPE, _BANG, _HIGH, _SIGN = range(11)
 
 
 def _classes() -> np.ndarray:
@@ -50,32 +53,48 @@ def text_features(column: pa.Array) -> np.ndarray:
     data, offs = kernels.text_buffers(column)
     out = np.zeros((len(offs) - 1, len(FEATURES)), np.float32)
     for i, j in kernels.groups(offs):
-        h, start, end, first = kernels.words(data, offs[i : j + 1], "space")
-        last_sign = _CLASS[data[end - 1]] == _SIGN if len(end) else np.zeros(0, bool)
-        pairs, pair_first = kernels.shingles(h, first, 2)
-        length = (end - start).astype(np.float64)
-        for d in range(i, j):
-            a, b = first[d - i], first[d - i + 1]
-            n, size = b - a, offs[d + 1] - offs[d]
-            if not size:
-                continue
-            kind = np.bincount(_CLASS[data[offs[d] : offs[d + 1]]], minlength=11)
-            w = np.sort(h[a:b])
-            new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if n else np.zeros(0, np.int64)
-            distinct, m = len(new), max(n, 1)
-            p = pairs[pair_first[d - i] : pair_first[d - i + 1]]
-            letters = max(kind[_LOWER] + kind[_UPPER] + kind[_HIGH], 1)
-            ln = length[a:b]
-            out[d] = (
-                np.log1p(n), np.log1p(size), ln.mean() if n else 0, ln.std() if n else 0, distinct / m, distinct / np.sqrt(m),
-                (h[a + 1 : b] == h[a : b - 1]).mean() if n > 1 else 0, np.diff(np.append(new, n)).max() / m if n else 0,
-                kind[_UPPER] / letters, kind[_DIGIT] / size, kind[_STOP] / m, kind[_COMMA] / m, kind[_PIPE] / m, kind[_SIGN] / m, kind[_BANG] / m,
-                (ln <= 3).mean() if n else 0, (ln >= 12).mean() if n else 0, kind[_LINE] / m, np.log1p(n / (kind[_LINE] + 1)), kind[_HIGH] / size,
-                1 - len(np.unique(p)) / max(len(p), 1), last_sign[a:b].mean() if n else 0,
-            )
+        out[i:j] = _group_features(data, offs[i : j + 1])
+    out[np.diff(offs) == 0] = 0
     return out
 
 
+def _repeats(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of hashes how many differ, and how often the commonest occurs."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    key = np.sort(doc << np.uint64(50) | h >> np.uint64(14))  # a group has fewer than 2^14 texts
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    runs = np.diff(np.append(at, len(key)))
+    return kernels.row_sums(new.astype(np.int64), first), kernels.row_sums(runs, np.searchsorted(at, first), np.maximum)
+
+
+def _group_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    h, start, end, first = kernels.words(data, offs, "space")
+    docs, size, n = len(offs) - 1, np.diff(offs), np.diff(first)
+    kinds = len(_CLASS_NAMES)
+    code = np.repeat(np.arange(docs, dtype=np.int32) * kinds, size) + _CLASS[data[offs[0] : offs[-1]]]
+    kind = np.bincount(code, minlength=docs * kinds).reshape(docs, kinds).T
+    length = (end - start).astype(np.float64)
+    of = lambda x: kernels.row_sums(x.astype(np.float64), first)
+    m, letters, size1 = np.maximum(n, 1), np.maximum(kind[_LOWER] + kind[_UPPER] + kind[_HIGH], 1), np.maximum(size, 1)
+    mean = of(length) / m
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[first[:-1][n > 0]] = False
+    distinct, top = _repeats(h, first)
+    pairs, pair_first = kernels.shingles(h, first, 2)
+    pairs_distinct, _ = _repeats(pairs, pair_first)
+    last_sign = _CLASS[data[end - 1]] == _SIGN if len(end) else np.zeros(0, bool)
+    return np.column_stack([
+        np.log1p(n), np.log1p(size), mean, np.sqrt(np.maximum(of(length**2) / m - mean**2, 0)), distinct / m, distinct / np.sqrt(m),
+        of(again) / np.maximum(n - 1, 1), top / m,
+        kind[_UPPER] / letters, kind[_DIGIT] / size1, kind[_STOP] / m, kind[_COMMA] / m, kind[_PIPE] / m, kind[_SIGN] / m, kind[_BANG] / m,
+        of(length <= 3) / m, of(length >= 12) / m, kind[_LINE] / m, np.log1p(n / (kind[_LINE] + 1)), kind[_HIGH] / size1,
+        1 - pairs_distinct / np.maximum(np.diff(pair_first), 1), of(last_sign) / m,
+    ])
+
+
 @dataclass
 class Model:
     edges: list = field(default_factory=list)  # a feature's bin borders
@@ -218,7 +237,8 @@ def fit_tables(x: np.ndarray, y: np.ndarray, bins: int = 24, rate: float = 0.1,
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents' columns without the text, and ``quality_features``."""
-    rest = [f for f in docs.schema.fields if f.name not in (text_col, "quality_features")]
+    keep = kernels.others(docs.columns, (text_col, "quality_features"))
+    rest = [f for f in docs.schema.fields if f.name in keep]
 
     def run(batches):
         for batch in batches:
@@ -231,17 +251,19 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def fit(featured: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", label_col: str = "quality") -> Model:
     """Learn from the featured rows whose ids ``labels`` has; at most ``most`` rows, of features only, reach the driver."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
-    known = sample(known, id_col, most)
-    rows = featured.select(id_col, "quality_features").join(F.broadcast(known), id_col).select(F.col(id_col).alias("id"), "quality_features", "__label").dropDuplicates(["id"]).toPandas().sort_values("id")
-    x = np.array(rows["quality_features"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
-    return fit_tables(x, rows["__label"].to_numpy(float))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = sample(known, "id", most)
+    rows = featured.select(F.col(id_col).alias("id"), F.col("quality_features").alias("x")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("x").alias("x")).toPandas().sort_values("id")
+    x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
+    return fit_tables(x, rows["label"].to_numpy(float))
 
 
 def score(featured: DataFrame, model: Model) -> DataFrame:
     """The rows with ``quality_score`` for their features, which are dropped."""
     sent = featured.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in featured.schema.fields if f.name not in ("quality_features", "quality_score")]
+    keep = kernels.others(featured.columns, ("quality_features", "quality_score"))
+    rest = [f for f in featured.schema.fields if f.name in keep]
 
     def run(batches):
         for batch in batches:
