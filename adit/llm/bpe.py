@@ -10,15 +10,24 @@ check tests for all borders of a batch of words at once: for each pair of
 symbols that stand at a border at one time (the right spine of the left token's
 merge tree against the left spine of the right one's) it looks up whether a
 merge of the two comes before either is taken up by its own token. Words that
-fail are merged exactly. Results are remembered for a bounded number of words.
+fail are merged exactly: short ones many at a time in a matrix of bounded size,
+long ones by a heap of their pairs, so that the time grows with a word's length by n log n.
+Results are remembered for a bounded number of words.
+
+Texts are encoded whole, in pieces of about PIECE signs that end before white space,
+where no word can run on: a long text takes the memory of a piece, its own and that of its
+output (with digests, a digest only).
 
 Defined cases: a null or empty text has no tokens; special tokens in a text are
-their own ids, as in the public library; texts are encoded whole, in pieces
-between words, so that memory grows with a text only by its output.
+their own ids, as in the public library; repeated rows are encoded each; of equal ranks the
+leftmost pair merges first; an empty table gives no rows; input columns named as a
+result, in any case, are replaced, all others are kept.
 """
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -32,7 +41,12 @@ from adit.llm import kernels
 
 #: Words that a worker remembers before it forgets all but those of the texts at hand.
 MEMORY = 400_000
+#: Longer words are not remembered beyond the texts at hand.
+LONG = 64
+#: Signs of a piece of text, and cells of a matrix of words that are merged at once.
+PIECE, CELLS = 1 << 17, 1 << 18
 NEVER = np.int64(1) << 40
+_WHITE = re.compile("[ \t\r\n]")
 #: Marks special tokens among words; no text of UTF-8 holds this character.
 SPECIAL = "\ud800"
 
@@ -114,6 +128,7 @@ class Tokenizer:
         # tokens that may end a word, by their text without the mark, and those that may stand before; the latter's greatest length by their first three signs
         ending = {t: i for t, i in self.vocab.items() if t.endswith(self.suffix)}
         self.ends = {t.removesuffix(self.suffix): i for t, i in ending.items() if t != self.suffix}
+        self.longest = max(map(len, self.ends), default=0)
         self.inner = {t: i for t, i in self.vocab.items() if not self.suffix or t not in ending}
         self.reach: dict[str, int] = {}
         for t in self.inner:
@@ -162,11 +177,34 @@ class Tokenizer:
                 ok[k[(r < xe[k]) & (r <= ye[k])]] = False
         return ok
 
+    def _merged(self, ids: list[int]) -> list[int]:
+        """Plain byte-pair merging of one word of any length: a heap of pairs over linked symbols."""
+        rank, n = self.rank, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank.get((ids[k], ids[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, made, k, a, b = heapq.heappop(heap)
+            m = after[k]
+            if m >= n or ids[k] != a or ids[m] != b:
+                continue  # one of the two has been merged since
+            ids[k], ids[m], after[k] = made, -1, after[m]
+            if after[k] < n:
+                before[after[k]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right < n and (r := rank.get((ids[left], ids[right]))):
+                    heapq.heappush(heap, (*r, left, ids[left], ids[right]))
+        return [i for i in ids if i >= 0]
+
     def _exact(self, words: list[list[int]]) -> list[list[int]]:
-        """Plain byte-pair merging of many words at once: in each, the lowest rank first, leftmost among equals."""
+        """Plain byte-pair merging of many words: in each, the lowest rank first, leftmost among equals."""
         out: list[list[int]] = [[]] * len(words)
-        size = np.array([len(w) for w in words])
-        for some in np.array_split(np.argsort(size, kind="stable"), max(1, len(words) // 4096)):  # of like length
+        size = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero(size > LONG):
+            out[i] = self._merged(list(words[i]))
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= LONG]
+        for some in np.array_split(order, max(1, -(-len(order) * (LONG + 1) // CELLS))):  # of like length
             n, most = len(some), int(size[some].max(initial=0))
             at = np.full((n, most + 1), -1, np.int64)
             for k, i in enumerate(some):
@@ -200,9 +238,9 @@ class Tokenizer:
 
     def _greedy(self, word: str) -> list[int]:
         """Longest matches from the left; the last one carries the end-of-word mark."""
-        ends, inner, reach, out, i, n = self.ends, self.inner, self.reach, [], 0, len(word)
+        ends, inner, reach, out, i, n, longest = self.ends, self.inner, self.reach, [], 0, len(word), self.longest
         while i < n:
-            if (t := ends.get(word[i:])) is not None:
+            if n - i <= longest and (t := ends.get(word[i:])) is not None:
                 out.append(t)
                 break
             for j in range(min(n - 1, i + reach.get(word[i : i + 3], 2)), i, -1):
@@ -266,6 +304,32 @@ class Tokenizer:
         for p in split:
             ids = " ".join(map(self.ids.__getitem__, p))
             out.append((ids.count(" ") + 1 if p else 0, ids, " ".join(map(self.shown.__getitem__, p))))
+        for w in new:
+            if len(w) > LONG:
+                del self.ids[w], self.shown[w]
+        return out
+
+    def encode_all(self, texts: list[str], digests: bool) -> list[tuple]:
+        """For each text: number of tokens, and its ids and decoded text, or the SHA-256 of both; long texts piece by piece."""
+        out = []
+        short = [t for t in texts if len(t) <= PIECE]
+        known = iter(self.encode(short) if short else [])
+        for t in texts:
+            if len(t) <= PIECE:
+                n, ids, shown = next(known)
+                out.append((n, _sha(ids), _sha(shown)) if digests else (n, [int(x) for x in ids.split()], shown))
+                continue
+            total, sums, kept = 0, (hashlib.sha256(), hashlib.sha256()), ([], [])
+            for piece in pieces(t):
+                n, *pair = self.encode([piece])[0]
+                if n and digests:
+                    for h, x in zip(sums, pair):
+                        h.update((" " * (total > 0) + x).encode())
+                elif n:
+                    kept[0].extend(map(int, pair[0].split()))
+                    kept[1].append(pair[1])
+                total += n
+            out.append((total, *(h.hexdigest() for h in sums)) if digests else (total, kept[0], " ".join(kept[1])))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -273,6 +337,20 @@ class Tokenizer:
         return " ".join(self.tokens[i] for i in ids)
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def pieces(text: str, size: int = PIECE):
+    """The text in parts of ``size`` signs or a little more, each but the first beginning with ASCII white space."""
+    at = 0
+    while at < len(text):
+        cut = _WHITE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -284,21 +362,16 @@ def encode(docs: DataFrame, path: str, digests: bool = False, text_col: str = "t
     ``path``: the vocabulary file, at the same place on every executor.
     """
     kinds = {"n_tokens": T.LongType()} | ({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digests else {"token_ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()})
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in kinds] + [T.StructField(k, v) for k, v in kinds.items()])
+    schema = T.StructType([f for f in docs.schema.fields if f.name in kernels.others(docs.columns, kinds)] + [T.StructField(k, v) for k, v in kinds.items()])
+    types = {"n_tokens": pa.int64()} | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {"token_ids": pa.list_(pa.int32()), "decoded": pa.string()})
 
     def run(batches):
         tok = tokenizer(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             _, offs = kernels.text_buffers(batch.column(text_col))
             for i, j in kernels.groups(offs, 1 << 19):
                 part = batch.slice(i, j - i)
-                got = tok.encode([t or "" for t in part.column(text_col).to_pylist()])
-                new = {"n_tokens": pa.array([g[0] for g in got], pa.int64())}
-                if digests:
-                    new |= {"ids_sha256": pa.array([sha(g[1]) for g in got]), "decoded_sha256": pa.array([sha(g[2]) for g in got])}
-                else:
-                    new |= {"token_ids": pa.array([[int(x) for x in g[1].split()] for g in got], pa.list_(pa.int32())), "decoded": pa.array([g[2] for g in got])}
-                yield kernels.append(part, new)
+                got = tok.encode_all([t or "" for t in part.column(text_col).to_pylist()], digests)
+                yield kernels.append(part, {k: pa.array([g[n] for g in got], t) for n, (k, t) in enumerate(types.items())})
 
     return docs.mapInArrow(run, schema)
