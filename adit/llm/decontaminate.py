@@ -12,15 +12,18 @@ place in the window, and intersects with the lists of the next rarest terms.
 
 Query windows are sent to the tasks in blocks of at most ``BLOCK`` windows;
 more blocks are more passes over the index, and their spans are then united per
-document.
+document. Within a segment, windows are searched some at a time, so that no more than
+``EXPAND`` postings are looked at together, unless one term alone has more there.
 
 Words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing A-Z,
 compared by 64-bit hashes.
 
 Defined cases: a null or empty text has no words and no hits; an item without words
-has no window; items with one id but several rows count as one item; a window
-never crosses documents; document ids may repeat or be null, as spans stay with
-the row.
+has no window; items with one id but several rows count as one item; rows with a null
+id are one item without a name, a null among the items that match; of equally rare terms
+the first in the window comes first; a window never crosses documents; document ids may
+repeat or be null, as spans stay with the row, and repeated rows are a row each; very long texts are a
+segment of their own; without documents there are no rows, without items no hits; extra columns are not read.
 """
 
 import numpy as np
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adit.llm import kernels
-from adit.llm.store import written
+from adit.llm.store import split_join, written
 
 BLOCK = 200_000
 SEGMENT = 1 << 22
+EXPAND = 1 << 21
 _SPAN = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
 
@@ -110,8 +114,9 @@ class _Plan:
     """A block of windows, their terms in order of rarity, ready to be looked up."""
 
     def __init__(self, items: list[str], windows: list[np.ndarray], rarity: dict[int, int], slop: int):
-        self.names, item = np.unique(np.array(items, dtype=object).astype(str), return_inverse=True)
-        self.slop, self.item = slop, item.astype(np.int64)
+        self.names = [*sorted({i for i in items if i is not None}), None]
+        place = {name: k for k, name in enumerate(self.names)}
+        self.slop, self.item = slop, np.array([place[i] for i in items], np.int64)
         self.length = np.array([len(w) for w in windows], np.int64)
         most = int(self.length.max(initial=0))
         self.term, self.shift = np.zeros((len(windows), most), np.int64), np.zeros((len(windows), most), np.int64)
@@ -131,6 +136,12 @@ class _Plan:
         place[place == len(terms)] = 0
         held = (terms[place] == self.term) | (np.arange(self.term.shape[1])[None, :] >= self.length[:, None])
         some = np.flatnonzero(held.all(1))
+        cut = np.cumsum(counts[place[some, 0]].astype(np.int64)) // EXPAND
+        found = [self._matches(x, place, code, starts, begins, counts, positions) for x in np.split(some, np.flatnonzero(np.diff(cut)) + 1)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _matches(self, some: np.ndarray, place: np.ndarray, code: np.ndarray, starts: np.ndarray, begins: np.ndarray, counts: np.ndarray, positions: np.ndarray):
+        """The matches of ``some`` windows, by intersection from the list of the rarest term on."""
         n = counts[place[some, 0]]
         window = np.repeat(some, n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -172,11 +183,11 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0, block: int = BL
     total = windows.count()
     passes = max(1, -(-total // block))
     dealt = windows.withColumn("pass", F.pmod(F.xxhash64("item", "terms"), F.lit(passes)))
-    parts = []
+    rarity_of, parts = written(document_frequencies(index), "rarity"), []
     for k in range(passes):
         rows = dealt.where(F.col("pass") == k)  # of about ``block`` windows, so of bounded size
         held = rows.select(F.explode("terms").alias("term")).distinct() if passes > 1 else asked
-        rarity = {r.term: r.n for r in document_frequencies(index).join(held, "term").toLocalIterator()}
+        rarity = {r.term: r.n for r in rarity_of.join(held, "term").toLocalIterator()}
         got = rows.select("item", "terms").toPandas()
         plan = spark.sparkContext.broadcast(_Plan(got["item"].tolist(), got["terms"].tolist(), rarity, slop))
 
@@ -195,7 +206,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0, block: int = BL
                     span = pa.StructArray.from_arrays([pa.array(a - begins[home]), pa.array(b - begins[home])], ["a", "b"])
                     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(home, np.arange(n + 1)).astype(np.int32)), span)
                     pairs = np.unique(np.stack([doc, p.item[window]]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                    items = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(n + 1)).astype(np.int32)), pa.array(p.names[pairs[1]].tolist(), pa.string()))
+                    items = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(n + 1)).astype(np.int32)), pa.array([p.names[k] for k in pairs[1]], pa.string()))
                     ids, tks = batch.column("ids")[r].values, batch.column("tks")[r].values
                     yield pa.RecordBatch.from_arrays([ids, tks, pa.array(np.diff(begins)), spans, items], ["id", "tk", "n_words", "spans", "items"])
 
@@ -222,7 +233,7 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     hits = hits.select("tk", merged.alias("spans"), F.col("i").alias("items"))
     base = parts[0].drop("pass", "spans", "items")
     empty = lambda t: F.array().cast(t)
-    return base.join(hits, "tk", "left").select("id", "tk", "n_words", F.coalesce("spans", empty("array<struct<a:long,b:long>>")).alias("spans"), F.coalesce("items", empty("array<string>")).alias("items"))
+    return split_join(base, hits, ["tk"], how="left").select("id", "tk", "n_words", F.coalesce("spans", empty("array<struct<a:long,b:long>>")).alias("spans"), F.coalesce("items", empty("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:

@@ -112,16 +112,16 @@ def brute_contamination(texts, items, width):
                 if (x := tuple(w[i : i + size])) in owner:
                     hit |= set(range(i, i + size))
                     got |= owner[x]
-        out.append((len(w), len(hit), tuple(sorted(got))))
+        out.append((len(w), len(hit), tuple(sorted(x for x in got if x is not None)) + (None,) * (None in got)))
     return out
 
 
 @pytest.mark.parametrize(("width", "block"), [(10, 200_000), (3, 200_000), (3, 5)])
 def test_contamination(spark, docs, width, block):
     rows = docs.collect()
-    items = [(1, rows[7].text), (2, "shared LINE own, 3"), (2, "word"), (3, None), (4, "..."), (10, "alpha Beta"), (5, "nowhere to be found"), (6, " ".join((rows[6].text or "a").split()[5:30]))]
+    items = [(1, rows[7].text), (2, "shared LINE own, 3"), (2, "word"), (3, None), (4, "..."), (10, "alpha Beta"), (5, "nowhere to be found"), (6, " ".join((rows[6].text or "a").split()[5:30])), (None, "naïve word"), (None, "ONE line")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = collections.Counter(zip([r.doc_id for r in rows], *zip(*brute_contamination([r.text for r in rows], [(str(i), t) for i, t in items], width))))
+    want = collections.Counter(zip([r.doc_id for r in rows], *zip(*brute_contamination([r.text for r in rows], [(str(i) if i is not None else None, t) for i, t in items], width))))
     found = decontaminate.contamination(docs, bench, width, block=block)
     got = found.select("id", "n_words", decontaminate.n_hit(), F.array_sort("items"))
     assert collections.Counter((a, b, c, tuple(d)) for a, b, c, d in rows_of(got)) == want
