@@ -9,14 +9,22 @@ similarity from their registers and known set sizes, and what that leaves is
 confirmed on the full sets. Linked sets are merged into components.
 
 How groups of any size are handled: equal sets are one vertex from the start;
-in each bucket all members are first tested against two pivots, not against
-each other; members of buckets that are then still in several components go
+in each bucket all members are first paired with two pivots, not with each
+other; members of buckets that are then still in several components are paired
 through an exact prefix filter, which looks only at pairs of different
-components that share a rare shingle. Nothing is capped. A pair of similarity 0.8 shares no bucket with a chance of about 5e-8.
+components that share a rare shingle. All pairs, of whatever bucket, pass the
+same joint estimate and the same check. Nothing is capped: a crowd of m sets that
+all lie just below the threshold, and so never merge, can cost up to m^2 / 2 pairs
+there. Keys that many rows share (a bucket, a shingle, a set, a component) are dealt
+to several tasks. A pair of similarity 0.8 shares no bucket with a chance of about 5e-8.
+
+Only the texts of candidates are shuffled: a bitmap of fixed size leaves the others
+where they are, and copies of a text are one row before they move.
 
 Defined cases: a null or empty text has an empty set and is linked with
 nothing; rows with equal texts are linked whatever their ids; a null id takes no part
-in the choice of the smallest id; extra columns are not read.
+in the choice of the smallest id; very long texts are one set of their own size in one task;
+an empty table gives no rows; extra columns are not read.
 """
 
 import math
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.llm import kernels
-from adit.llm.store import written
+from adit.llm.store import KeyFilter, split_join, written
 
 REGISTERS, BAND = 128, 4
 BASE, LEVELS = 1.001, 65534
@@ -176,17 +184,17 @@ def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 est = similarity(ra, rb, *(part.column(c).to_numpy().astype(float) for c in ("na", "nb")))
                 yield part.filter(pa.array(est >= least)).select(["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a binary, b binary")
+    both = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a binary, b binary")
 
 
 def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(sid, members): the full sets, sorted, of the given sids.
-
-    The texts are joined by merging at every size of the input: a plan that
-    sends small id tables everywhere would be another one at scale.
-    """
-    texts = written(sketched.join(ids.distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk")), "needed")
+    """(sid, members): the full sets, sorted, of the given sids."""
+    ids = written(ids.distinct(), "asked")
+    of = sketched.select("sid", "tk").where("sid is not null").groupBy("sid").agg(F.min("tk").alias("tk"))
+    texts = written(of.join(ids, "sid", "left_semi"), "needed")
     named = docs.select(F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("tk"), F.col(text_col).alias("text"))
+    named = KeyFilter(texts, "tk").marked(named, "maybe", F.col("tk")).where("maybe").select("tk", "text")
 
     def to_set(batches):
         for batch in batches:
@@ -195,8 +203,8 @@ def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int,
                 full = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(h))])
                 yield pa.RecordBatch.from_arrays([batch.column("sid").slice(i, j - i), full.cast(pa.binary())], ["sid", "members"])
 
-    # equal texts give equal sets: one row of each is enough
-    return written(named.join(texts.hint("merge"), "tk").dropDuplicates(["tk"]).select("sid", "text").mapInArrow(to_set, "sid binary, members binary"), "sets")
+    # equal texts give equal sets: one row of each is enough, taken before texts move
+    return written(named.dropDuplicates(["tk"]).join(texts, "tk").select("sid", "text").mapInArrow(to_set, "sid binary, members binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +221,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 ok[k] = 100 * common >= percent * (len(both) - common)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb").mapInArrow(verify, "a binary, b binary")
+    both = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
+    return both.select("a", "b", "ma", "mb").mapInArrow(verify, "a binary, b binary")
 
 
 def _rarity(full: DataFrame) -> np.ndarray:
@@ -267,13 +276,14 @@ def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
     odd_bins = [f"odd{k}" for k in range(LONGS)]
     rows = full.mapInArrow(prefixes, f"sid binary, key long, place long, n long, {', '.join(f'{c} long' for c in odd_bins)}").join(roots, "sid")
+    rows = written(rows, "prefix_rows")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = written(rows.join(shared, "key"), "prefixes")
+    rows = written(split_join(rows, shared, ["key"], rows.select("key")), "prefixes")
     x, y = (rows.select("key", F.col("sid").alias(c), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}"), *(F.col(k).alias(k + c) for k in odd_bins)) for c in "ab")
     differ = sum((F.bit_count(F.col(k + "a").bitwiseXOR(F.col(k + "b"))) for k in odd_bins), F.lit(0))
     most = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)  # overlap, if this shingle is the first in common
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least(most, (F.col("na") + F.col("nb") - differ) / 2) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return split_join(x, y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,7 +292,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round maps a vertex to the smallest of its neighbours and itself,
     follows that map once more and contracts the edges. Vertices are digests,
     so the order among neighbours is as good as random and the number of rounds
-    grows with the logarithm of the largest component.
+    grows with the logarithm of the largest component. Rows are two digests; where one
+    vertex has very many, adaptive execution splits the join.
     """
     edges = written(edges.distinct(), "edges")
     labels = None
@@ -312,43 +323,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     below the threshold before a pair is dropped without a look at the full sets
     (0.2 is over five standard deviations of the estimate at 0.8).
 
-    Returns one row a document: id_col, tk (MD5 of the text, 16 bytes),
-    n_shingles, component_id (the smallest id that links reach, itself included)
-    and kept (id_col = component_id, or no id to compare).
+    Returns one row a document: id_col, tk (MD5 of the text, 16 bytes), root (names
+    the component, 16 bytes; null for an empty set), n_shingles, component_id (the smallest id that links reach,
+    itself included) and kept (id_col = component_id, or no id to compare).
     """
     sketched = written(sketches(docs, width, id_col, text_col), "sketches")
-    sets = written(sketched.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("regs").alias("regs")), "distinct")
+    sets = written(sketched.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("copies")), "distinct")
     least = max(percent / 100 - slack, 0.0)
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes that allow a link
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that are links: by their estimate, then by their full sets."""
+        likely = written(_likely(pairs, sets, least), "likely")
+        ids = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid")))
+        return written(_confirmed(likely, _full_sets(ids, sketched, docs, width, text_col), percent), "links")
+
     rows = _bucketed(sets)
     # Two pivots a bucket: the smallest set, in which others may lie, and one that is as good as random.
     pivots = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "sid")).alias("p"), F.min(F.struct("sid", "n")).alias("q"))
     pivots = written(pivots.where("size > 1").select("bucket", "size", F.array(F.struct("p.sid", "p.n"), F.struct("q.sid", "q.n")).alias("pivots")), "pivots")
-    members = written(rows.join(pivots, "bucket"), "members")  # the rows of buckets with more than one set
+    some = KeyFilter(pivots, "bucket").marked(rows, "maybe", F.col("bucket")).where("maybe").drop("maybe")
+    members = written(split_join(some, pivots, ["bucket"], heavy=pivots.select("bucket", "size")), "members")  # the rows of buckets with more than one set
     first = members.select("sid", "n", F.explode(F.array_distinct("pivots")).alias("p")).where((F.col("sid") != F.col("p.sid")) & near(F.col("n"), F.col("p.n")))
-    tested = written(first.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b")).distinct(), "tested")
-    likely = written(_likely(tested, sets, least), "likely")
-    ids = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid")))
-    links = written(_confirmed(likely, _full_sets(ids, sketched, docs, width, text_col), percent), "links")
+    links = linked(written(first.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "tested"))
     labels = components(links)
 
     rest = members.where("size > 2").select("bucket", "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
-    rest = rest.select("bucket", "sid", F.coalesce("root", "sid").alias("root"))
+    rest = written(rest.select("bucket", "sid", F.coalesce("root", "sid").alias("root")), "rest")
     still = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    roots = written(rest.join(still, "bucket").select("sid", "root").distinct(), "rest")
+    roots = written(split_join(rest, still, ["bucket"], how="left_semi", heavy=pivots.select("bucket", "size")).select("sid", "root").distinct(), "roots")
     if not roots.isEmpty():
-        full = _full_sets(roots.select("sid"), sketched, docs, width, text_col)
-        more = written(_prefix_pairs(full, roots, percent), "more")
-        found = written(_confirmed(more, full, percent), "links")
+        found = linked(written(_prefix_pairs(_full_sets(roots.select("sid"), sketched, docs, width, text_col), roots, percent), "more"))
         if not found.isEmpty():
             labels = components(links.union(found))
 
     low = sketched.where("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
     low = low.join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
     low = written(low, "low")
-    ends = low.groupBy("root").agg(F.min("low").alias("component"))
-    named = written(low.join(ends, "root").select("sid", "component"), "components")
-    out = sketched.select("id", "tk", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
+    ends = written(low.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("size")), "ends")
+    named = written(split_join(low, ends.drop("size"), ["root"], heavy=ends.select("root", "size")).select("sid", "root", "component"), "components")
+    filled = sketched.where("n > 0").select("id", "tk", "n", "sid")
+    out = split_join(filled, named, ["sid"], heavy=sets.select("sid", "copies")).select("id", "tk", "root", "n", "component")
+    empty = sketched.where("n = 0").select("id", "tk", F.lit(None).cast("binary").alias("root"), "n", F.lit(None).cast(sketched.schema["id"].dataType).alias("component"))
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "tk", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.unionByName(empty).select(F.col("id").alias(id_col), "tk", "root", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -3,7 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. Decisions are joined back by the digest
 of a text (and the id, where of equal texts only one stays), so that null or
-repeated ids do no harm. Extra columns pass through.
+repeated ids do no harm, and only rows that a decision may concern are shuffled.
+Extra columns pass through under any name; the last stage replaces those named as its results.
+
+Defined cases: empty texts, and those without words, are copies of nothing and all stay; of a group of near copies the
+row with the smallest id stays (null ids last, then the smallest digest), of its repeated rows the one
+whose columns hash lowest; an empty table passes all stages.
 """
 
 import public_tokenizers
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adit.llm import bpe, decontaminate, line_dedup, near_dedup, sampling, toxicity
-from adit.llm.store import unused, written
+from adit.llm.store import KeyFilter, split_join, unused, written
 
 #: A stage that is fitted or compared with another table reads it from sf_dir.
 TOXIC_AT = 0.7
@@ -20,39 +25,61 @@ SHINGLE, PERCENT = 5, 80
 WINDOW = 10
 
 
-def _digest():
-    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+def _digest(text: str = "text"):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with columns c0, c1, ..., which no operator's results clash with, and the new name of each (in lower case)."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), {c.lower(): f"c{k}" for k, c in enumerate(docs.columns)}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of TOXIC_AT or more go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~sampling.held_out("doc_id", 3, 1))
-    model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC_AT).select(*[f"`{c}`" for c in docs.columns])
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    rows, name = _numbered(docs)
+    return toxicity.score(rows, model, name["text"]).where(F.col("toxicity") < TOXIC_AT).select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of MIN_LINE_DOCS documents or more go; n_chars is that of the new text."""
-    kept = line_dedup.dedup_lines(docs, MIN_LINE_DOCS)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
+    rows, name = _numbered(docs)
+    kept = line_dedup.dedup_lines(rows, MIN_LINE_DOCS, text_col=name["text"])
+    return kept.withColumn(name["n_chars"], F.char_length(name["text"]).cast("long")).select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once."""
-    kept = near_dedup.near_duplicates(docs, SHINGLE, PERCENT).where("kept")
-    kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("tk").alias("kept_tk")).distinct(), "kept")
-    tk = unused(docs, "text_digest")
-    named = docs.withColumn(tk, _digest())
-    out = named.join(kept, (named[tk] == kept["kept_tk"]) & named["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates([tk, "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
+    rows, name = _numbered(docs)
+    key = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))  # noqa: E731  of an id
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("root is not null")
+    found = written(found.select("tk", key("doc_id").alias("key"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "tk").alias("place"), "root"), "found")
+    best = found.groupBy("root").agg(F.min("place").alias("best"))
+    gone = written(split_join(found, best, ["root"]).where("place <> best").select("tk", "key").distinct(), "gone")
+    twice = written(found.groupBy("tk", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", "key"), "twice")
+
+    named = rows.withColumn("tk", _digest(name["text"])).withColumn("key", key(name["doc_id"]))
+    named = KeyFilter(gone.union(twice), "tk", "key").marked(named, "maybe", F.col("tk"), F.col("key"))
+    keys = found.select("tk", "key")
+    some = split_join(named.where("maybe"), gone, ["tk", "key"], keys, "left_anti")
+    # of rows that repeat in id and text one stays, chosen before texts move
+    single = split_join(some, twice, ["tk", "key"], keys, "left_semi")
+    row = F.struct(*rows.columns)
+    single = single.groupBy("tk", "key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
+    others = split_join(some, twice, ["tk", "key"], keys, "left_anti")
+    out = named.where("not maybe").select(*rows.columns).unionByName(others.select(*rows.columns)).unionByName(single)
+    return out.toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold WINDOW consecutive words of a benchmark item (all, if it has fewer) go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
-    tk = unused(docs, "text_digest")
+    found = written(decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW).select("tk", "items"), "hits")
+    tk, maybe = unused(docs, "text_digest"), unused(docs, "maybe")
     bad = written(found.where(F.size("items") > 0).select(F.col("tk").alias(tk)).distinct(), "contaminated")
-    return docs.withColumn(tk, _digest()).join(bad, tk, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    named = KeyFilter(bad, tk).marked(docs.withColumn(tk, _digest()), maybe, F.col(tk))
+    some = split_join(named.where(maybe), bad, [tk], found.select(F.col("tk").alias(tk)), "left_anti")
+    return named.where(f"not {maybe}").unionByName(some).select(*[f"`{c}`" for c in docs.columns])
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,9 +57,12 @@ def test_stages(spark):
 def test_awkward_rows(spark, docs):
     """Nulls, repeated rows, long texts and clashing columns pass all stages; one of each group of copies stays."""
     at = docs.withColumn("Text_Digest", F.lit(1)).withColumn("kept_id", F.lit(2))
+    for clash in ("Toxicity", "N_Dropped", "N_Tokens", "C1", "Tk", "Maybe", "Hot_Salt", "KF_Bits"):
+        at = at.drop(clash).withColumn(clash, F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, at, SF)
         assert name == "bpe" or out.columns == at.columns
+        assert out.where("Toxicity = 'own' and Hot_Salt = 'own' and Maybe = 'own' and N_Dropped = 'own'").count() == out.count() > 0
         at = out.persist()
     ids = [r.doc_id for r in at.select("doc_id").collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
