@@ -1,13 +1,18 @@
 """Fitted operators by held-out results, and by their awkward rows."""
 
+import collections
 import hashlib
 import random
+import re
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from adit.llm import langid, quality, queries, sampling, secrets, toxicity
+from adit.llm import kernels, langid, quality, queries, sampling, secrets, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -79,6 +84,139 @@ def test_segments_are_maximal():
         assert all(x[1] < y[0] for x, y in zip(found, found[1:]))
 
 
+def plain_features(text):
+    """quality.FEATURES of one text, sign by sign."""
+    t = text or ""
+    raw = t.encode()
+    if not raw:
+        return [0.0] * len(quality.FEATURES)
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", t) if w]
+    low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    size = [len(w.encode()) for w in words]
+    n, m = len(words), max(len(words), 1)
+    count = lambda signs: sum(c in signs for c in raw)
+    high = sum(c >= 128 for c in raw)
+    up, down, digit = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz"), count(b"0123456789")
+    stop, comma, pipe, bang, line, blank = count(b".?"), count(b",;:"), count(b"|"), count(b"!"), count(b"\n"), count(b"\t\x0b\x0c\r ")
+    sign = len(raw) - up - down - digit - high - stop - comma - pipe - bang - line - blank
+    is_sign = lambda w: not (w.encode()[-1] >= 128 or w[-1].isalnum() or w[-1] in ".?,;:|!")
+    pairs = [tuple(low)] if n == 1 else list(zip(low, low[1:]))
+    return [
+        np.log1p(n), np.log1p(len(raw)), np.mean(size) if n else 0, np.std(size) if n else 0, len(set(low)) / m, len(set(low)) / np.sqrt(m),
+        np.mean([a == b for a, b in zip(low, low[1:])]) if n > 1 else 0, max(collections.Counter(low).values(), default=0) / m,
+        up / max(up + down + high, 1), digit / len(raw), stop / m, comma / m, pipe / m, sign / m, bang / m,
+        np.mean([x <= 3 for x in size]) if n else 0, np.mean([x >= 12 for x in size]) if n else 0, line / m, np.log1p(n / (line + 1)), high / len(raw),
+        1 - len(set(pairs)) / max(len(pairs), 1), np.mean([is_sign(w) for w in words]) if n else 0,
+    ]
+
+
+def test_quality_against_plain_python(docs):
+    texts = [r.text for r in docs.select("text").collect()] + ["a, b; c. D! | x-y $$ 3", "é é É", "one\ntwo\n\nthree three"]
+    x = quality.text_features(pa.array(texts, pa.string()))
+    assert np.allclose(x, [plain_features(t) for t in texts], atol=2e-5)
+    y = np.array([float("shared" in (t or "") or k % 3 == 0) for k, t in enumerate(texts)])
+    model = quality.fit_tables(np.tile(x, (8, 1)), np.tile(y, 8), bins=6, cycles=20, pair_cycles=5)
+    assert model.pairs
+    for row, got in zip(x, model.score(x)):
+        at = [int(sum(v >= e for e in edges)) for v, edges in zip(row, model.edges)]
+        z = model.intercept + sum(t[a] for t, a in zip(model.tables, at)) + sum(t[at[a], at[b]] for a, b, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_language_against_plain_python(docs):
+    texts = [r.text for r in docs.select("text").collect()]
+    seen = {}
+    for i, j, row, slot, n, letters in langid.counts(pa.array(texts, pa.string())):
+        for d in range(j - i):
+            seen[i + d] = (dict(zip(slot[row == d].tolist(), n[row == d].tolist())), int(letters[d]))
+    model = langid.Model(langs=["a", "b"], idf=np.linspace(1, 2, langid.SLOTS).astype(np.float32), weights=np.random.default_rng(1).normal(size=(langid.SLOTS, 2)).astype(np.float32), bias=np.array([0.1, -0.1]))
+    for k, t in enumerate(texts):
+        code = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in (t or "")), 0]
+        code = [c if 0 < c and chr(c).isalpha() else 0 for c in code]
+        want = collections.Counter()
+        if any(code):
+            for n in (1, 2, 3):
+                for i in range(len(code) - n + 1):
+                    h = 0
+                    for m in range(n):
+                        h = (h * 0x100000001B3 + code[i + m] + m + 1) % 2**64
+                    want[(h * 0x9E3779B97F4A7C15 % 2**64) >> 50] += 1
+        assert seen[k] == (dict(want), sum(map(bool, code)))
+    lists = list(langid.counts(pa.array(["alpha beta", "x"])))
+    i, j, row, slot, n, _ = lists[0]
+    values, first = langid.weighted(row, slot, n, model.idf, j - i)
+    for d in range(j - i):
+        tf = {int(s): int(c) for s, c in zip(slot[row == d], n[row == d])}
+        w = {s: (1 + np.log(c)) * model.idf[s] for s, c in tf.items()}
+        norm = np.sqrt(sum(v * v for v in w.values()))
+        assert np.allclose(values[first[d] : first[d + 1]], [w[s] / norm for s in slot[row == d].tolist()], rtol=1e-5)
+
+
+def test_toxicity_against_plain_python(spark, docs, labels):
+    """Scores from all stretches of tokens by brute force, under a fitted model."""
+    frame = docs.where("length(text) < 2000 or text is null")
+    model = toxicity.fit(docs, labels, min_count=1, min_z=0.5, min_odds=0.1)
+    assert len(model.tokens)
+    known = dict(zip(model.tokens.tolist(), model.weights.tolist()))
+    hashed = lambda b: int(kernels.words(*kernels.text_buffers(pa.array([b], pa.string())), "alnum")[0].view(np.int64)[0])
+
+    def weight(word):
+        raw = word.encode()
+        data, offs = kernels.text_buffers(pa.array([word], pa.string()))
+        _, start, end, _ = kernels.words(data, offs, "alnum")
+        found = [int(f.view(np.int64)[0]) for some, f in kernels.prefixes(data, start, end, toxicity.PREFIXES) if len(some)]
+        assert len(found) == sum(len(raw) > k for k in toxicity.PREFIXES)
+        return next((known[f] for f in [hashed(word), *reversed(found)] if f in known), 0.0)
+
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in toxicity.score(frame, model).select("text", "toxicity").collect():
+        w = [weight(t) for t in cut.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))]
+        n, sums = len(w), np.concatenate([[0], np.cumsum(np.array(w) - model.drift)]) if w else np.zeros(1)
+        best = max((sums[b + 1] - sums[a] for a in range(n) for b in range(a, n)), default=0.0)
+        f = np.zeros((1, 2))
+        if best > 0:
+            segs = toxicity.segments(np.flatnonzero(w), np.array([x for x in w if x]), model.drift)
+            assert max(x[2] for x in segs) == pytest.approx(best)
+            e = toxicity.surprise(np.array([x[2] for x in segs]), n, model)
+            f[0] = e.max(), e[e > -np.log(model.worst)].sum()
+        assert r.toxicity == pytest.approx(float(toxicity.probability(f, model)[0]), abs=1e-9)
+
+
+def test_segments_take_linear_time():
+    """Twice the tokens, about twice the time, in the orders that are worst for looking back."""
+    for w in (np.where(np.arange(400_000) % 2, 1.0, -1.01), np.where(np.arange(400_000) % 2, 1.0, -0.5), -np.sort(-np.random.default_rng(0).normal(0, 1, 400_000))):
+        took = []
+        for n in (200_000, 400_000):
+            began = time.perf_counter()
+            toxicity.segments(np.arange(n), w[:n], 0.1)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 4 * took[0] + 0.2
+
+
+def test_many_short_rows_take_little_memory():
+    tracemalloc.start()
+    for part in langid.counts(pa.array([f"abc def {k}" for k in range(10_000)])):
+        del part
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300e6
+
+
+def test_columns_that_differ_in_case_only(spark, docs, labels):
+    own = docs.withColumn("Toxicity", F.lit("a")).withColumn("Lang_Pred", F.lit("b")).withColumn("Quality_Score", F.lit("c")).withColumn("Toxic_Segments", F.lit("d"))
+    assert toxicity.score(own, toxicity.fit(own, labels)).select("toxicity").dtypes == [("toxicity", "double")]
+    assert langid.predict(own, langid.fit(own)).where("lang_pred is not null").count() == own.count()
+    featured = quality.features(own)
+    assert quality.score(featured, quality.fit(featured, labels)).where("quality_score between 0 and 1").count() == own.count()
+
+
+def test_labelled_rows_are_bounded_whatever_their_ids(spark):
+    frame = spark.range(500).selectExpr("1L as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'en', 'fr') as lang")
+    model = langid.fit(frame, most=20)
+    assert set(model.langs) <= {"en", "fr"} and langid.predict(frame, model).count() == 500
+    assert all(np.array_equal(a, b) for a, b in zip((model.weights, model.bias), (lambda m: (m.weights, m.bias))(langid.fit(frame.repartition(7), most=20))))
+
+
 def test_ids_held_out(spark):
     import zlib
 

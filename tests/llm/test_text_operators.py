@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -151,6 +152,45 @@ def test_bpe_round_trip(docs):
     assert collections.Counter(rows_of(digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))) == want
 
 
+def test_words_that_a_polynomial_would_confuse(spark):
+    """A Thue-Morse word and its complement have equal sums of powers; they are two words."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {a} z {b}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (3, 3)}
+    found = decontaminate.contamination(docs, spark.createDataFrame([(7, a)], "item_id long, text string"))
+    assert {r.id for r in found.where("size(items) > 0").collect()} == {1, 3}
+
+
+def test_long_words_and_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref, r = Tokenizer.from_file(path), random.Random(4)
+    long = "".join(r.choice("abcdefghijklmnop") for _ in range(30_000))
+    texts = [long, " ".join(["short"] * 4000 + [long[:9000]]), (" ".join(long[k : k + 7] for k in range(0, 30_000, 7)) + "\n\té ") * 8, "x" * 200_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("N_Tokens", F.lit("own"))
+    got = {x.doc_id: x for x in bpe.encode(frame, path).collect()}
+    sums = {x.doc_id: x for x in bpe.encode(frame, path, digests=True).collect()}
+    for k, t in enumerate(texts):
+        ids = ref.encode(t, add_special_tokens=False).ids
+        assert got[k].token_ids == ids and got[k].n_tokens == len(ids) and got[k].decoded == ref.decode(ids, skip_special_tokens=False)
+        assert sums[k].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and sums[k].decoded_sha256 == hashlib.sha256(got[k].decoded.encode()).hexdigest()
+    assert "".join(bpe.pieces(texts[2], 1000)) == texts[2] and len(list(bpe.pieces(texts[2], 1000))) > 100
+
+
+def test_more_windows_than_a_block(spark):
+    """Above the real bounds of a pass and of the vocabulary."""
+    n = decontaminate.BLOCK + 5_000
+    items = spark.range(n).selectExpr("id as item_id", "concat('w', id) as text")
+    docs = spark.createDataFrame([(1, "w3 and w204999 w3"), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {r.id: (sorted(r["items"]), r.n_words) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (["204999", "3"], 4), 2: ([], 1), 3: ([], 0)}
+
+
 def test_bpe_odd_text():
     from hypothesis import given, settings
     from hypothesis import strategies as st
