@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adit.llm import kernels
 from adit.llm.store import KeyFilter, split_join, written
@@ -171,6 +172,16 @@ def _bucketed(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(keys, "sid binary, n long, b array<long>").select(F.explode("b").alias("bucket"), "sid", "n")
 
 
+def _near(part, least: float) -> np.ndarray:
+    """Which pairs of a batch (na, nb, ra, rb) have an estimate of ``least`` or more."""
+    out = np.zeros(len(part), bool)
+    for at in range(0, len(part), 4096):
+        some = part.slice(at, 4096)
+        ra, rb = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint16).reshape(len(some), REGISTERS) for c in ("ra", "rb"))
+        out[at : at + len(some)] = similarity(ra, rb, *(some.column(c).to_numpy().astype(float) for c in ("na", "nb"))) >= least
+    return out
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimate is ``least`` or more."""
     a = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -178,18 +189,14 @@ def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(len(part), REGISTERS) for c in ("ra", "rb"))
-                est = similarity(ra, rb, *(part.column(c).to_numpy().astype(float) for c in ("na", "nb")))
-                yield part.filter(pa.array(est >= least)).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(_near(batch, least)))
 
     both = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a binary, b binary")
 
 
 def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, text_col: str) -> DataFrame:
-    """(sid, members): the full sets, sorted, of the given sids."""
+    """(sid, n, regs, members): the full sets, sorted, of the given sids, with their sketches."""
     ids = written(ids.distinct(), "asked")
     of = sketched.select("sid", "tk").where("sid is not null").groupBy("sid").agg(F.min("tk").alias("tk"))
     texts = written(of.join(ids, "sid", "left_semi"), "needed")
@@ -201,28 +208,29 @@ def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int,
             for i, j, h, first in _sets(batch, width):
                 offs = (first * 8).astype(np.int64)
                 full = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(h))])
-                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(i, j - i), full.cast(pa.binary())], ["sid", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(i, j - i), pa.array(np.diff(first)), _binary(registers(h, first).view(np.uint8)), full.cast(pa.binary())], ["sid", "n", "regs", "members"])
 
     # equal texts give equal sets: one row of each is enough, taken before texts move
-    return written(named.dropDuplicates(["tk"]).join(texts, "tk").select("sid", "text").mapInArrow(to_set, "sid binary, members binary"), "sets")
+    return written(named.dropDuplicates(["tk"]).join(texts, "tk").select("sid", "text").mapInArrow(to_set, "sid binary, n long, regs binary, members binary"), "sets")
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that 100 * intersection >= percent * union holds for, on the full sets."""
-    a, b = (full.select(F.col("sid").alias(c), F.col("members").alias(f"m{c}")) for c in "ab")
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b, ...) whose estimate is ``least`` or more and that 100 * intersection >= percent * union holds for, on the full sets."""
+    a, b = (full.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("regs").alias(f"r{c}"), F.col("members").alias(f"m{c}")) for c in "ab")
+    schema = T.StructType(pairs.schema.fields)
 
     def verify(batches):
         for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for k in range(len(batch)):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("ma", "mb"))
+            ok = _near(batch, least)
+            for k in np.flatnonzero(ok):
+                x, y = (np.frombuffer(batch.column(c)[int(k)].as_buffer(), np.uint64) for c in ("ma", "mb"))
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 ok[k] = 100 * common >= percent * (len(both) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(schema.names).filter(pa.array(ok))
 
-    both = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
-    return both.select("a", "b", "ma", "mb").mapInArrow(verify, "a binary, b binary")
+    met = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
+    return met.select(*schema.names, "na", "nb", "ra", "rb", "ma", "mb").mapInArrow(verify, schema)
 
 
 def _rarity(full: DataFrame) -> np.ndarray:
@@ -243,7 +251,7 @@ def _rarity(full: DataFrame) -> np.ndarray:
 
 
 def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be linked; exact, without a look at all pairs of a group.
+    """Pairs (a, b, root_a, root_b) of different components that may be linked; exact, without a look at all pairs of a group.
 
     In one order of all shingles, from rare to common, two sets that are linked
     share a shingle among the first (1 - percent / 100) of each, and the first one they share
@@ -279,11 +287,11 @@ def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     rows = written(rows, "prefix_rows")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rows = written(split_join(rows, shared, ["key"], rows.select("key")), "prefixes")
-    x, y = (rows.select("key", F.col("sid").alias(c), F.col("root").alias(f"r{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}"), *(F.col(k).alias(k + c) for k in odd_bins)) for c in "ab")
+    x, y = (rows.select("key", F.col("sid").alias(c), F.col("root").alias(f"root_{c}"), F.col("place").alias(f"p{c}"), F.col("n").alias(f"n{c}"), *(F.col(k).alias(k + c) for k in odd_bins)) for c in "ab")
     differ = sum((F.bit_count(F.col(k + "a").bitwiseXOR(F.col(k + "b"))) for k in odd_bins), F.lit(0))
     most = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)  # overlap, if this shingle is the first in common
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least(most, (F.col("na") + F.col("nb") - differ) / 2) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    return split_join(x, y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return split_join(x, y, ["key"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & near).select("a", "b", "root_a", "root_b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,12 +340,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     least = max(percent / 100 - slack, 0.0)
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes that allow a link
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those that are links: by their estimate, then by their full sets."""
-        likely = written(_likely(pairs, sets, least), "likely")
-        ids = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid")))
-        return written(_confirmed(likely, _full_sets(ids, sketched, docs, width, text_col), percent), "links")
-
     rows = _bucketed(sets)
     # Two pivots a bucket: the smallest set, in which others may lie, and one that is as good as random.
     pivots = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "sid")).alias("p"), F.min(F.struct("sid", "n")).alias("q"))
@@ -345,17 +347,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slack: f
     some = KeyFilter(pivots, "bucket").marked(rows, "maybe", F.col("bucket")).where("maybe").drop("maybe")
     members = written(split_join(some, pivots, ["bucket"], heavy=pivots.select("bucket", "size")), "members")  # the rows of buckets with more than one set
     first = members.select("sid", "n", F.explode(F.array_distinct("pivots")).alias("p")).where((F.col("sid") != F.col("p.sid")) & near(F.col("n"), F.col("p.n")))
-    links = linked(written(first.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "tested"))
-    labels = components(links)
+    tested = written(first.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct(), "tested")
+    likely = written(_likely(tested, sets, least), "likely")  # by their sketches alone, so that full sets are needed for these only
+    ids = likely.select(F.col("a").alias("sid")).union(likely.select(F.col("b").alias("sid")))
+    labels = components(_confirmed(likely, _full_sets(ids, sketched, docs, width, text_col), percent, least))
 
     rest = members.where("size > 2").select("bucket", "sid").join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left")
     rest = written(rest.select("bucket", "sid", F.coalesce("root", "sid").alias("root")), "rest")
     still = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
     roots = written(split_join(rest, still, ["bucket"], how="left_semi", heavy=pivots.select("bucket", "size")).select("sid", "root").distinct(), "roots")
     if not roots.isEmpty():
-        found = linked(written(_prefix_pairs(_full_sets(roots.select("sid"), sketched, docs, width, text_col), roots, percent), "more"))
-        if not found.isEmpty():
-            labels = components(links.union(found))
+        full = _full_sets(roots.select("sid"), sketched, docs, width, text_col)
+        more = written(_prefix_pairs(full, roots, percent), "more")
+        found = written(_confirmed(more, full, percent, least).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "root_links")
+        if not found.isEmpty():  # components of components
+            over = components(found).select(F.col("v").alias("root"), F.col("root").alias("over"))
+            known = labels.unionByName(roots.join(labels.select(F.col("v").alias("sid")), "sid", "left_anti").select(F.col("sid").alias("v"), "root"))
+            labels = written(known.join(over, "root", "left").select("v", F.coalesce("over", "root").alias("root")), "labels")
 
     low = sketched.where("n > 0").groupBy("sid").agg(F.min("id").alias("low"))
     low = low.join(labels.select(F.col("v").alias("sid"), "root"), "sid", "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
