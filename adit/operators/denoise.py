@@ -76,6 +76,11 @@ def without_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, h: floa
     return named.join(fine, ["cloud_id", "nth"], "left_semi").select(*points.columns)
 
 
+def in_window(scans: DataFrame, traj_range: tuple[float, float], slack: float = 0.2) -> DataFrame:
+    """Scans within the trajectory's times, or up to ``slack`` seconds off them."""
+    return scans.where(F.col("t").between(traj_range[0] - slack, traj_range[1] + slack))
+
+
 def frame_counts(scans: DataFrame, traj_range: tuple[float, float], slack: float = 0.2) -> DataFrame:
     """Scans read, with points, outside the trajectory's times, and stationary (``moving`` says not)."""
     inside = F.col("t").between(traj_range[0] - slack, traj_range[1] + slack)

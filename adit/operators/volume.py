@@ -207,12 +207,17 @@ def voxels(points: DataFrame, h: float) -> DataFrame:
     return points.select("cloud_id", *[F.floor(F.col(c) / h).alias(f"i{c}") for c in "xyz"]).distinct()
 
 
-def dilated(cells: DataFrame, steps: int = 1) -> DataFrame:
-    """The cells and their six neighbours, ``steps`` times."""
+def dilated(cells: DataFrame, steps: int = 1, clip: bool = False) -> DataFrame:
+    """The cells and their six neighbours, ``steps`` times; with ``clip`` within the box of the given cells."""
+    box = cells.groupBy("cloud_id").agg(*[f(f"i{c}").alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]) if clip else None
     shifts = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
     for _ in range(steps):
         moved = F.explode(F.array(*[F.struct((F.col("ix") + a).alias("ix"), (F.col("iy") + b).alias("iy"), (F.col("iz") + c).alias("iz")) for a, b, c in shifts]))
         cells = cells.select("cloud_id", moved.alias("v")).select("cloud_id", "v.*").distinct()
+    if clip:
+        names = cells.columns
+        inside = [F.col(f"i{c}").between(F.col(f"lo{c}"), F.col(f"hi{c}")) for c in "xyz"]
+        cells = cells.join(F.broadcast(box), "cloud_id").where(inside[0] & inside[1] & inside[2]).select(*names)  # a row a cloud
     return cells
 
 

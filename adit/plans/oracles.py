@@ -338,4 +338,28 @@ ORACLES = {
         far AS (SELECT l.cloud_id, l.id, list_sort(list(sqrt(pow(l.x-x.x,2)+pow(l.y-x.y,2)+pow(l.z-x.z,2))))[1:8] AS d FROM l JOIN x ON x.cloud_id=l.cloud_id AND x.id<>l.id GROUP BY ALL),
         e AS (SELECT cloud_id, list_avg(d) AS d FROM (SELECT * FROM sure UNION ALL SELECT * FROM far)), m AS (SELECT cloud_id, avg(d) + 2*stddev_samp(d) AS lim FROM e GROUP BY cloud_id)
         SELECT e.cloud_id, count(*) AS n FROM e JOIN m ON m.cloud_id=e.cloud_id WHERE d <= lim GROUP BY e.cloud_id""",
+    "hull_area": f"""WITH RECURSIVE {duckdb_with('cloud')}, {_XYZ}, p AS MATERIALIZED (SELECT DISTINCT cloud_id, CAST(floor(z/{DS}) AS BIGINT) AS i, x, y FROM xyz),
+        st AS (SELECT cloud_id, i, unnest(arg_min(struct_pack(x := x, y := y), struct_pack(y := y, x := x))) FROM p GROUP BY cloud_id, i HAVING count(*) > 2),
+        h AS (SELECT cloud_id, i, 0 AS k, x, y, 1.0e0 AS dx, 0.0e0 AS dy, x AS x0, y AS y0, false AS done FROM st UNION ALL
+              SELECT cloud_id, i, k + 1, n.x, n.y, n.x - x, n.y - y, x0, y0, n.x = x0 AND n.y = y0 FROM
+                (SELECT cloud_id, i, k, x, y, x0, y0, arg_min(struct_pack(x := px, y := py), CASE WHEN a < -1e-12 THEN a + 2*pi() ELSE a END) AS n FROM
+                   (SELECT h.cloud_id, h.i, k, h.x, h.y, x0, y0, p.x AS px, p.y AS py, atan2(dx*(p.y-h.y)-dy*(p.x-h.x), dx*(p.x-h.x)+dy*(p.y-h.y)) AS a FROM h JOIN p ON p.cloud_id=h.cloud_id AND p.i=h.i WHERE NOT done AND k < 1000 AND (p.x <> h.x OR p.y <> h.y)) GROUP BY ALL)),
+        s AS (SELECT cloud_id, i, x, y, lag(x) OVER w AS x1, lag(y) OVER w AS y1 FROM h WINDOW w AS (PARTITION BY cloud_id, i ORDER BY k)), ar AS (SELECT cloud_id, i, abs(sum(x1*y-x*y1))/2 AS area FROM s GROUP BY cloud_id, i)
+        SELECT d.cloud_id, d.i, round(area, 6) AS area FROM (SELECT DISTINCT cloud_id, i FROM p) d LEFT JOIN ar ON ar.cloud_id=d.cloud_id AND ar.i=d.i""",
+    "phantom_volumes": "SELECT hole, method, round(0.5e0*72*4*sin(radians(5.0e0))*100, 4) AS volume, round((0.5e0*72*4*sin(radians(5.0e0))*100/(400*pi())-1)*100, 6) AS error_pct FROM (SELECT unnest([false, true]) AS hole) CROSS JOIN (SELECT unnest(['profiles', 'surface_mesh']) AS method)",
+    "largest_cavity": f"""WITH RECURSIVE {duckdb_with('cloud')}, {_XYZ}, {_VOX}, w AS MATERIALIZED (SELECT DISTINCT cloud_id, ix+a AS ix, iy+b AS iy, iz+c AS iz FROM v CROSS JOIN (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(a,b,c)),
+        bx AS (SELECT cloud_id, min(ix)-1 a, max(ix)+1 b, min(iy)-1 c, max(iy)+1 d, min(iz)-1 e, max(iz)+1 f FROM w GROUP BY cloud_id),
+        al AS (SELECT cloud_id, a, b, c, d, e, f, ix, iy, unnest(range(e, f+1)) AS iz FROM (SELECT *, unnest(range(c, d+1)) AS iy FROM (SELECT *, unnest(range(a, b+1)) AS ix FROM bx))),
+        fr AS MATERIALIZED (SELECT al.*, ix IN (a, b) OR iy IN (c, d) OR iz IN (e, f) AS rim, row_number() OVER () AS id FROM al ANTI JOIN w USING (cloud_id, ix, iy, iz)),
+        ad AS MATERIALIZED (SELECT x.id AS u, y.id AS v FROM fr x CROSS JOIN (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(p,q,r) JOIN fr y ON y.cloud_id=x.cloud_id AND y.ix=x.ix+p AND y.iy=x.iy+q AND y.iz=x.iz+r),
+        ou AS (SELECT id FROM fr WHERE rim UNION SELECT ad.v FROM ou JOIN ad ON ad.u = ou.id),
+        inn AS MATERIALIZED (SELECT id, cloud_id FROM fr WHERE id NOT IN (SELECT id FROM ou)), ai AS MATERIALIZED (SELECT u, v FROM ad WHERE u IN (SELECT id FROM inn) AND v IN (SELECT id FROM inn)),
+        sd AS MATERIALIZED (SELECT id FROM inn WHERE id NOT IN (SELECT u FROM ai WHERE v < u)),
+        rc AS (SELECT id AS seed, id FROM sd UNION SELECT seed, v FROM rc JOIN ai ON ai.u = rc.id), sz AS (SELECT seed, count(*) AS n FROM rc GROUP BY seed),
+        m AS (SELECT cloud_id, max(n) AS n FROM sz JOIN inn ON inn.id = sz.seed GROUP BY cloud_id)
+        SELECT bx.cloud_id, coalesce(n, 0) AS n, round(coalesce(n, 0)*0.125e0, 6) AS volume, coalesce(n, 0) <= 0 AS leaked FROM bx LEFT JOIN m USING (cloud_id)""",
+    "dilate_clipped": f"""WITH {duckdb_with('cloud')}, {_XYZ}, {_VOX}, o AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(a,b,c)), one AS (SELECT DISTINCT cloud_id, ix+a AS ix, iy+b AS iy, iz+c AS iz FROM v CROSS JOIN o),
+        two AS (SELECT DISTINCT cloud_id, ix+a AS ix, iy+b AS iy, iz+c AS iz FROM one CROSS JOIN o), bx AS (SELECT cloud_id, min(ix) a, max(ix) b, min(iy) c, max(iy) d, min(iz) e, max(iz) f FROM v GROUP BY cloud_id)
+        SELECT two.cloud_id, ix, iy, iz FROM two JOIN bx ON bx.cloud_id=two.cloud_id AND ix BETWEEN a AND b AND iy BETWEEN c AND d AND iz BETWEEN e AND f""",
+    "strided_scans": f"WITH {duckdb_with('traj')} SELECT run_id, count(*) AS n, CAST(min(seq) AS DOUBLE) AS first, CAST(max(seq) AS DOUBLE) AS last FROM traj WHERE seq BETWEEN 1.8e0 AND 40.2e0 AND seq % 3 = 0 GROUP BY run_id",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
 from adit.operators.graph import kept
 from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_2d, filled_grid, median_grid
-from adit.sources import readers
+from adit.sources import phantom, readers
 from adit.sources.views import view
 
 QUERIES: dict = {}
@@ -227,6 +227,18 @@ def dilate(s, d):
     return volume.dilated(_voxels(s, d))
 
 
+@query
+def dilate_clipped(s, d):
+    return volume.dilated(_voxels(s, d), 2, clip=True)
+
+
+@query
+def strided_scans(s, d):
+    """Every third scan of those within the trajectory's times, by their order."""
+    t = view(s, d, "traj").withColumn("t", F.col("seq").cast("double"))
+    return denoise.in_window(t, (2.0, 40.0)).where("seq % 3 = 0").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
 for _name, _f in {
     "loop_closure": trajectory.loop_closure, "path_length": trajectory.path_length,
     "cum_arclength": lambda t: trajectory.with_arclength(t).select("run_id", "seq", "s"), "step_dedup": lambda t: trajectory.without_repeats(t, 5.0),
@@ -384,6 +396,20 @@ def decomposition(s, d):
     return rounded(targets.decomposition(view(s, d, "targets"), mean))
 
 
+@query
+def phantom_volumes(s, d):
+    """Volumes of a made cylinder of radius 2 and length 100, whole and with a wedge removed, against pi r^2 L."""
+    parts = []
+    for hole in (None, (80.0, 130.0)):
+        raw = kept(bimodal_grid(binned(phantom.cylinder(s, hole=hole, n_z=1000), G)))
+        filled = along_filled(circular_filled(raw, G))
+        profiles = volume.trapezoid_volume(volume.slab_areas(filled, G), G).select(F.lit("profiles").alias("method"), "volume")
+        meshed = volume.mesh_volume(volume.mesh(filled_2d(raw, G), G)).select(F.lit("surface_mesh").alias("method"), "volume")
+        parts.append(profiles.unionByName(meshed).select(F.lit(hole is not None).alias("hole"), "method", "volume"))
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("hole", "method", F.round("volume", 4).alias("volume"), F.round((F.col("volume") / phantom.true_volume() - 1) * 100, 6).alias("error_pct"))
+
+
 @query
 def largest_cavity(s, d):
     walls = volume.dilated(_voxels(s, d))

@@ -337,6 +337,27 @@ def ply_bytes(x: np.ndarray, names: list[str], comments: tuple[str, ...] = ()) -
     """A binary PLY file of float32 columns."""
     if x.ndim != 2 or x.shape[1] != len(names):
         raise ValueError("as many columns as names")
-    head = ["ply", "format binary_little_endian 1.0", *(f"comment {c}" for c in comments), f"element vertex {len(x)}", *(f"property float {n}" for n in names), "end_header"]
-    return ("\n".join(head) + "\n").encode() + x.astype("<f4").tobytes()
+    return ply_columns({n: x[:, k].astype("<f4") for k, n in enumerate(names)}, comments)
 
+
+def ply_columns(columns: dict[str, np.ndarray], comments: tuple[str, ...] = ()) -> bytes:
+    """A binary PLY file of columns of their own kinds: floats of 4 or 8 bytes, integers of 1 to 4.
+
+    x, y and z come first; columns of unequal lengths, kinds that PLY lacks and comments of several lines are errors.
+    """
+    if [c for c in columns][:3] != ["x", "y", "z"]:
+        raise ValueError("x, y and z come first")
+    n = {len(v) for v in columns.values()}
+    if len(n) != 1:
+        raise ValueError(f"columns of {sorted(n)} values")
+    kinds = {"f4": "float", "f8": "double", "u1": "uchar", "i1": "char", "i2": "short", "u2": "ushort", "i4": "int", "u4": "uint"}
+    said = {c: np.asarray(v).dtype.str[1:] for c, v in columns.items()}
+    if wrong := {c: k for c, k in said.items() if k not in kinds}:
+        raise ValueError(f"no PLY kinds: {wrong}")
+    if any("\n" in c for c in comments):
+        raise ValueError("a comment is one line")
+    head = ["ply", "format binary_little_endian 1.0", *(f"comment {c}" for c in comments), f"element vertex {n.pop()}", *(f"property {kinds[k]} {c}" for c, k in said.items()), "end_header"]
+    rows = np.empty(len(columns["x"]), [(c, "<" + k) for c, k in said.items()])
+    for c, v in columns.items():
+        rows[c] = v
+    return ("\n".join(head) + "\n").encode() + rows.tobytes()

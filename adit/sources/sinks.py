@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.sources.readers import commented_json, ply_bytes
+from adit.sources.readers import commented_json, ply_bytes, ply_columns
 
 
 def run_folder(df: DataFrame, path: str, dataset: str, rep: str, stamp: str) -> str:
@@ -62,6 +62,40 @@ def mesh_ply(meshed: DataFrame, path: str, most: int = 2_000_000) -> tuple[int,
     return len(v), len(f)
 
 
+def ply_parts(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y", "z"), most: int = 1_000_000) -> DataFrame:
+    """Write a cloud of any size as PLY files of up to ``most`` points, a few a task; returns (path, points) of each, when run.
+
+    Columns keep their kinds. File names are new in each attempt of a task: keep what is returned, and read only the files that it names.
+    """
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        held, done = [], []
+
+        def close(rows: pa.Table):
+            name = f"part-{uuid.uuid4().hex}.ply"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(ply_columns({c: rows.column(c).to_numpy() for c in columns}))
+            done.append((f"{path.rstrip('/')}/{name}", len(rows)))
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= most:
+                whole = pa.Table.from_batches(held)
+                close(whole.slice(0, most))
+                held = whole.slice(most).to_batches()
+        if sum(map(len, held)):
+            close(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "points"])
+
+    return points.select(*columns).mapInArrow(write, "path string, points long")
+
+
 def pcd(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y", "z", "intensity"), most: int = 20_000_000) -> int:
     """A thinned map as one binary PCD file on the driver, up to ``most`` points; larger ones go to Parquet."""
     rows = points.select(*[F.col(c).cast("float") for c in columns]).limit(most + 1).toPandas()

@@ -415,6 +415,15 @@ def test_exports_and_settings(spark, tmp_path):
     meshed = volume.mesh(cells, g)
     assert sinks.mesh_ply(meshed, str(tmp_path / "m.ply")) == (22, 40)
     assert readers.ply(spark, str(tmp_path / "m.ply")).agg(F.max("z")).first()[0] == 3
+    frame = spark.range(25).selectExpr("cast(id as double) as x", "1.5D as y", "-2.0D as z", "cast(id as int) as ring").repartition(2)
+    parts = sinks.ply_parts(frame, f"file://{tmp_path}/parts", ("x", "y", "z", "ring"), most=10).collect()
+    assert sum(r.points for r in parts) == 25 and max(r.points for r in parts) <= 10
+    assert sum(readers.ply(spark, r.path).agg(F.sum("x")).first()[0] for r in parts) == sum(range(25))
+    xyz = {c: np.zeros(2, "f4") for c in "xyz"}
+    assert b"property double w" in readers.ply_columns(xyz | {"w": np.zeros(2)}, ("made",))
+    for bad in ({"x": xyz["x"]}, xyz | {"w": np.zeros(3)}, xyz | {"w": np.zeros(2, "i8")}):
+        with pytest.raises(ValueError):
+            readers.ply_columns(bad)
     sinks.mesh_tables(meshed, str(tmp_path / "mesh"))
     assert spark.read.parquet(str(tmp_path / "mesh" / "vertices")).count() == 22 and spark.read.parquet(str(tmp_path / "mesh" / "faces")).count() == 40
     points = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "x double, y double, z double, intensity double")
