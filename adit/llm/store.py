@@ -106,7 +106,7 @@ def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame
     least = max(HOT_ROWS, total // HOT_KEYS)
     hot = F.broadcast(sized.where(F.col(n) > least).select(*on, F.ceil(F.col(n) / least).cast("int").alias(parts)))
     # dealt by what a row holds and by its task: the same when a task is repeated, and equal rows of several tasks part
-    plain = [F.col(f"`{f.name}`") for f in many.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType)]
+    plain = [F.col(f"`{f.name}`") for f in many.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
     deal = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.col(parts)).cast("int")
     dealt = many.join(hot, on, "left").withColumn(salt, F.when(F.col(parts).isNotNull(), deal).otherwise(0)).drop(parts)
     sent = one.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)

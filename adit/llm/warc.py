@@ -138,8 +138,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    light = written(rows.where(F.col("size") >= min_bytes).select("sha1", "size", "id"), "payloads")
-    again = light.groupBy("sha1", "size").agg(F.min("id").alias("first"), F.count("id").alias("n")).where("n > 1").drop("n")
+    light = written(rows.select("sha1", "size", "id"), "payloads")
+    again = light.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("id").alias("first"), F.count("id").alias("n")).where("n > 1").drop("n")
     again = written(again, "repeated")
     repeats = KeyFilter(again, "sha1", "size")
     maybe = repeats.marked(light, "repeats", F.col("sha1"), F.col("size")).where("repeats").drop("repeats")
