@@ -51,8 +51,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of a key filter: 4 MB, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter, whatever the number of keys.
+FILTER_BITS = 1 << 24
 #: Rows of one key that may meet in a task, and the least number of such keys that may be told apart.
 HOT_ROWS, HOT_KEYS = 1024, 20_000
 
@@ -60,28 +60,30 @@ HOT_ROWS, HOT_KEYS = 1024, 20_000
 class KeyFilter:
     """A bitmap of hashed keys: rows that surely have none of them need no join.
 
-    The table of bits has a fixed size, so it is broadcast at every size of the
-    input. With very many keys all bits are set and every row goes on to the join.
+    The bits are kept 64 to a row, so the table has at most FILTER_BITS / 64 rows of two numbers and is
+    broadcast at every size of the input. With very many keys all bits are set and every row goes on to the join.
     """
 
     def __init__(self, keys: DataFrame, *names: str):
         h = self._slot([F.col(c) for c in names])
-        rows = keys.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-        self.bits = written(rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")), "filter")
+        rows = keys.select(F.shiftright(h, 6).alias("word"), self._bit(h).alias("bit"))
+        self.bits = written(rows.groupBy("word").agg(F.bit_or("bit").alias("bits")), "filter")
 
     @staticmethod
     def _slot(key: list[Column]) -> Column:
-        return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS).cast("long"))
+
+    @staticmethod
+    def _bit(slot: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
 
     def marked(self, rows: DataFrame, name: str, *key: Column) -> DataFrame:
         """The rows with a boolean column: false where the key is surely not among the keys."""
-        bucket, bits = unused(rows, "kf_bucket"), unused(rows, "kf_bits")
+        word, bits = unused(rows, "kf_word"), unused(rows, "kf_bits")
         slot = self._slot(list(key))
-        place = F.bitmap_bit_position(slot)
-        at = rows.join(F.broadcast(self.bits.toDF(bucket, bits)), F.bitmap_bucket_number(slot) == F.col(bucket), "left")
-        byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-        return at.withColumn(name, F.coalesce(hit, F.lit(False))).drop(bucket, bits)
+        at = rows.join(F.broadcast(self.bits.toDF(word, bits)), F.shiftright(slot, 6) == F.col(word), "left")
+        hit = F.col(bits).bitwiseAND(self._bit(slot)) != 0
+        return at.withColumn(name, F.coalesce(hit, F.lit(False))).drop(word, bits)
 
 
 def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame | None = None, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:

@@ -56,19 +56,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), SHINGLE, PERCENT).where("root is not null")
     found = written(found.select("tk", key("doc_id").alias("key"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "tk").alias("place"), "root"), "found")
     best = found.groupBy("root").agg(F.min("place").alias("best"))
-    gone = written(split_join(found, best, ["root"]).where("place <> best").select("tk", "key").distinct(), "gone")
-    twice = written(found.groupBy("tk", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", "key"), "twice")
+    gone = split_join(found, best, ["root"]).where("place <> best").select("tk", "key", F.lit(True).alias("gone")).distinct()
+    twice = found.groupBy("tk", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tk", "key", F.lit(False).alias("gone"))
+    # what happens to rows of a text and id: they go, or one of them stays; all others stay as they are
+    acts = written(gone.unionByName(twice).groupBy("tk", "key").agg(F.bool_or("gone").alias("gone")), "acts")
 
     named = rows.withColumn("tk", _digest(name["text"])).withColumn("key", key(name["doc_id"]))
-    named = KeyFilter(gone.union(twice), "tk", "key").marked(named, "maybe", F.col("tk"), F.col("key"))
-    keys = found.select("tk", "key")
-    some = split_join(named.where("maybe"), gone, ["tk", "key"], keys, "left_anti")
-    # of rows that repeat in id and text one stays, chosen before texts move
-    single = split_join(some, twice, ["tk", "key"], keys, "left_semi")
-    row = F.struct(*rows.columns)
-    single = single.groupBy("tk", "key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row")).select("row.*")
-    others = split_join(some, twice, ["tk", "key"], keys, "left_anti")
-    out = named.where("not maybe").select(*rows.columns).unionByName(others.select(*rows.columns)).unionByName(single)
+    named = KeyFilter(acts, "tk", "key").marked(named, "maybe", F.col("tk"), F.col("key"))
+    some = split_join(named.where("maybe"), acts, ["tk", "key"], found.select("tk", "key"), "left")
+    out = named.where("not maybe").select(*rows.columns).unionByName(some.where("gone is null").select(*rows.columns))
+    if not acts.where("not gone").isEmpty():
+        # of rows that repeat in id and text one stays, chosen before texts move
+        row = F.struct(*rows.columns)
+        single = some.where("not gone").groupBy("tk", "key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+        out = out.unionByName(single.select("row.*"))
     return out.toDF(*docs.columns)
 
 
