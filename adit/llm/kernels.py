@@ -104,11 +104,12 @@ def groups(offs: np.ndarray, size: int = GROUP):
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray, kind: str = "space"):
+def words(data: np.ndarray, offs: np.ndarray, kind: str = "space", of=None):
     """Words of the documents ``data[offs[i]:offs[i+1]]``.
 
     Returns (hash, start, end, first): per word its hash and byte range, and
     per document the index of its first word (with one entry more at the end).
+    ``of``: another function (bytes, start, end) that gives a number for each word, instead of the hash.
     """
     cls = _class(kind)
     total, base = len(data), int(offs[0])
@@ -148,7 +149,7 @@ def words(data: np.ndarray, offs: np.ndarray, kind: str = "space"):
         if len(joined):
             where = np.sort(np.concatenate([where, joined, joined]))
         s, e = where[::2], where[1::2]
-        out_h.append(hashes(_pieces(piece), s, e - s))
+        out_h.append(of(piece, s, e) if of else hashes(_pieces(piece), s, e - s))
         out_s.append(s + at)
         out_e.append(e + at)
         at = end

@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adit.llm import bpe, decontaminate, langid, line_dedup, near_dedup, quality, sampling, secrets, topk, toxicity, warc
-from adit.llm.store import new_path, written
+from adit.llm import bpe, decontaminate, langid, line_dedup, merkle, mixing, near_dedup, quality, resample, sampling, secrets, topk, toxicity, warc
+from adit.llm.store import new_path, split_join, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True).drop("text")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    weights = resample.weighed(docs, resample.gains(docs, target)).drop("text")
+    return resample.drawn(weights, percent=5, min_words=20, seed=42).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also copies: how often the mix takes the document."""
+    docs, sources = mixing.mix(table(spark, sf_dir, "documents"), (3.0, 1.0, 2.0), share=1.5, repeats=2)
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
+    targets = sources.select(key, F.col("size").alias("source_size"), "target")
+    return split_join(docs.withColumn("key", key), targets, ["key"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids whose crc32 3 divides are checked with a text whose A-Z are lower-cased."""
+    told = [F.col(c) if c != "text" else merkle.ascii_lower(F.col("text")) for c in merkle.COLUMNS]
+    tampered = F.when(sampling.bucket("doc_id", 3) == 0, merkle.leaf(told))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), fanout=8, keep={"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -3,7 +3,9 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,3 +115,39 @@ def split_join(many: DataFrame, one: DataFrame, on: list[str], counts: DataFrame
     dealt = many.join(hot, on, "left").withColumn(salt, F.when(F.col(parts).isNotNull(), deal).otherwise(0)).drop(parts)
     sent = one.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
     return dealt.join(sent, [*on, salt], how).drop(salt)
+
+
+def running(rows: DataFrame, group: list[str], order: list[str], name: str, add: str | None = None, total: str | None = None) -> DataFrame:
+    """The rows with ``name``: how many rows of their group, or which sum of the long column ``add``, stand before them; ``total``: a name for that of the whole group.
+
+    It is what row_number() - 1, or a running sum, gives over a window partitioned by ``group`` and ordered by
+    ``group`` and ``order`` (nulls first), but no task gets a whole group: rows are dealt by range, numbered or summed within a
+    range in its order, and shifted by what the ranges before hold of the same group, a table of a
+    row for each range and group. Columns of ``order`` that tell all rows apart let a group of any make be cut.
+    """
+    part, at, shift = (unused(rows, c) for c in ("range_part", "range_at", "range_shift"))
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    if add is None:
+        place = F.monotonically_increasing_id()  # the number of the range above 33 bits for the place in it
+        dealt = dealt.withColumn(at, place).withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1))
+    else:
+        schema = T.StructType([*dealt.schema.fields, T.StructField(at, T.LongType())])
+
+        def sums(batches):
+            total = 0
+            for batch in batches:
+                x = np.cumsum(batch.column(add).to_numpy(zero_copy_only=False))
+                before = total + np.concatenate([[0], x[:-1]]) if len(x) else x
+                total += int(x[-1]) if len(x) else 0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before.astype(np.int64))], [*batch.schema.names, at])
+
+        dealt = dealt.mapInArrow(sums, schema).withColumn(part, F.spark_partition_id().cast("long"))
+    dealt = written(dealt, "dealt")
+    size = F.count(F.lit(1)) if add is None else F.sum(add)
+    parts = dealt.groupBy(*group, part).agg(size.alias("n"), F.min(at).alias("first"))
+    before = F.sum("n").over(Window.partitionBy(*group).orderBy(part)) - F.col("n")
+    whole = F.sum("n").over(Window.partitionBy(*group))
+    parts = written(parts.select(*group, part, (before - F.col("first")).alias(shift), *([whole.alias(total)] if total else [])), "ranges")
+    on = [dealt[c].eqNullSafe(parts[c]) for c in group] + [dealt[part] == parts[part]]
+    return dealt.join(parts, on).select(*[dealt[f"`{c}`"] for c in rows.columns], (dealt[at] + parts[shift]).alias(name), *([parts[total]] if total else []))
