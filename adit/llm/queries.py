@@ -113,6 +113,16 @@ def oracle_sql() -> dict:
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of a string's UTF-8 bytes: a step of eight bits is linear in each bit of a byte, whose masks these are
+_CRC_BITS = (0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320)
+_CRC_STEP = "c >> 8"
+for _k, _v in enumerate(_CRC_BITS):
+    _CRC_STEP = f"xor({_CRC_STEP}, ((xor(c, b) >> {_k}) & 1) * {_v})"
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: " + _CRC_STEP + ", 4294967295), 4294967295)"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars")) + " || coalesce(strlen({0}) || ':' || {0}, '-'))"
+_SIDES = "string_agg(h, '') OVER (PARTITION BY g, level, i // 8 ORDER BY i ROWS BETWEEN {} AND {})"
+_SIDES = f"coalesce({_SIDES.format('UNBOUNDED PRECEDING', '1 PRECEDING')}, '') AS l, coalesce({_SIDES.format('1 FOLLOWING', 'UNBOUNDED FOLLOWING')}, '') AS r"
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -166,4 +176,65 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_resample": rf"""
+        WITH a AS MATERIALIZED (
+            SELECT true AS target, NULL AS doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark
+            UNION ALL SELECT false, doc_id, {_WORDS.format("coalesce(text, '')")} FROM documents),
+        x AS (SELECT target, doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM a, (VALUES (1), (2), (3)) t(k)),
+        f AS MATERIALIZED (SELECT target, doc_id, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS n FROM x GROUP BY ALL),
+        b AS MATERIALIZED (SELECT g, {_CRC.format("g")} % 10000 AS bucket FROM (SELECT DISTINCT g FROM f)),
+        c AS (SELECT bucket, sum(n) FILTER (target) AS t, sum(n) FILTER (NOT target) AS s FROM f JOIN b USING (g) GROUP BY bucket),
+        z AS (SELECT CAST(sum(n) FILTER (target) AS DOUBLE) AS t, CAST(sum(n) FILTER (NOT target) AS DOUBLE) AS s FROM f),
+        v AS (SELECT bucket, floor(1000 * ln((coalesce(c.t, 0) + 1.0::DOUBLE) * (z.s + 10000) / ((coalesce(c.s, 0) + 1.0::DOUBLE) * (z.t + 10000)))) AS gain FROM c, z),
+        w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN b USING (g) JOIN v USING (bucket) WHERE NOT target GROUP BY doc_id),
+        d AS (SELECT a.doc_id, len(a.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     CAST('0x' || substr(sha256('42:' || a.doc_id), 1, 8) AS BIGINT) AS h FROM a LEFT JOIN w USING (doc_id) WHERE NOT target),
+        e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+        o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM e WHERE words >= 20)
+        SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM e LEFT JOIN o USING (doc_id)""",
+    "op12_mixing": rf"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT) AS seeded FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS whole FROM d GROUP BY source),
+        w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
+        o AS (SELECT *, sum(whole) OVER () AS total, coalesce(sum(2 * whole) OVER (ORDER BY 2 * whole / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+                     sum(weight) OVER (ORDER BY 2 * whole / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+        r AS (SELECT min_by((1.5::DOUBLE * CAST(total AS DOUBLE) - CAST(used AS DOUBLE)) / open, used) AS rate FROM o
+              WHERE (1.5::DOUBLE * CAST(total AS DOUBLE) - CAST(used AS DOUBLE)) / open * weight <= 2 * whole),
+        t AS MATERIALIZED (SELECT source, whole, least(2.0::DOUBLE * whole, weight * rate) AS target FROM w, r),
+        p AS (SELECT *, CASE WHEN whole > 0 THEN CAST(floor(target) AS BIGINT) // whole ELSE 0 END AS passes, CASE WHEN whole > 0 THEN CAST(floor(target) AS BIGINT) % whole ELSE 0 END AS rest FROM t),
+        m AS (SELECT d.*, whole, target, passes, rest, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY seeded, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        x AS MATERIALIZED (SELECT *, size > 0 AND before + size <= rest AS fits FROM m),
+        g AS (SELECT source, max(rest) - coalesce(max(before + size) FILTER (fits), 0) AS gap FROM x WHERE rest > 0 GROUP BY source),
+        u AS (SELECT source, length(bin(size)) AS o, count(*) AS n FROM x WHERE size > 0 AND NOT fits AND rest > 0 GROUP BY ALL),
+        c AS MATERIALIZED (
+            SELECT x.source, before, size, gap, row_number() OVER (PARTITION BY x.source ORDER BY size DESC, before) AS k
+            FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source JOIN u ON x.source IS NOT DISTINCT FROM u.source AND u.o = length(bin(size))
+            WHERE size > 0 AND NOT fits AND size <= gap AND CAST('0x' || substr(md5(CAST(before AS VARCHAR)), 1, 8) AS BIGINT) * u.n < 64 * 4294967296),
+        f AS (SELECT source, 0 AS k, gap AS gap, CAST(NULL AS BIGINT) AS before FROM c WHERE k = 1
+              UNION ALL SELECT f.source, c.k, CASE WHEN size <= f.gap THEN f.gap - size ELSE f.gap END, CASE WHEN size <= f.gap THEN c.before END
+                        FROM f JOIN c ON f.source IS NOT DISTINCT FROM c.source AND c.k = f.k + 1)
+        SELECT doc_id, size, whole AS source_size, target, size * copies AS taken, copies
+        FROM (SELECT x.*, CASE WHEN size = 0 THEN 0 ELSE passes + CAST(fits OR f.before IS NOT NULL AS INTEGER) END AS copies
+              FROM x LEFT JOIN (SELECT * FROM f WHERE before IS NOT NULL) f ON f.source IS NOT DISTINCT FROM x.source AND f.before = x.before AND size > 0)""",
+    "op13_manifest": f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format("text")} AS leaf,
+                   CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_LEAF.format(_LOW.format("text"))} ELSE {_LEAF.format("text")} END AS told FROM documents),
+        a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+        t AS MATERIALIZED (SELECT g, 0 AS level, i, n, leaf AS h FROM a
+            UNION ALL SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, level, i // 8, n),
+        s AS MATERIALIZED (SELECT g AS lang, '*' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM t WHERE n = 1),
+        u AS MATERIALIZED (SELECT g, 0 AS level, i, n, h FROM s
+            UNION ALL SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY g, level, i // 8, n),
+        x AS MATERIALIZED (SELECT g, level, i, {_SIDES} FROM (SELECT * FROM t UNION ALL SELECT * FROM u) WHERE n > 1),
+        p AS (SELECT a.*, 0 AS level, i AS node, told AS h, '' AS siblings FROM a
+            UNION ALL SELECT p.* REPLACE (p.level + 1 AS level, p.node // 8 AS node, sha256(x.l || p.h || x.r) AS h, siblings || x.l || x.r AS siblings) FROM p JOIN x ON x.g = p.g AND x.level = p.level AND x.i = p.node),
+        e AS MATERIALIZED (SELECT doc_id, leaf, s.h AS subroot, s.g, 0 AS level, s.i AS node, p.h AS h, siblings, s.n FROM p JOIN s ON s.lang = p.g
+                           WHERE p.level = (SELECT max(level) FROM t WHERE t.g = p.g)),
+        q AS (SELECT * FROM e
+            UNION ALL SELECT q.* REPLACE (q.level + 1 AS level, q.node // 8 AS node, sha256(x.l || q.h || x.r) AS h, siblings || x.l || x.r AS siblings, (q.n + 7) // 8 AS n) FROM q JOIN x ON x.g = q.g AND x.level = q.level AND x.i = q.node)
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM q, (SELECT h AS root FROM u WHERE n = 1) WHERE n = 1""",
 }
