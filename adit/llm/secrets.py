@@ -118,14 +118,16 @@ def language(docs: DataFrame, text_col: str = "text", words: int = 20_000, short
     return dictionary, written(rows.withColumn("total", total).select(F.transform("n", lambda x: F.ln(x / F.col("total") * (_KINDS * _KINDS))).alias("odds")), "transitions")
 
 
-def _covered(found: DataFrame, dictionary: DataFrame, shortest: int = 4, longest: int = 12) -> DataFrame:
-    """(candidate, covered): the share of each distinct candidate that words of the dictionary cover, where any does."""
-    low = F.lower("candidate")
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("candidate") - shortest + 1, F.lit(1)))).alias("at")
+def _covered(found: DataFrame, dictionary: DataFrame, shortest: int = 4) -> DataFrame:
+    """(candidate, covered): the share of each distinct candidate that words of the dictionary, of any length, cover, where any does."""
+    low, first = F.lower("candidate"), F.substring("piece", 1, shortest).alias("first")
+    at = F.explode(F.sequence(F.lit(1), F.length("candidate") - shortest + 1)).alias("at")
     cut = found.select("candidate").distinct().where(F.col("candidate").rlike("(?i)[a-z]{%d}" % shortest)).select("candidate", at)
-    cut = cut.select("candidate", "at", F.explode(F.sequence(F.lit(shortest), F.lit(longest))).alias("n")).where("at + n - 1 <= length(candidate)")
-    hits = cut.select("candidate", "at", "n", F.substring(low, F.col("at"), F.col("n")).alias("piece")).join(F.broadcast(dictionary), "piece")  # of a stated number of words
-    signs = hits.select("candidate", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k")).distinct()
+    cut = cut.select("candidate", "at", F.substring(low, F.col("at"), F.lit(shortest)).alias("first"))
+    # of a stated number of words, met by their first letters
+    hits = cut.join(F.broadcast(dictionary.select(first, "piece")), "first").where(F.substring(low, F.col("at"), F.length("piece")) == F.col("piece"))
+    ends = hits.groupBy("candidate", "at").agg(F.max(F.length("piece")).alias("n"))
+    signs = ends.select("candidate", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k")).distinct()
     return signs.groupBy("candidate").agg((F.count(F.lit(1)) / F.length("candidate")).alias("covered"))
 
 

@@ -15,24 +15,37 @@ holds all queries or all candidates. Each meeting sends on k rows a query.
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components take no part, nor do rows with a null id; only vectors of a query's own length are its
 candidates; rows with the query's id are never its candidates, other repeated
-rows each are; of several rows with one query id the smallest vector is the query.
+rows each are, with equal scores in any order; equal scores go by the smaller id; of several rows with one query id the smallest vector is the query.
+Components of any size are exact: those too large for sums of 64 bits are multiplied as
+whole numbers without bound, and a score beyond a long is given as the nearest long, ties by id; a component that is infinite after scaling takes no part. An
+empty table gives no rows; columns other than the two that are named are not read.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 16
 CHUNK, BLOCK = 4096, 1024
 
 
+def _floor(c: Column) -> Column:
+    """floor() of a double as a double; above 2^52 all are whole."""
+    return F.when(F.abs(c) < float(1 << 52), F.floor(c).cast("double")).otherwise(c)
+
+
+def _large(x: np.ndarray) -> np.ndarray:
+    """Rows with components so large that an inner product of others might not fit 63 bits."""
+    return np.abs(x).max(1, initial=0) > 2.0**31 / np.sqrt(max(x.shape[1], 1))
+
+
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v array<long>) with components floor(scale * x), without the rows that take no part."""
-    x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
+    """(id, v array<double>) with components floor(scale * x), without the rows that take no part; as doubles they are exact at every size."""
+    x = F.transform(F.col(vec_col), lambda c: F.lit(float(scale)) * c.cast("double"))
     fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     some = rows.where(F.col(id_col).isNotNull() & (F.size(F.coalesce(vec_col, F.array().cast(rows.schema[vec_col].dataType))) > 0)).where(fine)
-    return some.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c)).alias("v"))
+    return some.select(F.col(id_col).cast("long").alias("id"), F.transform(x, _floor).alias("v"))
 
 
 def packed(vectors: DataFrame, size: int) -> DataFrame:
@@ -43,13 +56,13 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
 
         def row(dim: int, ids: list, parts: list):
             x, names = np.concatenate(parts), np.concatenate(ids)
-            edges = np.quantile(x, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0, method="lower").astype(np.int64)
+            edges = np.quantile(x, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0, method="lower")
             cells = (x[None, :, :] >= edges[:, None, :]).sum(0).astype(np.uint8)
-            low, high = np.full((CELLS, dim), 0, np.int64), np.full((CELLS, dim), 0, np.int64)
+            low, high, plain = np.zeros((CELLS, dim)), np.zeros((CELLS, dim)), ~_large(x)[:, None]
             for c in range(CELLS):  # the range that a cell's components really have
-                inside = cells == c
-                low[c] = np.where(inside, x, np.iinfo(np.int64).max).min(0)
-                high[c] = np.where(inside, x, np.iinfo(np.int64).min).max(0)
+                inside = (cells == c) & plain
+                low[c] = np.where(inside, x, np.inf).min(0)
+                high[c] = np.where(inside, x, -np.inf).max(0)
                 empty = ~inside.any(0)
                 low[c, empty] = high[c, empty] = 0
             cell = lambda a: pa.array([a.tobytes()], pa.binary())
@@ -62,7 +75,7 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
             length = np.diff(offs)
             for dim in np.unique(length):
                 rows = np.flatnonzero(length == dim)
-                x = flat[(offs[rows][:, None] + np.arange(dim)[None, :])].astype(np.int64)
+                x = flat[(offs[rows][:, None] + np.arange(dim)[None, :])]
                 at = held.setdefault(int(dim), ([], []))
                 at[0].append(ids[rows].astype(np.int64))
                 at[1].append(x)
@@ -79,12 +92,38 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
 
 def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, low: np.ndarray, high: np.ndarray, cells: np.ndarray, k: int):
     """(query row, vector row, score) of each query's k best in one chunk, ties to the smaller id."""
+    big_q, big_x = _large(q), _large(x)
+    if not big_q.any() and not big_x.any():
+        return _best(q, q_ids, x, x_ids, low, high, cells, k)
+    rows, vectors = np.flatnonzero(~big_q), np.flatnonzero(~big_x)
+    a, b, s = _best(q[rows], q_ids[rows], x[vectors], x_ids[vectors], low, high, cells[vectors], k)
+    found = [(rows[a], vectors[b], s)]
+    whole = lambda v: np.array([int(c) for c in v.ravel()], object).reshape(v.shape)
+    for i in range(len(q)):  # pairs with a large vector, as whole numbers of any size
+        other = np.flatnonzero(x_ids != q_ids[i]) if big_q[i] else np.flatnonzero(big_x & (x_ids != q_ids[i]))
+        if len(other):
+            exact = np.array([min(max(int(v), -(1 << 63)), (1 << 63) - 1) for v in whole(x[other]) @ whole(q[i])], np.int64)
+            found.append((np.full(len(other), i), other, exact))
+    a, b, s = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((x_ids[b], ~s, a))  # ~s falls as s rises, and never overflows
+    a, b, s = a[order], b[order], s[order]
+    first = np.searchsorted(a, a, "left")
+    best = np.arange(len(a)) - first < k
+    return a[best], b[best], s[best]
+
+
+def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, low: np.ndarray, high: np.ndarray, cells: np.ndarray, k: int):
+    """best_of_chunk() where all inner products fit 63 bits."""
+    if not len(q) or not len(x):
+        return (np.zeros(0, np.int64),) * 3
     dims = np.arange(q.shape[1])
-    up, down = high[cells, dims].astype(np.float64), low[cells, dims].astype(np.float64)
-    qf = q.astype(np.float64)
-    bound = np.maximum(qf, 0) @ up.T + np.minimum(qf, 0) @ down.T
-    bound += np.abs(bound) * 1e-12 + 0.5  # for rounding; scores are integers
+    up, down = high[cells, dims], low[cells, dims]
+    bound = np.maximum(q, 0) @ up.T + np.minimum(q, 0) @ down.T
+    far = np.maximum(np.abs(up), np.abs(down))
+    if np.abs(q).max(initial=0) * far.max(initial=0) * q.shape[1] >= 2.0**52:  # below that, sums of doubles are exact; else they are off by this, at most
+        bound += (np.abs(q) @ far.T) * ((q.shape[1] + 4) * 2.0**-51) + 1.0
     bound[q_ids[:, None] == x_ids[None, :]] = -np.inf
+    q, x = q.astype(np.int64), x.astype(np.int64)
     out, left, take = [], np.arange(len(q)), min(max(8 * k, 32), len(x))
     while len(left):
         b = bound[left]
@@ -97,7 +136,7 @@ def best_of_chunk(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.nda
         exact = np.stack([x[a] @ v for a, v in zip(at, q[left])]) if len(left) else np.zeros((0, take), np.int64)
         exact = np.where(held, exact, np.iinfo(np.int64).min)
         kth = -np.partition(-exact, min(k, take) - 1, axis=1)[:, min(k, take) - 1]
-        certain = (rest == -np.inf) | (kth > rest)
+        certain = (rest == -np.inf) | (kth.astype(float) > rest * (1 + np.sign(rest) * 2.0**-51) + 1.0)
         for r in np.flatnonzero(certain):
             order = np.lexsort((x_ids[at[r]], -exact[r]))[:k]
             order = order[held[r][order]]
@@ -126,7 +165,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, groups: int | N
                 cell = lambda c, t, w=0: np.frombuffer(batch.column(c)[r].as_buffer(), t).reshape(*((-1, w) if w else (-1,)))  # noqa: B023, E731
                 dim = batch.column("dim")[r].as_py()
                 q_ids, x_ids = cell("q_ids", np.int64), cell("ids", np.int64)
-                a, b, s = best_of_chunk(cell("q", np.int64, dim), q_ids, cell("vectors", np.int64, dim), x_ids, cell("low", np.int64, dim), cell("high", np.int64, dim), cell("cells", np.uint8, dim), k)
+                a, b, s = best_of_chunk(cell("q", np.float64, dim), q_ids, cell("vectors", np.float64, dim), x_ids, cell("low", np.float64, dim), cell("high", np.float64, dim), cell("cells", np.uint8, dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(x_ids[b]), pa.array(s)], ["query_id", "vec_id", "score"])
 
     met = chunks.join(blocks, ["part", "dim"]).select("dim", "ids", "vectors", "low", "high", "cells", "q_ids", "q")

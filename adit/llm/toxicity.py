@@ -28,7 +28,7 @@ named as a result in any case, which are replaced.
 
 Defined cases: a null or empty text has no segment and the score of one; labels that
 are null, or repeat with different values for an id, count as null and as the largest; repeated
-rows are scored, and learned from, as often as they come; of segments with equal scores each is one of its own; without
+rows are scored as often as they come, but of all rows of one id only the text of the smallest digest is learned from; of segments with equal scores each is one of its own; without
 any labelled row of both classes, so in an empty table, every score is 0; without both classes among the
 documents set aside all labelled ones calibrate; the time grows with a text in proportion.
 """
@@ -184,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
     known = sample(known, "__id", most)  # a row of 12 bytes each: at most ``most`` rows are broadcast
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id")
+    # one text an id, so that ``most`` bounds rows as well; chosen before texts move
+    texts = texts.groupBy("__id", "label").agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")))).alias("text"))
     texts = written(texts.select("label", "text", (F.pmod(F.xxhash64(F.lit(7), "__id"), F.lit(aside)) == 0).alias("aside")), "labelled")
     counts = written(token_counts(texts.where("not aside").select("label", "text")), "counts")
     held = texts.where("aside").select("label", "text")
