@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from adit.llm import kernels
 
 #: Words that a worker remembers before it forgets all but those of the texts at hand.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Longer words are not remembered beyond the texts at hand.
 LONG = 64
 #: Signs of a piece of text, and cells of a matrix of words that are merged at once.
@@ -374,4 +374,4 @@ def encode(docs: DataFrame, path: str, digests: bool = False, text_col: str = "t
                 got = tok.encode_all([t or "" for t in part.column(text_col).to_pylist()], digests)
                 yield kernels.append(part, {k: pa.array([g[n] for g in got], t) for n, (k, t) in enumerate(types.items())})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(kernels.released(run), schema)

@@ -59,7 +59,7 @@ def query_windows(items: DataFrame, width: int, id_col: str = "item_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(terms, pa.list_(pa.int64()))], ["item", "terms"])
 
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "item string, terms array<long>").distinct()
+    return rows.mapInArrow(kernels.released(cut), "item string, terms array<long>").distinct()
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: s
                     ["ids", "tks", "begins", "terms", "counts", "positions"],
                 )
 
-    return rows.mapInArrow(postings, f"ids array<{kind}>, tks array<binary>, begins binary, terms binary, counts binary, positions binary")
+    return rows.mapInArrow(kernels.released(postings), f"ids array<{kind}>, tks array<binary>, begins binary, terms binary, counts binary, positions binary")
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def document_frequencies(index: DataFrame) -> DataFrame:
             for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int32).astype(np.int64))], ["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms", "counts").mapInArrow(kernels.released(counts), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class _Plan:
@@ -210,7 +210,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0, block: int = BL
                     ids, tks = batch.column("ids")[r].values, batch.column("tks")[r].values
                     yield pa.RecordBatch.from_arrays([ids, tks, pa.array(np.diff(begins)), spans, items], ["id", "tk", "n_words", "spans", "items"])
 
-        part = index.mapInArrow(search, spread)
+        part = index.mapInArrow(kernels.released(search), spread)
         parts.append(part.withColumn("pass", F.lit(k)))
     if passes == 1:
         return parts[0].drop("pass")

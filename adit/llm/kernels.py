@@ -7,7 +7,8 @@ eight bytes at a time (A-Z as a-z), each piece with its place, so that no step
 loops over words in Python.
 """
 
-from functools import lru_cache
+import ctypes
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -215,3 +216,16 @@ def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
     taken = {n.lower() for n in columns}
     keep = [i for i, n in enumerate(batch.schema.names) if n.lower() not in taken]
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(columns.values()), [batch.schema.names[i] for i in keep] + list(columns))
+
+
+def released(run):
+    """The function of a task's batches, after which what allocators hold in reserve goes back to the system: Python workers live on from stage to stage."""
+
+    @wraps(run)
+    def to_the_end(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return to_the_end

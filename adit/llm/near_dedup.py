@@ -155,7 +155,7 @@ def sketches(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
                     ["id", "tk", "sid", "n", "regs"],
                 )
 
-    return rows.mapInArrow(sketch, f"id {kind.simpleString()}, tk binary, sid binary, n long, regs binary")
+    return rows.mapInArrow(kernels.released(sketch), f"id {kind.simpleString()}, tk binary, sid binary, n long, regs binary")
 
 
 def _bucketed(sets: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _bucketed(sets: DataFrame) -> DataFrame:
                 offs = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * (REGISTERS // BAND))
                 yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.ListArray.from_arrays(offs, flat)], ["sid", "n", "b"])
 
-    return sets.mapInArrow(keys, "sid binary, n long, b array<long>").select(F.explode("b").alias("bucket"), "sid", "n")
+    return sets.mapInArrow(kernels.released(keys), "sid binary, n long, b array<long>").select(F.explode("b").alias("bucket"), "sid", "n")
 
 
 def _near(part, least: float) -> np.ndarray:
@@ -192,7 +192,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(_near(batch, least)))
 
     both = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(keep, "a binary, b binary")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernels.released(keep), "a binary, b binary")
 
 
 def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -211,7 +211,7 @@ def _full_sets(ids: DataFrame, sketched: DataFrame, docs: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([batch.column("sid").slice(i, j - i), pa.array(np.diff(first)), _binary(registers(h, first).view(np.uint8)), full.cast(pa.binary())], ["sid", "n", "regs", "members"])
 
     # equal texts give equal sets: one row of each is enough, taken before texts move
-    return written(named.dropDuplicates(["tk"]).join(texts, "tk").select("sid", "text").mapInArrow(to_set, "sid binary, n long, regs binary, members binary"), "sets")
+    return written(named.dropDuplicates(["tk"]).join(texts, "tk").select("sid", "text").mapInArrow(kernels.released(to_set), "sid binary, n long, regs binary, members binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, least: float) -> DataFrame:
@@ -230,7 +230,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int, least: float) ->
             yield batch.select(schema.names).filter(pa.array(ok))
 
     met = split_join(pairs.join(a, "a"), b, ["b"], pairs.select("b"))  # b may be in many pairs
-    return met.select(*schema.names, "na", "nb", "ra", "rb", "ma", "mb").mapInArrow(verify, schema)
+    return met.select(*schema.names, "na", "nb", "ra", "rb", "ma", "mb").mapInArrow(kernels.released(verify), schema)
 
 
 def _rarity(full: DataFrame) -> np.ndarray:
@@ -244,7 +244,7 @@ def _rarity(full: DataFrame) -> np.ndarray:
                 slot, n = np.unique((members % np.uint64(SLOTS)).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
-    rows = full.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    rows = full.mapInArrow(kernels.released(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
     out = np.ones(SLOTS, np.int64)
     out[rows["slot"]] = rows["n"]
     return out
@@ -283,7 +283,7 @@ def _prefix_pairs(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (key, place, size)), *(pa.array(flat[:, k].copy()) for k in range(LONGS))], ["sid", "key", "place", "n", *odd_bins])
 
     odd_bins = [f"odd{k}" for k in range(LONGS)]
-    rows = full.mapInArrow(prefixes, f"sid binary, key long, place long, n long, {', '.join(f'{c} long' for c in odd_bins)}").join(roots, "sid")
+    rows = full.mapInArrow(kernels.released(prefixes), f"sid binary, key long, place long, n long, {', '.join(f'{c} long' for c in odd_bins)}").join(roots, "sid")
     rows = written(rows, "prefix_rows")
     shared = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     rows = written(split_join(rows, shared, ["key"], rows.select("key")), "prefixes")

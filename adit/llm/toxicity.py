@@ -176,7 +176,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 toxic = np.bincount(inverse, label[home[once]], len(token)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(toxic), pa.array(np.bincount(inverse, minlength=len(token)) - toxic)], ["token", "toxic", "other"])
 
-    return texts.mapInArrow(count, "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return texts.mapInArrow(kernels.released(count), "token long, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0.1, min_z: float = 3.2, min_odds: float = 1.0, min_count: int = 5, aside: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1])], ["label", "n", "f0", "f1"])
 
     # K = documents / sum n exp(-lambda S) over ordinary documents; with K = 1 the surprise gives n exp(-lambda S) back
-    seen = held.mapInArrow(features, "label int, n long, f0 double, f1 double").toPandas()
+    seen = held.mapInArrow(kernels.released(features), "label int, n long, f0 double, f1 double").toPandas()
     plain = seen[(seen["label"] == 0) & (seen["n"] > 0)]
     e = np.where(plain["f0"] > 0, -np.log1p(-np.minimum(np.exp(-plain["f0"]), 1 - 1e-15)), plain["n"])
     model.size = float(len(plain) / max(e.sum(), 1e-9))
@@ -248,4 +248,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 made = [[{"first": a, "stop": b, "surprise": s} for a, b, s in x] for x in spans]
                 yield kernels.append(batch.slice(i, j - i), {"toxicity": pa.array(probability(f, m)), "toxic_segments": pa.array(made, span)})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(kernels.released(run), schema)
