@@ -65,6 +65,55 @@ def _filled_2d() -> str:
         f2 AS MATERIALIZED (SELECT cloud_id, i, j, interpolated, CASE WHEN r IS NOT NULL THEN r WHEN pc IS NULL THEN vd WHEN pd IS NULL THEN vc ELSE vc + (vd-vc)*(i-pc)/(pd-pc) END AS r FROM l3)"""
 
 
+def _triangulated() -> str:
+    """Unknown cells from the empty-circle triangle over all known ones: each walks from an outer triangle to the lower hull of (i, j, i^2 + j^2);
+    first among the known cells near it, which counts where its circle does not leave them."""
+    corners = ("ka", "kb", "kc")
+    turn = lambda u, v: f"({u}x*{v}y - {u}y*{v}x)"
+    after = dict(zip(corners, (("kb", "kc"), ("kc", "ka"), ("ka", "kb"))))
+    plane = lambda cost, name: ", ".join(
+        f"{' + '.join(cost(k) + '*' + f(*after[k]) for k in corners)} AS {name}{n}" for n, f in enumerate((turn, lambda u, v: f"({u}y - {v}y)", lambda u, v: f"({v}x - {u}x)"))
+    )
+    over = lambda name: f"({name}0 + {name}1*dx + {name}2*dy)"
+    here = {k: turn(*after[k]) for k in corners}
+    there = {k: f"({here[k]} + ({after[k][0]}y - {after[k][1]}y)*dx + ({after[k][1]}x - {after[k][0]}x)*dy)" for k in corners}
+    way = {k: f"CASE WHEN {there[k]} > 0 THEN [{here[k]}/{there[k]}, ({after[k][0]}y - {after[k][1]}y)/{there[k]}, ({after[k][1]}x - {after[k][0]}x)/{there[k]}] ELSE ['inf'::DOUBLE, 0, 0] END" for k in corners}
+    new = ", ".join(f"CASE WHEN go = '{k}' THEN {v} ELSE {k}{n} END AS {k}{n}" for k in corners for n, v in (("x", "dx"), ("y", "dy"), ("f", "pf"), ("r", "pr"), ("o", "0")))
+    area = " + ".join(here.values())
+    state = ", ".join(f"{k}{n}" for k in corners for n in "xyfro")
+    first = ", ".join(f"any_value({k}{n}) AS {k}{n}" for k in corners for n in "xyfro")
+    start = {"ka": ("-2000 - i", "-2000 - j"), "kb": ("2000 - i", "-2000 - j"), "kc": ("-i", "2000 - j")}
+    outer = ", ".join(f"CAST({x} AS DOUBLE) AS {k}x, CAST({y} AS DOUBLE) AS {k}y, 0.0::DOUBLE AS {k}f, 0.0::DOUBLE AS {k}r, 1.0::DOUBLE AS {k}o" for k, (x, y) in start.items())
+    def walk(t: str, start: str, near: str) -> str:
+        """CTE <t>l: the last triangle of each cell of ``start``, among the known cells that are ``near``."""
+        return f"""
+        {t}t AS (SELECT cloud_id, CAST(i AS DOUBLE) AS i, CAST(j AS DOUBLE) AS j, 0 AS n, {outer} FROM {start}
+          UNION ALL SELECT cloud_id, i, j, n + 1, {new} FROM (
+            SELECT *, CASE WHEN {way['ka']} <= {way['kb']} AND {way['ka']} <= {way['kc']} THEN 'ka' WHEN {way['kb']} <= {way['kc']} THEN 'kb' ELSE 'kc' END AS go FROM (
+              SELECT t.*, p.f AS pf, p.r AS pr, p.x - i AS dx, p.y - j AS dy FROM (
+                SELECT cloud_id, i, j, any_value(n) AS n, {first}, arg_min(id, k) AS p FROM (
+                  SELECT cloud_id, i, j, n, {state}, id, CASE WHEN {over('o')} > 0 THEN CAST(-{over('o')} AS BIGINT)
+                    WHEN {over('o')} = 0 AND w*(dx*dx + dy*dy) < {over('h')} THEN 100000000000000000 + CAST(w*(dx*dx + dy*dy) - {over('h')} AS BIGINT)
+                    WHEN {over('o')} = 0 AND w*(dx*dx + dy*dy) = {over('h')} AND w*f < {over('t')} THEN 200000000000000000 + CAST(w*f - {over('t')} AS BIGINT) END AS k
+                  FROM (SELECT s.*, kn.f, kn.id, kn.x - i AS dx, kn.y - j AS dy FROM (
+                    SELECT *, {area} AS w, {plane(lambda k: k + 'o', 'o')}, {plane(lambda k: f'(1 - {k}o)*({k}x*{k}x + {k}y*{k}y)', 'h')}, {plane(lambda k: k + 'f', 't')} FROM {t}t) s JOIN kn ON kn.cloud_id = s.cloud_id{near}) s)
+                WHERE k IS NOT NULL GROUP BY cloud_id, i, j) t JOIN kn p ON p.id = t.p))),
+        {t}l AS MATERIALIZED (SELECT cloud_id, i, j, {', '.join(f'arg_max({c}, n) AS {c}' for c in state.split(', '))} FROM {t}t GROUP BY cloud_id, i, j),"""
+
+    circle = f"""2*((kbx-kax)*(kcy-kay) - (kby-kay)*(kcx-kax)) AS e, (kbx-kax)*(kbx-kax) + (kby-kay)*(kby-kay) AS eb, (kcx-kax)*(kcx-kax) + (kcy-kay)*(kcy-kay) AS ec"""
+    return f"""{_grid()},
+        kn AS MATERIALIZED (SELECT cloud_id, CAST(i AS DOUBLE) AS x, CAST(j + o*{N_T} AS DOUBLE) AS y, r, CAST((i*i*7919 + i*j*104729 + j*j*15485863) % 1048573 AS DOUBLE) AS f, row_number() OVER (ORDER BY cloud_id, i, j, o) AS id
+                            FROM sc CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o) WHERE r IS NOT NULL),
+        {walk('n', 'sc WHERE r IS NULL', ' AND abs(kn.x - s.i) <= 15 AND abs(kn.y - s.j) <= 15')}
+        nc AS (SELECT *, ((kcy-kay)*eb - (kby-kay)*ec)/e AS ux, ((kbx-kax)*ec - (kcx-kax)*eb)/e AS uy FROM (SELECT *, {circle} FROM nl)),
+        ok AS MATERIALIZED (SELECT * FROM nc WHERE kao + kbo + kco = 0 AND greatest(abs(kax + ux), abs(kay + uy)) + sqrt(ux*ux + uy*uy) <= 15 - 1e-6),
+        {walk('d', 'sc ANTI JOIN ok USING (cloud_id, i, j) WHERE r IS NULL', '')}
+        dv AS (SELECT cloud_id, i, j, CASE WHEN {' AND '.join(f'({k}o = 0 OR {here[k]} = 0)' for k in corners)} THEN ({' + '.join(f'(1 - {k}o)*{k}r*{here[k]}' for k in corners)})/({area}) END AS r FROM (SELECT cloud_id, i, j, {state} FROM ok UNION ALL SELECT * FROM dl)),
+        dn AS (SELECT v.cloud_id, v.i, v.j, arg_min(kn.r, [(x-i)*(x-i) + (y-j)*(y-j), x, y]) AS r FROM dv v JOIN kn USING (cloud_id) WHERE v.r IS NULL GROUP BY ALL)
+        SELECT cloud_id, i, j, round(r + 3.3e-11, 9) AS r, false AS interpolated FROM sc WHERE r IS NOT NULL
+        UNION ALL SELECT cloud_id, CAST(i AS BIGINT), CAST(j AS BIGINT), round(r + 3.3e-11, 9), true FROM (SELECT * FROM dv WHERE r IS NOT NULL UNION ALL SELECT * FROM dn)"""
+
+
 _CUM = """, cu AS (SELECT cloud_id, i, s, sum(st) OVER (PARTITION BY cloud_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS volume FROM
         (SELECT cloud_id, i, s, coalesce(0.5e0 * (area + lag(area) OVER w) * (s - lag(s) OVER w), 0.0e0) AS st FROM a WHERE area IS NOT NULL WINDOW w AS (PARTITION BY cloud_id ORDER BY s)))"""
 _SEG = (
@@ -202,6 +251,7 @@ ORACLES = {
               UNION ALL SELECT cloud_id, CASE WHEN k = 0 THEN -z*cr ELSE z*cr END, 1 FROM e WHERE k = 0 OR k = m - 1)
         SELECT cloud_id, round(abs(sum(t))/6, 6) AS volume, CAST(sum(f) AS BIGINT) AS n_faces FROM d GROUP BY cloud_id""",
     "fill_2d": f"WITH {_filled_2d()} SELECT cloud_id, i, j, round(r, 10) AS r, interpolated FROM f2",
+    "triangulated_fill": f"WITH RECURSIVE {_triangulated()}",
     "mesh_volume_to_ends": f"""WITH {_filled_2d()},
         p AS (SELECT cloud_id, i, j, r*cos(radians((j+0.5e0)*{DT}-180.0e0)) AS x, r*sin(radians((j+0.5e0)*{DT}-180.0e0)) AS y FROM f2),
         v AS MATERIALIZED (SELECT cloud_id, i + 1 AS k, j, x, y, i + 0.5e0 AS z FROM p UNION ALL SELECT cloud_id, 0, j, x, y, 0.0e0 FROM p WHERE i = 0 UNION ALL SELECT cloud_id, {N_S} + 1, j, x, y, 100.0e0 FROM p WHERE i = {N_S} - 1),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adit.operators import compare, stats, volume
+from adit.operators.delaunay import triangulated
 from adit.operators.graph import kept
-from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_total, filled_2d
+from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_total
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def measure(cloud: DataFrame, cfg: Config = Config(), hull: bool = False, frame:
     volumes = profiles.select("cloud_id", F.lit("profiles").alias("method"), "volume")
     out = {}
     if mesh:
-        out["mesh"] = kept(volume.mesh(filled_2d(raw, g), g, frame=frame))
+        out["mesh"] = kept(volume.mesh(triangulated(raw, g), g, frame=frame))
         out["mesh_closed"] = volume.closed_check(out["mesh"])
         volumes = volumes.unionByName(volume.mesh_volume(out["mesh"]).select("cloud_id", F.lit("surface_mesh").alias("method"), "volume"))
     volumes = volumes.unionByName(volume.simpson_volume(slabs, g).select("cloud_id", F.lit("profiles_simpson").alias("method"), "volume"))
