@@ -5,7 +5,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.operators import volume
+from adit.operators import surface, volume
 from adit.operators.graph import components, kept
 
 
@@ -71,34 +71,41 @@ def box_cells(points: DataFrame, h: float, pad: int = 3) -> int:
     return int(span.agg(F.max(n)).first()[0] or 0)
 
 
-def voxel_volumes(points: DataFrame, sizes: list[float], seal: int = 1, planes: list | None = None, budget: int = 200_000_000, floor_m3: float = 1.0) -> DataFrame:
-    """(cloud_id, h, seal, n_air, v_voxel, v_surface, leaked) of the largest enclosed space for each edge, from coarse to fine.
+def voxel_volumes(points: DataFrame, sizes: list[float], seal: int = 1, planes: list | None = None, budget: int = 200_000_000, floor_m3: float = 1.0, meshes: dict | None = None) -> DataFrame:
+    """(cloud_id, h, seal, n_air, v_voxel, v_surface, area, n_faces, closed, leaked, skipped) of the largest enclosed space for each edge, from coarse to fine.
 
-    Walls are thickened by ``seal`` cells before spaces are told apart and the space is widened by as many after.
-    An edge whose box has more cells than ``budget`` is left out; a space below ``floor_m3`` says that the shell leaks, and has no volume.
+    Walls are thickened by ``seal`` cells before spaces are told apart and the space is widened by as many after. Volume, area and
+    closedness are those of its iso-surface. A space below ``floor_m3`` says that the shell leaks, and has no volume.
+    An edge whose box has more cells than ``budget`` is not measured; its rows say so in ``skipped``. ``meshes``: gets the triangles by edge, to be exported.
     """
-    found = None
+    found, clouds = None, kept(points.select("cloud_id").distinct())
     for h in sorted(sizes, reverse=True):
-        if box_cells(points, h) > budget:
-            continue
-        walls = kept(volume.dilated(volume.voxels(points, h), seal))
-        runs = kept(labelled(free_runs(walls, 1 + seal, planes, h)))
-        inner = spaces(runs).groupBy("cloud_id").agg(F.coalesce(F.max(F.when(~F.col("outside"), F.col("n"))), F.lit(0)).alias("n_air"))
-        air = kept(volume.dilated(largest_air(runs), seal))
-        counts = air.groupBy("cloud_id").agg((F.count(F.lit(1)) * F.lit(h**3)).alias("v_voxel"))
-        clouds = walls.select("cloud_id").distinct()
-        rows = clouds.join(inner, "cloud_id", "left").join(counts, "cloud_id", "left").join(surface_volume(air, h).withColumnRenamed("volume", "v_surface"), "cloud_id", "left")
-        leaked = F.coalesce("n_air", F.lit(0)) * F.lit(h**3) < floor_m3
-        rows = rows.select("cloud_id", F.lit(float(h)).alias("h"), F.lit(seal).alias("seal"), F.coalesce("n_air", F.lit(0)).alias("n_air"), F.when(~leaked, F.col("v_voxel")).alias("v_voxel"), F.when(~leaked, F.col("v_surface")).alias("v_surface"), leaked.alias("leaked"))
+        n = box_cells(points, h)
+        rows = clouds.withColumn("h", F.lit(float(h))).withColumn("seal", F.lit(seal))
+        if n > budget:
+            empty = {"n_air": "bigint", "v_voxel": "double", "v_surface": "double", "area": "double", "n_faces": "bigint", "closed": "boolean", "leaked": "boolean"}
+            rows = rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.lit(f"{n} cells; the budget is {budget}").alias("skipped"))
+        else:
+            walls = kept(volume.dilated(volume.voxels(points, h), seal))
+            runs = kept(labelled(free_runs(walls, 1 + seal, planes, h)))
+            inner = spaces(runs).groupBy("cloud_id").agg(F.coalesce(F.max(F.when(~F.col("outside"), F.col("n"))), F.lit(0)).alias("n_air"))
+            air = kept(volume.dilated(largest_air(runs), seal))
+            counts = air.groupBy("cloud_id").agg((F.count(F.lit(1)) * F.lit(h**3)).alias("v_voxel"))
+            mesh = kept(surface.iso_surface(air, h))
+            if meshes is not None:
+                meshes[h] = mesh
+            shape = surface.measured(mesh).select("cloud_id", F.col("volume").alias("v_surface"), "area", "n_faces", (F.col("closed") & F.col("oriented")).alias("closed"))
+            rows = rows.join(inner, "cloud_id", "left").join(counts, "cloud_id", "left").join(shape, "cloud_id", "left")
+            n_air, leaked = F.coalesce("n_air", F.lit(0)), F.coalesce("n_air", F.lit(0)) * F.lit(h**3) < floor_m3
+            told = [F.when(~leaked, F.col(c)).alias(c) for c in ("v_voxel", "v_surface", "area", "n_faces", "closed")]
+            rows = rows.select("cloud_id", "h", "seal", n_air.alias("n_air"), *told, leaked.alias("leaked"), F.lit(None).cast("string").alias("skipped"))
         found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        raise ValueError("every voxel size exceeds the budget")
     return kept(found)
 
 
 def best_volume(volumes: DataFrame) -> DataFrame:
     """For each cloud the surface volume at the finest edge that does not leak, the voxel volume extended to h = 0 (of two edges or more) and whether any leaked."""
-    fine = F.when(~F.col("leaked"), F.col("h"))
+    fine = F.when(~F.col("leaked"), F.col("h"))  # null for an edge that was skipped
     line = F.when(F.count(fine) >= 2, F.regr_intercept(F.when(~F.col("leaked"), F.col("v_voxel")), fine))
     return volumes.groupBy("cloud_id").agg(F.min_by("v_surface", fine).alias("volume"), F.min(fine).alias("h"), line.alias("v_extrapolated"), F.bool_or("leaked").alias("leaked"))
 

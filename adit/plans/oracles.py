@@ -1,5 +1,6 @@
 """The survey queries as DuckDB SQL, written apart from the DataFrame operators."""
 
+from adit.operators.surface import triangle_table
 from adit.sources.views import duckdb_with
 
 N_S, N_T, DS, DT = 100, 72, "1.0e0", "5.0e0"
@@ -114,6 +115,24 @@ def _triangulated() -> str:
         UNION ALL SELECT cloud_id, CAST(i AS BIGINT), CAST(j AS BIGINT), round(r + 3.3e-11, 9), true FROM (SELECT * FROM dv WHERE r IS NOT NULL UNION ALL SELECT * FROM dn)"""
 
 
+def _iso_surface() -> str:
+    """The table of cases as rows of corners; triangles around the voxels in half cells, as whole numbers."""
+    cases = ", ".join(f"({k}, {', '.join(str(c) for corner in t for c in corner)})" for k, made in enumerate(triangle_table()) for t in made)
+    names = [p + d for p in ("ka", "kb", "kc") for d in "xyz"]
+    corner = ", ".join(f"(2*{n[2]} + 1 + {n})*0.25e0 AS {n}" for n in names)
+    cross = ["uy*vz - uz*vy", "uz*vx - ux*vz", "ux*vy - uy*vx"]
+    edges = " UNION ALL ".join(f"SELECT cloud_id, {a}x px, {a}y py, {a}z pz, {b}x qx, {b}y qy, {b}z qz FROM f" for a, b in (("ka", "kb"), ("kb", "kc"), ("kc", "ka")))
+    return f"""WITH {duckdb_with('cloud')}, {_XYZ}, {_VOX}, m(pattern, {', '.join(names)}) AS (VALUES {cases}),
+        b AS (SELECT cloud_id, ix - (k & 1) AS x, iy - ((k >> 1) & 1) AS y, iz - (k >> 2) AS z, 1 << k AS bit FROM v CROSS JOIN (SELECT unnest(range(8)) AS k)),
+        c AS (SELECT cloud_id, x, y, z, CAST(sum(bit) AS BIGINT) AS pattern FROM b GROUP BY cloud_id, x, y, z),
+        f AS MATERIALIZED (SELECT cloud_id, {corner} FROM c JOIN m USING (pattern)),
+        g AS (SELECT *, {', '.join(f"kb{d} - ka{d} AS u{d}, kc{d} - ka{d} AS v{d}" for d in 'xyz')} FROM f),
+        s AS (SELECT cloud_id, sum({' + '.join(f'ka{d}*({x})' for d, x in zip('xyz', cross))})/6 AS volume, sum(sqrt({' + '.join(f'pow({x}, 2)' for x in cross)}))/2 AS area, count(*) AS n_faces FROM g GROUP BY cloud_id),
+        e AS (SELECT cloud_id, count(*) AS n, count(*) FILTER ((px, py, pz) < (qx, qy, qz)) AS up FROM ({edges}) GROUP BY cloud_id, least((px, py, pz), (qx, qy, qz)), greatest((px, py, pz), (qx, qy, qz)))
+        SELECT cloud_id, round(any_value(volume), 6) AS volume, round(any_value(area), 6) AS area, any_value(n_faces) AS n_faces, count(*) AS n_edges, bool_and(n = 2) AS closed, bool_and(n = 2 AND up = 1) AS oriented
+        FROM e JOIN s USING (cloud_id) GROUP BY cloud_id"""
+
+
 _CUM = """, cu AS (SELECT cloud_id, i, s, sum(st) OVER (PARTITION BY cloud_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS volume FROM
         (SELECT cloud_id, i, s, coalesce(0.5e0 * (area + lag(area) OVER w) * (s - lag(s) OVER w), 0.0e0) AS st FROM a WHERE area IS NOT NULL WINDOW w AS (PARTITION BY cloud_id ORDER BY s)))"""
 _SEG = (
@@ -368,6 +387,7 @@ ORACLES = {
         r AS (SELECT p.scan_id, CASE k WHEN 1 THEN t WHEN 2 THEN t*1e-9 WHEN 3 THEN 1e5+t ELSE 1e5+t*1e-9 END AS t FROM p JOIN k ON k.scan_id = p.scan_id)
         SELECT scan_id, count(*) AS n, round(min(t), 4) AS t_min, round(max(t), 4) AS t_max FROM r GROUP BY scan_id""",
     "cap_fingerprint": f"""WITH {duckdb_with('targets')} SELECT concat_ws('/', CAST(net AS VARCHAR), cloud_id) AS run_id, string_agg(printf('%.4f %.4f %.4f', x, y, z), '; ' ORDER BY printf('%.4f %.4f %.4f', x, y, z)) AS caps FROM targets WHERE idx IN (0, 7) GROUP BY ALL""",
+    "iso_surface": _iso_surface(),
     "surface_volume": f"""WITH {duckdb_with('cloud')}, {_XYZ}, {_VOX}, b AS (SELECT cloud_id, ix - (k & 1) AS x, iy - ((k >> 1) & 1) AS y, iz - (k >> 2) AS z, 1 << k AS bit FROM v CROSS JOIN (SELECT unnest(range(8)) AS k)),
         c AS (SELECT cloud_id, CAST(sum(bit) AS BIGINT) AS pattern FROM b GROUP BY cloud_id, x, y, z),
         t AS (SELECT unnest([1 + 2 + 8 + 128, 1 + 2 + 32 + 128, 1 + 4 + 8 + 128, 1 + 4 + 64 + 128, 1 + 16 + 32 + 128, 1 + 16 + 64 + 128]) AS mask)

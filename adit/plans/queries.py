@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adit.operators import cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
+from adit.operators import cavity, centreline, compare, denoise, stats, surface, sweep, targets, trajectory, volume
 from adit.operators.graph import kept
 from adit.operators.delaunay import triangulated
 from adit.operators.grid import Grid, along_filled, bimodal_grid, binned, circular_filled, coverage_by_slab, coverage_total, filled_2d, filled_grid, median_grid
@@ -423,6 +423,12 @@ def largest_cavity(s, d):
     return rounded(cavity.largest_cavity(walls, 0.5))
 
 
+@query
+def iso_surface(s, d):
+    """Volume, area, faces and edges of the surface around each cloud's voxels."""
+    return rounded(surface.measured(kept(surface.iso_surface(_voxels(s, d), 0.5))))
+
+
 @query
 def surface_volume(s, d):
     return rounded(cavity.surface_volume(_voxels(s, d), 0.5))

@@ -5,8 +5,9 @@ import itertools
 import numpy as np
 import pytest
 
-from adit.operators import delaunay
+from adit.operators import delaunay, surface, volume
 from adit.operators.grid import Grid
+from adit.sources import sinks
 
 
 def empty_circle(q, p, tie):
@@ -74,3 +75,47 @@ def test_fill_of_nothing(spark):
     full = spark.createDataFrame([("a", i, j, 1.0) for i in range(g.n_slabs) for j in range(g.n_theta)], "cloud_id string, i long, j long, r double")
     assert delaunay.triangulated(full, g).where("interpolated").count() == 0
     assert delaunay.triangulated(full.limit(0), g).count() == 0
+
+
+def surface_of(field):
+    """Triangles around the true cells, cube by cube, in half cells."""
+    table, f, found = surface.triangle_table(), np.pad(field, 1), []
+    for x, y, z in itertools.product(*(range(n - 1) for n in f.shape)):
+        case = sum(int(f[x + (k & 1), y + (k >> 1 & 1), z + (k >> 2)]) << k for k in range(8))
+        found += [[(2 * (x - 1) + a, 2 * (y - 1) + b, 2 * (z - 1) + c) for a, b, c in t] for t in table[case]]
+    return np.array(found)
+
+
+def test_every_case_closes():
+    """Any field gives a closed, oriented mesh, and each edge has two triangles."""
+    for seed in range(6):
+        tri = surface_of(np.random.default_rng(seed).random((5, 5, 5)) < 0.2 + 0.1 * seed).tolist()
+        ways = [(tuple(t[k]), tuple(t[(k + 1) % 3])) for t in tri for k in range(3)]
+        assert len(set(ways)) == len(ways) and {(b, a) for a, b in ways} == set(ways)
+    assert sorted(map(len, surface.triangle_table()))[-1] == 5 and not surface.triangle_table()[0] and not surface.triangle_table()[255]
+
+
+def test_iso_surface_of_shapes(spark):
+    grid = np.indices((16, 16, 16)) - 7.5
+    ball = (grid**2).sum(0) < 36
+    apart = np.zeros((3, 3, 1), bool)
+    apart[0, 0] = apart[1, 1] = True  # across an edge: each is cut off alone
+    rows = [("ball", *map(int, c)) for c in np.argwhere(ball)] + [("apart", *map(int, c)) for c in np.argwhere(apart)] + [("one", -3, 0, 7), ("one", -3, 0, 7)]
+    meshed = surface.iso_surface(spark.createDataFrame(rows, "cloud_id string, ix long, iy long, iz long"), 0.5).persist()
+    got = {r.cloud_id: r for r in surface.measured(meshed).collect()}
+    assert all(r.closed and r.oriented for r in got.values())
+    assert got["one"].volume == pytest.approx(0.125 / 6) and got["one"].n_faces == 8 and got["one"].area == pytest.approx(8 * np.sqrt(3) / 8 * 0.25)
+    assert got["apart"].volume == pytest.approx(2 * 0.125 / 6) and got["apart"].n_faces == 16
+    want = surface_of(ball).astype(float)
+    assert got["ball"].n_faces == len(want) and got["ball"].volume == pytest.approx(np.linalg.det(want).sum() / 48 * 0.125)
+    assert abs(got["ball"].volume / (4 / 3 * np.pi * 27) - 1) < 0.03 and got["ball"].n_edges * 2 == got["ball"].n_faces * 3
+    v = volume.vertices(meshed.where("cloud_id = 'ball'"))
+    assert v.count() - got["ball"].n_edges + got["ball"].n_faces == 2  # a sphere's Euler number: corners are welded
+
+
+def test_iso_surface_as_ply(spark, tmp_path):
+    meshed = surface.iso_surface(spark.createDataFrame([("a", x, y, 0) for x in range(3) for y in range(2)], "cloud_id string, ix long, iy long, iz long"), 1.0)
+    n_v, n_f = sinks.mesh_ply(meshed, str(tmp_path / "m.ply"))
+    r = surface.measured(meshed).first()
+    assert (n_v, n_f) == (2 + r.n_edges - r.n_faces, r.n_faces)
+    assert b"element face %d" % n_f in (tmp_path / "m.ply").read_bytes()[:400]

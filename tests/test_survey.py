@@ -314,15 +314,15 @@ def test_voxel_driver(spark):
     p = phantom.cylinder(spark, 2.0, 10.0, 360, 400).select("cloud_id", "x", "y", "z")
     planes = [((0.0, 0.0, 1.0), (0.0, 0.0, 1.0)), ((0.0, 0.0, 9.0), (0.0, 0.0, -1.0))]
     got = {r.h: r for r in cavity.voxel_volumes(p, [0.25, 0.5, 0.01], 1, planes, budget=1_000_000).collect()}
-    assert set(got) == {0.25, 0.5} and not any(r.leaked for r in got.values())
+    assert set(got) == {0.01, 0.25, 0.5} and not any(got[h].leaked or got[h].skipped or not got[h].closed for h in (0.25, 0.5))
+    assert "budget is 1000000" in got[0.01].skipped and got[0.01].v_voxel is None
     truth = math.pi * 4 * 8
-    assert abs(got[0.25].v_voxel / truth - 1) < 0.15 and abs(got[0.25].v_surface / truth - 1) < 0.15
-    best = cavity.best_volume(spark.createDataFrame(list(got.values()))).first()
+    assert abs(got[0.25].v_voxel / truth - 1) < 0.15 and abs(got[0.25].v_surface / got[0.25].v_voxel - 1) < 0.02
+    best = cavity.best_volume(cavity.voxel_volumes(p, [0.25, 0.5, 0.01], 1, planes, budget=1_000_000)).first()
     assert best.h == 0.25 and abs(best.v_extrapolated / truth - 1) < 0.15
     table = cavity.seal_table(phantom.cylinder(spark, 2.0, 10.0, 360, 400, (80.0, 130.0)).select("cloud_id", "x", "y", "z"), [0.5], [0, 1], planes=planes)
     assert {(r.seal, r.leaked) for r in table.collect()} >= {(0, True)}
-    with pytest.raises(ValueError, match="budget"):
-        cavity.voxel_volumes(p, [0.01], budget=10)
+    assert cavity.best_volume(cavity.voxel_volumes(p, [0.01], budget=10)).first().volume is None
 
 
 def test_caps_and_domain(spark):
