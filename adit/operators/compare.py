@@ -1,8 +1,11 @@
 """Comparison of two clouds along the tunnel and around it."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.operators.graph import kept
 from adit.operators.grid import Grid, coverage_by_slab, filled, scaffold
 
 
@@ -40,18 +43,23 @@ def segment_volumes(cumulative: DataFrame, length: float = 10.0, ref: str = "ref
 
     ``cumulative``: (cloud_id, s, volume) at the same s for both clouds. One row
     a segment: its edges, both volumes, their difference and its percentage.
+    The curve is made once; each of its intervals produces the edges in it, so that edges need no join.
     """
-    span = cumulative.agg(F.min("s").alias("s_lo"), F.max("s").alias("s_hi"))
-    n = F.ceil((F.col("s_hi") - F.col("s_lo")) / length).cast("int")
-    edges = span.select(F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda k: F.least(F.col("s_lo") + k * length, F.col("s_hi")))).alias("k", "edge"))
+    curve = kept(cumulative.select("cloud_id", "s", "volume"))
+    lo, hi = curve.agg(F.min("s"), F.max("s")).first()
+    if lo is None:
+        lo = hi = 0.0
+    n = math.ceil((hi - lo) / length)
     by = Window.partitionBy("cloud_id").orderBy("s")
-    pieces = cumulative.select("cloud_id", "s", "volume", F.lead("s").over(by).alias("s2"), F.lead("volume").over(by).alias("v2"))
-    last = pieces.where("s2 is null")
-    inside = (F.col("edge") >= F.col("s")) & (F.col("edge") < F.col("s2"))
-    at = edges.join(pieces.where("s2 is not null"), inside).select("k", "edge", "cloud_id", (F.col("volume") + (F.col("v2") - F.col("volume")) * (F.col("edge") - F.col("s")) / (F.col("s2") - F.col("s"))).alias("v"))
-    at = at.unionByName(edges.join(last, F.col("edge") == F.col("s")).select("k", "edge", "cloud_id", F.col("volume").alias("v")))
+    pieces = curve.select("cloud_id", "s", "volume", F.lead("s").over(by).alias("s2"), F.lead("volume").over(by).alias("v2"))
+    place = lambda c: F.floor((F.col(c) - lo) / length).cast("int")  # noqa: E731  a step more on both sides, for rounding and for the last edge
+    edges = F.transform(F.sequence(F.greatest(place("s") - 1, F.lit(0)), F.least(F.coalesce(place("s2"), place("s")) + 2, F.lit(n))), lambda k: F.struct(k.alias("k"), F.least(F.lit(lo) + k * length, F.lit(hi)).alias("edge")))
+    at = pieces.select("cloud_id", "s", "volume", "s2", "v2", F.explode(edges).alias("e")).select("cloud_id", "s", "volume", "s2", "v2", "e.*")
+    at = at.where((F.col("edge") >= F.col("s")) & F.coalesce(F.col("edge") < F.col("s2"), F.col("edge") == F.col("s")))
+    value = F.col("volume") + F.coalesce((F.col("v2") - F.col("volume")) * (F.col("edge") - F.col("s")) / (F.col("s2") - F.col("s")), F.lit(0.0))
     order = Window.partitionBy("cloud_id").orderBy("k")
-    seg = at.select("cloud_id", "k", F.col("edge").alias("s_from"), F.lead("edge").over(order).alias("s_to"), (F.lead("v").over(order) - F.col("v")).alias("v")).where("s_to is not null")
+    seg = at.select("cloud_id", "k", "edge", value.alias("v"))
+    seg = seg.select("cloud_id", "k", F.col("edge").alias("s_from"), F.lead("edge").over(order).alias("s_to"), (F.lead("v").over(order) - F.col("v")).alias("v")).where("s_to is not null")
     both = seg.groupBy("k", "s_from", "s_to").agg(F.max(F.when(F.col("cloud_id") == ref, F.col("v"))).alias("v_ref"), F.max(F.when(F.col("cloud_id") == other, F.col("v"))).alias("v_oth"))
     return both.withColumn("dv", F.col("v_oth") - F.col("v_ref")).withColumn("dv_pct", F.when(F.col("v_ref") != 0, F.col("dv") / F.col("v_ref") * 100.0))
 
@@ -92,16 +100,24 @@ def golden_segment(grid: DataFrame, g: Grid, target: float = 25.0, min_coverage:
     return run.select((F.lit(g.s0) + F.col("start") * g.ds).alias("s_lo"), (F.lit(g.s0) + (F.col("start") + n) * g.ds).alias("s_hi"))
 
 
-def shifted_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two campaigns on s' = s - s_start: areas of ``a`` and of ``b`` interpolated at a's s', over the shorter length."""
-    own = lambda df: df.where("area is not null").withColumn("p", F.col("s") - F.min("s").over(Window.partitionBy(F.lit(1))))
-    by = Window.partitionBy(F.lit(1)).orderBy("p")
-    x, y = own(a).select("p", F.col("area").alias("area_a")), own(b).select(F.col("p").alias("q"), "area")
-    order = Window.partitionBy(F.lit(1)).orderBy("q")
-    y = y.select("q", "area", F.lead("q").over(order).alias("q2"), F.lead("area").over(order).alias("area2"))
-    inside = (F.col("p") >= F.col("q")) & ((F.col("p") < F.col("q2")) | (F.col("q2").isNull() & (F.col("p") == F.col("q"))))
-    value = F.when(F.col("q2").isNull(), F.col("area")).otherwise(F.col("area") + (F.col("area2") - F.col("area")) * (F.col("p") - F.col("q")) / (F.col("q2") - F.col("q")))
-    return x.join(y, inside).select("p", "area_a", value.alias("area_b"), (value - F.col("area_a")).alias("d_area"), F.row_number().over(by).alias("k"))
+def shifted_difference(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Two campaigns on s' = s - s_start: areas of ``a`` and of ``b`` interpolated at a's s', over the shorter length.
+
+    ``keys``: columns that name a pair of campaigns, of which there may be many; each pair's slabs are laid on one axis and the
+    areas of ``b`` before and after are carried over, without a join.
+    """
+    keys = keys or []
+    pair = [*keys] if keys else [F.lit(1)]
+    own = lambda df: df.where("area is not null").withColumn("p", F.col("s") - F.min("s").over(Window.partitionBy(*pair)))
+    known = F.struct(F.col("p").alias("q"), "area")
+    rows = own(a).select(*keys, "p", F.col("area").alias("area_a"), F.lit(None).cast("struct<q:double,area:double>").alias("b"))
+    rows = rows.unionByName(own(b).select(*keys, "p", F.lit(None).cast("double").alias("area_a"), known.cast("struct<q:double,area:double>").alias("b")))
+    by = Window.partitionBy(*pair).orderBy("p")
+    before, after = F.last("b", True).over(by.rangeBetween(Window.unboundedPreceding, 0)), F.first("b", True).over(by.rangeBetween(0, Window.unboundedFollowing))
+    rows = rows.select(*keys, "p", "area_a", before.alias("u"), after.alias("v")).where("area_a is not null and u is not null and v is not null")
+    share = F.when(F.col("v.q") > F.col("u.q"), (F.col("v.area") - F.col("u.area")) * (F.col("p") - F.col("u.q")) / (F.col("v.q") - F.col("u.q"))).otherwise(0.0)
+    value = F.col("u.area") + share
+    return rows.select(*keys, "p", "area_a", value.alias("area_b"), (value - F.col("area_a")).alias("d_area"), F.row_number().over(by).alias("k"))
 
 
 def change_split(tunnel_ref_a: float, tunnel_ref_b: float, total_a: float, total_b: float) -> dict[str, float]:
@@ -110,16 +126,17 @@ def change_split(tunnel_ref_a: float, tunnel_ref_b: float, total_a: float, total
     return {"total": total, "tunnel": tunnel, "sensor": total - tunnel, "tunnel_share_pct": tunnel / total * 100 if total else float("nan")}
 
 
-def campaign_segments(shifted: DataFrame, length: float = 10.0, limit_pct: float = 5.0) -> DataFrame:
+def campaign_segments(shifted: DataFrame, length: float = 10.0, limit_pct: float = 5.0, keys: list[str] | None = None) -> DataFrame:
     """(k, v_a, v_b, dv, dv_pct, flagged) of two campaigns by segments of s', from shifted_difference(): trapezoids within a segment,
     which needs two slabs; flagged where they differ by more than ``limit_pct``."""
+    keys = keys or []
     rows = shifted.withColumn("k", F.floor(F.col("p") / length))
-    by = Window.partitionBy("k").orderBy("p")
+    by = Window.partitionBy(*keys, "k").orderBy("p")
     piece = lambda c: 0.5 * (F.col(c) + F.lead(c).over(by)) * (F.lead("p").over(by) - F.col("p"))
-    rows = rows.select("k", piece("area_a").alias("a"), piece("area_b").alias("b"))
-    seg = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("v_a"), F.sum("b").alias("v_b")).where("n >= 2")
+    rows = rows.select(*keys, "k", piece("area_a").alias("a"), piece("area_b").alias("b"))
+    seg = rows.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("v_a"), F.sum("b").alias("v_b")).where("n >= 2")
     seg = seg.withColumn("dv", F.col("v_b") - F.col("v_a")).withColumn("dv_pct", F.when(F.col("v_a") > 0, F.col("dv") / F.col("v_a") * 100))
-    return seg.select("k", "v_a", "v_b", "dv", "dv_pct", F.coalesce(F.abs("dv_pct") > limit_pct, F.lit(False)).alias("flagged"))
+    return seg.select(*keys, "k", "v_a", "v_b", "dv", "dv_pct", F.coalesce(F.abs("dv_pct") > limit_pct, F.lit(False)).alias("flagged"))
 
 
 def campaign_change(volumes: DataFrame, a: str, b: str, ref: str = "ref", other: str = "mobile") -> DataFrame:

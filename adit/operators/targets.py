@@ -57,20 +57,30 @@ def leave_one_out(targets: DataFrame, ref: str = "ref", other: str = "mobile") -
 
 def consistency(targets: DataFrame, ref: str = "ref", other: str = "mobile", factor: float = 2.0) -> DataFrame:
     """For each target how much better the fit is without it, the flag (more than ``factor`` times), and its mean pair
-    residual against unflagged partners under their own scale."""
-    p = pair_distances(targets, ref, other)
-    base = scale(p).select("net", F.col("resid_rms").alias("base_rms"))
-    better = F.when(F.col("resid_rms") > 0, F.col("base_rms") / F.col("resid_rms")).when(F.col("base_rms") > 0, float("inf")).otherwise(1.0)
-    loo = leave_one_out(targets, ref, other).join(base, "net").select("net", F.col("dropped").alias("idx"), F.col("resid_rms").alias("loo_rms"), better.alias("improve"))
-    flags = loo.withColumn("flagged", F.col("improve") > factor)
-    every = F.every("flagged").over(Window.partitionBy("net"))  # with all flagged, all count as clean
-    flags = flags.withColumn("clean", ~F.col("flagged") | every)
-    clean = flags.where("clean").select("net", "idx")
-    as_ = lambda c: clean.withColumnRenamed("idx", c)
-    k = scale(p.join(as_("i"), ["net", "i"]).join(as_("j"), ["net", "j"])).select("net", "k")
-    sided = p.select("net", F.col("i").alias("idx"), F.col("j").alias("partner"), "d_ref", "d_oth").union(p.select("net", "j", "i", "d_ref", "d_oth"))
-    resid = sided.join(as_("partner"), ["net", "partner"]).join(k, "net").groupBy("net", "idx").agg(F.avg(F.col("d_oth") - F.col("k") * F.col("d_ref")).alias("mean_resid"))
-    return flags.join(resid, ["net", "idx"], "left").select("net", "idx", "loo_rms", "improve", "flagged", F.coalesce("mean_resid", F.lit(0.0)).alias("mean_resid"))
+    residual against unflagged partners under their own scale.
+
+    A network's pairs meet once, as one array; all fits are made of it.
+    """
+    nets = pair_distances(targets, ref, other).groupBy("net").agg(F.array_sort(F.collect_list(F.struct("i", "j", "d_ref", "d_oth"))).alias("p"))
+    total = lambda q, f: F.aggregate(q, F.lit(0.0), lambda acc, x: acc + f(x))
+    slope = lambda q: total(q, lambda x: x["d_ref"] * x["d_oth"]) / F.nullif(total(q, lambda x: x["d_ref"] * x["d_ref"]), F.lit(0.0))
+    rms = lambda q, k: F.sqrt(total(q, lambda x: F.pow(x["d_oth"] - k * x["d_ref"], F.lit(2.0))) / F.size(q))
+    nets = nets.withColumn("k", slope(F.col("p"))).withColumn("base", rms(F.col("p"), F.col("k")))
+    every = F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: F.array(x["i"], x["j"])))))
+    without = F.transform(every, lambda t: F.struct(t.alias("idx"), F.filter("p", lambda x: (x["i"] != t) & (x["j"] != t)).alias("q")))
+    fits = F.transform(F.filter(without, lambda x: F.size(x["q"]) > 0), lambda x: F.struct(x["idx"].alias("idx"), x["q"].alias("q"), slope(x["q"]).alias("k")))
+    nets = nets.withColumn("loo", F.transform(fits, lambda x: F.struct(x["idx"].alias("idx"), rms(x["q"], x["k"]).alias("rms"))))
+    better = lambda x: F.when(x["rms"] > 0, F.col("base") / x["rms"]).when(F.col("base") > 0, float("inf")).otherwise(1.0)
+    nets = nets.withColumn("loo", F.transform("loo", lambda x: F.struct(x["idx"].alias("idx"), x["rms"].alias("rms"), better(x).alias("improve"))))
+    clean = F.filter("loo", lambda x: ~(x["improve"] > factor))
+    clean = F.transform(F.when(F.size(clean) > 0, clean).otherwise(F.col("loo")), lambda x: x["idx"])  # with all flagged, all count as clean
+    nets = nets.withColumn("clean", clean)
+    inner = F.filter("p", lambda x: F.array_contains("clean", x["i"]) & F.array_contains("clean", x["j"]))
+    nets = nets.withColumn("k", slope(inner)).select("net", "p", "k", "clean", F.explode("loo").alias("t"))
+    own = F.filter("p", lambda x: ((x["i"] == F.col("t.idx")) & F.array_contains("clean", x["j"])) | ((x["j"] == F.col("t.idx")) & F.array_contains("clean", x["i"])))
+    nets = nets.withColumn("own", own)
+    resid = total(F.col("own"), lambda x: x["d_oth"] - F.col("k") * x["d_ref"]) / F.nullif(F.size("own"), F.lit(0))
+    return nets.select("net", "t.idx", F.col("t.rms").alias("loo_rms"), "t.improve", (F.col("t.improve") > factor).alias("flagged"), F.coalesce(resid, F.lit(0.0)).alias("mean_resid"))
 
 
 def chainage(targets: DataFrame) -> DataFrame:

@@ -5,9 +5,13 @@ centreline; both clouds are laid about it; two planes bound the domain; volumes,
 coverage and comparisons are those of pipeline.measure() in that frame.
 """
 
+import time
+import uuid
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adit.operators import caps, cavity, centreline, targets, trajectory
@@ -47,9 +51,23 @@ class Run:
         return cls(**{k: kinds[k](v) for k, v in told.items()}, **flags, **clouds)
 
 
-def tunnel(spark: SparkSession, clouds: DataFrame, traj: DataFrame, surveyed: DataFrame, end_caps: DataFrame | None = None, run: Run = Run(), name: str = "run") -> dict:
+def fingerprint(df: DataFrame) -> str:
+    """A name for a table's rows, whatever their order: their number and two sums of their hashes."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+    return "-".join(map(str, df.agg(F.count(F.lit(1)), F.sum(h), F.sum(F.pmod(h * 31, F.lit(1_000_003)))).first()))
+
+
+def made_of_files(spark: SparkSession, paths: list[str]) -> str:
+    """A name for input files: path, bytes and time of change of each."""
+    found = spark.read.format("binaryFile").load(sorted(set(paths))).select("path", "length", "modificationTime")
+    return ";".join(f"{r.path}:{r.length}:{r.modificationTime.timestamp()}" for r in found.orderBy("path").collect())  # a run has seven
+
+
+def tunnel(spark: SparkSession, clouds: DataFrame, traj: DataFrame, surveyed: DataFrame, end_caps: DataFrame | None = None, run: Run = Run(), name: str = "run", made_of: str | None = None) -> dict:
     """Everything measured of clouds (cloud_id, pid, x, y, z) in a tunnel along a trajectory, all in the reference frame.
 
+    What is cached is found again under the settings and ``made_of``, a name for the inputs; without it that is made from their rows.
+
     ``surveyed``: targets (net, cloud_id, idx, x, y, z) with those of the reference that may bound the domain; ``end_caps``:
     two points (idx, x, y, z). The result holds DataFrames, and ``domain`` and ``centreline`` as plain values.
     """
@@ -63,7 +81,8 @@ def tunnel(spark: SparkSession, clouds: DataFrame, traj: DataFrame, surveyed: Da
     cfg = replace(run.measure, grid=grid)
     laid = lambda: trajectory.cylindrical(clouds.where(F.col("cloud_id").isin(*run.clouds)), frame)
     if run.cache_root:
-        signature = f"{cfg.signature()}-{run.step_m}-{run.smoothing}-{run.line_ds_m}-{run.gravity}-{','.join(run.clouds)}"
+        made_of = made_of or ";".join(fingerprint(t) for t in (clouds, traj, surveyed, end_caps) if t is not None)
+        signature = f"{cfg.signature()}-{run.step_m}-{run.smoothing}-{run.line_ds_m}-{run.gravity}-{run.end_target}-{','.join(run.clouds)}-{made_of}"
         points = cache.kept_or_made(spark, run.cache_root, name, signature, laid)
     else:
         points = kept(laid())
@@ -90,7 +109,8 @@ def of_files(spark: SparkSession, inputs: dict[str, str | None], run: Run = Run(
     for t in told[1:]:
         told[0] = told[0].unionByName(t)
     end_caps = readers.targets(spark, inputs["caps"], "caps").drop("cloud_id") if inputs.get("caps") else None
-    return tunnel(spark, clouds[0], traj, told[0].withColumn("net", F.lit(0)), end_caps, run, name)
+    used = [paths[c] for c in run.clouds] + [inputs[k] for k in ("trajectory", "registration", "targets_ref", "targets_mobile", "caps") if inputs.get(k)]
+    return tunnel(spark, clouds[0], traj, told[0].withColumn("net", F.lit(0)), end_caps, run, name, made_of_files(spark, used) if run.cache_root else None)
 
 
 def summary(out: dict, dataset: str, rep: str, run: Run, inputs: dict[str, str | None] | None = None) -> dict:
@@ -110,22 +130,70 @@ def summary(out: dict, dataset: str, rep: str, run: Run, inputs: dict[str, str |
     }
 
 
-def all_runs(spark: SparkSession, found: DataFrame, plan: DataFrame, results: str, stamp: str, run: Run = Run()) -> DataFrame:
-    """Runs every planned repetition, one after the other, and writes a folder each; one that fails stops no other.
+#: What run_summaries() reads of a run.
+SUMMARY = "results map<string,struct<volumes:map<string,double>>>, config map<string,string>"
 
-    ``found``: datasets.runs(); ``plan``: datasets.planned(). Returns (dataset, rep, clouds, folder, error), with error NULL where all went well.
+
+def finished(spark: SparkSession, results: str) -> DataFrame:
+    """(dataset, rep, stamp, run_no, cloud_id, method, volume, settings) of all runs below ``results``, for pipeline.statistics() and, as ``done``, for datasets.planned().
+
+    run_no counts a repetition's runs by stamp; settings is what was set, without clouds and cache.
     """
-    rows = []
-    for r in found.join(plan, ["dataset", "rep"]).orderBy("dataset", "rep").collect():  # a row a repetition
-        inputs, folder, said = r.asDict(), None, r.problem
-        own = replace(run, clouds=tuple(r.clouds))
+    found = readers.run_summaries(spark, results, SUMMARY)
+    order = F.dense_rank().over(Window.partitionBy("dataset", "rep").orderBy("stamp"))
+    told = F.to_json(F.map_filter("config", lambda k, _: ~k.isin("clouds", "cache_root")))
+    rows = found.select("dataset", "rep", "stamp", order.alias("run_no"), told.alias("settings"), F.explode("results").alias("cloud_id", "result"))
+    return rows.select("dataset", "rep", "stamp", "run_no", "cloud_id", F.explode("result.volumes").alias("method", "volume"), "settings")
+
+
+def _one_run(spark: SparkSession, r, results: str, stamp: str, run: Run, measured) -> str:
+    inputs, own = r.asDict(), replace(run, clouds=tuple(r.clouds))
+    out = measured(spark, inputs, own, f"{r.dataset}/{r.rep}")
+    folder = sinks.run_folder(out["volumes"], results, r.dataset, r.rep, stamp)
+    told = {k: inputs[k] for k in ("ref_ply", "mobile_ply", "trajectory", "registration", "targets_ref", "targets_mobile", "caps")}
+    sinks.run_record(spark, folder, summary(out, r.dataset, r.rep, own, told), [f"{r.dataset}/{r.rep}: {', '.join(own.clouds)}"])
+    return folder
+
+
+def all_runs(spark: SparkSession, found: DataFrame, plan: DataFrame, results: str, stamp: str, run: Run = Run(), at_once: int = 2, limit_s: float | None = None, measured=of_files) -> DataFrame:
+    """Runs every planned repetition, ``at_once`` at a time, and writes a folder each; one that fails stops no other.
+
+    Each run has a thread, a scheduler pool and a job tag of its own, so that under FAIR scheduling runs share the
+    cluster, and one that takes over ``limit_s`` seconds has its jobs, and no others, cancelled until it ends. What a run does on the
+    driver between jobs is not interrupted.
+    ``found``: datasets.runs(); ``plan``: datasets.planned(); ``measured``: of_files() or another measurement of a run's inputs.
+    Returns (dataset, rep, clouds, folder, error, seconds, cancelled), with error NULL where all went well.
+    """
+    sc, began, tagged = spark.sparkContext, {}, uuid.uuid4().hex
+
+    def work(k: int, r):
+        sc.setLocalProperty("spark.scheduler.pool", f"run-{k % at_once}")
+        sc.addJobTag(f"{tagged}-{k}")
+        began[k] = time.monotonic()
         try:
-            if said is None:
-                out = of_files(spark, inputs, own, f"{r.dataset}/{r.rep}")
-                folder = sinks.run_folder(out["volumes"], results, r.dataset, r.rep, stamp)
-                told = {k: inputs[k] for k in ("ref_ply", "mobile_ply", "trajectory", "registration", "targets_ref", "targets_mobile", "caps")}
-                sinks.run_record(spark, folder, summary(out, r.dataset, r.rep, own, told), [f"{r.dataset}/{r.rep}: {', '.join(own.clouds)}"])
+            return _one_run(spark, r, results, stamp, run, measured), None
         except Exception as e:  # noqa: BLE001
-            said = f"{type(e).__name__}: {str(e)[:500]}"
-        rows.append((r.dataset, r.rep, list(r.clouds), folder, said))
-    return spark.createDataFrame(rows, "dataset string, rep string, clouds array<string>, folder string, error string")
+            return None, f"{type(e).__name__}: {str(e)[:500]}"
+        finally:
+            sc.clearJobTags()
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    rows = found.join(plan, ["dataset", "rep"]).orderBy("dataset", "rep").collect()  # a row a repetition
+    report, over, late = {}, {}, set()
+    with ThreadPoolExecutor(at_once) as pool:
+        going = {pool.submit(inheritable_thread_target(spark)(work), k, r): k for k, r in enumerate(rows) if r.problem is None}
+        while going:
+            done, _ = wait(going, 0.2, FIRST_COMPLETED)
+            for f in done:
+                k = going.pop(f)
+                report[k], over[k] = f.result(), time.monotonic() - began[k]
+            for k in going.values():
+                if limit_s is not None and k in began and time.monotonic() - began[k] > limit_s:
+                    late.add(k)
+                    sc.cancelJobsWithTag(f"{tagged}-{k}")
+    said = []
+    for k, r in enumerate(rows):
+        folder, error = report.get(k, (None, r.problem))
+        cut = k in late and error is not None
+        said.append((r.dataset, r.rep, list(r.clouds), folder, f"cancelled after {limit_s} s" if cut else error, over.get(k), cut))
+    return spark.createDataFrame(said, "dataset string, rep string, clouds array<string>, folder string, error string, seconds double, cancelled boolean")

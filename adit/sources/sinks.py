@@ -11,9 +11,9 @@ from adit.sources.readers import commented_json, ply_bytes, ply_columns
 
 
 def run_folder(df: DataFrame, path: str, dataset: str, rep: str, stamp: str) -> str:
-    """Write results below dataset/rep/stamp as one new folder; an existing one is an error."""
-    out = f"{path.rstrip('/')}/dataset={dataset}/rep={rep}/stamp={stamp}"
-    df.write.mode("error").parquet(out)
+    """The new folder dataset/rep/stamp with the results as ``volumes``; one that has them already is an error."""
+    out = f"{path.rstrip('/')}/{dataset}/{rep}/{stamp}"
+    df.write.mode("error").parquet(f"{out}/volumes")
     return out
 
 
@@ -28,9 +28,9 @@ def _put(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def run_record(spark: SparkSession, folder: str, summary: dict, log: list[str]) -> None:
-    """summary.json and run.log beside the results of a run."""
-    _put(spark, f"{folder}/_summary.json", json.dumps(summary, indent=2, default=str).encode())
-    _put(spark, f"{folder}/_run.log", ("\n".join(log) + "\n").encode())
+    """summary.json, where readers.run_summaries() looks for it, and run.log beside the results of a run."""
+    _put(spark, f"{folder}/summary.json", json.dumps(summary, indent=2, default=str).encode())
+    _put(spark, f"{folder}/run.log", ("\n".join(log) + "\n").encode())
 
 
 def trial_summaries(metrics: DataFrame, path: str) -> None:

@@ -401,13 +401,56 @@ def test_curved_tunnel_from_files(spark, tmp_path):
     report = tunnel.all_runs(spark, found.unionByName(found.limit(1).select("dataset", F.lit("rep09").alias("rep"), *found.columns[2:-1], F.lit("no mobile cloud").alias("problem"))), datasets.planned(found, done, "both").unionByName(spark.createDataFrame([("d1", "rep09", ["ref"])], "dataset string, rep string, clouds array<string>")), str(tmp_path / "results"), "s1", run)
     got = {r.rep: r for r in report.collect()}
     assert got["rep09"].error == "no mobile cloud" and got["rep00"].error is None, got["rep00"].error
-    told = json.loads((Path(got["rep00"].folder) / "_summary.json").read_text())
+    told = json.loads((Path(got["rep00"].folder) / "summary.json").read_text())
     assert told["domain"]["L_m"] == pytest.approx(length, abs=0.05) and told["domain"]["cap_mode"] == "target_planes"
     for c in ("ref", "mobile"):
         v = told["results"][c]["volumes"]
         assert v["profiles"] == pytest.approx(math.pi * 4 * length, rel=0.01) and v["surface_mesh"] == pytest.approx(math.pi * 4 * length, rel=0.01) and v["hull_bound"] >= v["profiles"] * 0.99
     assert (tmp_path / "cache" / "d1" / "rep00").is_dir()
 
+    # the runs are found again: as done, and by the statistics
+    runs = tunnel.finished(spark, str(tmp_path / "results"))
+    assert {(r.dataset, r.rep, r.stamp, r.run_no, r.cloud_id) for r in runs.collect()} == {("d1", "rep00", "s1", 1, "ref"), ("d1", "rep00", "s1", 1, "mobile")}
+    plan = datasets.planned(found, runs)
+    assert [r.clouds for r in plan.where("rep = 'rep00'").collect()] == [["mobile"]]
+    # a wider cloud under the same name, settings and domain is measured anew
+    wide, t2 = np.meshgrid(np.linspace(-0.05, (length + 1.5) / radius, 700), np.radians(np.arange(0.5, 360, 1.0)))
+    out, up = radius + 2.5 * np.cos(t2), 2.5 * np.sin(t2)
+    (home / "rep00" / "m.ply").write_bytes(readers.ply_bytes(np.column_stack([(out * np.cos(wide)).ravel(), (out * np.sin(wide)).ravel(), up.ravel()]), ["x", "y", "z"]))
+    again = tunnel.all_runs(spark, found, datasets.planned(found, runs, "both"), str(tmp_path / "results"), "s2", run).where("rep = 'rep00'").first()
+    assert again.error is None and not again.cancelled
+    runs = tunnel.finished(spark, str(tmp_path / "results"))
+    new = {r.cloud_id: r for r in runs.where("stamp = 's2' and method = 'profiles'").collect()}
+    assert new["mobile"].volume == pytest.approx(math.pi * 2.5**2 * length, rel=0.01) and new["ref"].volume == pytest.approx(math.pi * 4 * length, rel=0.01) and new["ref"].run_no == 2
+    told = pipeline.statistics(runs, must_match=["settings"])
+    assert {r.cloud_id: r.n for r in told["describe"].where("method = 'profiles'").collect()} == {"ref": 1, "mobile": 1}
+
+
+def test_a_run_that_hangs_is_cancelled_alone(spark, tmp_path):
+    import time
+
+    def measured(session, inputs, run, name):
+        if name == "d/rep01":
+            session.range(4).mapInArrow(lambda batches: (time.sleep(60) or b for b in batches), "id long").collect()
+        if name == "d/rep02":
+            raise OSError("no such cloud")
+        session.range(1000).selectExpr("sum(id)").collect()
+        volumes = session.createDataFrame([("ref", "profiles", 5.0)], "cloud_id string, method string, volume double")
+        none = volumes.limit(0)
+        return {"volumes": volumes, "coverage": none, "profiles": none, "domain": (0.0, 1.0), "domain_info": {}, "centreline": {}}
+
+    names = ["ref_ply", "mobile_ply", "trajectory", "registration", "targets_ref", "targets_mobile", "caps", "problem"]
+    reps = ["rep00", "rep01", "rep02", "rep03"]
+    found = spark.createDataFrame([("d", r, *["x"] * 7, None) for r in reps], ", ".join(f"{c} string" for c in ["dataset", "rep", *names]))
+    plan = spark.createDataFrame([("d", r, ["ref"]) for r in reps], "dataset string, rep string, clouds array<string>")
+    began = time.monotonic()
+    got = {r.rep: r for r in tunnel.all_runs(spark, found, plan, str(tmp_path), "s", at_once=2, limit_s=8.0, measured=measured).collect()}
+    assert time.monotonic() - began < 50
+    assert got["rep01"].cancelled and got["rep01"].error == "cancelled after 8.0 s" and got["rep01"].folder is None
+    assert "no such cloud" in got["rep02"].error and not got["rep02"].cancelled
+    assert [got[r].error for r in ("rep00", "rep03")] == [None, None]
+    assert {(r.rep, r.volume) for r in tunnel.finished(spark, str(tmp_path)).collect()} == {("rep00", 5.0), ("rep03", 5.0)}
+
 
 def test_exports_and_settings(spark, tmp_path):
     g = Grid(0.0, 3.0, 1.0, 90.0)
