@@ -5,73 +5,17 @@ here, and ``most`` checks its length. What is not sequential (frames, curvature,
 columns of trajectory.py.
 """
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adit.operators import trajectory
+from adit.operators.spline import Spline, smoothing
 
-
-def _banded(bands: list[np.ndarray], b: np.ndarray) -> np.ndarray:
-    """The solution of a symmetric positive definite system: ``bands[k]`` is its k-th diagonal, of n - k entries."""
-    width, n = len(bands) - 1, len(b)
-    factor = [[0.0] * n for _ in range(width + 1)]  # factor[k][i]: the entry of row i, k left of the diagonal
-    x = b.tolist()
-    diagonal = factor[0]
-    given = [d.tolist() for d in bands]
-    for i in range(n):
-        for k in range(min(width, i), 0, -1):
-            j = i - k
-            v = given[k][j]
-            for m in range(k + 1, min(width, i) + 1):
-                if m - k <= width and j - (m - k) >= 0:
-                    v -= factor[m][i] * factor[m - k][j] * diagonal[i - m]
-            factor[k][i] = v / diagonal[j]
-        diagonal[i] = given[0][i] - sum(factor[k][i] ** 2 * diagonal[i - k] for k in range(1, min(width, i) + 1))
-        for k in range(1, min(width, i) + 1):
-            f = factor[k][i]
-            x[i] = [u - f * w for u, w in zip(x[i], x[i - k])]
-    for i in range(n - 1, -1, -1):
-        x[i] = [u / diagonal[i] for u in x[i]]
-        for k in range(1, min(width, n - 1 - i) + 1):
-            f = factor[k][i + k]
-            x[i] = [u - f * w for u, w in zip(x[i], x[i + k])]
-    return np.array(x)
-
-
-def smoothed(p: np.ndarray, factor: float) -> np.ndarray:
-    """Points with penalised second differences, the penalty such that the squared residuals sum to factor * n.
-
-    A budget that even the straight line of best fit does not use up gives nearly that line.
-    """
-    n = len(p)
-    if n < 4 or factor <= 0:
-        return p
-    ones = np.ones(n - 2)
-    place = lambda v, at, size: np.pad(v, (at, size - len(v) - at))
-    # the bands of D'D, D the second differences
-    bands = [place(ones, 0, n) + 4 * place(ones, 1, n) + place(ones, 2, n), -2 * (place(ones, 0, n - 1) + place(ones, 1, n - 1)), ones]
-    best, low, high = p, 1e-6, 1e9
-    for _ in range(40):
-        lam = np.sqrt(low * high)
-        best = _banded([1 + lam * bands[0], lam * bands[1], lam * bands[2]], p)
-        low, high = (lam, high) if ((best - p) ** 2).sum() < factor * n else (low, lam)
-    return best
-
-
-def _natural(s: np.ndarray, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and first derivatives of the natural cubic spline through (s, p)."""
-    n, h = len(s), np.diff(s)
-    m = np.zeros_like(p)
-    if n > 2:
-        slope = np.diff(p, axis=0) / h[:, None]
-        m[1:-1] = _banded([2 * (h[:-1] + h[1:]), h[1:-1]], 6 * np.diff(slope, axis=0))
-    k = np.clip(np.searchsorted(s, at, "right") - 1, 0, n - 2)
-    u, v, w = (at - s[k])[:, None], (s[k + 1] - at)[:, None], h[k][:, None]
-    value = (m[k] * v**3 + m[k + 1] * u**3) / (6 * w) + (p[k] / w - m[k] * w / 6) * v + (p[k + 1] / w - m[k + 1] * w / 6) * u
-    first = (-m[k] * v**2 + m[k + 1] * u**2) / (2 * w) - (p[k] / w - m[k] * w / 6) + (p[k + 1] / w - m[k + 1] * w / 6)
-    return value, first
+log = logging.getLogger(__name__)
 
 
 def moving_frame(p: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -91,16 +35,20 @@ def moving_frame(p: np.ndarray, t: np.ndarray, up: np.ndarray) -> np.ndarray:
     return r
 
 
+def fitted(points: np.ndarray, factor: float) -> Spline:
+    """The smoothing spline whose squared residuals sum to factor * n."""
+    return smoothing(points, max(factor, 0.0) * len(points))[0]
+
+
 def fit(points: np.ndarray, factor: float = 0.05, ds: float = 0.10) -> list[tuple]:
     """Rows (k, s, p*, t*): places and unit tangents of the smoothed line at even arclengths."""
-    p = smoothed(np.asarray(points, float), factor)
-    s = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
-    fine = np.linspace(0, s[-1], max(10 * len(p), 100))
-    line, _ = _natural(s, p, fine)
-    arc = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(line, axis=0), axis=1))])
+    line = fitted(points, factor)
+    fine = np.linspace(0, 1, max(5 * len(points), 2000))
+    arc = np.concatenate([[0.0], np.cumsum(np.linalg.norm(np.diff(line.at(fine), axis=0), axis=1))])
     even = np.linspace(0, arc[-1], max(int(arc[-1] // ds) + 1, 2))
-    at, slope = _natural(s, p, np.interp(even, arc, fine))
-    t = slope / np.linalg.norm(slope, axis=1, keepdims=True)
+    u = np.interp(even, arc, fine)
+    at, slope = line.at(u), line.at(u, 1)
+    t = slope / np.maximum(np.linalg.norm(slope, axis=1, keepdims=True), 1e-300)
     return [(k, float(even[k]), *map(float, (*at[k], *t[k]))) for k in range(len(even))]
 
 
@@ -138,7 +86,7 @@ def thinned(traj: DataFrame, step: float = 0.5, most: int = 20_000) -> DataFrame
 
 
 def centreline(spark: SparkSession, traj: DataFrame, step: float = 0.5, factor: float = 0.05, ds: float = 0.10, gravity: bool = True, most: int = 20_000, toward: tuple[float, float, float] | None = None) -> tuple[DataFrame, dict]:
-    """The frame table of one run's outbound leg, for trajectory.cylindrical(), and what measured() says of it.
+    """The frame table of one run's outbound leg, for trajectory.cylindrical(), and what measured() says of it, with ``doubts``.
 
     ``toward``: a point that is to lie in the farther half; else the line is turned round.
     """
@@ -150,19 +98,48 @@ def centreline(spark: SparkSession, traj: DataFrame, step: float = 0.5, factor:
         there = spark.createDataFrame([tuple(map(float, toward))], "x double, y double, z double")
         if trajectory.cylindrical(there, frame).first().s < info["length_m"] / 2:
             frame = trajectory.turned_round(frame)
-    return frame, info
+    return frame, info | {"doubts": doubts(info)}
 
 
-def sweep(spark: SparkSession, points: np.ndarray, factors: tuple[float, ...] = (0.01, 0.05, 0.2), steps: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
-    """(factor, ds, n, length_m, kappa_max_1pm) for a grid of smoothing settings, each fitted in a task of its own."""
-    grid = spark.createDataFrame([(f, d) for f in factors for d in steps], "factor double, ds double")
+#: Above these a centreline is doubtful: curvature in 1/m, RMS distance of the leg in m, tilt of the tangent in degrees.
+LIMITS = {"kappa_max_1pm": 0.50, "fit_rms_m": 0.30, "tilt_max_deg": 75.0}
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        rows = np.array(fit(points, f["factor"].iloc[0], f["ds"].iloc[0]))
-        turn = np.linalg.norm(np.diff(rows[:, 5:8], axis=0), axis=1) / np.maximum(np.diff(rows[:, 1]), 1e-12)
-        return f.assign(n=len(rows), length_m=rows[-1, 1], kappa_max_1pm=turn.max())
 
-    return grid.groupBy("factor", "ds").applyInPandas(one, "factor double, ds double, n long, length_m double, kappa_max_1pm double")
+def doubts(info: dict[str, float], limits: dict[str, float] = LIMITS) -> list[str]:
+    """What of measured() is above its limit, as text; each is also a warning."""
+    why = {"kappa_max_1pm": "the line has a kink, and (s, theta) near it mean little", "fit_rms_m": "the line does not follow the leg", "tilt_max_deg": "up is ill defined"}
+    said = [f"{k} is {info[k]:.4g}, above {v:g}: {why[k]}" for k, v in limits.items() if (info.get(k) or 0) > v]
+    for text in said:
+        log.warning("centreline: %s", text)
+    return said
+
+
+def sweep(legs: DataFrame, factors: tuple[float, ...] = (0.01, 0.05, 0.2), steps: tuple[float, ...] = (0.25, 0.5, 1.0), key: str = "run_id", most: int = 20_000) -> DataFrame:
+    """(key, factor, ds, n, knots, length_m, kappa_max_1pm, fit_rms_m): what smoothing does to the outbound leg of each run.
+
+    ``legs``: (key, seq, x, y, z). A leg is thinned to every step by Spark; a run is fitted in one task, its number of points checked. The RMS is that of the
+    leg as it came. Runs of fewer than four points after thinning have no row.
+    """
+    raw = legs.select(key, F.lit(0.0).alias("ds"), F.col("seq").cast("long").alias("k"), *trajectory.XYZ)
+    for step in steps:
+        thin = trajectory.resampled(trajectory.without_repeats(legs, key=key), step, key)
+        raw = raw.unionByName(thin.select(key, F.lit(float(step)).alias("ds"), F.col("k").cast("long").alias("k"), *trajectory.XYZ))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > most * (len(steps) + 1):
+            raise ValueError(f"{len(rows)} points of one run; {most} a step is the most")
+        rows = rows.sort_values(["ds", "k"])
+        leg, made = rows.loc[rows["ds"] == 0, list("xyz")].to_numpy(), []
+        for step in steps:
+            points = rows.loc[rows["ds"] == step, list("xyz")].to_numpy()
+            for factor in factors if len(points) >= 4 else ():
+                line, u = fitted(points, factor), np.linspace(0, 1, max(5 * len(points), 2000))
+                at = line.at(u)
+                near = [((leg[a : a + 256, None, :] - at[None, :, :]) ** 2).sum(2).min(1) for a in range(0, len(leg), 256)]
+                made.append((rows[key].iloc[0], factor, step, len(points), len(line.knots), np.linalg.norm(np.diff(at, axis=0), axis=1).sum(), line.curvature(u).max(), np.sqrt(np.concatenate(near).mean())))
+        return pd.DataFrame(made, columns=[key, "factor", "ds", "n", "knots", "length_m", "kappa_max_1pm", "fit_rms_m"])
+
+    return raw.groupBy(key).applyInPandas(one, f"{key} {legs.schema[key].dataType.simpleString()}, factor double, ds double, n long, knots long, length_m double, kappa_max_1pm double, fit_rms_m double")
 
 
 def curvature_peaks(kappas: DataFrame, key: str = "run_id", share: float = 0.9) -> DataFrame:

@@ -197,6 +197,13 @@ def fill_2d(s, d):
     return rounded(filled_2d(kept(cells(s, d)), G), 10)
 
 
+@query
+def smoothing_sweep(s, d):
+    """Knots, length, largest curvature and residuals of every run's path under nine smoothings."""
+    legs = view(s, d, "traj").select("run_id", "seq", "x", "y", "z")
+    return rounded(centreline.sweep(legs, factors=(1.0, 10.0, 40.0), steps=(2.0, 5.0, 10.0)), 4)
+
+
 @query
 def triangulated_fill(s, d):
     """Rounded after a little shift, so that halves of a digit, which weights like 1/8 give, don't depend on the order of a sum."""

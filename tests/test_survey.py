@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adit.functions.quantiles import chi2_quantile, quantile_row, t_quantile
-from adit.operators import caps, cavity, centreline, compare, denoise, stats, sweep, targets, trajectory, volume
+from adit.operators import caps, cavity, centreline, compare, denoise, spline, stats, sweep, targets, trajectory, volume
 from adit.operators.grid import Grid, bimodal_grid, binned, filled_2d, filled_grid
 from adit.plans import pipeline, tunnel
 from adit.sources import cache, datasets, phantom, readers, sinks
@@ -89,12 +89,42 @@ def test_smoothing_budget():
     r = np.random.default_rng(4)
     t = np.linspace(0, 40, 300)
     p = np.column_stack([t, np.sin(t / 3), 0 * t]) + r.normal(0, 0.05, (300, 3))
-    q = centreline.smoothed(p, 0.005)
-    assert ((p - q) ** 2).sum() == pytest.approx(0.005 * 300, rel=1e-3)
+    for factor in (0.0075, 0.02):
+        line, u = spline.smoothing(p, factor * 300)
+        assert ((p - line.at(u)) ** 2).sum() == pytest.approx(factor * 300, rel=0.01)
+        assert 3 < len(line.knots) < 60  # of 300 points
+    for n in (1, 2, 3, 4):
+        line, u = spline.smoothing(p[:n], 0.0)
+        assert np.allclose(line.at(u)[[0, -1]], p[[0, n - 1]], atol=1e-6)
+    same, u = spline.smoothing(p[:40], 0.0)
+    assert np.allclose(same.at(u), p[:40], atol=1e-6)
+    straight, u = spline.smoothing(p, 1e9)
+    assert len(straight.knots) == 0
     bands = [np.full(50, 7.0), np.full(49, -2.0), np.full(48, 1.0)]
     full = sum(np.diag(b, k) + (np.diag(b, -k) if k else 0) for k, b in enumerate(bands))
     b = r.normal(size=(50, 2))
-    assert np.allclose(full @ centreline._banded(bands, b), b)
+    assert np.allclose(full @ spline.banded(bands, b), b)
+
+
+def test_spline_of_a_noisy_helix():
+    r = np.random.default_rng(0)
+    a = np.linspace(0, 6 * np.pi, 700)
+    helix = np.column_stack([20 * np.cos(a), 20 * np.sin(a), 2 * a])
+    noisy = helix + r.normal(size=helix.shape) * 0.05
+    line, u = spline.smoothing(noisy, 0.98 * 3 * 0.05**2 * len(noisy))
+    inner = np.linspace(0.05, 0.95, 400)
+    assert np.median(line.curvature(inner)) == pytest.approx(20 / (20**2 + 2**2), rel=0.05) and len(line.knots) < 70
+    h = 1e-5
+    assert np.allclose((line.at(inner + h) - line.at(inner - h)) / (2 * h), line.at(inner, 1), atol=1e-3)
+    assert np.allclose((line.at(inner + h, 1) - line.at(inner - h, 1)) / (2 * h), line.at(inner, 2), atol=1e-1)
+    t = line.t
+    first, value = spline.basis(t, inner)
+    assert np.allclose(value.sum(1), 1) and (value >= -1e-12).all() and (t[first + 3] <= inner).all()
+
+
+def test_doubtful_lines_warn(caplog):
+    assert centreline.doubts({"kappa_max_1pm": 0.1, "fit_rms_m": 0.1, "tilt_max_deg": 5.0}) == []
+    assert len(centreline.doubts({"kappa_max_1pm": 0.6, "fit_rms_m": 0.4, "tilt_max_deg": None})) == 2 and "kink" in caplog.text
 
 
 def test_frames_are_orthonormal(spark):
@@ -104,8 +134,10 @@ def test_frames_are_orthonormal(spark):
         f = centreline.framed(spark, centreline.fit(line, 0.01, 0.2), gravity).orderBy("k").select(*[f"{v}{c}" for v in "tab" for c in "xyz"]).toPandas().to_numpy().reshape(-1, 3, 3)
         for u, v in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)):
             assert np.allclose((f[:, u] * f[:, v]).sum(1), u == v, atol=1e-9)
-    swept = centreline.sweep(spark, line).collect()
-    assert len(swept) == 9 and all(abs(r.kappa_max_1pm - 0.1) < 0.15 for r in swept)
+    bend = [(run, k, float(20 * np.sin(v / 20)), float(20 * np.cos(v / 20)), 0.01 * (k % 2)) for run in ("a", "b") for k, v in enumerate(np.linspace(0, 30, 300))] + [("c", 0, 0.0, 0.0, 0.0)]
+    swept = centreline.sweep(spark.createDataFrame(bend, "run_id string, seq long, x double, y double, z double")).collect()
+    assert len(swept) == 18 and {r.run_id for r in swept} == {"a", "b"}
+    assert all(abs(r.kappa_max_1pm - 0.05) < 0.02 and r.knots < r.n - 4 and r.fit_rms_m < 0.45 and r.length_m == pytest.approx(30, rel=0.02) for r in swept)
 
 
 def test_curvature_peaks(spark):
