@@ -50,12 +50,80 @@ def median_grid(points: DataFrame) -> DataFrame:
     return points.groupBy(*CELL).agg(F.median("r").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def bimodal_grid(points: DataFrame, gap: float = 0.30) -> DataFrame:
-    """Cell radius: the largest where sorted radii have a gap above ``gap`` (the outer wall of two), else the median."""
-    step = F.col("r") - F.lag("r").over(Window.partitionBy(*CELL).orderBy("r"))
-    cells = points.withColumn("step", step).groupBy(*CELL).agg(F.max("step").alias("step"), F.max("r").alias("top"), F.median("r").alias("mid"), F.count(F.lit(1)).alias("n"))
-    two = F.coalesce(F.col("step") > gap, F.lit(False))
-    return cells.select(*CELL, F.when(two, F.col("top")).otherwise(F.col("mid")).alias("r"), two.alias("bimodal"), "n")
+#: Points of a cell whose median is found in one task.
+FEW = 10_000
+
+
+def _gaps(points: DataFrame, gap: float) -> DataFrame:
+    """(cell, n, lo, hi, two): whether a cell's sorted radii have a gap above ``gap``, without sorting them.
+
+    Two radii in a bucket of half a gap are no gap apart, so a gap lies between a bucket's largest and the next one's
+    smallest. Points are counted by bucket on the map side; a cell has as many buckets as its radii span.
+    """
+    width = F.lit(gap / 2 if gap > 0 else 1.0)
+    buckets = points.groupBy(*CELL, F.floor(F.col("r") / width).alias("b")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("n"))
+    some = buckets.groupBy(*CELL).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("b", "lo", "hi"))).alias("x"))
+    two = F.exists(F.sequence(F.lit(1), F.size("x") - 1), lambda k: F.get("x", k)["lo"] - F.get("x", k - 1)["hi"] > gap)
+    if gap <= 0:
+        two = F.col("hi") - F.col("lo") > max(gap, 0.0)
+    return some.select(*CELL, "n", "lo", "hi", F.coalesce((F.size("x") > 1) & two if gap > 0 else two, F.lit(False)).alias("two"))
+
+
+def _hot_medians(points: DataFrame, hot: DataFrame, most: int) -> DataFrame:
+    """(cell, mid) of cells (cell, n, lo, hi) of more than ``most`` points: both middle ranks are closed in on by counts of 1,024 parts of a range, until few points are left in it.
+
+    ``hot`` has a stated number of rows and is broadcast; only counts are shuffled.
+    """
+    ranks = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    open_ = kept(hot.select(*CELL, F.posexplode(ranks).alias("which", "rank"), "lo", "hi", "n"))
+    done = None
+    while True:
+        over = open_.where((F.col("n") > most) & (F.col("hi") > F.col("lo")))
+        rest = open_.where(~((F.col("n") > most) & (F.col("hi") > F.col("lo"))))
+        done = rest if done is None else done.unionByName(rest)
+        if over.isEmpty():
+            break
+        near = points.join(F.broadcast(over), CELL).where((F.col("r") >= F.col("lo")) & (F.col("r") <= F.col("hi")))
+        part = F.floor((F.col("r") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024).alias("part")
+        counts = near.groupBy(*CELL, "which", "rank", part).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count(F.lit(1)).alias("m"))
+        parts = counts.groupBy(*CELL, "which", "rank").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "m"))).alias("x"))
+        start = F.struct(F.col("rank").alias("rank"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("long").alias("n"))
+
+        def to(at, x):
+            here = at["n"].isNull() & (at["rank"] < x["m"])
+            passed = F.struct((at["rank"] - x["m"]).alias("rank"), at["lo"].alias("lo"), at["hi"].alias("hi"), at["n"].alias("n"))
+            found = F.struct(at["rank"].alias("rank"), x["a"].alias("lo"), x["b"].alias("hi"), x["m"].alias("n"))
+            return F.when(at["n"].isNotNull(), at).when(here, found).otherwise(passed)
+
+        open_ = kept(parts.select(*CELL, "which", F.aggregate("x", start, to).alias("f")).select(*CELL, "which", "f.rank", "f.lo", "f.hi", "f.n"))
+    done = kept(done)
+    alike = done.where("hi = lo").select(*CELL, "which", F.col("lo").alias("v"))
+    near = points.join(F.broadcast(done.where("hi > lo")), CELL).where((F.col("r") >= F.col("lo")) & (F.col("r") <= F.col("hi")))
+    sorted_ = near.groupBy(*CELL, "which", "rank").agg(F.sort_array(F.collect_list("r")).alias("x"))
+    values = sorted_.select(*CELL, "which", F.get("x", F.col("rank").cast("int")).alias("v")).unionByName(alike)
+    return values.groupBy(*CELL).agg((F.sum("v") / 2).alias("mid"))
+
+
+def bimodal_grid(points: DataFrame, gap: float = 0.30, few: int = FEW) -> DataFrame:
+    """Cell radius: the largest where sorted radii have a gap above ``gap`` (the outer wall of two), else the median.
+
+    No point is sorted. Medians of cells of up to ``few`` points are made in a task each; those of
+    fuller ones, which are told apart from so many points on that at most 20,000 can exist, by counts.
+    """
+    cells = kept(_gaps(points, gap))
+    largest, total = cells.agg(F.max("n"), F.sum("n")).first()
+    out = cells.select(*CELL, "two", "hi", "n")
+    least = max(few, (total or 0) // 20_000)
+    if (largest or 0) <= least:
+        mids = points.groupBy(*CELL).agg(F.median("r").alias("mid"))
+    else:
+        hot = kept(cells.where((F.col("n") > least) & ~F.col("two")).select(*CELL, "n", "lo", "hi"))
+        full = cells.where(F.col("n") > least).select(*CELL)
+        mids = points.join(F.broadcast(full), CELL, "left_anti").groupBy(*CELL).agg(F.median("r").alias("mid"))
+        if not hot.isEmpty():
+            mids = mids.unionByName(_hot_medians(points, hot, least))
+    rows = out.join(mids, CELL, "left")
+    return rows.select(*CELL, F.when(F.col("two"), F.col("hi")).otherwise(F.col("mid")).alias("r"), F.col("two").alias("bimodal"), "n")
 
 
 def scaffold(grid: DataFrame, g: Grid) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from adit.operators import scan
+from adit.operators.graph import kept
+
 XYZ = ("x", "y", "z")
 
 
@@ -37,21 +40,26 @@ def without_repeats(traj: DataFrame, least: float = 1e-6, key: str = "run_id") -
     return traj.withColumn("step", step(key)).where(F.col("step").isNull() | (F.col("step") > least)).drop("step")
 
 
+def _measured(traj: DataFrame, key: str) -> DataFrame:
+    """Poses dealt by ranges, with ``s``, the way to them, and ``total``, that of the run."""
+    rows = scan.beside(scan.dealt(traj, key, "seq"), key, "seq", list(XYZ))
+    d = F.sqrt(sum(((F.col(c) - F.col(f"before.{c}")) ** 2 for c in XYZ), F.lit(0.0)))
+    return scan.accumulated(rows.select(*traj.columns, scan.PART, F.coalesce(d, F.lit(0.0)).alias("step")), key, "seq", "step", "s", "total")
+
+
 def with_arclength(traj: DataFrame, key: str = "run_id") -> DataFrame:
-    steps = traj.withColumn("step", F.coalesce(step(key), F.lit(0.0)))
-    return steps.withColumn("s", F.sum("step").over(_by(key).rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    """The poses with ``s``, the way to them; in two levels, so that a run of any length is dealt over tasks."""
+    return _measured(traj, key).select(*traj.columns, "s")
 
 
 def resampled(traj: DataFrame, ds: float, key: str = "run_id") -> DataFrame:
     """The polyline at n = max(floor(L / ds) + 1, 4) evenly spaced arclengths; runs of no length are left out.
 
-    Each interval of the polyline produces the samples in it, so that no join is needed.
+    Each interval of the polyline produces the samples in it, so that no join is needed; runs are dealt over tasks.
     """
-    rows = with_arclength(traj, key)
-    rows = rows.withColumn("total", F.max("s").over(Window.partitionBy(key))).where("total > 0")
-    rows = rows.withColumn("n", F.greatest(F.floor(F.col("total") / ds) + 1, F.lit(4)))
-    nxt = [F.lead(c).over(_by(key)).alias(c + "2") for c in (*XYZ, "s")]
-    rows = rows.select(key, "seq", *XYZ, "s", "total", "n", *nxt).where("s2 > s")
+    rows = kept(_measured(traj.select(key, "seq", *XYZ), key).where("total > 0"))
+    rows = scan.beside(rows, key, "seq", [*XYZ, "s"]).withColumn("n", F.greatest(F.floor(F.col("total") / ds) + 1, F.lit(4)))
+    rows = rows.select(key, "seq", *XYZ, "s", "total", "n", *[F.col(f"after.{c}").alias(c + "2") for c in (*XYZ, "s")]).where("s2 > s")
     gap = F.col("total") / (F.col("n") - 1)
     last = F.col("s2") >= F.col("total")
     k0, k1 = F.ceil(F.col("s") / gap), F.when(last, F.col("n") - 1).otherwise(F.ceil(F.col("s2") / gap) - 1)
@@ -94,17 +102,15 @@ def rigid_faults(m: Sequence[Sequence[float]], tol: float = 1e-3) -> list[str]:
 def interpolated(asked: DataFrame, traj: DataFrame, values: tuple[str, ...] = XYZ, key: str = "run_id", t: str = "t") -> DataFrame:
     """``values`` of the trajectory at the asked times, linear between poses, held at the ends.
 
-    Both tables are laid on one time axis and the poses before and after are
-    carried over by windows: one shuffle by run, no range join.
+    Both tables are laid on one time axis and dealt by ranges of it; the poses before and after are
+    carried over within a range, and from range to range as a row each: no range join, and no task with all of a run.
     """
     pose = F.struct(F.col(t).alias("p"), *values)
-    every = traj.select(key, t, pose.alias("pose"), F.lit(None).cast("long").alias("ask")).unionByName(
-        asked.select(key, t, F.lit(None).cast(traj.select(pose.alias("x")).schema["x"].dataType).alias("pose"), F.monotonically_increasing_id().alias("ask"))
+    every = traj.select(key, t, pose.alias("pose"), F.lit(False).alias("ask")).unionByName(
+        asked.select(key, t, F.lit(None).cast(traj.select(pose.alias("x")).schema["x"].dataType).alias("pose"), F.lit(True).alias("ask"))
     )
-    by = Window.partitionBy(key).orderBy(t)
-    a = F.last("pose", True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    b = F.first("pose", True).over(by.rangeBetween(0, Window.unboundedFollowing))
-    rows = every.select(key, t, "ask", F.coalesce(a, b).alias("a"), F.coalesce(b, a).alias("b")).where("ask is not null")
+    rows = scan.carried(scan.dealt(every, key, t), key, t, "pose").where("ask")
+    rows = rows.select(key, t, F.coalesce("before", "after").alias("a"), F.coalesce("after", "before").alias("b"))
     share = F.when(F.col("b.p") > F.col("a.p"), (F.col(t) - F.col("a.p")) / (F.col("b.p") - F.col("a.p"))).otherwise(0.0)
     return rows.select(key, t, *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share).alias(c) for c in values])
 

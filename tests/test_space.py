@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from adit.operators import delaunay, surface, volume
+from adit.operators import delaunay, grid, scan, surface, trajectory, volume
 from adit.operators.grid import Grid
 from adit.sources import sinks
 
@@ -119,3 +120,54 @@ def test_iso_surface_as_ply(spark, tmp_path):
     r = surface.measured(meshed).first()
     assert (n_v, n_f) == (2 + r.n_edges - r.n_faces, r.n_faces)
     assert b"element face %d" % n_f in (tmp_path / "m.ply").read_bytes()[:400]
+
+
+def test_one_long_run_is_dealt(spark):
+    """Arclength, samples and poses of one run, against numpy; no task has an eighth of the rows."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    p = np.cumsum(rng.normal(size=(n, 3)), axis=0)
+    p[100:140] = p[100]
+    traj = spark.createDataFrame([("a", k, float(k) / 2, *map(float, v)) for k, v in enumerate(p)] + [("b", k, float(k), float(k), 0.0, 0.0) for k in range(3)] + [("c", 0, 0.0, 1.0, 1.0, 1.0)], "run_id string, seq long, t double, x double, y double, z double")
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = [r.n for r in scan.dealt(traj, "run_id", "seq").groupBy(scan.PART).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert max(sizes) < n / 8
+        s = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(p, axis=0), axis=1))])
+        got = trajectory.with_arclength(traj).where("run_id = 'a'").orderBy("seq").toPandas()
+        assert np.allclose(got["s"], s, atol=1e-8) and (np.diff(got["s"]) >= 0).all() and list(got.columns) == [*traj.columns, "s"]
+        got = trajectory.resampled(traj, 2.5)
+        assert {r.run_id for r in got.collect()} == {"a", "b"}
+        a = got.where("run_id = 'a'").orderBy("k").toPandas()
+        even = np.linspace(0, s[-1], int(s[-1] // 2.5) + 1)
+        assert a["k"].tolist() == list(range(len(even))) and np.allclose(a["s"], even, atol=1e-7)
+        assert np.allclose(a[["x", "y", "z"]], np.column_stack([np.interp(even, s, p[:, c]) for c in range(3)]), atol=1e-6)
+        ask = np.concatenate([rng.uniform(-5, n / 2 + 5, 3000), [10.0, 10.0, n / 2 - 0.5]])
+        asked = spark.createDataFrame([("a", float(v)) for v in ask] + [("c", 5.0), ("none", 1.0)], "run_id string, t double")
+        got = trajectory.interpolated(asked, traj).orderBy("t").toPandas()
+        here = got[got["run_id"] == "a"]
+        assert len(here) == len(ask) and np.allclose(here[["x", "y", "z"]], np.column_stack([np.interp(np.sort(ask), np.arange(n) / 2, p[:, c]) for c in range(3)]), atol=1e-9)
+        assert got[got["run_id"] == "c"][["x", "y", "z"]].to_numpy().tolist() == [[1, 1, 1]] and got[got["run_id"] == "none"]["x"].isna().all()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_cells_without_a_sort(spark):
+    """Gaps and medians of cells with few points, and of one with a third of all, against numpy."""
+    rng = np.random.default_rng(2)
+    sets = {(0, 0): rng.normal(2, 0.05, 9000), (0, 1): [1.0], (0, 2): [1.0, 1.3], (0, 3): [1.0, 1.31], (0, 4): [2.0] * 7000, (0, 5): np.concatenate([rng.normal(2, 0.01, 6000), rng.normal(3, 0.01, 6000)]), (0, 6): [-0.4, -0.05, 0.3, 0.31], (0, 7): rng.integers(0, 3, 8001) * 0.25}
+    rows = [("a", i, j, float(v)) for (i, j), r in sets.items() for v in r]
+    points = spark.createDataFrame(rows, "cloud_id string, i long, j long, r double").repartition(7)
+    for most in (1_000_000, 500):
+        got = {(r.i, r.j): r for r in grid.bimodal_grid(points, 0.30, most).collect()}
+        assert len(got) == len(sets)
+        for cell, r in sets.items():
+            r = np.sort(np.asarray(r, float))
+            two = len(r) > 1 and bool((np.diff(r) > 0.30).any())
+            assert (got[cell].n, got[cell].bimodal) == (len(r), two) and got[cell].r == pytest.approx(r[-1] if two else np.median(r), abs=1e-12), cell
+    plan = grid.bimodal_grid(points)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
