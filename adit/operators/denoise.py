@@ -1,76 +1,91 @@
-"""Outlier removal and scan maps: distances to the nearest neighbours by grid buckets, and scans into one map."""
+"""Outlier removal and scan maps: distances to the nearest neighbours in a split of space by counts, and scans into one map."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adit.operators import trajectory
+from adit.operators import kd, trajectory
 from adit.operators.graph import kept
 
 XYZ = ["x", "y", "z"]
 
 
-def neighbour_distances(points: DataFrame, k: int, h: float, block: int = 2048) -> DataFrame:
+#: Points that a split of space is found from, and the least of them that a leaf has.
+SAMPLE, LEAST = 100_000, 16
+
+
+def splits(points: DataFrame, leaf: int) -> dict:
+    """A split of space for each cloud, into leaves of about ``leaf`` points, found from SAMPLE points at most of all clouds.
+
+    Clouds that the sample lacks have one leaf. Leaves grow with very many points, as a split has at most SAMPLE / LEAST of them.
+    """
+    total = points.count()
+    every = max(1, -(-2 * total // SAMPLE))
+    some = points.where(F.pmod(F.xxhash64("pid", *XYZ), F.lit(every)) == 0).select("cloud_id", *XYZ).limit(SAMPLE).toPandas()
+    return {c: kd.Split(p[XYZ].to_numpy(float), max(leaf // every, LEAST if every > 1 else leaf)) for c, p in some.groupby("cloud_id", dropna=False)}
+
+
+def neighbour_distances(points: DataFrame, k: int, leaf: int = 4096) -> DataFrame:
     """(cloud_id, pid, d): the mean distance of each point to its k nearest others, exactly; ``pid`` names a point.
 
-    Points are asked in the 27 cells of edge h about them. A cell's points are
-    dealt into blocks of about ``block``, each of which returns the k smallest distances for the points asked there, and so
-    are the points that ask, so that no task holds a dense cell whole. A point whose
-    k-th neighbour lies farther than h asks again at twice the edge, alone with the few that are left; the last round looks at all.
+    Space is split by counts, so that dense and sparse places give tasks of like size, and comparisons of a point are bounded whatever
+    the density. Points are first compared within their leaf. Only those whose ball, up to the k-th of these, reaches into other leaves
+    ask there too, once. The split is found from a sample, but the result does not depend on it. Points without
+    coordinates have d = 0.
     """
-    kind, cell = "cloud_id string, pid long, near array<double>", ["cloud_id", "ix", "iy", "iz"]
-
-    def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out, p, ids = [], there[XYZ].to_numpy(), there["pid"].to_numpy()
-        for at in range(0, len(asked) if len(p) else 0, 512):
-            part = asked.iloc[at : at + 512]
-            d = np.sqrt(((part[XYZ].to_numpy()[:, None, :] - p[None, :, :]) ** 2).sum(2))
-            d[part["pid"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            if d.shape[1] > k:
-                d = np.partition(d, k - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"cloud_id": part["cloud_id"], "pid": part["pid"], "near": [x[np.isfinite(x)] for x in d]}))
-        return pd.concat(out) if out else pd.DataFrame({"cloud_id": pd.Series(dtype=str), "pid": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-
-    def one_round(asked: DataFrame, edge: float) -> DataFrame:
-        at = [F.floor(F.col(c) / edge).alias(f"i{c}") for c in "xyz"]
-        shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-        parts = lambda n: F.ceil(F.col(n) / F.lit(float(block))).cast("int")
-        deal = lambda n: F.pmod(F.xxhash64("pid"), parts(n)).cast("int")
-        there = points.select(*[F.col(c).alias(c) for c in ("cloud_id", "pid", *XYZ)], *at)
-        asks = asked.select("cloud_id", "pid", *XYZ, *at).withColumn("s", F.explode(shifts)).select("cloud_id", "pid", *XYZ, *[(F.col(f"i{c}") + F.col(f"s.{n}")).alias(f"i{c}") for c, n in zip("xyz", "abc")])
-        sizes = there.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).join(asks.groupBy(*cell).agg(F.count(F.lit(1)).alias("m")), cell)
-        sizes = kept(sizes)
-        there = there.join(sizes, cell).select(*cell, "pid", *XYZ, deal("n").alias("block"), F.explode(F.sequence(F.lit(0), parts("m") - 1)).alias("part"))
-        there = there.toDF(*there.columns)  # columns of its own beside those that ask
-        asks = asks.join(sizes, cell).select(*cell, "pid", *XYZ, deal("m").alias("part"), F.explode(F.sequence(F.lit(0), parts("n") - 1)).alias("block"))
-        key = [*cell, "block", "part"]
-        met = asks.groupBy(*key).cogroup(there.groupBy(*key)).applyInPandas(search, kind)
-        near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-        found = asked.select("cloud_id", "pid").join(met.groupBy("cloud_id", "pid").agg(near.alias("near")), ["cloud_id", "pid"], "left")
-        n = F.coalesce(F.size("near"), F.lit(0))
-        mean = F.when(n > 0, F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-        return found.select("cloud_id", "pid", mean.alias("d"), ((n == k) & (F.element_at("near", -1) <= edge)).alias("sure"))
-
-    points = points.select("cloud_id", "pid", *XYZ)
-    spans = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in XYZ]).first()
-    widest = max((s for s in spans if s is not None), default=0.0)
-    found, left, edge = None, points, h
-    while True:
-        got = kept(one_round(left, edge))
-        last = edge > widest
-        done = (got if last else got.where("sure")).select("cloud_id", "pid", "d")
-        found = done if found is None else found.unionByName(done)
-        open_ = got.where("not sure").select("cloud_id", "pid")
-        if last or open_.isEmpty():
-            return found
-        left, edge = kept(points.join(open_, ["cloud_id", "pid"], "left_semi")), edge * 2
-
-
-def without_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, h: float = 1.0) -> DataFrame:
+    spark, points = points.sparkSession, points.select("cloud_id", "pid", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    there = F.lit(True)
+    for c in XYZ:
+        there = there & F.col(c).isNotNull() & ~F.isnan(c)
+    placed = kept(points.where(there))
+    split = spark.sparkContext.broadcast(splits(placed, leaf))
+    kind = placed.schema["cloud_id"].dataType.simpleString()
+    of = lambda cloud: split.value.get(cloud) or kd.Split(np.zeros((0, 3)), 1)
+    place = lambda t: np.column_stack([t.column(c).to_numpy() for c in XYZ]).reshape(-1, 3)
+    ids = lambda t: t.column("pid").to_numpy()
+    lists = lambda x: pa.array([v[np.isfinite(v)] for v in x], pa.list_(pa.float64()))
+
+    def to_leaf(batches):
+        for batch in batches:
+            clouds, out = np.array(batch.column("cloud_id").to_pylist(), object), np.zeros(len(batch), np.int32)
+            xyz = place(batch)
+            for c in set(clouds):
+                rows = np.flatnonzero(clouds == c)
+                out[rows] = of(c).leaf(xyz[rows])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "leaf"])
+
+    def within(key, table):
+        p, cloud, own = place(table), key[0].as_py(), key[1].as_py()
+        near, _ = kd.nearest(p, ids(table), p, ids(table), k)
+        rows, leaves = of(cloud).touched(p, near.max(1) if len(near) else np.zeros(0))
+        order = np.argsort(rows, kind="stable")
+        rows, leaves = rows[order], leaves[order]
+        rows, leaves = rows[leaves != own], leaves[leaves != own]
+        offs = np.searchsorted(rows, np.arange(len(p) + 1))
+        asks = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(leaves.astype(np.int32)))
+        return pa.table({**{c: table.column(c) for c in ("cloud_id", "pid", *XYZ)}, "near": lists(near), "asks": asks})
+
+    def across(asked, table):
+        near, _ = kd.nearest(place(asked), ids(asked), place(table), ids(table), k)
+        return pa.table({"cloud_id": asked.column("cloud_id"), "pid": asked.column("pid"), "near": lists(near)})
+
+    columns = f"cloud_id {kind}, pid long, x double, y double, z double"
+    home = kept(placed.mapInArrow(to_leaf, f"{columns}, leaf int"))
+    first = kept(home.groupBy("cloud_id", "leaf").applyInArrow(within, f"{columns}, near array<double>, asks array<int>"))
+    asks = first.where("size(asks) > 0").select("cloud_id", "pid", *XYZ, F.explode("asks").alias("leaf"))
+    met = asks.groupBy("cloud_id", "leaf").cogroup(home.groupBy("cloud_id", "leaf")).applyInArrow(across, f"cloud_id {kind}, pid long, near array<double>")
+    every = first.where("size(asks) > 0").select("cloud_id", "pid", "near").unionByName(met).groupBy("cloud_id", "pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    every = every.unionByName(first.where("size(asks) = 0").select("cloud_id", "pid", "near"))
+    n = F.size("near")
+    mean = F.when(n > 0, F.aggregate(F.array_sort("near"), F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
+    return every.select("cloud_id", "pid", mean.alias("d")).unionByName(points.where(~there).select("cloud_id", "pid", F.lit(0.0).alias("d")))
+
+
+def without_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, leaf: int = 4096) -> DataFrame:
     """Points whose mean neighbour distance is at most mean + ratio * deviation over the cloud; repeated points are points each."""
     named = kept(points.withColumn("nth", F.monotonically_increasing_id()))
-    d = neighbour_distances(named.select("cloud_id", F.col("nth").alias("pid"), *XYZ), k, h)
+    d = neighbour_distances(named.select("cloud_id", F.col("nth").alias("pid"), *XYZ), k, leaf)
     limit = d.groupBy("cloud_id").agg((F.avg("d") + ratio * F.stddev_samp("d")).alias("limit"))
     fine = d.join(F.broadcast(limit), "cloud_id").where("limit is null or d <= limit").select("cloud_id", F.col("pid").alias("nth"))  # a row a cloud
     return named.join(fine, ["cloud_id", "nth"], "left_semi").select(*points.columns)

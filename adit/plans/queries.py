@@ -445,7 +445,7 @@ def surface_volume(s, d):
 def outlier_removal(s, d):
     """Points that the statistical filter keeps, counted by cloud."""
     points = volume.cartesian(view(s, d, "cloud"))
-    return denoise.without_outliers(points, 8, 2.0, 1.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
+    return denoise.without_outliers(points, 8, 2.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _poses(s, d):

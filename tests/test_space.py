@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adit.operators import delaunay, grid, scan, surface, trajectory, volume
+from adit.operators import delaunay, denoise, grid, kd, scan, surface, trajectory, volume
 from adit.operators.grid import Grid
 from adit.sources import sinks
 
@@ -171,3 +171,45 @@ def test_cells_without_a_sort(spark):
             assert (got[cell].n, got[cell].bimodal) == (len(r), two) and got[cell].r == pytest.approx(r[-1] if two else np.median(r), abs=1e-12), cell
     plan = grid.bimodal_grid(points)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_neighbours_in_clouds_of_any_density(spark):
+    """Against all pairs: a dense ball in thin air, copies of a point, two clouds, points without coordinates; in many leaves."""
+    rng = np.random.default_rng(6)
+    dense, thin = rng.normal(0, 0.01, (1500, 3)), rng.uniform(-20, 20, (150, 3))
+    clouds = {"a": np.concatenate([dense, thin, np.tile([[3.0, 3.0, 3.0]], (60, 1))]), "b": rng.normal(size=(40, 3)), "c": np.array([[0.0, 0, 0], [1, 0, 0]])}
+    rows = [(c, k, *map(float, v)) for c, p in clouds.items() for k, v in enumerate(p)] + [("a", 9000, None, 1.0, 1.0), ("b", 9001, float("nan"), 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "cloud_id string, pid long, x double, y double, z double").repartition(4)
+    got = {(r.cloud_id, r.pid): r.d for r in denoise.neighbour_distances(points, 5, leaf=64).collect()}
+    assert len(got) == len(rows) and got["a", 9000] == got["b", 9001] == 0
+    for c, p in clouds.items():
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        np.fill_diagonal(d, np.inf)
+        d = np.sort(d, axis=1)[:, :5]
+        want = [x[np.isfinite(x)].mean() for x in d]
+        assert np.allclose([got[c, k] for k in range(len(p))], want, atol=1e-12)
+
+
+def test_comparisons_are_bounded_whatever_the_density():
+    rng = np.random.default_rng(7)
+    p = np.concatenate([rng.uniform(0, 0.05, (20_000, 3)), rng.uniform(0, 1, (1600, 3)), np.zeros((5000, 3))])  # 1 : 10,000 and more
+    near, made = kd.nearest(p, np.arange(len(p)), p, np.arange(len(p)), 8)
+    assert made / len(p) < 12_000 and (near[-5000:] == 0).all()
+    some = rng.choice(len(p), 50, replace=False)
+    d = np.sqrt(((p[some][:, None] - p[None]) ** 2).sum(2))
+    d[np.arange(50), some] = np.inf
+    assert np.allclose(np.sort(near[some], axis=1), np.sort(d, axis=1)[:, :8])
+
+
+def test_a_split_covers_space():
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.normal(size=(3000, 3)), np.ones((1000, 3))])
+    s = kd.Split(p, 100)
+    sizes = np.bincount(s.leaf(p), minlength=s.leaves)
+    assert sizes.sum() == 4000 and np.sort(sizes)[-2] <= 100 and (sizes > 0).all()
+    q, r = rng.normal(size=(200, 3)) * 3, rng.uniform(0, 1, 200)
+    rows, leaves = s.touched(q, r)
+    there = set(zip(rows.tolist(), leaves.tolist()))
+    for k in range(200):  # every point in a ball lies in a leaf that the ball touches
+        inside = np.linalg.norm(p - q[k], axis=1) <= r[k]
+        assert {(k, int(v)) for v in s.leaf(p[inside])} <= there

@@ -257,9 +257,9 @@ def test_neighbour_distances(spark):
     p = np.vstack([r.random((80, 3)), [[9, 9, 9]]])
     frame = spark.createDataFrame([("a", k, *map(float, q)) for k, q in enumerate(p)], "cloud_id string, pid long, x double, y double, z double")
     d = np.sort(np.linalg.norm(p[:, None] - p[None], axis=2), axis=1)[:, 1:5].mean(1)
-    got = {x.pid: x.d for x in denoise.neighbour_distances(frame, 4, 0.2).collect()}
+    got = {x.pid: x.d for x in denoise.neighbour_distances(frame, 4, 16).collect()}
     assert np.allclose([got[k] for k in range(81)], d)
-    assert 80 not in {x.pid for x in denoise.without_outliers(frame, 4, 2.0, 0.2).collect()}
+    assert 80 not in {x.pid for x in denoise.without_outliers(frame, 4, 2.0).collect()}
 
 
 def test_deskew(spark):
