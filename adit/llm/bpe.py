@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from adit.llm import kernels
 
-#: Words that a worker remembers before it forgets all but those of the texts at hand.
+#: Words that a worker remembers, in two generations: those met since the last change of generation, and those of the one before.
 MEMORY = 200_000
 #: Longer words are not remembered beyond the texts at hand.
 LONG = 64
@@ -141,6 +141,7 @@ class Tokenizer:
         # what is known of a word, or of a marked special token: its ids and its tokens, each joined by blanks
         self.ids = {SPECIAL + t: str(i) for t, i in self.special.items()}
         self.shown = {SPECIAL + t: t for t in self.special}
+        self.old_ids, self.old_shown = {}, {}
         self.fixed = set(self.ids)
 
     def _symbols(self, token: str) -> list[str]:
@@ -295,8 +296,12 @@ class Tokenizer:
         split = [self.parts(t) for t in texts]
         words = set().union(*split)
         new = words - self.ids.keys()
-        if len(self.ids) + len(new) > MEMORY:
+        for w in new & self.old_ids.keys():
+            self.ids[w], self.shown[w] = self.old_ids[w], self.old_shown[w]
+        new -= self.ids.keys()
+        if len(self.ids) + len(new) > MEMORY // 2:  # a new generation; words of the one before come back when they are met
             keep = (words - new) | self.fixed
+            self.old_ids, self.old_shown = self.ids, self.shown
             self.ids, self.shown = ({w: old[w] for w in keep} for old in (self.ids, self.shown))
         if new:
             self.learn(list(new))
