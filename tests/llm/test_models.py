@@ -244,10 +244,21 @@ def test_secrets_held_out(spark, spoken):
 
 
 def test_secrets_of_documents(spark):
-    got = queries.queries()["op5_secrets"](spark, "/root/testdata/sf0.01").toPandas()
-    named = got.secret.str.fullmatch("[0-9a-fA-F]{40}")
-    assert got[named].predicted.mean() > 0.95 and got[got.secret.str.fullmatch("[0-9]{16}")].predicted.mean() < 0.05
-    assert got.score.between(0, 1).all()
+    """Precision and recall on the secrets that the documents hold: values that their texts assign to a token; card numbers are none."""
+    import re
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.01"
+    got = queries.queries()["op5_secrets"](spark, sf).toPandas()
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    truth = Counter((r.doc_id, m[1]) for r in texts for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text or ""))
+    told = Counter(zip(got[got.predicted == 1].doc_id, got[got.predicted == 1].secret))
+    right = sum((truth & told).values())
+    assert sum(truth.values()) >= 10 and right / sum(truth.values()) > 0.98 and right / sum(told.values()) > 0.95
+    assert got[got.secret.str.fullmatch("[0-9]{16}")].predicted.mean() < 0.05
+    # every run of key signs with a digit is a candidate
+    runs = Counter((r.doc_id, m) for r in texts for w in re.split("[ \t\r\n\x0b\f]+", r.text or "") for m in re.findall("[A-Za-z0-9+/_\\-]{16,}={0,2}", w) if re.search("[0-9]", m))
+    assert not runs - Counter(zip(got.doc_id, got.secret))
 
 
 def test_secrets_awkward(spark, docs, empty, spoken):
