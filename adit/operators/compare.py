@@ -157,18 +157,19 @@ def band_mean(bins: DataFrame, theta_deg: str, value: str, lo: float, hi: float)
     return bins.where(F.col(theta_deg).between(lo, hi)).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def harmonic_fit(bins: DataFrame, theta_deg: str, value: str, weight: str) -> DataFrame:
-    """Weighted first-harmonic fit value = A cos + B sin + C: phase (degrees), amplitude, offset, R2; NULL below four bins.
+def harmonic_fit(bins: DataFrame, theta_deg: str, value: str, weight: str, keys: list[str] | None = None) -> DataFrame:
+    """Weighted first-harmonic fit value = A cos + B sin + C, of all bins or of each of ``keys``: phase (degrees), amplitude, offset, R2; NULL below four bins.
 
     The normal equations are sums over the bins, solved by Cramer's rule.
     """
     rows = bins.where(F.col(value).isNotNull() & (F.col(weight) > 0))
     c, s, y = F.cos(F.radians(theta_deg)), F.sin(F.radians(theta_deg)), F.col(value)
     w = F.col(weight).cast("double")
-    m = rows.select(c.alias("c"), s.alias("s"), y.alias("y"), w.alias("w")).agg(
+    keys = keys or []
+    m = rows.select(*keys, c.alias("c"), s.alias("s"), y.alias("y"), w.alias("w")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), *[F.sum(F.expr(f"w*{e}")).alias(k) for k, e in {"c": "c", "s": "s", "cc": "c*c", "cs": "c*s", "ss": "s*s", "y": "y", "cy": "c*y", "sy": "s*y", "yy": "y*y"}.items()]
     )
-    m = m.select("n", *[(F.col(k) / F.col("w")).alias(k) for k in ("c", "s", "cc", "cs", "ss", "y", "cy", "sy", "yy")])
+    m = m.select(*keys, "n", *[(F.col(k) / F.col("w")).alias(k) for k in ("c", "s", "cc", "cs", "ss", "y", "cy", "sy", "yy")])
     det = "(cc*(ss - s*s) - cs*(cs - s*c) + c*(cs*s - ss*c))"
     m = m.withColumn("a", F.expr(f"(cy*(ss - s*s) - cs*(sy - s*y) + c*(sy*s - ss*y)) / nullif({det}, 0)"))
     m = m.withColumn("b", F.expr(f"(cc*(sy - y*s) - cy*(cs - s*c) + c*(cs*y - sy*c)) / nullif({det}, 0)"))
@@ -176,4 +177,4 @@ def harmonic_fit(bins: DataFrame, theta_deg: str, value: str, weight: str) -> Da
     ss_res = F.expr("yy - 2*(a*cy + b*sy + o*y) + a*a*cc + b*b*ss + o*o + 2*(a*b*cs + a*o*c + b*o*s)")
     out = m.withColumn("r2", 1 - ss_res / F.expr("nullif(yy - y*y, 0)"))
     ok = F.col("n") >= 4
-    return out.select(F.when(ok, F.degrees(F.atan2("b", "a"))).alias("phase_deg"), F.when(ok, F.hypot("a", "b")).alias("amplitude"), F.when(ok, F.col("o")).alias("offset"), F.when(ok, F.col("r2")).alias("r2"))
+    return out.select(*keys, F.when(ok, F.degrees(F.atan2("b", "a"))).alias("phase_deg"), F.when(ok, F.hypot("a", "b")).alias("amplitude"), F.when(ok, F.col("o")).alias("offset"), F.when(ok, F.col("r2")).alias("r2"))

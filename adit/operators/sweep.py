@@ -70,18 +70,40 @@ def category_medians(trials: DataFrame, category: str) -> DataFrame:
     return trials.where("value is not null").groupBy(category).agg(F.median("value").alias("median"), F.count(F.lit(1)).alias("n"))
 
 
+def conditions(space: list[tuple[str, str | None, str | None]]) -> dict[str, list[tuple[str, str]]]:
+    """For each parameter (name, parent, parent's value) what must hold for it to be active, up the tree of parents: (ancestor, value) each.
+
+    A parent that is no parameter, or a parameter that is its own ancestor, is an error.
+    """
+    up, found = {name: (parent, value) for name, parent, value in space}, {}
+    for name in up:
+        chain, at = [], name
+        while up[at][0] is not None:
+            parent, value = up[at]
+            if parent not in up:
+                raise ValueError(f"{at}: no parameter {parent}")
+            if len(chain) >= len(up):
+                raise ValueError(f"{name} is its own ancestor")
+            chain.append((parent, value))
+            at = parent
+        found[name] = chain
+    return found
+
+
 def conditional(params: DataFrame, space: DataFrame) -> DataFrame:
-    """Long parameters of each trial with those that a branch leaves inactive as NULL.
+    """Long parameters (trial_id, name, value) of each trial with those that a branch leaves inactive as NULL.
 
-    ``space``: (name, parent, parent_value): a parameter is active if it has no
-    parent or the trial's value of the parent is that one.
+    ``space``: (name, parent, parent_value), a row each of the few parameters of a sweep: a parameter is active if it has no
+    parent, or its parent is active and has that value in the trial; so on any number of levels. A trial's parameters meet once, as a map.
     """
-    trials = params.select("trial_id").distinct().crossJoin(space)
-    own = params.select("trial_id", "name", "value")
-    up = params.select("trial_id", F.col("name").alias("parent"), F.col("value").alias("given"))
-    rows = trials.join(own, ["trial_id", "name"], "left").join(up, ["trial_id", "parent"], "left")
-    active = F.col("parent").isNull() | F.coalesce(F.col("given") == F.col("parent_value"), F.lit(False))
-    return rows.select("trial_id", "name", active.alias("active"), F.when(active, F.col("value")).alias("value"))
+    tree = conditions([(r.name, r.parent, r.parent_value) for r in space.select("name", "parent", "parent_value").collect()])
+    empty = F.array().cast("array<struct<parent:string,value:string>>")
+    rule = lambda name, chain: F.struct(F.lit(name).alias("name"), (F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(v).alias("value")) for p, v in chain]) if chain else empty).alias("all"))
+    each = params.groupBy("trial_id", "name").agg(F.max("value").alias("value"))
+    maps = each.groupBy("trial_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    rows = maps.select("trial_id", "m", F.explode(F.array(*[rule(*x) for x in tree.items()])).alias("p"))
+    active = F.forall("p.all", lambda c: F.coalesce(F.element_at("m", c["parent"]) == c["value"], F.lit(False)))
+    return rows.select("trial_id", "p.name", active.alias("active"), F.when(active, F.element_at("m", F.col("p.name"))).alias("value"))
 
 
 def flat(values: dict, prefix: str = "") -> dict:

@@ -250,10 +250,10 @@ ORACLES = {
         x AS (SELECT coalesce((SELECT start FROM r), 0) AS start, coalesce((SELECT n FROM r), 0) AS n)
         SELECT start*{DS} AS s_lo, (start + least(n, 25))*{DS} AS s_hi FROM x""",
     "harmonic_fit": f"""WITH {duckdb_with('cloud')}, h AS (SELECT cloud_id, floor((theta+180.0e0)/{DT}) AS j, avg(r*cos(radians(theta))) AS dz, count(*) AS w FROM cloud GROUP BY ALL),
-        p AS (SELECT cos(radians((j+0.5e0)*{DT}-180.0e0)) AS c, sin(radians((j+0.5e0)*{DT}-180.0e0)) AS s, dz AS y, w/sum(w) OVER () AS w FROM h WHERE cloud_id='ref'),
-        m AS (SELECT sum(w*c) c, sum(w*s) s, sum(w*c*c) cc, sum(w*c*s) cs, sum(w*s*s) ss, sum(w*y) y, sum(w*c*y) cy, sum(w*s*y) sy, sum(w*y*y) yy FROM p),
+        p AS (SELECT cloud_id, cos(radians((j+0.5e0)*{DT}-180.0e0)) AS c, sin(radians((j+0.5e0)*{DT}-180.0e0)) AS s, dz AS y, w/sum(w) OVER (PARTITION BY cloud_id) AS w FROM h),
+        m AS (SELECT cloud_id, sum(w*c) c, sum(w*s) s, sum(w*c*c) cc, sum(w*c*s) cs, sum(w*s*s) ss, sum(w*y) y, sum(w*c*y) cy, sum(w*s*y) sy, sum(w*y*y) yy FROM p GROUP BY cloud_id),
         f AS (SELECT *, ((cy-c*y)*(ss-s*s)-(sy-s*y)*(cs-c*s))/((cc-c*c)*(ss-s*s)-pow(cs-c*s,2)) AS a, ((sy-s*y)*(cc-c*c)-(cy-c*y)*(cs-c*s))/((cc-c*c)*(ss-s*s)-pow(cs-c*s,2)) AS b FROM m)
-        SELECT round(degrees(atan2(b,a)),6) AS phase_deg, round(sqrt(a*a+b*b),6) AS amplitude, round(y-a*c-b*s,6) AS offset, round((a*(cy-c*y)+b*(sy-s*y))/(yy-y*y),6) AS r2 FROM f""",
+        SELECT cloud_id, round(degrees(atan2(b,a)),6) AS phase_deg, round(sqrt(a*a+b*b),6) AS amplitude, round(y-a*c-b*s,6) AS offset, round((a*(cy-c*y)+b*(sy-s*y))/(yy-y*y),6) AS r2 FROM f""",
     "band_percentiles": f"""WITH {duckdb_with('cloud')} SELECT cloud_id, CAST(floor(s/10.0e0) AS BIGINT) AS band, round(quantile_cont(r, 0.1), 8) AS p10, round(quantile_cont(r, 0.5), 8) AS p50, round(quantile_cont(r, 0.9), 8) AS p90,
         round(avg(CASE WHEN r < 1.6e0 THEN 1.0e0 ELSE 0.0e0 END), 8) AS near FROM cloud GROUP BY ALL""",
     "radius_hist": f"WITH {duckdb_with('cloud')} SELECT cloud_id, CAST(floor((r - 1.5e0)/0.0025e0) AS BIGINT) AS bin, count(*) AS n FROM cloud GROUP BY ALL",
@@ -316,6 +316,11 @@ ORACLES = {
     "conditional_params": """WITH s(name, parent, parent_value) AS (VALUES ('type', NULL, NULL), ('size', 'type', 'A'), ('price', 'type', 'B')),
         p AS (SELECT p_partkey AS trial_id, CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END AS t, CAST(p_size AS VARCHAR) AS z, CAST(p_partkey AS VARCHAR) AS pr FROM part)
         SELECT trial_id, name, parent IS NULL OR parent_value = t AS active, CASE WHEN parent IS NULL THEN t WHEN parent_value = t THEN CASE name WHEN 'size' THEN z ELSE pr END END AS value FROM p CROSS JOIN s""",
+    "conditional_tree": """WITH p AS (SELECT p_partkey AS trial_id, p_size % 2 = 0 AS a, p_size % 3 = 1 AS b, p_size = 10 AS c, * FROM part)
+        SELECT trial_id, 'type' AS name, true AS active, CASE WHEN a THEN 'A' ELSE 'B' END AS value FROM p
+        UNION ALL SELECT trial_id, 'mode', a, CASE WHEN a THEN 'm' || (p_size % 3) END FROM p
+        UNION ALL SELECT trial_id, 'depth', a AND b, CASE WHEN a AND b THEN CAST(p_size AS VARCHAR) END FROM p
+        UNION ALL SELECT trial_id, 'price', a AND b AND c, CASE WHEN a AND b AND c THEN CAST(p_partkey AS VARCHAR) END FROM p""",
     "newest_runs": f"WITH {duckdb_with('runs')} SELECT dataset, rep, cloud_id, stamp, run_no, round(volume,6) AS volume FROM runs QUALIFY row_number() OVER (PARTITION BY dataset, rep, cloud_id ORDER BY stamp DESC, run_no DESC, volume DESC) = 1",
     "comparability_guard": f"WITH {duckdb_with('runs')}, l AS (SELECT dataset, 'method' AS key, method AS v FROM runs UNION ALL SELECT dataset, 'cloud_id', cloud_id FROM runs UNION ALL SELECT dataset, 'dataset', dataset FROM runs) SELECT dataset, key, count(DISTINCT v) AS n_values FROM l GROUP BY ALL HAVING count(DISTINCT v) > 1",
     "repeatability": f"""WITH {duckdb_with('runs')}, {_RUNS}, {_QUANTILES}, d AS (SELECT dataset, cloud_id, method, count(*) AS n, avg(volume) AS mean, min(volume) AS min, max(volume) AS max, stddev_samp(volume) AS sd FROM first_runs GROUP BY ALL)

@@ -142,8 +142,8 @@ def theta_bins(s, d):
 
 @query
 def harmonic_fit(s, d):
-    bins = _theta(s, d).where("cloud_id = 'ref'").withColumn("angle", (F.col("j") + 0.5) * G.dt - 180.0)
-    return rounded(compare.harmonic_fit(bins, "angle", "dz", "n"))
+    bins = _theta(s, d).withColumn("angle", (F.col("j") + 0.5) * G.dt - 180.0)
+    return rounded(compare.harmonic_fit(bins, "angle", "dz", "n", ["cloud_id"]))
 
 
 @query
@@ -334,6 +334,16 @@ def conditional_params(s, d):
     return sweep.conditional(part.select(F.col("p_partkey").alias("trial_id"), F.explode(values).alias("name", "value")), space)
 
 
+@query
+def conditional_tree(s, d):
+    """A parameter of a parameter of a parameter."""
+    part = view(s, d, "part")
+    kind, mode = F.when(F.col("p_size") % 2 == 0, "A").otherwise("B"), F.concat(F.lit("m"), (F.col("p_size") % 3).cast("string"))
+    values = F.create_map(F.lit("type"), kind, F.lit("mode"), mode, F.lit("depth"), F.col("p_size").cast("string"), F.lit("price"), F.col("p_partkey").cast("string"))
+    space = s.createDataFrame([("type", None, None), ("mode", "type", "A"), ("depth", "mode", "m1"), ("price", "depth", "10")], "name string, parent string, parent_value string")
+    return sweep.conditional(part.select(F.col("p_partkey").alias("trial_id"), F.explode(values).alias("name", "value")), space)
+
+
 def _newest(s, d):
     return stats.newest(view(s, d, "runs"), ("dataset", "rep", "cloud_id", "method"))
 

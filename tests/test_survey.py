@@ -524,3 +524,18 @@ def test_exports_and_settings(spark, tmp_path):
     assert (run.smoothing, run.hull, run.clouds) == (0.1, False, ("ref",))
     with pytest.raises(ValueError, match="speed"):
         tunnel.Run.from_environment({"ADIT_SPEED": "1"})
+
+
+def test_nested_conditions(spark):
+    from adit.operators import sweep
+
+    space = [("kind", None, None), ("mode", "kind", "A"), ("depth", "mode", "m1"), ("free", None, None)]
+    assert sweep.conditions(space)["depth"] == [("mode", "m1"), ("kind", "A")]
+    for wrong in ([("a", "b", "1")], [("a", "b", "1"), ("b", "a", "1")]):
+        with pytest.raises(ValueError):
+            sweep.conditions(wrong)
+    rows = [(1, "kind", "A"), (1, "mode", "m1"), (1, "depth", "3"), (2, "kind", "B"), (2, "mode", "m1"), (2, "depth", "4"), (3, "kind", "A"), (3, "mode", None), (3, "depth", "5"), (3, "free", "f")]
+    got = sweep.conditional(spark.createDataFrame(rows, "trial_id int, name string, value string"), spark.createDataFrame(space, "name string, parent string, parent_value string"))
+    told = {(r.trial_id, r.name): (r.active, r.value) for r in got.collect()}
+    assert len(told) == 12 and told[1, "depth"] == (True, "3") and told[2, "mode"] == told[2, "depth"] == told[3, "depth"] == (False, None)
+    assert told[3, "mode"] == (True, None) and told[3, "free"] == (True, "f") and told[1, "free"] == (True, None)
