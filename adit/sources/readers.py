@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: Fixed names of a dataset's files; of several the first that is there counts.
 SURVEY_FILES = {
@@ -218,44 +218,77 @@ def ply_header(raw: bytes) -> tuple[int, int, str, list[tuple[str, str]], bool]:
 
 
 class _Range(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    def __init__(self, path: str, start: int, stop: int, first: int):
+        self.path, self.start, self.stop, self.first = path, start, stop, first
+
+
+def _head(f) -> bytes:
+    """A PLY file's first bytes, to the end of its header at least."""
+    size = 1 << 16
+    while True:
+        f.seek(0)
+        raw = f.read(size)
+        if b"end_header" in raw and raw.find(b"\n", raw.index(b"end_header")) >= 0:
+            return raw
+        if len(raw) < size or size >= 1 << 28:
+            raise ValueError("no end of the header")
+        size *= 4
+
+
+def ply_bounds(raw: bytes) -> list[float] | None:
+    """Lowest and highest x, y and z that a header's ``bounds`` comment tells, if it has one."""
+    told = re.search(rb"^comment bounds ([^\n]+)$", raw[: raw.index(b"end_header")], re.M)
+    return [float(v) for v in told[1].split()] if told else None
 
 
 class _PlyReader(DataSourceReader):
-    """Reads ranges of points (binary) or of bytes (ASCII), as Arrow batches."""
+    """Reads ranges of points (binary) or of bytes (ASCII) of one file, or of all in a folder, as Arrow batches; not of files whose bounds are outside ``low`` and ``high``."""
 
     def __init__(self, path: str, rows: int):
         self.path, self.rows = path, rows
+        self.low, self.high = {c: -np.inf for c in "xyz"}, {c: np.inf for c in "xyz"}
 
-    def _open(self):
+    def _files(self) -> list[str]:
         from pyarrow import fs
 
         store, name = fs.FileSystem.from_uri(self.path)
-        return store.open_input_file(name)
+        if store.get_file_info(name).type != fs.FileType.Directory:
+            return [self.path]
+        found = store.get_file_info(fs.FileSelector(name))
+        return [f"{self.path.rstrip('/')}/{x.base_name}" for x in sorted(found, key=lambda x: x.path) if x.base_name.endswith(".ply")]
 
-    def _header(self, f):
-        return ply_header(f.read(1 << 16))
+    @staticmethod
+    def _open(path: str):
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path)
+        return store.open_input_file(name)
 
     def partitions(self):
-        with self._open() as f:
-            size, n, kind, _, more = self._header(f)
-            whole = f.size()
-        if not n:
-            raise ValueError(f"{self.path} has no points")
-        first, last, step = (size, whole, self.rows * 32) if kind == "ascii" else (0, n, self.rows)
-        if kind == "ascii" and more:  # where the points end is known by counting lines only
-            step = whole
-        return [_Range(k, min(k + step, last)) for k in range(first, last, step)]
+        found, files = [], self._files()
+        for k, path in enumerate(files):
+            with self._open(path) as f:
+                raw = _head(f)
+                size, n, kind, _, more = ply_header(raw)
+                whole, bounds = f.size(), ply_bounds(raw)
+            if not n and len(files) == 1:
+                raise ValueError(f"{path} has no points")
+            if bounds and any(bounds[m] > self.high[c] or bounds[3 + m] < self.low[c] for m, c in enumerate("xyz")):
+                continue
+            first, last, step = (size, whole, self.rows * 32) if kind == "ascii" else (0, n, self.rows)
+            if kind == "ascii" and more:  # where the points end is known by counting lines only
+                step = max(whole, 1)
+            found += [_Range(path, at, min(at + step, last), k << 40) for at in range(first, last, step)]
+        return found
 
     def read(self, partition: _Range):
         import pyarrow as pa
 
         def batch(pid: np.ndarray, p) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pid), *(pa.array(np.asarray(p[c], float)) for c in "xyz")], ["pid", "x", "y", "z"])
+            return pa.RecordBatch.from_arrays([pa.array(pid + partition.first), *(pa.array(np.asarray(p[c], float)) for c in "xyz")], ["pid", "x", "y", "z"])
 
-        with self._open() as f:
-            size, n, kind, props, _ = self._header(f)
+        with self._open(partition.path) as f:
+            size, n, kind, props, _ = ply_header(_head(f))
             if kind == "ascii":
                 names = [c for c, _ in props]
                 at, text = _lines(f, partition.start, partition.stop, size)
@@ -273,6 +306,20 @@ class _PlyReader(DataSourceReader):
                 yield batch(np.arange(k, k + m, dtype=np.int64), np.frombuffer(f.read(m * record.itemsize), record))
 
 
+class _PrunedPlyReader(_PlyReader):
+    """The reader where filters on x, y and z are handed down: the bounds that they leave."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            c = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if c in self.low and isinstance(getattr(f, "value", None), (int, float)):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low[c] = max(self.low[c], float(f.value))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    self.high[c] = min(self.high[c], float(f.value))
+            yield f  # rows of the files that are read are filtered by Spark
+
+
 def _lines(f, start: int, stop: int, first: int) -> tuple[int, bytes]:
     """(place, text) of the whole lines that begin in [start, stop); ``first``: where the first line of all begins."""
     f.seek(start - (start > first))
@@ -287,9 +334,11 @@ def _lines(f, start: int, stop: int, first: int) -> tuple[int, bytes]:
 
 
 class PlySource(DataSource):
-    """``spark.read.format("ply").load(path)``: (pid, x, y, z); a file is read in ranges of about ``rowsPerPartition`` points.
+    """``spark.read.format("ply").load(path)``: (pid, x, y, z) of a file or of a folder's files, read in ranges of about ``rowsPerPartition`` points;
+    ``df.write.format("ply").save(path)``: a folder of files of up to ``rowsPerFile`` points, see sinks.PlyWriter.
 
-    pid numbers the points in their order: by their place among the points, or in an ASCII file by that of their line in bytes.
+    pid numbers the points in their order: by their place among the points, or in an ASCII file by that of their line in bytes; above 40
+    bits it numbers the files. Option ``prune``: files are left out by their bounds; it needs spark.sql.python.filterPushdown.enabled.
     """
 
     @classmethod
@@ -300,7 +349,13 @@ class PlySource(DataSource):
         return "pid long, x double, y double, z double"
 
     def reader(self, schema):
-        return _PlyReader(self.options["path"], int(self.options.get("rowsPerPartition", 1_000_000)))
+        kind = _PrunedPlyReader if self.options.get("prune", "false").lower() == "true" else _PlyReader
+        return kind(self.options["path"], int(self.options.get("rowsPerPartition", 1_000_000)))
+
+    def writer(self, schema, overwrite: bool):
+        from adit.sources.sinks import PlyWriter
+
+        return PlyWriter(self.options["path"], schema.names, int(self.options.get("rowsPerFile", 1_000_000)), overwrite)
 
 
 def ply(spark: SparkSession, path: str, rows_per_partition: int = 1_000_000) -> DataFrame:

@@ -1,11 +1,16 @@
 """Sinks: run folders, run indexes, reports, point clouds, patched configs."""
 
 import json
+import uuid
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from adit.sources.readers import commented_json, ply_bytes, ply_columns
 
@@ -67,10 +72,6 @@ def ply_parts(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y"
 
     Columns keep their kinds. File names are new in each attempt of a task: keep what is returned, and read only the files that it names.
     """
-    import uuid
-
-    import pyarrow as pa
-    from pyarrow import fs
 
     def write(batches):
         store, root = fs.FileSystem.from_uri(path)
@@ -96,6 +97,77 @@ def ply_parts(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y"
     return points.select(*columns).mapInArrow(write, "path string, points long")
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """Writes a cloud of any size as a folder of PLY files, whose headers tell their bounds.
+
+    Tasks write into a folder of the job's own below the target. Only when all are done are their files moved
+    into the target, and only those of the tasks that counted; a job that fails leaves nothing of its own. Columns keep their kinds: x, y and z first,
+    whole numbers of 64 bits as 32.
+    """
+
+    def __init__(self, path: str, names: list[str], most: int, overwrite: bool):
+        self.path, self.names, self.most, self.overwrite = path.rstrip("/"), names, most, overwrite
+        self.own = f"{self.path}/_job-{uuid.uuid4().hex}"
+
+    def _store(self):
+        store, root = fs.FileSystem.from_uri(self.path)
+        return store, root, f"{root}/{self.own.rsplit('/', 1)[1]}"
+
+    def _columns(self, rows: pa.Table) -> dict[str, np.ndarray]:
+        def plain(c: str) -> np.ndarray:
+            v = rows.column(c).to_numpy()
+            if v.dtype == np.int64:
+                if len(v) and np.abs(v).max() >= 1 << 31:
+                    raise ValueError(f"{c} does not fit 32 bits")
+                return v.astype(np.int32)
+            return v.astype(np.uint8) if v.dtype in (bool, object) else v
+
+        return {c: plain(c) for c in ("x", "y", "z", *[n for n in self.names if n not in ("x", "y", "z")])}
+
+    def write(self, iterator):
+        store, _, own = self._store()
+        store.create_dir(own, recursive=True)
+        held, done = [], []
+
+        def close(rows: pa.Table) -> None:
+            columns, name = self._columns(rows), f"part-{uuid.uuid4().hex}.ply"
+            bounds = " ".join(repr(float(f(columns[c]))) for f in (np.min, np.max) for c in "xyz")
+            with store.open_output_stream(f"{own}/{name}", compression=None) as out:
+                out.write(ply_columns(columns, (f"bounds {bounds}",)))
+            done.append(name)
+
+        for batch in iterator:
+            held.append(batch)
+            while sum(map(len, held)) >= self.most:
+                whole = pa.Table.from_batches(held)
+                close(whole.slice(0, self.most))
+                held = whole.slice(self.most).to_batches()
+        if sum(map(len, held)):
+            close(pa.Table.from_batches(held))
+        return _Written(done)
+
+    def commit(self, messages):
+        store, root, own = self._store()
+        store.create_dir(root, recursive=True)
+        old = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".ply")] if self.overwrite else []
+        for m in messages:
+            for name in m.files if m else ():
+                store.move(f"{own}/{name}", f"{root}/{name}")
+        for path in old:
+            store.delete_file(path)
+        self.abort(messages)
+
+    def abort(self, messages):
+        store, _, own = self._store()
+        if store.get_file_info(own).type == fs.FileType.Directory:
+            store.delete_dir(own)
+
+
 def pcd(points: DataFrame, path: str, columns: tuple[str, ...] = ("x", "y", "z", "intensity"), most: int = 20_000_000) -> int:
     """A thinned map as one binary PCD file on the driver, up to ``most`` points; larger ones go to Parquet."""
     rows = points.select(*[F.col(c).cast("float") for c in columns]).limit(most + 1).toPandas()
