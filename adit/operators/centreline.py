@@ -8,12 +8,12 @@ columns of trajectory.py.
 import logging
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adit.operators import trajectory
-from adit.operators.spline import Spline, smoothing
+from adit.operators.spline import Spline, smoothing, smoothings
 
 log = logging.getLogger(__name__)
 
@@ -114,32 +114,84 @@ def doubts(info: dict[str, float], limits: dict[str, float] = LIMITS) -> list[st
     return said
 
 
-def sweep(legs: DataFrame, factors: tuple[float, ...] = (0.01, 0.05, 0.2), steps: tuple[float, ...] = (0.25, 0.5, 1.0), key: str = "run_id", most: int = 20_000) -> DataFrame:
+#: Rows of runs, as they came and thinned, that a task fits at once, unless one run has more.
+FITTED_ROWS = 100_000
+
+
+def sweep(legs: DataFrame, factors: tuple[float, ...] = (0.01, 0.05, 0.2), steps: tuple[float, ...] = (0.25, 0.5, 1.0), key: str = "run_id", most: int = 20_000, together: int = FITTED_ROWS) -> DataFrame:
     """(key, factor, ds, n, knots, length_m, kappa_max_1pm, fit_rms_m): what smoothing does to the outbound leg of each run.
 
-    ``legs``: (key, seq, x, y, z). A leg is thinned to every step by Spark; a run is fitted in one task, its number of points checked. The RMS is that of the
-    leg as it came. Runs of fewer than four points after thinning have no row.
+    ``legs``: (key, seq, x, y, z). A leg is thinned to every step by Spark; a run is fitted in one task, its number of points checked, and
+    a task fits many runs at once, of about ``together`` rows. The RMS is that of the leg as it came. Runs of fewer than four points after thinning have no row.
     """
     raw = legs.select(key, F.lit(0.0).alias("ds"), F.col("seq").cast("long").alias("k"), *trajectory.XYZ)
     for step in steps:
         thin = trajectory.resampled(trajectory.without_repeats(legs, key=key), step, key)
         raw = raw.unionByName(thin.select(key, F.lit(float(step)).alias("ds"), F.col("k").cast("long").alias("k"), *trajectory.XYZ))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most * (len(steps) + 1):
-            raise ValueError(f"{len(rows)} points of one run; {most} a step is the most")
-        rows = rows.sort_values(["ds", "k"])
-        leg, made = rows.loc[rows["ds"] == 0, list("xyz")].to_numpy(), []
-        for step in steps:
-            points = rows.loc[rows["ds"] == step, list("xyz")].to_numpy()
-            for factor in factors if len(points) >= 4 else ():
-                line, u = fitted(points, factor), np.linspace(0, 1, max(5 * len(points), 2000))
-                at = line.at(u)
-                near = [((leg[a : a + 256, None, :] - at[None, :, :]) ** 2).sum(2).min(1) for a in range(0, len(leg), 256)]
-                made.append((rows[key].iloc[0], factor, step, len(points), len(line.knots), np.linalg.norm(np.diff(at, axis=0), axis=1).sum(), line.curvature(u).max(), np.sqrt(np.concatenate(near).mean())))
-        return pd.DataFrame(made, columns=[key, "factor", "ds", "n", "knots", "length_m", "kappa_max_1pm", "fit_rms_m"])
-
-    return raw.groupBy(key).applyInPandas(one, f"{key} {legs.schema[key].dataType.simpleString()}, factor double, ds double, n long, knots long, length_m double, kappa_max_1pm double, fit_rms_m double")
+    limit = most * (len(steps) + 1)
+
+    def fits(table: pa.Table) -> pa.RecordBatch:
+        """The rows of whole runs, one run after another."""
+        run, ds = _runs(table.column(key)), table.column("ds").to_numpy()
+        xyz = np.column_stack([table.column(c).to_numpy().astype(float) for c in trajectory.XYZ])
+        cuts = np.concatenate([[0], np.flatnonzero((run[1:] != run[:-1]) | (ds[1:] != ds[:-1])) + 1, [len(run)]])
+        legs, asked = {}, []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if ds[a] == 0:
+                legs[run[a]] = xyz[a:b]
+            elif b - a >= 4:
+                asked += [(a, b, factor) for factor in factors]
+        lines = smoothings([xyz[a:b] for a, b, _ in asked], [max(factor, 0.0) * (b - a) for a, b, factor in asked])
+        made = [(factor, ds[a], b - a, *_told(line, legs[run[a]], b - a)) for (a, b, factor), (line, _) in zip(asked, lines)]
+        columns = [pa.array(x, t) for x, t in zip(zip(*made) if made else [()] * 7, (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
+        named = table.column(key).take(pa.array([a for a, _, _ in asked], pa.int64())).combine_chunks()
+        return pa.RecordBatch.from_arrays([named, *columns], [key, "factor", "ds", "n", "knots", "length_m", "kappa_max_1pm", "fit_rms_m"])
+
+    def all_fits(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += len(batch)
+            if n < together:
+                continue
+            table = pa.Table.from_batches(waiting)
+            run = _runs(table.column(key))
+            last = int(np.flatnonzero(np.append(True, run[1:] != run[:-1]))[-1])
+            if n - last > limit:
+                raise ValueError(f"{n - last} points of one run; {most} a step is the most")
+            if last:
+                yield checked(table.slice(0, last), run[:last])
+            waiting, n = table.slice(last).to_batches(), n - last
+        if n:
+            table = pa.Table.from_batches(waiting)
+            yield checked(table, _runs(table.column(key)))
+
+    def checked(table: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        longest = int(np.bincount(run).max())
+        if longest > limit:
+            raise ValueError(f"{longest} points of one run; {most} a step is the most")
+        return fits(table)
+
+    rows = raw.repartition(key).sortWithinPartitions(key, "ds", "k")
+    return rows.mapInArrow(all_fits, f"{key} {legs.schema[key].dataType.simpleString()}, factor double, ds double, n long, knots long, length_m double, kappa_max_1pm double, fit_rms_m double")
+
+
+def _runs(keys: pa.ChunkedArray) -> np.ndarray:
+    """A number for each run; a null is a run like any other."""
+    return keys.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+
+
+def _told(line: Spline, leg: np.ndarray, n: int) -> tuple:
+    """Knots, length, largest curvature and RMS distance of the leg, at places five times as many as points."""
+    u = np.linspace(0, 1, max(5 * n, 2000))
+    at, middle, near = line.at(u), leg.mean(0), []
+    x = np.ascontiguousarray((at - middle).T)
+    half = 0.5 * (x**2).sum(0)
+    for a in range(0, len(leg), 64):
+        some = leg[a : a + 64]
+        place = (half - (some - middle) @ x).argmin(1)  # of the least distance; the distance itself is then taken without cancellation
+        near.append(((some - at[place]) ** 2).sum(1))
+    return len(line.knots), np.linalg.norm(np.diff(at, axis=0), axis=1).sum(), line.curvature(u).max(), np.sqrt(np.concatenate(near).mean())
 
 
 def curvature_peaks(kappas: DataFrame, key: str = "run_id", share: float = 0.9) -> DataFrame:

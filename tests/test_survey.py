@@ -140,6 +140,23 @@ def test_frames_are_orthonormal(spark):
     assert all(abs(r.kappa_max_1pm - 0.05) < 0.02 and r.knots < r.n - 4 and r.fit_rms_m < 0.45 and r.length_m == pytest.approx(30, rel=0.02) for r in swept)
 
 
+def test_smoothings_together(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    legs = [np.column_stack([r.exponential(5, n), 10 * r.random(n), 5 * r.random(n)]) for n in r.integers(4, 90, 40)] + [np.zeros((6, 3)), np.ones((2, 3))]
+    budgets = [float(f * len(p)) for f, p in zip(np.tile([1.0, 10.0, 40.0], 14), legs)]
+    alone, calls, solve = [spline.smoothing(p, b) for p, b in zip(legs, budgets)], [], spline.banded_many
+    monkeypatch.setattr(spline, "banded_many", lambda *x: calls.append(1) or solve(*x))
+    for (a, u), (b, v) in zip(alone, spline.smoothings(legs, budgets)):
+        assert np.array_equal(a.t, b.t) and np.allclose(a.at(u), b.at(v), atol=1e-6)
+    assert len(calls) < 80  # of all problems together, however many there are
+    rows = [(run, k, *map(float, p)) for run, leg in zip(["a", None, "c", "d"], legs) for k, p in enumerate(leg)]
+    frame = spark.createDataFrame(rows, "run_id string, seq long, x double, y double, z double")
+    told = lambda **how: sorted(map(str, centreline.sweep(frame, (1.0, 10.0), (2.0, 5.0), **how).collect()))
+    assert told() == told(together=3) and len(told()) == 4 * 3  # a run without a name has no row
+    with pytest.raises(Exception, match="points of one run"):
+        told(most=5)
+
+
 def test_curvature_peaks(spark):
     kappa = [0, 1, 0, 2, 2, 2, 1, 3, 3, 1, 5, 5]
     got = centreline.curvature_peaks(spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(kappa)], "run_id int, k long, kappa double"), share=0.5)
