@@ -356,6 +356,7 @@ def pieces(text: str, size: int = PIECE):
         at = end
 
 
+@kernels.large("bpe")
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -379,4 +380,4 @@ def encode(docs: DataFrame, path: str, digests: bool = False, text_col: str = "t
                 got = tok.encode_all([t or "" for t in part.column(text_col).to_pylist()], digests)
                 yield kernels.append(part, {k: pa.array([g[n] for g in got], t) for n, (k, t) in enumerate(types.items())})
 
-    return docs.mapInArrow(kernels.released(run), schema)
+    return docs.mapInArrow(kernels.released(run, "bpe"), schema)

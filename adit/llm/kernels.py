@@ -218,14 +218,39 @@ def append(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(columns.values()), [batch.schema.names[i] for i in keep] + list(columns))
 
 
-def released(run):
-    """The function of a task's batches, after which what allocators hold in reserve goes back to the system: Python workers live on from stage to stage."""
+_LARGE: dict = {}
+
+
+def large(owner: str):
+    """A decorator for a cached function of a worker whose results take much memory: tasks of any but its ``owner`` empty the cache."""
+
+    def named(cache):
+        _LARGE[owner] = cache
+        return cache
+
+    return named
+
+
+def give_back(owner: str | None = None) -> None:
+    """Empty the large caches of all but ``owner``, and give what allocators hold in reserve back to the system."""
+    for name, cache in _LARGE.items():
+        if name != owner:
+            cache.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def released(run, owner: str | None = None):
+    """The function of a task's batches, before and after which memory goes back to the system: Python workers live on from stage to stage.
+
+    Only what ``owner`` has cached stays for its next task.
+    """
 
     @wraps(run)
     def to_the_end(batches):
+        give_back(owner)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
-            trim(0)
+        give_back(owner)
 
     return to_the_end

@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float = 0
     plain = seen[(seen["label"] == 0) & (seen["n"] > 0)]
     e = np.where(plain["f0"] > 0, -np.log1p(-np.minimum(np.exp(-plain["f0"]), 1 - 1e-15)), plain["n"])
     model.size = float(len(plain) / max(e.sum(), 1e-9))
-    seen = held.mapInArrow(lambda batches, m=model: features(batches, m), "label int, n long, f0 double, f1 double").toPandas()
+    seen = held.mapInArrow(kernels.released(lambda batches, m=model: features(batches, m)), "label int, n long, f0 double, f1 double").toPandas()
     b = _logistic(np.log1p(seen[["f0", "f1"]].to_numpy()), seen["label"].to_numpy(float))
     model.intercept, model.slopes = float(b[0]), (float(b[1]), float(b[2]))
     return model

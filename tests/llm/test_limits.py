@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from adit.llm import secrets, topk, toxicity
+import public_tokenizers
+
+from adit.llm import bpe, kernels, secrets, topk, toxicity
 
 
 def test_toxic_sample_is_bounded_by_rows(spark, monkeypatch):
@@ -55,3 +57,12 @@ def test_long_words_cover(spark):
         if on:
             want[c] = len(on) / len(c)
     assert got == want
+
+
+def test_workers_give_the_tokenizer_back():
+    """What one stage has cached must not lie beside the memory of the next stage in a worker that lives on."""
+    tok = bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    list(kernels.released(iter, "bpe")([1]))
+    assert bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json")) is tok
+    assert list(kernels.released(iter)([1, 2])) == [1, 2]
+    assert bpe.tokenizer.cache_info().currsize == 0
