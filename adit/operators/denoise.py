@@ -38,13 +38,16 @@ def neighbour_distances(points: DataFrame, k: int, leaf: int = 4096) -> DataFram
     there = F.lit(True)
     for c in XYZ:
         there = there & F.col(c).isNotNull() & ~F.isnan(c)
-    placed = kept(points.where(there))
+    placed = points.where(there)
     split = spark.sparkContext.broadcast(splits(placed, leaf))
     kind = placed.schema["cloud_id"].dataType.simpleString()
     of = lambda cloud: split.value.get(cloud) or kd.Split(np.zeros((0, 3)), 1)
     place = lambda t: np.column_stack([t.column(c).to_numpy() for c in XYZ]).reshape(-1, 3)
     ids = lambda t: t.column("pid").to_numpy()
-    lists = lambda x: pa.array([v[np.isfinite(v)] for v in x], pa.list_(pa.float64()))
+
+    def lists(x: np.ndarray, most: np.ndarray | None = None) -> pa.ListArray:
+        there = np.isfinite(x) if most is None else np.isfinite(x) & (x <= most[:, None])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(1))), pa.int32()), pa.array(x[there]))
 
     def to_leaf(batches):
         for batch in batches:
@@ -67,13 +70,15 @@ def neighbour_distances(points: DataFrame, k: int, leaf: int = 4096) -> DataFram
         return pa.table({**{c: table.column(c) for c in ("cloud_id", "pid", *XYZ)}, "near": lists(near), "asks": asks})
 
     def across(asked, table):
-        near, _ = kd.nearest(place(asked), ids(asked), place(table), ids(table), k)
-        return pa.table({"cloud_id": asked.column("cloud_id"), "pid": asked.column("pid"), "near": lists(near)})
+        far = asked.column("far").to_numpy()
+        near, _ = kd.nearest(place(asked), ids(asked), place(table), ids(table), k, bound=far)
+        return pa.table({"cloud_id": asked.column("cloud_id"), "pid": asked.column("pid"), "near": lists(near, far)})
 
     columns = f"cloud_id {kind}, pid long, x double, y double, z double"
     home = kept(placed.mapInArrow(to_leaf, f"{columns}, leaf int"))
     first = kept(home.groupBy("cloud_id", "leaf").applyInArrow(within, f"{columns}, near array<double>, asks array<int>"))
-    asks = first.where("size(asks) > 0").select("cloud_id", "pid", *XYZ, F.explode("asks").alias("leaf"))
+    far = F.when(F.size("near") == k, F.array_max("near")).otherwise(F.lit(float("inf"))).alias("far")  # a ball that k points lie in already
+    asks = first.where("size(asks) > 0").select("cloud_id", "pid", *XYZ, far, F.explode("asks").alias("leaf"))
     met = asks.groupBy("cloud_id", "leaf").cogroup(home.groupBy("cloud_id", "leaf")).applyInArrow(across, f"cloud_id {kind}, pid long, near array<double>")
     every = first.where("size(asks) > 0").select("cloud_id", "pid", "near").unionByName(met).groupBy("cloud_id", "pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     every = every.unionByName(first.where("size(asks) = 0").select("cloud_id", "pid", "near"))
@@ -85,7 +90,7 @@ def neighbour_distances(points: DataFrame, k: int, leaf: int = 4096) -> DataFram
 def without_outliers(points: DataFrame, k: int = 20, ratio: float = 2.0, leaf: int = 4096) -> DataFrame:
     """Points whose mean neighbour distance is at most mean + ratio * deviation over the cloud; repeated points are points each."""
     named = kept(points.withColumn("nth", F.monotonically_increasing_id()))
-    d = neighbour_distances(named.select("cloud_id", F.col("nth").alias("pid"), *XYZ), k, leaf)
+    d = kept(neighbour_distances(named.select("cloud_id", F.col("nth").alias("pid"), *XYZ), k, leaf))  # for the limit, and to be held against it
     limit = d.groupBy("cloud_id").agg((F.avg("d") + ratio * F.stddev_samp("d")).alias("limit"))
     fine = d.join(F.broadcast(limit), "cloud_id").where("limit is null or d <= limit").select("cloud_id", F.col("pid").alias("nth"))  # a row a cloud
     return named.join(fine, ["cloud_id", "nth"], "left_semi").select(*points.columns)

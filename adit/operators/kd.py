@@ -64,38 +64,94 @@ class Split:
         return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64),) * 2
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, leaf: int = 512) -> tuple[np.ndarray, int]:
-    """The k smallest distances from each q to points of another id, infinite where there are fewer, and how many were computed."""
+class _Blocks:
+    """Points in blocks of one size, halved along the widest side again and again, all blocks of a level at once, and the boxes about the blocks of each level."""
+
+    def __init__(self, p: np.ndarray, ids: np.ndarray, leaf: int):
+        levels = 0
+        while -(-len(p) // (1 << levels)) > leaf:
+            levels += 1
+        size = -(-len(p) // (1 << levels))
+        x, rows = np.full((size << levels, 3), np.inf), np.full(size << levels, -1)  # places that no point fills lie at infinity
+        x[: len(p)], rows[: len(p)] = p, np.arange(len(p))
+        self.low, self.high = [], []
+        for level in range(levels + 1):
+            x, rows = x.reshape(1 << level, -1, 3), rows.reshape(1 << level, -1)
+            self.low.append(x.min(1))
+            self.high.append(np.where((rows >= 0)[:, :, None], x, -np.inf).max(1))
+            if level < levels:
+                axis = np.argmax(np.nan_to_num(self.high[-1] - self.low[-1], nan=-np.inf), 1)
+                along = np.take_along_axis(x, axis[:, None, None], 2)[:, :, 0]
+                order = np.argpartition(along, x.shape[1] // 2, axis=1)
+                x, rows = np.take_along_axis(x, order[:, :, None], 1), np.take_along_axis(rows, order, 1)
+        self.levels, self.size, self.x, self.ids = levels, size, [np.ascontiguousarray(x[:, :, c]) for c in range(3)], ids[rows]
+
+    def away(self, level: int, q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Squared distances of places from boxes; rounding makes none larger than that to a point within."""
+        side = np.maximum(np.maximum(self.low[level][node] - q, q - self.high[level][node]), 0.0)
+        return side[:, 0] ** 2 + side[:, 1] ** 2 + side[:, 2] ** 2
+
+
+#: Places that are looked for together, and distances that are computed together.
+PLACES, DISTANCES = 8192, 1 << 16
+
+
+def nearest(q: np.ndarray, q_ids: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, leaf: int = 32, bound: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The k smallest distances from each q to points of another id, infinite where there are fewer, and how many were computed.
+
+    ``bound``: for each q a distance beyond which any of them may be missing. A place is compared with the block that it lies in or by, then with those
+    that its ball reaches, the nearest first, while the ball shrinks.
+    """
     best, made = np.full((len(q), k), np.inf), 0
     if not len(q) or not len(p):
         return best, made
-    place = np.unique(p, axis=0, return_inverse=True)[1].ravel()
-    by = np.argsort(place, kind="stable")
-    few = np.sort(by[np.arange(len(p)) - np.searchsorted(place[by], place[by]) <= k])  # k + 1 copies of a place say all there is to say
-    p, p_ids = p[few], p_ids[few]
-    split = Split(p, max(leaf, 2 * k))
-    home = split.leaf(p)
-    by = np.argsort(home, kind="stable")
-    first = np.searchsorted(home[by], np.arange(split.leaves + 1))
-
-    def visit(rows: np.ndarray, leaves: np.ndarray) -> int:
-        order, n = np.argsort(leaves, kind="stable"), 0
-        rows, leaves = rows[order], leaves[order]
-        for at in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(leaves)) + 1) if len(rows) else []:
-            there = by[first[leaves[at[0]]] : first[leaves[at[0]] + 1]]
-            size = max(1, (1 << 20) // max(len(there), 1))
-            for a in range(0, len(at), size):
-                own = rows[at[a : a + size]]
-                d = np.sqrt(((q[own][:, None, :] - p[there][None, :, :]) ** 2).sum(2))
-                d[q_ids[own][:, None] == p_ids[there][None, :]] = np.inf
-                n += d.size
-                both = np.concatenate([best[own], d], 1)
-                best[own] = np.partition(both, k - 1, axis=1)[:, :k]
-        return n
-
-    own = split.leaf(q)
-    made += visit(np.arange(len(q)), own)
-    rows, leaves = split.touched(q, best.max(1))
-    other = leaves != own[rows]
-    made += visit(rows[other], leaves[other])
-    return best, made
+    by = np.lexsort(p.T)
+    new = np.append(True, (p[by[1:]] != p[by[:-1]]).any(1))
+    nth = np.arange(len(p)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    few = np.sort(by[nth <= k])  # k + 1 copies of a place say all there is to say
+    blocks = _Blocks(p[few], p_ids[few], max(leaf, 2 * k))
+    most = np.full(len(q), np.inf) if bound is None else (bound * (1 + 1e-9)) ** 2
+
+    def visit(rows: np.ndarray, at: np.ndarray) -> int:
+        step = max(1, DISTANCES // blocks.size)
+        for a in range(0, len(rows), step):
+            own, there = rows[a : a + step], at[a : a + step]
+            d = np.empty((len(own), k + blocks.size))
+            d[:, :k] = best[own]
+            far = (q[own, 0, None] - blocks.x[0][there]) ** 2
+            for c in (1, 2):
+                far += (q[own, c, None] - blocks.x[c][there]) ** 2
+            d[:, k:] = np.where(q_ids[own, None] == blocks.ids[there], np.inf, far)
+            d.partition(k - 1, axis=1)
+            best[own] = d[:, :k]
+            most[own] = np.fmin(most[own], d[:, k - 1])
+        return len(rows) * blocks.size
+
+    home = np.zeros(len(q), np.int64)
+    for level in range(1, blocks.levels + 1):
+        home *= 2
+        home += blocks.away(level, q, home + 1) < blocks.away(level, q, home)
+    order = np.argsort(home, kind="stable")
+    for a in range(0, len(q), PLACES):
+        rows = order[a : a + PLACES]
+        rows = rows[blocks.away(blocks.levels, q[rows], home[rows]) <= most[rows]]
+        made += visit(rows, home[rows])
+        rows, node, away = order[a : a + PLACES], np.zeros(len(order[a : a + PLACES]), np.int64), None
+        for level in range(1, blocks.levels + 1):
+            rows, node = np.repeat(rows, 2), (2 * node[:, None] + np.arange(2)).ravel()
+            away = blocks.away(level, q[rows], node)
+            on = (away <= most[rows]) & (away < np.inf)
+            rows, node, away = rows[on], node[on], away[on]
+        if away is None:
+            continue
+        other = node != home[rows]
+        rows, node, away = rows[other], node[other], away[other]
+        by = np.lexsort((away, rows))
+        rows, node, away = rows[by], node[by], away[by]
+        start = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
+        turn = np.arange(len(rows)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+        by = np.argsort(turn, kind="stable")
+        for some in np.split(by, np.cumsum(np.bincount(turn))[:-1]) if len(by) else []:
+            some = some[away[some] <= most[rows[some]]]
+            made += visit(rows[some], node[some])
+    return np.sqrt(best), made

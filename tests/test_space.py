@@ -201,6 +201,20 @@ def test_comparisons_are_bounded_whatever_the_density():
     assert np.allclose(np.sort(near[some], axis=1), np.sort(d, axis=1)[:, :8])
 
 
+def test_comparisons_are_few():
+    rng = np.random.default_rng(8)
+    for n in (4000, 16_000):
+        p, q = rng.random((n, 3)), rng.random((300, 3)) * 1.2
+        near, made = kd.nearest(p, np.arange(n), p, np.arange(n), 8)
+        assert made / n < 200  # more than 700 before
+        d = np.sort(np.sqrt(((q[:, None] - p[None]) ** 2).sum(2)), axis=1)[:, :8]
+        far = d[:, 4]
+        got, _ = kd.nearest(q, np.arange(300) + n, p, np.arange(n), 8)
+        assert np.allclose(np.sort(got, axis=1), d)
+        cut, less = kd.nearest(q, np.arange(300) + n, p, np.arange(n), 8, bound=far)
+        assert np.allclose(np.sort(cut, axis=1)[:, :5], d[:, :5])
+
+
 def test_a_split_covers_space():
     rng = np.random.default_rng(1)
     p = np.concatenate([rng.normal(size=(3000, 3)), np.ones((1000, 3))])
