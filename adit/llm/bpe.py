@@ -375,7 +375,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, text_col: str = "t
         tok = tokenizer(path)
         for batch in batches:
             _, offs = kernels.text_buffers(batch.column(text_col))
-            for i, j in kernels.groups(offs, 1 << 19):
+            for i, j in kernels.groups(offs, 1 << (19 if digests else 17)):  # ids and decoded texts take many times the memory of digests
                 part = batch.slice(i, j - i)
                 got = tok.encode_all([t or "" for t in part.column(text_col).to_pylist()], digests)
                 yield kernels.append(part, {k: pa.array([g[n] for g in got], t) for n, (k, t) in enumerate(types.items())})
