@@ -28,6 +28,64 @@ def test_top_k(spark, kind, k):
     assert got == want
 
 
+def plain_top(x, ids, asked, k):
+    """(query id, rank, id, score) by whole numbers; ``asked``: rows of ``x``."""
+    out = []
+    for r in asked:
+        score = x @ x[r]
+        best = sorted((-int(score[j]), int(ids[j])) for j in np.flatnonzero(ids != ids[r]))[:k]
+        out += [(int(ids[r]), n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_needs_no_broadcast(spark):
+    """No table of queries or pairs goes through the driver or stands in one row, however many there are: several chunks, blocks and parts."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(10_000, 24))
+    x[5000:5400] = x[:400]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    vectors = topk.integer_vectors(frame)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        got = topk.top_k(vectors, vectors.where("id % 2 = 0"), 5, groups=2)
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(rows) == 25_000
+    whole, ids = np.floor(256 * x).astype(np.int64), np.arange(len(x))
+    some = {q for q in range(0, 10_000, 250)} | {2, 5002, 9998}
+    assert [q for q in rows if q[0] in some] == plain_top(whole, ids, sorted(some), 5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert topk.packed(vectors, 2).selectExpr("max(length(vectors))").first()[0] <= 8 * topk.ROW
+
+
+@pytest.mark.parametrize("kind", ["normal", "copies", "few values", "one dimension", "outliers", "middling", "opposite", "short"])
+def test_search_chunk(kind):
+    r = np.random.default_rng(9)
+    n, dim, k = {"short": 3, "copies": 900}.get(kind, 700), 1 if kind == "one dimension" else 7, 5
+    x = np.floor(r.normal(size=(n, dim)) * 60)
+    if kind == "copies":
+        x[r.integers(0, n, 600)] = x[0]
+    elif kind == "few values":
+        x = np.sign(x)
+    elif kind == "outliers":
+        x[r.integers(0, n, 9), r.integers(0, dim, 9)] = 1e6
+    elif kind == "middling":  # sums beyond the whole numbers that floats or doubles hold
+        x = np.floor(x * 2.0**21)
+    elif kind == "opposite":
+        x = -np.abs(x) * np.where(np.arange(n) % 2, 1, -1)[:, None]
+    ids = r.permutation(n) // (2 if kind == "copies" else 1)  # copies: rows that share their ids, too
+    best = topk.Best(n, k)
+    for part in np.array_split(r.permutation(n), 3):
+        topk.search_chunk(topk.chunk_of(ids[part], x[part], k), x, ids, best)
+    whole = x.astype(np.int64)
+    for row in range(n):
+        score = whole @ whole[row]
+        want = sorted((-int(score[j]), int(ids[j])) for j in np.flatnonzero(ids != ids[row]))[:k]
+        held = best.held[row]
+        assert list(zip((-best.score[row, held]).tolist(), best.ids[row, held].tolist())) == want
+
+
 def test_top_k_empty(spark):
     vectors = topk.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(vectors, vectors, 5).count() == 0
