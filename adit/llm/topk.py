@@ -53,10 +53,10 @@ def _large(x: np.ndarray) -> np.ndarray:
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(id, v array<double>) with components floor(scale * x), without the rows that take no part; as doubles they are exact at every size."""
-    x = F.transform(F.col(vec_col), lambda c: F.lit(float(scale)) * c.cast("double"))
-    fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    scaled = lambda c: F.lit(float(scale)) * c.cast("double")
+    fine = F.forall(vec_col, lambda c: F.coalesce(F.abs(scaled(c)) < float("inf"), F.lit(False)))  # no NaN is less
     some = rows.where(F.col(id_col).isNotNull() & (F.size(F.coalesce(vec_col, F.array().cast(rows.schema[vec_col].dataType))) > 0)).where(fine)
-    return some.select(F.col(id_col).cast("long").alias("id"), F.transform(x, _floor).alias("v"))
+    return some.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda c: _floor(scaled(c))).alias("v"))
 
 
 def packed(vectors: DataFrame, parts: int) -> DataFrame:
