@@ -206,6 +206,29 @@ def test_grubbs_of_large_groups(spark):
     assert {r.k: r.g_crit for r in stats.describe(rows, ["k"], "v").collect()} == {k: r.g_crit for k, r in got.items()}
 
 
+RUNS = "dataset string, rep string, stamp string, run_no int, cloud_id string, method string, volume double"
+
+
+def test_spread_of_odd_methods(spark):
+    rows = [("d", "1", "ref", "profiles", 10.0), ("d", "1", "ref", "surface_mesh", 11.0), ("d", "1", "ref", "hull_bound", 90.0), ("d", "1", "ref", None, 70.0)]
+    rows += [("d", "2", "ref", "profiles", 10.0), ("d", "2", "ref", "hull_bound", 9.0), ("d", "3", "ref", "profiles", 0.0), ("d", "3", "ref", "surface_mesh", 1.0)]
+    rows += [("d", "4", "ref", "profiles", 10.0), ("d", "4", "ref", "surface_mesh", None), ("d", "5", "ref", None, 1.0), (None, None, None, "profiles", 4.0), (None, None, None, "surface_mesh", 5.0)]
+    rows += [("d", "6", "ref", "profiles", 8.0), ("d", "6", "ref", "profiles", 5.0), ("d", "6", "ref", "surface_mesh", 10.0)]
+    runs = spark.createDataFrame([(d, r, "s", 1, c, m, v) for d, r, c, m, v in rows], RUNS)
+    got = {(r.dataset, r.rep, r.cloud_id): r.delta_pct for r in stats.method_spread(runs, ["dataset", "rep", "cloud_id"]).collect()}
+    assert got == {("d", "1", "ref"): pytest.approx(10), (None, None, None): pytest.approx(25), ("d", "6", "ref"): pytest.approx(25)}
+
+
+def test_spread_drops_other_methods_before_it_looks_for_the_newest(spark, tmp_path):
+    rows = [("d", "1", s, 1, "ref", m, v) for s, m, v in (("s1", "profiles", 5.0), ("s2", "profiles", 10.0), ("s1", "surface_mesh", 11.0), ("s3", "hull_bound", 90.0))]
+    spark.createDataFrame(rows, RUNS).write.parquet(str(tmp_path / "runs"))
+    newest = stats.newest(spark.read.parquet(str(tmp_path / "runs")), ("dataset", "rep", "cloud_id", "method"))
+    got = stats.method_spread(newest, ["dataset", "rep", "cloud_id"])
+    assert [r.delta_pct for r in got.collect()] == [pytest.approx(10)]
+    scan = next(x for x in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in x)
+    assert "In(method, [profiles,surface_mesh])" in scan
+
+
 def test_penalised_objective(spark):
     reps = spark.createDataFrame([(1, 1, 0.5, False, "")] + [(1, k, None, True, "timeout" if k < 4 else "") for k in range(2, 6)] + [(2, k, 5.0, False, "") for k in range(5)], "trial_id long, rep int, error_m double, failed boolean, failure_reason string")
     m = {r.trial_id: r for r in sweep.trial_metrics(reps).collect()}
