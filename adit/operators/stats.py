@@ -1,15 +1,21 @@
 """Statistics over repeated runs: selection, guards, description, outliers, bias."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.quantiles import with_quantiles
 
 
 def newest(runs: DataFrame, keys: tuple[str, ...] = ("dataset", "rep", "cloud_id")) -> DataFrame:
-    """The newest run of each key: by stamp, then run number, then volume."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("stamp"), F.desc("run_no"), F.desc("volume"))
-    return runs.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    """The newest run of each key: by stamp, then run number, then volume.
+
+    An aggregate and no window: a task sorts by the keys only, and hands on one row of each.
+    """
+    order = ["stamp", "run_no", "volume"]
+    rest = [c for c in runs.columns if c not in keys and c not in order]
+    found = [F.max(F.struct(*order)).alias("newest")] + ([F.max_by(F.struct(*rest), F.struct(*order)).alias("rest")] if rest else [])
+    of = lambda c: c if c in keys else F.col("rest" if c in rest else "newest")[c].alias(c)
+    return runs.groupBy(*keys).agg(*found).select(*map(of, runs.columns))
 
 
 def last_by_path(runs: DataFrame, path: str, keys: tuple[str, ...] = ("dataset",)) -> DataFrame:

@@ -209,6 +209,29 @@ def test_grubbs_of_large_groups(spark):
 RUNS = "dataset string, rep string, stamp string, run_no int, cloud_id string, method string, volume double"
 
 
+def test_newest_of_odd_runs(spark):
+    rows = [("a", "1", "s1", 9, "ref", "m", 9.0), ("a", "1", "s2", 1, "ref", "m", 1.0), ("a", "1", "s2", 2, "ref", "m", 0.5), ("a", "1", "s2", 2, "ref", "m", 0.75), ("a", "1", "s2", 2, "ref", "m", None)]
+    rows += [("b", "1", None, 9, "ref", "m", 9.0), ("b", "1", "", None, "ref", "m", 8.0), ("b", "1", "", -1, "ref", "m", -7.0), ("c", "1", "s", 1, "ref", "m", math.nan), ("c", "1", "s", 1, "ref", "m", math.inf)]
+    rows += [(None, None, None, None, None, None, None), (None, None, None, None, None, None, 3.0), ("d", "1", "s", 1, "ref", "m", 2.0), ("d", "1", "s", 1, "ref", "m", 2.0), ("d", "1", "s", 1, "ref", None, 1.0)]
+    runs = spark.createDataFrame(rows, RUNS)
+    got = stats.newest(runs, ("dataset", "rep", "cloud_id", "method"))
+    assert got.columns == runs.columns
+    assert sorted(map(str, got.collect())) == sorted(str(runs.collect()[k]) for k in (3, 7, 8, 11, 12, 14))
+    # without the method as a key it is that of the chosen run; a column of any type stays with its run
+    noted = runs.where("dataset = 'd'").withColumn("notes", F.create_map(F.lit("volume"), "volume"))
+    assert [(r.method, r.volume, r.notes) for r in stats.newest(noted).collect()] == [("m", 2.0, {"volume": 2.0})]
+    assert stats.newest(runs.limit(0)).collect() == []
+
+
+def test_newest_sorts_by_the_keys_only(spark):
+    runs = spark.createDataFrame([("d", "1", "s", k, "ref", m, 1.0) for k in range(50) for m in ("a", "b")], RUNS)
+    for keys in (("dataset", "rep", "cloud_id", "method"), ("dataset", "rep", "cloud_id")):
+        got = stats.newest(runs, keys).select("dataset", "rep", "cloud_id", "stamp", "run_no", "volume")
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "Window" not in plan and plan.count("partial_max(") == 1 and "max_by" not in plan
+        assert {r.run_no for r in got.collect()} == {49}
+
+
 def test_spread_of_odd_methods(spark):
     rows = [("d", "1", "ref", "profiles", 10.0), ("d", "1", "ref", "surface_mesh", 11.0), ("d", "1", "ref", "hull_bound", 90.0), ("d", "1", "ref", None, 70.0)]
     rows += [("d", "2", "ref", "profiles", 10.0), ("d", "2", "ref", "hull_bound", 9.0), ("d", "3", "ref", "profiles", 0.0), ("d", "3", "ref", "surface_mesh", 1.0)]
